@@ -1,11 +1,11 @@
 """Shell commands."""
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from ..operators import opportunities as opp
 from ..operators import shell_usage as su
 from .registry import query
-from .roles import ERROR_TEXTS  # noqa: F401
 
 r = F.round
 SUMS = """count(*) AS calls, count(*) FILTER (is_error) AS errors, CAST(sum(input_chars) AS BIGINT) AS input_chars,
@@ -51,8 +51,8 @@ def _(t):
     "shell_samples",
     """
     SELECT session, family, subcommand, rank, CASE WHEN length(command) > 200 THEN left(command, 200) || '…' ELSE command END AS command
-    FROM (SELECT *, row_number() OVER (PARTITION BY session, family, subcommand ORDER BY at) AS rank FROM (
-      SELECT session, family, subcommand, command, min((thread <> 'main', thread, line)) AS at FROM commands GROUP BY ALL) x) y
+    FROM (SELECT *, row_number() OVER (PARTITION BY session, family, subcommand ORDER BY pos) AS rank FROM (
+      SELECT session, family, subcommand, command, min((thread <> 'main', thread, line)) AS pos FROM commands GROUP BY ALL) x) y
     WHERE rank <= 3
     """,
     "commands",
@@ -149,8 +149,8 @@ def _(t):
 
 
 def _threads_sql(rows):
-    return f"""(SELECT session, shape, CASE count(*) WHEN 1 THEN min_by(thread, at) WHEN 2 THEN min_by(thread, at) || ' and ' || max_by(thread, at)
-      ELSE count(*) || ' threads' END AS tt FROM (SELECT session, shape, thread, min((thread <> 'main', thread, line)) AS at
+    return f"""(SELECT session, shape, CASE count(*) WHEN 1 THEN min_by(thread, pos) WHEN 2 THEN min_by(thread, pos) || ' and ' || max_by(thread, pos)
+      ELSE count(*) || ' threads' END AS tt FROM (SELECT session, shape, thread, min((thread <> 'main', thread, line)) AS pos
       FROM ({rows}) z GROUP BY ALL) p GROUP BY session, shape)"""
 
 
@@ -199,9 +199,9 @@ def rows(t):
     return opp.with_raw_cost(t.commands, t.pricing)
 
 
-@query("shell_opportunities", f"SELECT * REPLACE (round(est_usd_saved, 6) AS est_usd_saved) FROM ({OPPORTUNITIES}) o", "priced_commands")
+@query("shell_opportunities", f"SELECT * REPLACE (round(est_usd_saved, 8) AS est_usd_saved) FROM ({OPPORTUNITIES}) o", "priced_commands")
 def _(t):
-    return usd(opp.opportunities(rows(t)), "est_usd_saved")
+    return opp.opportunities(rows(t)).withColumn("est_usd_saved", r("est_usd_saved", 8))
 
 
 @query(
@@ -214,9 +214,7 @@ def _(t):
     "priced_commands",
 )
 def _(t):
-    from pyspark.sql.window import Window
-
-    found = usd(opp.opportunities(rows(t))).withColumn("est_usd_saved", r("est_usd_saved", 9)) if False else opp.opportunities(rows(t)).withColumn("est_usd_saved", r("est_usd_saved", 9))
+    found = opp.opportunities(rows(t)).withColumn("est_usd_saved", r("est_usd_saved", 9))
     rank = F.row_number().over(Window.partitionBy("session").orderBy(*opp.rank_order()))
     return found.select("session", "class", "shape", rank.alias("rank"))
 
