@@ -10,11 +10,11 @@ from .registry import query
 r = F.round
 SUMS = """count(*) AS calls, count(*) FILTER (is_error) AS errors, CAST(sum(input_chars) AS BIGINT) AS input_chars,
   CAST(sum(result_chars) AS BIGINT) AS result_chars, CAST(ceil(sum(input_chars + result_chars) / 4.0) AS BIGINT) AS estimated_tokens,
-  round(sum(est_usd), 6) AS est_usd"""
+  round(sum(est_usd), 8) AS est_usd"""
 
 
 def usd(df, *names):
-    return df.withColumns({n: r(n, 6) for n in names or ("est_usd",)})
+    return df.withColumns({n: r(n, 8) for n in names or ("est_usd",)})
 
 
 @query(
@@ -66,10 +66,10 @@ def _(t):
     f"""
     SELECT g.*, CASE WHEN t.c > 0 THEN round(g.result_chars / t.c * 1000) / 10 ELSE 0 END AS chars_share_pct,
       CASE WHEN t.u > 0 THEN round(g.est_usd / t.u * 1000) / 10 END AS usd_share_pct FROM (
-      SELECT session, thread, min(model) AS model, {SUMS.replace("round(sum(est_usd), 6)", "sum(est_usd)")}
+      SELECT session, thread, min(model) AS model, {SUMS.replace("round(sum(est_usd), 8)", "sum(est_usd)")}
       FROM priced_commands GROUP BY session, thread) g
     JOIN (SELECT session, sum(result_chars) AS c, sum(est_usd) AS u FROM priced_commands GROUP BY session) t USING (session)
-    """.replace("SELECT g.*,", "SELECT g.* REPLACE (round(g.est_usd, 6) AS est_usd),"),
+    """.replace("SELECT g.*,", "SELECT g.* REPLACE (round(g.est_usd, 8) AS est_usd),"),
     "priced_commands",
 )
 def _(t):
@@ -101,7 +101,7 @@ def _(t):
 
 @query(
     "large_results",
-    """SELECT session, thread, line, command, result_chars, round(est_usd, 6) AS est_usd FROM priced_commands
+    """SELECT session, thread, line, command, result_chars, round(est_usd, 8) AS est_usd FROM priced_commands
        WHERE result_chars >= 20000""",
     "priced_commands",
 )
@@ -111,7 +111,7 @@ def _(t):
 
 @query(
     "file_dumps",
-    "SELECT session, thread, line, command, result_chars, round(est_usd, 6) AS est_usd FROM priced_commands WHERE reads_file",
+    "SELECT session, thread, line, command, result_chars, round(est_usd, 8) AS est_usd FROM priced_commands WHERE reads_file",
     "priced_commands",
 )
 def _(t):
@@ -120,7 +120,7 @@ def _(t):
 
 @query(
     "shell_heavy_hitters",
-    """SELECT session, rank, thread, line, family, result_chars, round(est_usd, 6) AS est_usd FROM (
+    """SELECT session, rank, thread, line, family, result_chars, round(est_usd, 8) AS est_usd FROM (
        SELECT *, row_number() OVER (PARTITION BY session ORDER BY result_chars DESC, thread, line) AS rank FROM priced_commands) x
        WHERE rank <= 10""",
     "priced_commands",
@@ -222,7 +222,7 @@ def _(t):
 @query(
     "opportunity_evidence",
     """
-    SELECT session, shape, rank, thread, line, result_chars, round(raw_usd, 6) AS est_usd FROM (
+    SELECT session, shape, rank, thread, line, result_chars, round(raw_usd, 8) AS est_usd FROM (
       SELECT *, row_number() OVER (PARTITION BY session, shape ORDER BY result_chars DESC, thread <> 'main', thread, line) AS rank,
         count(*) OVER (PARTITION BY session, shape) AS n FROM priced_commands) x WHERE n >= 3 AND rank <= 10
     """,

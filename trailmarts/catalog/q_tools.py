@@ -104,24 +104,29 @@ def _(t):
 PATH = "'/repo/d' || (k % 7) || '/f' || (k % 13) || '.py'"
 
 
+def coarse_reads(t):
+    """Reads of few files, so that files are read often."""
+    return t.calls.withColumn("input", F.concat(F.lit('{"file_path":"/repo/d'), (F.col("k") % 3).cast("string"), F.lit('.py"}')))
+
+
 @query(
     "file_rereads",
-    f"""SELECT session, thread, {PATH} AS path, count(*) AS count, min(line) AS first_line, max(line) AS last_line FROM calls
-        WHERE tool = 'Read' GROUP BY ALL HAVING count(*) >= 4""".replace("calls", "(SELECT * REPLACE ('main' AS thread) FROM calls)"),
+    """SELECT session, thread, '/repo/d' || (k % 3) || '.py' AS path, count(*) AS count, min(line) AS first_line, max(line) AS last_line FROM calls
+       WHERE tool = 'Read' GROUP BY ALL HAVING count(*) >= 4""",
     "calls",
 )
 def _(t):
-    return tools.rereads(t.calls.withColumn("thread", F.lit("main")))
+    return tools.rereads(coarse_reads(t))
 
 
 @query(
     "file_reread_lines",
-    f"""SELECT session, thread, path, line FROM (SELECT session, thread, {PATH} AS path, line,
-        count(*) OVER (PARTITION BY session, thread, k % 7, k % 13) AS n FROM (SELECT * REPLACE ('main' AS thread) FROM calls) WHERE tool = 'Read') x WHERE n >= 4""",
+    """SELECT session, thread, path, line FROM (SELECT session, thread, '/repo/d' || (k % 3) || '.py' AS path, line,
+       count(*) OVER (PARTITION BY session, thread, k % 3) AS n FROM calls WHERE tool = 'Read') x WHERE n >= 4""",
     "calls",
 )
 def _(t):
-    return tools.reread_lines(t.calls.withColumn("thread", F.lit("main")))
+    return tools.reread_lines(coarse_reads(t))
 
 
 @query(
@@ -160,19 +165,19 @@ BY_TOOL = f"""SELECT g.* EXCLUDE (m), CASE WHEN sum(result_chars) OVER (PARTITIO
   FROM (SELECT session, tool, {TSUM}, coalesce(sum(result_chars) FILTER (thread = 'main'), 0) AS m FROM priced_calls GROUP BY session, tool) g"""
 
 
-@query("tool_usage_totals", f"SELECT * REPLACE (round(est_usd, 6) AS est_usd) FROM (SELECT session, {TSUM} FROM priced_calls GROUP BY session) x", "priced_calls")
+@query("tool_usage_totals", f"SELECT * REPLACE (round(est_usd, 8) AS est_usd) FROM (SELECT session, {TSUM} FROM priced_calls GROUP BY session) x", "priced_calls")
 def _(t):
     return usd(tools.usage_totals(t.priced_calls))
 
 
-@query("tool_usage", f"SELECT * REPLACE (round(est_usd, 6) AS est_usd) FROM ({BY_TOOL}) x", "priced_calls")
+@query("tool_usage", f"SELECT * REPLACE (round(est_usd, 8) AS est_usd) FROM ({BY_TOOL}) x", "priced_calls")
 def _(t):
     return usd(tools.usage_by_tool(t.priced_calls))
 
 
 @query(
     "tool_usage_by_thread",
-    f"""SELECT g.* REPLACE (round(est_usd, 6) AS est_usd), CASE WHEN c > 0 THEN round(g.result_chars / c * 1000) / 10 ELSE 0 END AS chars_share_pct,
+    f"""SELECT g.* REPLACE (round(est_usd, 8) AS est_usd), CASE WHEN c > 0 THEN round(g.result_chars / c * 1000) / 10 ELSE 0 END AS chars_share_pct,
         CASE WHEN u > 0 THEN round(g.est_usd / u * 1000) / 10 END AS usd_share_pct
         FROM (SELECT session, thread, min(model) AS model, {TSUM} FROM priced_calls GROUP BY session, thread) g
         JOIN (SELECT session, sum(result_chars) AS c, sum(est_usd) AS u FROM priced_calls GROUP BY session) w USING (session)""",
@@ -184,7 +189,7 @@ def _(t):
 
 @query(
     "tool_heavy_hitters",
-    """SELECT session, rank, tool, thread, line, call_id, result_chars, round(est_usd, 6) AS est_usd FROM (SELECT *,
+    """SELECT session, rank, tool, thread, line, call_id, result_chars, round(est_usd, 8) AS est_usd FROM (SELECT *,
        row_number() OVER (PARTITION BY session ORDER BY result_chars DESC, thread, line) AS rank FROM priced_calls) x WHERE rank <= 10""",
     "priced_calls",
 )
@@ -196,7 +201,7 @@ def _(t):
     "tool_source_split",
     f"""SELECT session, starts_with(tool, 'mcp__') AS is_mcp, count(*) AS tools,
         count(DISTINCT CASE WHEN starts_with(tool, 'mcp__') THEN split_part(tool, '__', 2) END) AS servers, CAST(sum(calls) AS BIGINT) AS calls,
-        CAST(sum(result_chars) AS BIGINT) AS result_chars, round(sum(est_usd), 6) AS est_usd FROM ({BY_TOOL}) b GROUP BY ALL""",
+        CAST(sum(result_chars) AS BIGINT) AS result_chars, round(sum(est_usd), 8) AS est_usd FROM ({BY_TOOL}) b GROUP BY ALL""",
     "priced_calls",
 )
 def _(t):
@@ -209,8 +214,8 @@ def _(t):
     WITH b AS ({BY_TOOL.replace("SELECT session, tool,", "SELECT thread AS session, tool,").replace("GROUP BY session, tool", "GROUP BY thread, tool")}),
     q AS (SELECT *, row_number() OVER (PARTITION BY session ORDER BY round(coalesce(est_usd, -1), 9) DESC, result_chars DESC, tool) AS n FROM b)
     SELECT session, least(n, 9) AS place, CASE WHEN n <= 8 THEN tool ELSE 'rest' END AS name, count(*) AS tools, CAST(sum(calls) AS BIGINT) AS calls,
-      CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(result_chars) AS BIGINT) AS result_chars, round(sum(est_usd), 6) AS est_usd FROM q GROUP BY ALL
-    UNION ALL SELECT session, 0, 'total', count(*), CAST(sum(calls) AS BIGINT), CAST(sum(errors) AS BIGINT), CAST(sum(result_chars) AS BIGINT), round(sum(est_usd), 6)
+      CAST(sum(errors) AS BIGINT) AS errors, CAST(sum(result_chars) AS BIGINT) AS result_chars, round(sum(est_usd), 8) AS est_usd FROM q GROUP BY ALL
+    UNION ALL SELECT session, 0, 'total', count(*), CAST(sum(calls) AS BIGINT), CAST(sum(errors) AS BIGINT), CAST(sum(result_chars) AS BIGINT), round(sum(est_usd), 8)
       FROM b GROUP BY session
     """.replace("priced_calls", "(SELECT * REPLACE (CASE WHEN tool = 'Bash' THEN 'Bash' || (k % 5) ELSE tool END AS tool) FROM priced_calls)"),
     "priced_calls",
@@ -279,7 +284,7 @@ def _(t):
 
 @query(
     "turn_usage",
-    f"SELECT * REPLACE (round(cost, 6) AS cost), cost IS NOT NULL AND unpriced > 0 AS cost_partial FROM ({TURN_USAGE}) x",
+    f"SELECT * REPLACE (round(cost, 8) AS cost), cost IS NOT NULL AND unpriced > 0 AS cost_partial FROM ({TURN_USAGE}) x",
     "evcosted prompts",
 )
 def _(t):
@@ -288,7 +293,7 @@ def _(t):
 
 @query(
     "turn_steps",
-    f"SELECT session, turn, line, model, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, round(cost, 6) AS cost FROM {TURN_OF.format(rows='evcosted')} x",
+    f"SELECT session, turn, line, model, input_tokens, output_tokens, cache_read_tokens, cache_write_tokens, round(cost, 8) AS cost FROM {TURN_OF.format(rows='evcosted')} x",
     "evcosted prompts",
 )
 def _(t):
@@ -298,7 +303,7 @@ def _(t):
 
 @query(
     "outlier_turns",
-    f"""SELECT session, turn, round(cost, 6) AS cost, coalesce(cost > sum(cost) OVER (PARTITION BY session) * 0.25 AND cost >= 0.1, false) AS is_outlier
+    f"""SELECT session, turn, round(cost, 8) AS cost, coalesce(cost > sum(cost) OVER (PARTITION BY session) * 0.25 AND cost >= 0.1, false) AS is_outlier
         FROM ({TURN_USAGE}) x""",
     "evcosted prompts",
 )
@@ -331,8 +336,8 @@ def _(t):
 @query(
     "turn_groups",
     f"""
-    SELECT u.session, u.turn, turn_line, turn_ts_ms, messages, round(u.cost, 6) AS cost, u.cost IS NOT NULL AND unpriced > 0 AS cost_partial,
-      coalesce(n, 0) AS entries, coalesce(errs, 0) AS tool_errors, round(dc, 6) AS delegated_cost, coalesce(inc, false) AS delegated_incomplete,
+    SELECT u.session, u.turn, turn_line, turn_ts_ms, messages, round(u.cost, 8) AS cost, u.cost IS NOT NULL AND unpriced > 0 AS cost_partial,
+      coalesce(n, 0) AS entries, coalesce(errs, 0) AS tool_errors, round(dc, 8) AS delegated_cost, coalesce(inc, false) AS delegated_incomplete,
       CASE WHEN lt >= turn_ts_ms THEN lt - turn_ts_ms END AS duration_ms
     FROM ({TURN_USAGE}) u LEFT JOIN (
       SELECT session, turn, count(*) AS n, count(*) FILTER (tool <> 'Edit' AND is_error) AS errs,

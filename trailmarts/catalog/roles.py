@@ -121,7 +121,7 @@ def _model(form, brand):
            l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS line,
            'm' || l_orderkey || '-' || (l_linenumber // 2) AS message_id,
            {MODEL_SQL.format(form='p_size', brand='p_brand')} AS model,
-           epoch_ms(l_shipdate) AS ts_ms,
+           epoch_us(l_shipdate) // 1000 AS ts_ms,
            NOT (l_returnflag = 'A' AND l_linenumber = 3) AS has_usage,
            CASE WHEN l_linenumber = 7 THEN 0 ELSE CAST(l_quantity AS BIGINT) * 100 END AS input_tokens,
            CASE WHEN l_linenumber = 7 THEN 0 ELSE CAST(l_quantity AS BIGINT) * 10 END AS output_tokens,
@@ -243,7 +243,7 @@ def costed(t) -> DataFrame:
     SELECT *, CASE WHEN k < 60 THEN 'main' ELSE 'a' || (k % 4) END AS thread,
       CASE WHEN k < 60 THEN 'brand#' || (1 + user_id % 25) WHEN k % 4 = 0 THEN 'brand#2'
            WHEN k % 4 = 1 THEN 'brand#5-preview' WHEN k % 4 = 2 THEN 'brand#22' END AS model
-    FROM (SELECT 's' || user_id AS session, event_id + 1 AS line, epoch_ms(ts) AS ts_ms, event_id, user_id, event_type, value,
+    FROM (SELECT 's' || user_id AS session, event_id + 1 AS line, epoch_us(ts) // 1000 AS ts_ms, event_id, user_id, event_type, value,
                  CAST(regexp_extract(props, '[0-9]+', 0) AS BIGINT) AS k FROM events) b
     """,
 )
