@@ -444,3 +444,113 @@ def prompts(t) -> DataFrame:
     return t.ev.where("event_type = 'signup' AND thread = 'main'").select(
         "session", "line", "ts_ms", F.concat(F.lit("Prompt number "), F.col("k").cast("string")).alias("text")
     )
+
+
+@role(
+    "items",
+    """
+    SELECT 'o' || o_orderkey AS session, o_orderkey AS k, CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') THEN 'codex' ELSE 'claude-code' END AS source,
+      CASE WHEN o_custkey % 7 <> 0 THEN '/repos/' || n_name END AS repo_root,
+      CASE WHEN o_orderpriority NOT IN ('1-URGENT', '2-HIGH') THEN 'proj' || (o_custkey % 10) END AS project_dir,
+      CASE WHEN o_orderpriority IN ('1-URGENT', '2-HIGH') AND o_custkey % 2 = 0 THEN 'https://git/x' || n_nationkey END AS repo_url,
+      '/w/' || (o_custkey % 5) AS cwd,
+      CASE WHEN o_orderkey % 97 <> 0 THEN epoch_us(o_orderdate) // 1000 + (o_orderkey * 7919 % 86400) * 1000 END AS started_ms,
+      epoch_us(o_orderdate) // 1000 AS mtime_ms, CASE WHEN o_orderkey % 5 > 0 THEN o_orderkey % 100000 END AS duration_ms,
+      o_orderkey % 9 AS user_turns, 'Prompt of session ' || o_orderkey || repeat(' and more', CAST(o_orderkey % 20 AS INTEGER)) AS first_prompt,
+      o_totalprice / 1000 AS total_cost, o_orderstatus <> 'P' AS cost_is_complete, o_orderkey % 1000000 AS total_tokens,
+      CASE o_orderstatus WHEN 'O' THEN o_totalprice / 1000 * 0.9 WHEN 'F' THEN o_totalprice / 1000 * 0.4 END AS main_cost,
+      CASE o_orderstatus WHEN 'O' THEN o_totalprice / 1000 * 0.1 WHEN 'F' THEN o_totalprice / 1000 * 0.6 END AS sub_cost,
+      o_orderkey % 700000 AS main_tokens, o_orderkey % 300000 AS sub_tokens, o_orderkey % 8 AS sub_messages, o_orderkey % 8 // 3 AS top_tier_messages,
+      o_orderkey % 3 AS compactions, CASE WHEN o_orderkey % 4 = 0 THEN 1 + o_orderkey % 6 END AS returns,
+      CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey % 60000 END AS return_chars, CASE WHEN o_orderkey % 4 = 0 THEN o_orderkey * 13 % 50000 END AS return_max_chars,
+      o_orderkey % 13 AS bash_calls, o_orderkey * 31 % 50000 AS bash_chars, CASE WHEN o_custkey % 3 <> 0 THEN (o_orderkey * 17 % 9000) / 1000 END AS bash_usd,
+      o_orderkey * 37 % 400000 AS max_context_tokens, o_orderkey % 8 AS subagents
+    FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+    """,
+)
+def items(t) -> DataFrame:
+    """The session list; unknown costs for one order status."""
+    c = F.col
+    k, cust = c("o_orderkey"), c("o_custkey")
+    cat = lambda *xs: F.concat(*[F.lit(x) if isinstance(x, str) else x.cast("string") for x in xs])
+    is_b = c("o_orderpriority").isin("1-URGENT", "2-HIGH")
+    cost = c("o_totalprice") / 1000
+    ret = k % 4 == 0
+    day_ms = ntz_ms(c("o_orderdate"))
+    joined = (
+        t.raw("orders").join(t.raw("customer").select("c_custkey", "c_nationkey"), cust == c("c_custkey"))
+        .join(t.raw("nation").select("n_nationkey", "n_name"), c("c_nationkey") == c("n_nationkey"))
+    )
+    m = lambda name, inp, out, read, write, usd: F.struct(
+        name.alias("model"), inp.cast("bigint").alias("input_tokens"), out.cast("bigint").alias("output_tokens"),
+        read.cast("bigint").alias("cache_read_tokens"), write.cast("bigint").alias("cache_write_tokens"), usd.alias("cost"))
+    zero = F.lit(0)
+    one = m(cat("brand#", k % 5), k % 1000, k % 100, k % 5000, k % 300, F.when(k % 10 != 0, cost * 0.75))
+    two = m(F.lit("opus-4"), k % 77, k % 55, zero, zero, cost * 0.25)
+    return joined.select(
+        cat("o", k).alias("session"), k.alias("k"), F.when(is_b, F.lit("codex")).otherwise(F.lit("claude-code")).alias("source"),
+        F.when(cust % 7 != 0, cat("/repos/", c("n_name"))).alias("repo_root"), F.when(~is_b, cat("proj", cust % 10)).alias("project_dir"),
+        F.when(is_b & (cust % 2 == 0), cat("https://git/x", c("n_nationkey"))).alias("repo_url"), cat("/w/", cust % 5).alias("cwd"),
+        F.when(k % 97 != 0, day_ms + (k * 7919 % 86400) * 1000).alias("started_ms"), day_ms.alias("mtime_ms"),
+        F.when(k % 5 > 0, k % 100000).alias("duration_ms"), (k % 9).alias("user_turns"),
+        F.concat(cat("Prompt of session ", k), F.repeat(F.lit(" and more"), (k % 20).cast("int"))).alias("first_prompt"),
+        cost.alias("total_cost"), (c("o_orderstatus") != "P").alias("cost_is_complete"), (k % 1000000).alias("total_tokens"),
+        F.when(c("o_orderstatus") == "O", cost * 0.9).when(c("o_orderstatus") == "F", cost * 0.4).alias("main_cost"),
+        F.when(c("o_orderstatus") == "O", cost * 0.1).when(c("o_orderstatus") == "F", cost * 0.6).alias("sub_cost"),
+        (k % 700000).alias("main_tokens"), (k % 300000).alias("sub_tokens"), (k % 8).alias("sub_messages"),
+        F.floor(k % 8 / 3).cast("bigint").alias("top_tier_messages"), (k % 3).alias("compactions"),
+        F.when(ret, 1 + k % 6).alias("returns"), F.when(ret, k % 60000).alias("return_chars"), F.when(ret, k * 13 % 50000).alias("return_max_chars"),
+        (k % 13).alias("bash_calls"), (k * 31 % 50000).alias("bash_chars"), F.when(cust % 3 != 0, (k * 17 % 9000) / 1000).alias("bash_usd"),
+        (k * 37 % 400000).alias("max_context_tokens"), (k % 8).alias("subagents"),
+        F.when(k % 2 == 0, F.array(one, two)).otherwise(F.array(one)).alias("usage_by_model"),
+    )
+
+
+@role(
+    "item_models",
+    """
+    SELECT session, 'brand#' || (k % 5) AS model, k % 1000 AS input_tokens, k % 100 AS output_tokens, k % 5000 AS cache_read_tokens, k % 300 AS cache_write_tokens,
+      CASE WHEN k % 10 <> 0 THEN total_cost * 0.75 END AS cost FROM items
+    UNION ALL SELECT session, 'opus-4', k % 77, k % 55, 0, 0, total_cost * 0.25 FROM items WHERE k % 2 = 0
+    """,
+    "items",
+)
+def item_models(t) -> DataFrame:
+    return t.items.select("session", F.explode("usage_by_model").alias("m")).select("session", "m.*")
+
+
+KEY_SQL = """coalesce(repo_root, CASE WHEN source <> 'codex' THEN 'claude-project:' || coalesce(project_dir, '') END, 'codex-repo:' || repo_url, 'codex-cwd:' || cwd)"""
+
+
+@role("keyed_items", f"SELECT *, {KEY_SQL} AS repo_key FROM items", "items")
+def keyed_items(t) -> DataFrame:
+    from ..plans import items as plan
+
+    return plan.with_repo_key(t.items)
+
+
+@role(
+    "ledger",
+    """
+    SELECT 'L' || c_custkey AS id, '/repos/' || n_name AS repo_key, (828000000 + c_custkey * 86400 % 150000000) * 1000 AS created_ms,
+      CASE c_custkey % 4 WHEN 0 THEN 'open' WHEN 1 THEN 'applied' WHEN 2 THEN 'verified' ELSE 'rejected' END AS status,
+      CASE WHEN c_custkey % 50 <> 0 THEN 'Finding ' || c_mktsegment END AS finding, 'Change ' || c_custkey AS change,
+      CASE WHEN c_custkey % 4 > 0 THEN (828000000 + c_custkey * 86400 % 150000000 + 86400 * (c_custkey % 9)) * 1000 END AS applied_ms,
+      CASE WHEN c_custkey % 4 > 1 THEN (828000000 + c_custkey * 86400 % 150000000 + 86400 * (c_custkey % 30)) * 1000 END AS resolved_ms,
+      CASE WHEN c_custkey % 3 = 0 THEN 'costPerDayUsd' ELSE 'other' END AS metric, c_acctbal AS before, c_acctbal / 2 AS after, c_custkey
+    FROM customer JOIN nation ON c_nationkey = n_nationkey
+    """,
+)
+def ledger(t) -> DataFrame:
+    c = F.col
+    k = c("c_custkey")
+    base = F.lit(828000000).cast("bigint") + k * 86400 % 150000000
+    status = F.when(k % 4 == 0, F.lit("open")).when(k % 4 == 1, F.lit("applied")).when(k % 4 == 2, F.lit("verified")).otherwise(F.lit("rejected"))
+    joined = t.raw("customer").join(t.raw("nation").select("n_nationkey", "n_name"), c("c_nationkey") == c("n_nationkey"))
+    return joined.select(
+        F.concat(F.lit("L"), k.cast("string")).alias("id"), F.concat(F.lit("/repos/"), c("n_name")).alias("repo_key"), (base * 1000).alias("created_ms"),
+        status.alias("status"), F.when(k % 50 != 0, F.concat(F.lit("Finding "), c("c_mktsegment"))).alias("finding"),
+        F.concat(F.lit("Change "), k.cast("string")).alias("change"), F.when(k % 4 > 0, (base + 86400 * (k % 9)) * 1000).alias("applied_ms"),
+        F.when(k % 4 > 1, (base + 86400 * (k % 30)) * 1000).alias("resolved_ms"),
+        F.when(k % 3 == 0, F.lit("costPerDayUsd")).otherwise(F.lit("other")).alias("metric"), c("c_acctbal").alias("before"), (c("c_acctbal") / 2).alias("after"), "c_custkey",
+    )
