@@ -644,7 +644,7 @@ def _window_sql(name, low, high, rlow, rhigh):
     f"""
     SELECT id, repo_key, applied_ms, {", ".join(f"w.{n}_{c}" for n in ("after", "before") for c in ("sessions", "cost_per_day", "delegation_share", "cache_hit_rate", "bash_usd", "avg_max_context", "top_tier_share"))}
     FROM (SELECT * FROM ledger WHERE status = 'applied') l LEFT JOIN (
-      SELECT id, {_window_sql("after", 0, 18, "", "+ 1209600000")}, {_window_sql("before", 14, 28, "- 1209600000", "")}
+      SELECT id, {_window_sql("after", 0, 14, "", "+ 1209600000")}, {_window_sql("before", 14, 28, "- 1209600000", "")}
       FROM (SELECT l.id, l.applied_ms, x.* EXCLUDE (session), k.* EXCLUDE (session), CAST(make_timestamp((l.applied_ms + 1209600000) * 1000) AS DATE) - CAST(make_timestamp(x.started_ms * 1000) AS DATE) AS back
             FROM ledger l JOIN keyed_items x USING (repo_key) JOIN {TOKENS_OF} k ON k.session = x.session
             WHERE l.status = 'applied' AND x.started_ms >= l.applied_ms - 1209600000 - 2 * 86400000 AND x.started_ms < l.applied_ms + 1209600000 + 86400000) m GROUP BY id) w USING (id)

@@ -14,6 +14,7 @@ from .tasks import launch_outcomes
 MAIN = "main"
 DEAD = "(?i)error|fail|cancel|kill"
 MAX_DEPTH = 64
+RETURN_CAP = 2_000  # a returned text is measured up to this length
 
 
 def link_threads(threads: DataFrame, calls: DataFrame, result_agents: DataFrame) -> DataFrame:
@@ -27,7 +28,7 @@ def link_threads(threads: DataFrame, calls: DataFrame, result_agents: DataFrame)
     named = earliest(result_agents, ["session", "agent"], [F.col("line")], ["call_id"]).withColumnRenamed("call_id", "__recovered")
     owned = calls.select(
         "session", F.col("call_id").alias("tool_use_id"), F.col("thread").alias("__owner"), F.col("line").alias("launch_line"),
-        F.col("ts_ms").alias("launched_ms"), "has_result", "is_error", F.col("result_chars").alias("__chars"),
+        F.col("ts_ms").alias("launched_ms"), "has_result", "is_error", F.least("result_chars", F.lit(RETURN_CAP)).alias("__chars"),
     )
     linked = (
         threads.join(named, ["session", "agent"], "left")
