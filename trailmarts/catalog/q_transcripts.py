@@ -48,7 +48,7 @@ def snapshot_lines(t):
     "snapshots",
 )
 def _(t):
-    return records_a.snapshots(records_a.records(snapshot_lines(t)))
+    return records_a.message_snapshots(snapshot_lines(t))
 
 
 @query(
@@ -58,7 +58,7 @@ def _(t):
     "costed",
 )
 def _(t):
-    messages = usage.dedupe_messages(records_a.snapshots(records_a.records(snapshot_lines(t))))
+    messages = usage.dedupe_messages(records_a.message_snapshots(snapshot_lines(t)))
     costed = pricing.priced(messages.where("input_tokens IS NOT NULL"), t.pricing)
     out = usage.usage_by_model(costed)
     return out.select("session", "model", "messages", *usage.TOKENS, r("cost", 6).alias("cost"), "cost_is_complete")
@@ -500,7 +500,7 @@ def _(t):
       max(k * 2.0::DOUBLE) FILTER (event_type = 'view') AS duration_max, round(avg(k * 2) FILTER (event_type = 'view'), 6) AS duration_avg, count(*) FILTER (event_type = 'click') AS decisions,
       count(*) FILTER (event_type = 'signup' AND k % 3 = 0) AS mcp_events, count(*) FILTER (event_type = 'signup' AND k % 3 = 1) AS hook_events, count(*) FILTER (event_type = 'signup' AND k % 3 = 2) AS other_events,
       count(*) FILTER (event_type = 'purchase' AND k % 2 = 1) AS other_metrics,
-      round(coalesce(sum(k * 0.5) FILTER (event_type = 'view' AND k % 4 <> 0), sum(k * 0.25) FILTER (event_type = 'purchase' AND k % 2 = 0), 0), 6) AS cost_usd,
+      CAST(round(coalesce(sum(k * 0.5) FILTER (event_type = 'view' AND k % 4 <> 0), sum(k * 0.25) FILTER (event_type = 'purchase' AND k % 2 = 0), 0), 6) AS DOUBLE) AS cost_usd,
       CASE WHEN count(*) FILTER (event_type = 'view' AND k % 4 <> 0) > 0 THEN 'api_request_events' WHEN count(*) FILTER (event_type = 'purchase' AND k % 2 = 0) > 0 THEN 'cost_metric' ELSE 'none' END AS cost_source
     FROM ev GROUP BY 1
     """,

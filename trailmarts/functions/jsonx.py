@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -10,24 +10,42 @@ def parse(text: Column) -> Column:
     return F.try_parse_json(text)
 
 
-def at(v: Column, path: str) -> Column:
-    return F.try_variant_get(v, path, "variant")
+def with_parsed(df: DataFrame, text: str = "text", name: str = "v") -> DataFrame:
+    """Add the parsed value of a text column as a generated column.
 
+    Filters on fields would otherwise be pushed below the projection and parse
+    the text once per field; they are not pushed through a generator, so each
+    line is parsed once.
+    """
+    return df.withColumn(name, F.explode_outer(F.array(parse(F.col(text)))))
 
-def kind(v: Column) -> Column:
-    return F.schema_of_variant(v)
 
+def computed_once(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns behind a generator, so that later projections and filters reuse
+    their values instead of inlining their expressions."""
+    one = F.explode_outer(F.array(F.struct(*[c.alias(n) for n, c in columns.items()])))
+    return df.withColumn("__once", one).select(*df.columns, "__once.*")
 
-def is_string(v: Column) -> Column:
-    return kind(v) == "STRING"
+
+def at(v: Column, path: str) -> Column:
+    return F.try_variant_get(v, path, "variant")
 
 
 def is_array(v: Column) -> Column:
-    return kind(v).startswith("ARRAY")
+    return F.try_variant_get(v, "$", "array<variant>").isNotNull()
 
 
 def is_object(v: Column) -> Column:
-    return kind(v).startswith("OBJECT")
+    return F.try_variant_get(v, "$", "map<string,variant>").isNotNull()
+
+
+def kind(v: Column) -> Column:
+    """Type name of a scalar, NULL for arrays and objects (their full schema is costly to derive)."""
+    return F.when(~is_array(v) & ~is_object(v), F.schema_of_variant(v))
+
+
+def is_string(v: Column) -> Column:
+    return F.coalesce(kind(v) == "STRING", F.lit(False))
 
 
 def string_at(v: Column, path: str) -> Column:

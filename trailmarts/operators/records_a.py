@@ -29,11 +29,7 @@ SKILL_LISTING = (
 
 def parsed(raw: DataFrame) -> DataFrame:
     """Non-blank lines with their JSON value and record type."""
-    v = F.col("v")
-    return (
-        raw.where(F.trim("text") != "").withColumn("v", jsonx.parse(F.col("text")))
-        .withColumn("type", F.when(jsonx.is_object(v), jsonx.string_at(v, "$.type")))
-    )
+    return jsonx.with_parsed(raw.where(F.trim("text") != "")).withColumn("type", jsonx.string_at(F.col("v"), "$.type"))
 
 
 def warnings(raw: DataFrame) -> DataFrame:
@@ -89,13 +85,14 @@ def records(raw: DataFrame) -> DataFrame:
     n = lambda path: jsonx.long_at(v, path)
     user, assistant, system = F.col("type") == "user", F.col("type") == "assistant", F.col("type") == "system"
     content = F.col("__content")
-    staged = base.withColumns({
+    first = jsonx.computed_once(base, {
         "__content": jsonx.at(v, "$.message.content"), "__usage": jsonx.at(v, "$.message.usage"),
         "__detail": jsonx.at(v, "$.toolUseResult"), "__attachment": jsonx.at(v, "$.attachment"), "subtype": F.when(system, s("$.subtype")),
-    }).withColumns({
+    })
+    staged = jsonx.computed_once(first, {
         "results": F.when(user & jsonx.is_array(content), _results(content)),
         "blocks": F.when(assistant & jsonx.is_array(content), _blocks(content)),
-        "__text": F.when(user, jsonx.text_of(content)), "has_usage": assistant & F.coalesce(jsonx.is_object(F.col("__usage")), F.lit(False)),
+        "__text": F.when(user, jsonx.text_of(content)), "has_usage": assistant & jsonx.is_object(F.col("__usage")),
         "timestamp": F.coalesce(s("$.timestamp"), F.when(F.col("type") == "attachment", s("$.attachment.timestamp"))),
     })
     queued = jsonx.string_at(F.col("__attachment"), "$.type") == "queued_command"
@@ -120,7 +117,10 @@ def records(raw: DataFrame) -> DataFrame:
         .when(F.col("type") == "summary", s("$.summary"))
     )
     compact, failed = F.col("subtype") == "compact_boundary", F.col("subtype") == "api_error"
-    return staged.withColumns({"note_task": _note(note_text, "task"), "note_status": _note(note_text, "status"), "note_exit": _note(note_text, "exit").cast("bigint")}).select(
+    noted = jsonx.computed_once(staged, {"__note": note_text})
+    told = F.col("__note")
+    fields = {"note_task": _note(told, "task"), "note_status": _note(told, "status"), "note_exit": _note(told, "exit").cast("bigint")}
+    return jsonx.computed_once(noted, fields).select(
         *KEYS, "type", "subtype", s("$.uuid").alias("uuid"), s("$.parentUuid").alias("parent_uuid"), "timestamp", iso_ms(F.col("timestamp")).alias("ts_ms"),
         jsonx.bool_at(v, "$.isSidechain").alias("is_sidechain"), s("$.cwd").alias("cwd"), s("$.version").alias("version"), s("$.gitBranch").alias("git_branch"),
         s("$.agentId").alias("agent_id"), F.when(assistant, s("$.requestId")).alias("request_id"), F.when(assistant, s("$.message.id")).alias("message_id"),
@@ -142,6 +142,21 @@ def records(raw: DataFrame) -> DataFrame:
     )
 
 
+def message_snapshots(raw: DataFrame) -> DataFrame:
+    """Message snapshots straight from raw lines, reading only their fields."""
+    v = F.col("v")
+    has = jsonx.is_object(jsonx.at(v, "$.message.usage"))
+    n = lambda path: F.when(has, jsonx.long_at(v, f"$.message.usage.{path}"))
+    z = lambda path: F.when(has, F.coalesce(jsonx.long_at(v, f"$.message.usage.{path}"), F.lit(0)))
+    rows = parsed(raw).where("type = 'assistant'").select(
+        *KEYS, jsonx.string_at(v, "$.message.id").alias("message_id"), jsonx.string_at(v, "$.message.model").alias("model"),
+        iso_ms(jsonx.string_at(v, "$.timestamp")).alias("ts_ms"), has.alias("has_usage"), z("input_tokens").alias("input_tokens"),
+        z("output_tokens").alias("output_tokens"), z("cache_read_input_tokens").alias("cache_read_tokens"),
+        z("cache_creation_input_tokens").alias("cache_write_tokens"), n("cache_creation.ephemeral_5m_input_tokens").alias("cache_write_5m_tokens"),
+        n("cache_creation.ephemeral_1h_input_tokens").alias("cache_write_1h_tokens"))
+    return rows.where("message_id IS NOT NULL")
+
+
 def snapshots(rec: DataFrame) -> DataFrame:
     return rec.where("type = 'assistant' AND message_id IS NOT NULL").select(*KEYS, "message_id", "model", "ts_ms", "has_usage", *USAGE)
 

@@ -25,9 +25,7 @@ OUTPUTS = ["function_call_output", "custom_tool_call_output"]
 
 
 def parsed(raw: DataFrame) -> DataFrame:
-    v = F.col("v")
-    return raw.where(F.trim("text") != "").withColumn("v", jsonx.parse(F.col("text"))).withColumn(
-        "type", F.when(jsonx.is_object(v), jsonx.string_at(v, "$.type")))
+    return jsonx.with_parsed(raw.where(F.trim("text") != "")).withColumn("type", jsonx.string_at(F.col("v"), "$.type"))
 
 
 def warnings(raw: DataFrame) -> DataFrame:

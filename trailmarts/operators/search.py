@@ -38,11 +38,13 @@ def flat_text(v):
             F.when(jsonx.is_object(x), F.map_values(F.try_variant_get(x, "$", "map<string,variant>"))).when(
                 jsonx.is_array(x), F.try_variant_get(x, "$", "array<variant>")), F.array().cast("array<variant>"))
 
-    level = F.array(v)
-    found = F.transform(level, leaf)
-    for _ in range(FLATTEN_DEPTH):
-        level = F.flatten(F.transform(level, children))
-        found = F.concat(found, F.transform(level, leaf))
+    start = F.struct(F.array(v).alias("level"), F.transform(F.array(v), leaf).alias("found"))
+
+    def descend(acc, _):
+        below = F.flatten(F.transform(acc["level"], children))
+        return F.transform(F.array(below), lambda b: F.struct(b.alias("level"), F.concat(acc["found"], F.transform(b, leaf)).alias("found")))[0]
+
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(FLATTEN_DEPTH)), start, descend)["found"]
     return F.array_join(F.filter(found, lambda s: s.isNotNull()), "\n")
 
 

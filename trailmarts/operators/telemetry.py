@@ -45,7 +45,7 @@ def _first_id(lists: Column) -> Column:
 
 def parsed(lines: DataFrame) -> DataFrame:
     v = F.col("v")
-    return lines.where(F.trim("text") != "").withColumn("v", jsonx.parse(F.col("text"))).withColumns({
+    return jsonx.with_parsed(lines.where(F.trim("text") != "")).withColumns({
         "has_logs": F.coalesce(jsonx.is_array(jsonx.at(v, "$.resourceLogs")), F.lit(False)),
         "has_metrics": F.coalesce(jsonx.is_array(jsonx.at(v, "$.resourceMetrics")), F.lit(False)),
     })
