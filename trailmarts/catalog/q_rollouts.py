@@ -13,7 +13,7 @@ r = F.round
 # every event becomes the lines 2 * event_id + 2 and, for calls, + 3.
 
 
-def lines_b(t):
+def lines_b(t, headers: bool = True):
     k, n, et = F.col("k"), F.col("event_id"), F.col("event_type")
     when = iso(F.col("ts_ms")).alias("timestamp")
     env = lambda kind, payload: js(when, F.lit(kind).alias("type"), payload.alias("payload"))
@@ -36,6 +36,8 @@ def lines_b(t):
         .when((et == "purchase") & (k % 3 == 0), F.lit("{nope")).when((et == "purchase") & (k % 3 == 1), F.lit('"text"')).when(et == "purchase", F.lit('{"a":1}')))
     two = F.when((et == "error") & (k % 3 == 0), env("response_item", output)).when((et == "error") & (k % 3 == 1), env("event_msg", ended))
     lines = t.ev.select("session", (n * 2 + 2).alias("line"), one.alias("text")).union(t.ev.select("session", (n * 2 + 3).alias("line"), two.alias("text"))).where("text IS NOT NULL")
+    if not headers:
+        return lines
     uid = F.col("user_id")
     head = js(F.lit("2024-01-01T00:00:00.000Z").alias("timestamp"), F.lit("session_meta").alias("type"), F.struct(
         F.col("session").alias("id"), F.lit("/w").alias("cwd"), F.when(uid % 3 == 0, F.struct(F.struct(F.struct(cat("s", uid + 1).alias("parent_thread_id"), (uid % 4).alias("depth")).alias("thread_spawn")).alias("subagent"))).alias("source"),
