@@ -503,7 +503,7 @@ def tidy(df):
 )
 def _(t):
     points = policy.context_points(t.evmessages, chunk_rows=2048)
-    return tidy(policy.compaction_savings(points, t.pricing, threshold=60_000, chunk_points=8))
+    return tidy(policy.compaction_savings(points, t.pricing, threshold=60_000))
 
 
 HEAVY = "(SELECT session, call_id, line, result_chars, CAST(ceil(result_chars / 4.0) AS BIGINT) AS tokens FROM calls WHERE result_chars > 10000)"

@@ -5,6 +5,7 @@ from pyspark.sql.window import Window
 
 from ..operators import opportunities as opp
 from ..operators import shell_usage as su
+from ..session import stored
 from .registry import query
 
 r = F.round
@@ -196,7 +197,8 @@ OPPORTUNITIES = f"""
 
 
 def rows(t):
-    return opp.with_raw_cost(t.commands, t.pricing)
+    """Priced commands, written once: the four classes read them several times."""
+    return stored(opp.with_raw_cost(t.commands, t.pricing), "commands")
 
 
 @query("shell_opportunities", f"SELECT * REPLACE (round(est_usd_saved, 8) AS est_usd_saved) FROM ({OPPORTUNITIES}) o", "priced_commands")

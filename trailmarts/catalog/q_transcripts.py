@@ -7,6 +7,7 @@ from ..operators import files, pricing, records_a, records_b, search, tasks, tel
 from ..session import stored
 from .q_shell import usd
 from .registry import query
+from .roles import spread
 
 r = F.round
 
@@ -37,7 +38,7 @@ def snapshot_lines(t):
         F.when(c("cache_write_5m_tokens").isNotNull(), split).alias("cache_creation")))
     message = F.struct(c("message_id").alias("id"), "model", tokens.alias("usage"))
     line = js(F.lit("assistant").alias("type"), iso(c("ts_ms")).alias("timestamp"), message.alias("message"))
-    return t.snapshots.select("session", "thread", "line", line.alias("text"))
+    return spread(t.snapshots).select("session", "thread", "line", line.alias("text"))
 
 
 @query(
@@ -58,7 +59,7 @@ def _(t):
     "costed",
 )
 def _(t):
-    messages = usage.dedupe_messages(records_a.message_snapshots(snapshot_lines(t)))
+    messages = stored(usage.dedupe_messages(records_a.message_snapshots(snapshot_lines(t))), "messages")
     costed = pricing.priced(messages.where("input_tokens IS NOT NULL"), t.pricing)
     out = usage.usage_by_model(costed)
     return out.select("session", "model", "messages", *usage.TOKENS, r("cost", 6).alias("cost"), "cost_is_complete")
@@ -72,7 +73,8 @@ def lines_a(t):
     k, n, et = F.col("k"), F.col("event_id"), F.col("event_type")
     at = lambda i: n * 4 + i
     when = iso(F.col("ts_ms"))
-    base = lambda i, text: t.ev.select("session", "thread", at(i).alias("line"), text.alias("text")).where("text IS NOT NULL")
+    ev = spread(t.ev)
+    base = lambda i, text: ev.select("session", "thread", at(i).alias("line"), text.alias("text")).where("text IS NOT NULL")
     called = et.isin("view", "click")
     tokens = lambda extra: F.struct((k * 10).alias("input_tokens"), (k + extra).alias("output_tokens"), (k * 100).alias("cache_read_input_tokens"))
     arg = F.struct(cat("/repo/f", k % 13).alias("file_path"), cat("look at ", k).alias("description"))
@@ -481,7 +483,7 @@ def otlp_lines(t):
     logs = cat('{"resourceLogs":[{"resource":{"attributes":[', where_resource, ']},"scopeLogs":[{"logRecords":[{"timeUnixNano":"', F.col("ts_ms") * 1_000_000, '","attributes":[', where_record, "]}]}]}]}")
     metric = cat('{"resourceMetrics":[{"scopeMetrics":[{"metrics":[{"name":"', F.when(k % 2 == 0, F.lit("x.cost.usage")).otherwise(F.lit("x.tokens")), '","sum":{"dataPoints":[{"asDouble":', k * 0.25, ',"attributes":[', F.when(k % 10 != 0, sid).otherwise(F.lit("")), "]}]}}]}]}]}")
     body = F.when(et.isin("view", "click", "signup"), logs).when(et == "purchase", metric).when(k % 2 == 0, F.lit('{"broken')).otherwise(F.lit('{"x":1}'))
-    return t.ev.select("line", body.alias("text"))
+    return spread(t.ev).select("line", body.alias("text"))
 
 
 SID = "CASE WHEN event_type IN ('view', 'click', 'signup') OR (event_type = 'purchase' AND k % 10 <> 0) THEN session ELSE '_unassigned' END"

@@ -51,6 +51,12 @@ def with_views(names: list[str], sql: str) -> str:
     return f"WITH {views}\n{body}"
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Spread rows over all cores. Each given table is one file with one row group,
+    which one task reads; real transcripts come in many splits and need no such step."""
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism)
+
+
 @role(
     "pricing",
     """

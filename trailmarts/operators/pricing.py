@@ -69,30 +69,23 @@ def resolve_keys(models_df: DataFrame, pricing: DataFrame, column: str = "model"
 def with_rates(usage: DataFrame, pricing: DataFrame, day: Column | None) -> DataFrame:
     """Add the rates in effect on ``day`` (the newest entry when ``day`` is None).
 
-    Rates are resolved once per distinct (model, day), then joined by equality;
-    Spark broadcasts that small side when it measures it below its threshold.
+    Models are resolved to keys once per distinct model; the entry is then
+    found by equality on the key and the day range, which at most one entry
+    of a key satisfies. Spark broadcasts both small sides when it measures
+    them below its threshold.
     """
+    keyed = usage.join(resolve_keys(usage, pricing), "model", "left")
+    spans = intervals(pricing).withColumnRenamed("price_key", "__key")
     if day is None:
-        keyed = resolve_keys(usage, pricing)
-        newest = intervals(pricing).where("valid_until IS NULL").drop("valid_from", "valid_until")
-        table = keyed.join(newest, "price_key").drop("price_key")
-        return usage.join(table, "model", "left")
-    dated = usage.withColumn("__day", day)
-    pairs = dated.select("model", "__day").where("model IS NOT NULL").distinct()
-    keyed = pairs.join(resolve_keys(pairs, pricing), "model")
-    spans = intervals(pricing)
+        newest = spans.where("valid_until IS NULL").drop("valid_from", "valid_until")
+        return keyed.join(newest, F.col("price_key") == F.col("__key"), "left").drop("price_key", "__key")
+    dated = keyed.withColumn("__day", day)
     in_effect = (
-        (keyed["price_key"] == spans["price_key"])
+        (F.col("price_key") == F.col("__key"))
         & (F.col("valid_from").isNull() | F.col("__day").isNull() | (F.col("valid_from") <= F.col("__day")))
         & (F.col("valid_until").isNull() | (F.col("__day") < F.col("valid_until")))
     )
-    table = keyed.join(spans, in_effect).select("model", F.col("__day").alias("__pday"), *RATES)
-    joined = dated.join(
-        table.withColumnRenamed("model", "__pmodel"),
-        (F.col("model") == F.col("__pmodel")) & F.col("__day").eqNullSafe(F.col("__pday")),
-        "left",
-    )
-    return joined.drop("__pmodel", "__pday", "__day")
+    return dated.join(spans, in_effect, "left").drop("price_key", "__key", "__day", "valid_from", "valid_until")
 
 
 def cost_columns() -> dict[str, Column]:
