@@ -7,6 +7,7 @@ from ..plans import insight, items, learnings, overview, percentile, trends
 from .q_shell import OPPORTUNITIES, rows
 from ..operators import opportunities as opp
 from ..operators import shell_usage, usage
+from ..session import stored
 from .registry import query
 
 r = F.round
@@ -572,7 +573,7 @@ def _(t):
     k = F.col("k")
     finding = F.when(k % 4 == 0, F.lit("!!")).otherwise(F.concat(F.lit("Too much "), F.col("event_type"), F.lit(" in: cat & less!")))
     base = t.ev.where("k < 6").select(((F.lit(915148800).cast("bigint") + 86400 * (k % 3)) * 1000).alias("created_ms"), finding.alias("finding"))
-    first = learnings.new_ids(base.distinct(), t.ev.limit(0).select(F.lit("").alias("id"))).select("id")
+    first = stored(learnings.new_ids(base.distinct(), t.ev.limit(0).select(F.lit("").alias("id"))).select("id"), "ids")
     existing = first.union(first.select(F.concat("id", F.lit("-3"))))
     return learnings.new_ids(base, existing).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -642,7 +643,8 @@ def _window_sql(name, low, high, rlow, rhigh):
 @query(
     "learning_review",
     f"""
-    SELECT id, repo_key, applied_ms, {", ".join(f"w.{n}_{c}" for n in ("after", "before") for c in ("sessions", "cost_per_day", "delegation_share", "cache_hit_rate", "bash_usd", "avg_max_context", "top_tier_share"))}
+    SELECT id, repo_key, applied_ms, {", ".join(f"coalesce(w.{n}_{c}, 0) AS {n}_{c}" for n in ("after", "before") for c in ("sessions", "cost_per_day", "avg_max_context"))},
+      {", ".join(f"w.{n}_{c}" for n in ("after", "before") for c in ("delegation_share", "cache_hit_rate", "bash_usd", "top_tier_share"))}
     FROM (SELECT * FROM ledger WHERE status = 'applied') l LEFT JOIN (
       SELECT id, {_window_sql("after", 0, 14, "", "+ 1209600000")}, {_window_sql("before", 14, 28, "- 1209600000", "")}
       FROM (SELECT l.id, l.applied_ms, x.* EXCLUDE (session), k.* EXCLUDE (session), CAST(make_timestamp((l.applied_ms + 1209600000) * 1000) AS DATE) - CAST(make_timestamp(x.started_ms * 1000) AS DATE) AS back

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from ..functions import text
 from ..functions.nulls import ratio_or_null
+from ..functions.ordered import numbered, running
 from ..functions.times import DAY_MS, local_day
+from ..session import stored
 from .trends import model_sum
 
 REQUIRED = ["id", "created_ms", "finding", "change", "status"]
@@ -24,8 +25,8 @@ def new_ids(findings: DataFrame, existing: DataFrame) -> DataFrame:
     """
     stamp = F.date_format(local_day(F.col("created_ms")), "yyyyMMdd")
     base = F.concat(F.lit("L-"), stamp, F.lit("-"), text.slug(F.col("finding")))
-    fresh = findings.withColumn("base", base).withColumn(
-        "nth", F.row_number().over(Window.partitionBy("base").orderBy("created_ms", "finding")))
+    fresh = stored(
+        numbered(findings.withColumn("base", base), ["base"], "created_ms", "nth", ties=["finding"], chunk=F.floor(F.col("created_ms") / 60_000)), "learnings")
     size = fresh.groupBy("base").agg(F.max("nth").alias("__new"))
     suffix = F.regexp_extract("id", r"-(\d+)$", 1)
     taken = existing.select("id").distinct()
@@ -33,11 +34,11 @@ def new_ids(findings: DataFrame, existing: DataFrame) -> DataFrame:
     as_base = taken.select(F.col("id").alias("base"), F.lit(1).cast("bigint").alias("n"))
     as_suffixed = taken.where(suffix != "").select(F.regexp_replace("id", r"-\d+$", "").alias("base"), suffix.cast("bigint").alias("n")).where("n >= 2")
     used = as_base.unionByName(as_suffixed).join(size.select("base"), "base", "left_semi")
-    slots = (
+    slots = numbered(
         size.join(used.groupBy("base").agg(F.count(F.lit(1)).alias("__used")), "base", "left")
         .select("base", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__new") + F.coalesce("__used", F.lit(0)))).alias("n"))
-        .join(used, ["base", "n"], "left_anti")
-        .withColumn("nth", F.row_number().over(Window.partitionBy("base").orderBy("n")))
+        .join(used, ["base", "n"], "left_anti"),
+        ["base"], "n", "nth",
     )
     return fresh.join(slots, ["base", "nth"]).withColumn(
         "id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string")))
@@ -105,42 +106,65 @@ def loop_health(ledger: DataFrame, keys=("repo",)) -> DataFrame:
     )
 
 
+def _calendar(applied: DataFrame, facts: DataFrame, window_days: int) -> DataFrame:
+    """Sums of both calendar windows per learning, from one row per repository and day."""
+    daily = facts.groupBy("repo_key", local_day(F.col("started_ms")).alias("day")).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("total_cost").alias("cost"), F.sum("sub_cost").alias("sub"), F.count("sub_cost").alias("known"),
+        F.sum("bash_usd").alias("usd"), F.sum("__read").alias("read"), F.sum("__in").alias("input"))
+    anchor = local_day(F.col("applied_ms") + window_days * DAY_MS)
+    back = F.explode(F.sequence(F.lit(0), F.lit(2 * window_days - 1))).alias("back")
+    days = applied.select("id", "repo_key", anchor.alias("__anchor"), back).withColumn("day", F.date_sub("__anchor", F.col("back")))
+    sums = []
+    for name, inside in (("after", F.col("back") < window_days), ("before", F.col("back") >= window_days)):
+        total = lambda c, cond=inside: F.sum(F.when(cond, F.col(c)))
+        sums += [
+            F.coalesce(total("n"), F.lit(0)).alias(f"{name}_sessions"), (F.coalesce(total("cost"), F.lit(0.0)) / window_days).alias(f"{name}_cost_per_day"),
+            ratio_or_null(F.when(total("known") == total("n"), total("sub")), total("cost")).alias(f"{name}_delegation_share"),
+            ratio_or_null(total("read"), total("input")).alias(f"{name}_cache_hit_rate"), total("usd").alias(f"{name}_bash_usd"),
+        ]
+    return days.join(daily, ["repo_key", "day"]).groupBy("id").agg(*sums)
+
+
+def _rolling(applied: DataFrame, facts: DataFrame, window_days: int) -> DataFrame:
+    """Context peak and top-tier share right before and after each change.
+
+    Window sums are differences of running sums along the start times of a
+    repository, read off at the window bounds, so learnings and sessions are
+    never paired.
+    """
+    span = window_days * DAY_MS
+    bounds = F.explode(F.array(*[F.struct(F.lit(i).alias("bound"), (F.col("applied_ms") + d).alias("t")) for i, d in enumerate((-span, 0, span))])).alias("b")
+    marks = applied.select("id", "repo_key", bounds).select("id", "repo_key", "b.*", F.lit(0).alias("kind"))
+    values = {"n": F.col("max_context_tokens").isNotNull().cast("bigint"), "peak": F.col("max_context_tokens"), "msgs": F.col("sub_messages"), "top": F.col("top_tier_messages")}
+    points = facts.select("repo_key", F.col("started_ms").alias("t"), F.lit(1).alias("kind"), *[v.alias(f"__{k}") for k, v in values.items()])
+    # A bound comes before the sessions that start at it.
+    cum = running(
+        marks.unionByName(points, allowMissingColumns=True), ["repo_key"], "t", {k: ("sum", F.col(f"__{k}")) for k in values},
+        ties=["kind"], chunk=F.floor(F.col("t") / DAY_MS)).where("kind = 0")
+    at = lambda k, i: F.max(F.when(F.col("bound") == i, F.col(k)))
+    sums = []
+    for name, low, high in (("after", 1, 2), ("before", 0, 1)):
+        part = {k: at(k, high) - at(k, low) for k in values}
+        sums += [
+            F.coalesce(ratio_or_null(part["peak"], part["n"]), F.lit(0.0)).alias(f"{name}_avg_max_context"),
+            ratio_or_null(part["top"], part["msgs"]).alias(f"{name}_top_tier_share"),
+        ]
+    return cum.groupBy("id").agg(*sums)
+
+
 def review(learnings: DataFrame, items: DataFrame, window_days: int) -> DataFrame:
     """Each applied learning with its repository's figures before and after the change.
 
     Cost, shares and shell dollars use the calendar-day windows that end
     ``window_days`` after the change (UTC); context peak and top-tier share
-    use rolling windows around it. Learnings are few per repository, so items
-    meet them by repository and the sums are taken per learning and window.
+    use rolling windows around it. Windows without sessions cost 0.
     """
-    span = window_days * DAY_MS
-    anchor = local_day(F.col("applied_ms") + span)
     applied = learnings.where("status = 'applied' AND applied_ms IS NOT NULL").select("id", "repo_key", "applied_ms")
-    facts = items.where("started_ms IS NOT NULL").select(
+    facts = items.where("started_ms IS NOT NULL").join(applied.select("repo_key").distinct(), "repo_key", "left_semi").select(
         "repo_key", "started_ms", "total_cost", "sub_cost", "bash_usd", "max_context_tokens", "sub_messages", "top_tier_messages",
         model_sum("cache_read_tokens").alias("__read"),
         (model_sum("input_tokens") + model_sum("cache_read_tokens") + model_sum("cache_write_tokens")).alias("__in"),
     )
-    near = (F.col("started_ms") >= F.col("applied_ms") - span - 2 * DAY_MS) & (F.col("started_ms") < F.col("applied_ms") + span + DAY_MS)
-    met = facts.join(applied, "repo_key").where(near).withColumn("__back", F.date_diff(anchor, local_day(F.col("started_ms"))))
-    sums = []
-    for name, calendar, rolling in (
-        ("after", (F.col("__back") >= 0) & (F.col("__back") < window_days),
-         (F.col("started_ms") >= F.col("applied_ms")) & (F.col("started_ms") < F.col("applied_ms") + span)),
-        ("before", (F.col("__back") >= window_days) & (F.col("__back") < 2 * window_days),
-         (F.col("started_ms") >= F.col("applied_ms") - span) & (F.col("started_ms") < F.col("applied_ms"))),
-    ):
-        pick = lambda c, cond=calendar: F.when(cond, F.col(c))
-        n = F.count_if(calendar)
-        cost = F.sum(pick("total_cost"))
-        sub = F.when(F.count(pick("sub_cost")) == n, F.sum(pick("sub_cost")))
-        messages = F.sum(F.when(rolling, F.col("sub_messages")))
-        sums += [
-            n.alias(f"{name}_sessions"), (F.coalesce(cost, F.lit(0.0)) / window_days).alias(f"{name}_cost_per_day"),
-            ratio_or_null(sub, cost).alias(f"{name}_delegation_share"),
-            ratio_or_null(F.sum(pick("__read")), F.sum(pick("__in"))).alias(f"{name}_cache_hit_rate"),
-            F.sum(pick("bash_usd")).alias(f"{name}_bash_usd"),
-            F.coalesce(F.avg(F.when(rolling, F.col("max_context_tokens"))), F.lit(0.0)).alias(f"{name}_avg_max_context"),
-            ratio_or_null(F.sum(F.when(rolling, F.col("top_tier_messages"))), messages).alias(f"{name}_top_tier_share"),
-        ]
-    return applied.join(met.groupBy("id").agg(*sums), "id", "left")
+    out = applied.join(_calendar(applied, facts, window_days), "id", "left").join(_rolling(applied, facts, window_days), "id", "left")
+    zero = [f"{w}_{c}" for w in ("after", "before") for c in ("sessions", "cost_per_day", "avg_max_context")]
+    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
