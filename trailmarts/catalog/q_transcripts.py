@@ -55,14 +55,14 @@ def _(t):
 @query(
     "transcript_cost_by_model",
     """SELECT session, model, count(*) AS messages, sum(input_tokens) AS input_tokens, sum(output_tokens) AS output_tokens, sum(cache_read_tokens) AS cache_read_tokens,
-       sum(cache_write_tokens) AS cache_write_tokens, round(sum(cost), 6) AS cost, count(cost) = count(*) AS cost_is_complete FROM costed GROUP BY session, model""",
+       sum(cache_write_tokens) AS cache_write_tokens, round(sum(cost), 9) AS cost, count(cost) = count(*) AS cost_is_complete FROM costed GROUP BY session, model""",
     "costed",
 )
 def _(t):
     messages = stored(usage.dedupe_messages(records_a.message_snapshots(snapshot_lines(t))), "messages")
     costed = pricing.priced(messages.where("input_tokens IS NOT NULL"), t.pricing)
     out = usage.usage_by_model(costed)
-    return out.select("session", "model", "messages", *usage.TOKENS, r("cost", 6).alias("cost"), "cost_is_complete")
+    return out.select("session", "model", "messages", *usage.TOKENS, r("cost", 9).alias("cost"), "cost_is_complete")
 
 
 # A mixed format A transcript from events ------------------------------------
@@ -499,10 +499,10 @@ def _(t):
     f"""
     SELECT {SID} AS session, count(*) FILTER (event_type IN ('view', 'click', 'signup')) AS log_payloads, count(*) FILTER (event_type = 'purchase') AS metric_payloads, count(*) FILTER (event_type = 'error') AS malformed_lines,
       count(*) FILTER (event_type = 'view') AS requests, count(*) FILTER (event_type = 'view') AS durations, sum(k * 2.0::DOUBLE) FILTER (event_type = 'view') AS duration_sum, min(k * 2.0::DOUBLE) FILTER (event_type = 'view') AS duration_min,
-      max(k * 2.0::DOUBLE) FILTER (event_type = 'view') AS duration_max, round(avg(k * 2) FILTER (event_type = 'view'), 6) AS duration_avg, count(*) FILTER (event_type = 'click') AS decisions,
+      max(k * 2.0::DOUBLE) FILTER (event_type = 'view') AS duration_max, round(avg(k * 2) FILTER (event_type = 'view'), 9) AS duration_avg, count(*) FILTER (event_type = 'click') AS decisions,
       count(*) FILTER (event_type = 'signup' AND k % 3 = 0) AS mcp_events, count(*) FILTER (event_type = 'signup' AND k % 3 = 1) AS hook_events, count(*) FILTER (event_type = 'signup' AND k % 3 = 2) AS other_events,
       count(*) FILTER (event_type = 'purchase' AND k % 2 = 1) AS other_metrics,
-      CAST(round(coalesce(sum(k * 0.5) FILTER (event_type = 'view' AND k % 4 <> 0), sum(k * 0.25) FILTER (event_type = 'purchase' AND k % 2 = 0), 0), 6) AS DOUBLE) AS cost_usd,
+      CAST(round(coalesce(sum(k * 0.5) FILTER (event_type = 'view' AND k % 4 <> 0), sum(k * 0.25) FILTER (event_type = 'purchase' AND k % 2 = 0), 0), 9) AS DOUBLE) AS cost_usd,
       CASE WHEN count(*) FILTER (event_type = 'view' AND k % 4 <> 0) > 0 THEN 'api_request_events' WHEN count(*) FILTER (event_type = 'purchase' AND k % 2 = 0) > 0 THEN 'cost_metric' ELSE 'none' END AS cost_source
     FROM ev GROUP BY 1
     """,
@@ -510,7 +510,7 @@ def _(t):
 )
 def _(t):
     out = telemetry.session_stats(telemetry.routed(otlp_lines(t)))
-    return out.withColumns({"duration_avg": r("duration_avg", 6), "cost_usd": r("cost_usd", 6)})
+    return out.withColumns({"duration_avg": r("duration_avg", 9), "cost_usd": r("cost_usd", 9)})
 
 
 @query(

@@ -32,44 +32,44 @@ def _(t):
 
 @query(
     "message_costs",
-    "SELECT session, thread, message_id, " + ", ".join(f"round({c}, 6) AS {c}" for c in pricing_ops.COSTS) + " FROM costed",
+    "SELECT session, thread, message_id, " + ", ".join(f"round({c}, 9) AS {c}" for c in pricing_ops.COSTS) + " FROM costed",
     "costed",
 )
 def _(t):
-    return t.costed.select("session", "thread", "message_id", *[r(c, 6).alias(c) for c in pricing_ops.COSTS])
+    return t.costed.select("session", "thread", "message_id", *[r(c, 9).alias(c) for c in pricing_ops.COSTS])
 
 
 @query(
     "usage_by_model",
-    f"""SELECT session, model, count(*) AS messages, {TOKSUM}, round(sum(cost), 6) AS cost,
+    f"""SELECT session, model, count(*) AS messages, {TOKSUM}, round(sum(cost), 9) AS cost,
         count(cost) = count(*) AS cost_is_complete FROM costed GROUP BY session, model""",
     "costed",
 )
 def _(t):
     out = usage.usage_by_model(t.costed)
-    return out.select("session", "model", "messages", *usage.TOKENS, r("cost", 6).alias("cost"), "cost_is_complete")
+    return out.select("session", "model", "messages", *usage.TOKENS, r("cost", 9).alias("cost"), "cost_is_complete")
 
 
 @query(
     "usage_total",
-    f"""SELECT session, count(*) AS messages, {TOKSUM}, round(coalesce(sum(cost), 0), 6) AS cost,
+    f"""SELECT session, count(*) AS messages, {TOKSUM}, round(coalesce(sum(cost), 0), 9) AS cost,
         count(cost) = count(*) AS cost_is_complete FROM costed GROUP BY session""",
     "costed",
 )
 def _(t):
     out = usage.usage_total(usage.usage_by_model(t.costed))
-    return out.withColumn("cost", r("cost", 6))
+    return out.withColumn("cost", r("cost", 9))
 
 
 @query(
     "usage_merge_threads",
-    f"""SELECT session, model, count(*) AS messages, {TOKSUM}, round(sum(cost), 6) AS cost,
+    f"""SELECT session, model, count(*) AS messages, {TOKSUM}, round(sum(cost), 9) AS cost,
         count(cost) = count(*) AS cost_is_complete FROM costed GROUP BY session, model""",
     "costed",
 )
 def _(t):
     by_thread = usage.usage_by_model(t.costed, ("session", "thread"))
-    return usage.merge_threads(by_thread).withColumn("cost", r("cost", 6))
+    return usage.merge_threads(by_thread).withColumn("cost", r("cost", 9))
 
 
 @query(
@@ -110,15 +110,15 @@ MOVED = "input_tokens + output_tokens + cache_read_tokens + cache_write_tokens"
       coalesce(sum(output_tokens) FILTER (thread = 'main'), 0) AS main_output_tokens,
       coalesce(sum(output_tokens) FILTER (thread <> 'main'), 0) AS sub_output_tokens,
       count(*) FILTER (thread = 'main') AS main_messages, count(*) FILTER (thread <> 'main') AS sub_messages,
-      round(coalesce(sum(cost) FILTER (thread = 'main'), 0), 6) AS main_cost,
-      round(coalesce(sum(cost) FILTER (thread <> 'main'), 0), 6) AS sub_cost, count(cost) = count(*) AS cost_is_complete
+      round(coalesce(sum(cost) FILTER (thread = 'main'), 0), 9) AS main_cost,
+      round(coalesce(sum(cost) FILTER (thread <> 'main'), 0), 9) AS sub_cost, count(cost) = count(*) AS cost_is_complete
     FROM costed GROUP BY session
     """,
     "costed",
 )
 def _(t):
     out = usage.delegation(t.costed)
-    return out.withColumns({"main_cost": r("main_cost", 6), "sub_cost": r("sub_cost", 6)})
+    return out.withColumns({"main_cost": r("main_cost", 9), "sub_cost": r("sub_cost", 9)})
 
 
 @query(
@@ -127,18 +127,18 @@ def _(t):
     SELECT session, model, count(*) FILTER (thread = 'main') AS main_messages,
       coalesce(sum({MOVED}) FILTER (thread = 'main'), 0) AS main_tokens,
       CASE WHEN count(*) FILTER (thread = 'main') = 0 OR count(cost) FILTER (thread = 'main') > 0
-        THEN round(coalesce(sum(cost) FILTER (thread = 'main'), 0), 6) END AS main_cost,
+        THEN round(coalesce(sum(cost) FILTER (thread = 'main'), 0), 9) END AS main_cost,
       count(*) FILTER (thread <> 'main') AS sub_messages,
       coalesce(sum({MOVED}) FILTER (thread <> 'main'), 0) AS sub_tokens,
       CASE WHEN count(*) FILTER (thread <> 'main') = 0 OR count(cost) FILTER (thread <> 'main') > 0
-        THEN round(coalesce(sum(cost) FILTER (thread <> 'main'), 0), 6) END AS sub_cost
+        THEN round(coalesce(sum(cost) FILTER (thread <> 'main'), 0), 9) END AS sub_cost
     FROM costed GROUP BY session, model
     """,
     "costed",
 )
 def _(t):
     out = usage.delegation_by_model(t.costed)
-    return out.withColumns({"main_cost": r("main_cost", 6), "sub_cost": r("sub_cost", 6)})
+    return out.withColumns({"main_cost": r("main_cost", 9), "sub_cost": r("sub_cost", 9)})
 
 
 @query(
@@ -188,9 +188,9 @@ def _(t):
 @query(
     "price_history_merge",
     """
-    SELECT model, CAST(valid_from AS VARCHAR) AS valid_from, round(input_rate * 1e6, 6) AS input_rate FROM pricing
+    SELECT model, CAST(valid_from AS VARCHAR) AS valid_from, round(input_rate * 1e6, 9) AS input_rate FROM pricing
     UNION ALL
-    SELECT 'brand#' || b, CASE WHEN b < 20 THEN '2001-01-01' END, round(r, 6) FROM (
+    SELECT 'brand#' || b, CASE WHEN b < 20 THEN '2001-01-01' END, round(r, 9) FROM (
       SELECT CAST(regexp_extract(p_brand, '[0-9]+', 0) AS BIGINT) AS b, round(max(p_retailprice) / 100) AS r FROM part GROUP BY 1) s
     """,
     "pricing",
@@ -202,4 +202,4 @@ def _(t):
         *[(F.col("x") * 1e-6).alias(name) for name in pricing_ops.RATES],
     )
     merged, _ = pricing_ops.merge_history(t.pricing, snap, F.lit("2001-01-01").cast("date"))
-    return merged.select("model", F.col("valid_from").cast("string").alias("valid_from"), r(F.col("input_rate") * 1e6, 6).alias("input_rate"))
+    return merged.select("model", F.col("valid_from").cast("string").alias("valid_from"), r(F.col("input_rate") * 1e6, 9).alias("input_rate"))

@@ -124,7 +124,8 @@ def _model(form, brand):
     f"""
     SELECT 's' || l_orderkey AS session,
            CASE WHEN l_linenumber <= 4 THEN 'main' ELSE 'a' || (l_suppkey % 5) END AS thread,
-           l_linenumber * 1000000000000 + l_partkey * 100000 + l_suppkey AS line,
+           l_linenumber * 100000000000000000 + l_partkey % 1000000 * 100000000000 + l_suppkey % 1000 * 100000000
+             + CAST(round(l_extendedprice * 100) AS BIGINT) AS line,
            'm' || l_orderkey || '-' || (l_linenumber // 2) AS message_id,
            {MODEL_SQL.format(form='p_size', brand='p_brand')} AS model,
            epoch_us(l_shipdate) // 1000 AS ts_ms,
@@ -153,7 +154,8 @@ def snapshots(t) -> DataFrame:
         F.concat(F.lit("s"), c("l_orderkey").cast("string")).alias("session"),
         F.when(c("l_linenumber") <= 4, F.lit("main"))
         .otherwise(F.concat(F.lit("a"), (c("l_suppkey") % 5).cast("string"))).alias("thread"),
-        (c("l_linenumber").cast("bigint") * 1000000000000 + c("l_partkey") * 100000 + c("l_suppkey")).alias("line"),
+        (c("l_linenumber").cast("bigint") * 100000000000000000 + c("l_partkey") % 1000000 * 100000000000 + c("l_suppkey") % 1000 * 100000000
+         + F.round(c("l_extendedprice") * 100).cast("bigint")).alias("line"),
         F.concat(
             F.lit("m"), c("l_orderkey").cast("string"), F.lit("-"),
             F.floor(c("l_linenumber") / 2).cast("string"),
