@@ -1,6 +1,7 @@
 """Registered queries against their SQL. All of them with FULL_CHECK=1, else a cross-section."""
 
 import os
+import re
 
 import check
 import pytest
@@ -28,8 +29,12 @@ def test_query_matches_its_sql(spark, con, name):
     assert ok, note
 
 
+OWN = ("pipeline",)  # and op1_ to op10_: their own tests hold those beyond SQL against plain versions
+
+
 def test_every_query_has_sql():
-    assert set(entry.queries()) == set(entry.oracle_sql())
+    names = {n for n in entry.queries() if n not in OWN and not re.match(r"op\d+_", n)}
+    assert names == {n for n in entry.oracle_sql() if not re.match(r"op\d+_", n)}
 
 
 def test_entry_runs(spark):
