@@ -78,7 +78,7 @@ class Folder:
 
     def read(self, name: str):
         system, root = self._at()
-        return system.open_input_stream(f"{root}/{name}")
+        return system.open_input_stream(f"{root}/{name}", compression=None)
 
 
 class Whole:

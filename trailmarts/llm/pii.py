@@ -173,6 +173,10 @@ def report(documents: DataFrame, doc_id: str = "doc_id", text: str = "text") ->
     """Per document: number of spans of the four base kinds, digest of the base spans, all spans."""
     found = spans(documents.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), "text", "found")
     base = F.filter("found", lambda s: s["kind_no"] <= 4)
-    counts = {f"n_{kind}": F.size(F.filter("found", lambda s, kind=kind: s["kind"] == kind)).cast("long") for kind in KINDS[:4]}
+
+    def count(no: int) -> Column:
+        return F.size(F.filter("found", lambda s: s["kind_no"] == no)).cast("long")
+
+    counts = {f"n_{kind}": count(no) for no, kind in enumerate(KINDS[:4], 1)}
     top = F.array_max(F.transform("found", lambda s: s["score"]))
     return found.select("doc_id", *(c.alias(n) for n, c in counts.items()), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), top.alias("top_score"))

@@ -67,8 +67,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _MAXSCORE = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> floor(256 * x::DOUBLE)) AS t FROM embeddings
-  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0
+  SELECT vec_id, [floor(256 * x::DOUBLE) FOR x IN embedding] AS t FROM embeddings
+  WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len([x FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0
 ), s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.t, c.t)::BIGINT AS score
   FROM v q JOIN v c ON q.vec_id % 50 = 0 AND q.vec_id <> c.vec_id
@@ -103,13 +103,13 @@ w AS (
 ), g AS (
   SELECT * FROM c WHERE CASE kind
     WHEN 'email' THEN true
-    WHEN 'ip' THEN len(list_filter(string_split(word, '.'), x -> length(ltrim(x, '0')) > 3 OR coalesce(try_cast(right(x, 3) AS INTEGER), 0) > 255)) = 0
+    WHEN 'ip' THEN len([x FOR x IN string_split(word, '.') IF length(ltrim(x, '0')) > 3 OR right(x, 3)::INTEGER > 255]) = 0
     WHEN 'phone' THEN length(digits) BETWEEN 10 AND 15
     WHEN 'card' THEN length(digits) BETWEEN 14 AND 19 AND
-      list_sum(list_transform(range(1, length(digits) + 1), x -> CASE WHEN x % 2 = 1 THEN substr(digits, length(digits) - x + 1, 1)::INTEGER
-        ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr(digits, length(digits) - x + 1, 1)::INTEGER + 1] END)) % 10 = 0
-    ELSE length(code) >= 15 AND list_reduce(list_prepend(0, list_transform(string_split(code[5:] || code[:4], ''), x -> CASE WHEN x >= 'A' THEN ascii(x) - 55 ELSE x::INTEGER END)),
-      (a, x) -> (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1 END
+      list_sum([CASE WHEN x % 2 = 1 THEN substr(digits, length(digits) - x + 1, 1)::INTEGER
+        ELSE [0, 2, 4, 6, 8, 1, 3, 5, 7, 9][substr(digits, length(digits) - x + 1, 1)::INTEGER + 1] END FOR x IN range(1, length(digits) + 1)]) % 10 = 0
+    ELSE length(code) >= 15 AND list_reduce(list_prepend(0, [CASE WHEN x >= 'A' THEN ascii(x) - 55 ELSE x::INTEGER END FOR x IN string_split(code[5:] || code[:4], '')]),
+      lambda a, x: (a * CASE WHEN x > 9 THEN 100 ELSE 10 END + x) % 97) = 1 END
 ), f AS (
   SELECT doc_id, count(*) FILTER (kind = 'email') AS n_email, count(*) FILTER (kind = 'ip') AS n_ip, count(*) FILTER (kind = 'card') AS n_card, count(*) FILTER (kind = 'phone') AS n_phone,
     coalesce(string_agg(kind || ':' || start::BIGINT || ':' || stop::BIGINT, ',' ORDER BY start, kind_no) FILTER (kind_no <= 4), '') AS base,
@@ -130,7 +130,7 @@ lengths AS (SELECT DISTINCT n FROM win),
 dp AS (SELECT doc_id, w, n, unnest(range(1, len(w) - n + 2)) AS i FROM dw, lengths WHERE len(w) >= n),
 ds AS (SELECT doc_id, n, i, array_to_string(w[i:i + n - 1], ' ') AS body FROM dp),
 occ AS (SELECT doc_id, item_id, ds.n, i FROM ds JOIN win USING (n, body)),
-hit AS (SELECT doc_id, count(DISTINCT at) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS at FROM occ) GROUP BY doc_id),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM occ) GROUP BY doc_id),
 its AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM occ) GROUP BY doc_id)
 SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256,
   coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
