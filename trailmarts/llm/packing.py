@@ -104,8 +104,9 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 1024, linear: flo
                     settle(pooled // capacity)
             if out:
                 yield flush()
-        if pool:
-            settle(-(-pooled // capacity))
+        for sequences in (pooled // capacity, 1):
+            if pool and sequences:
+                settle(sequences)
         if out:
             yield flush()
 
