@@ -22,7 +22,8 @@ LEAST_SCORE = 0.5  # of the language; less is no language that was learnt
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
     """``docs`` without the ids in ``gone`` (one column), all columns kept."""
-    return docs.join(gone.toDF("id that goes"), docs["doc_id"] == F.col("id that goes"), "left_anti")
+    name = "gone_" + "_".join(docs.columns)  # no column of the table is called that
+    return docs.join(gone.toDF(name), docs["doc_id"] == F.col(f"`{name}`"), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
