@@ -49,16 +49,39 @@ def test_line_numbers_survive_splits(spark, tmp_path):
     old = spark.conf.get(limit)
     spark.conf.set(limit, "20000")
     try:
-        read = transcripts.raw_lines(spark, str(tmp_path))
-        assert read.rdd.getNumPartitions() >= 1
-        got = read.where(F.col("path").endswith("big.jsonl")).orderBy("line").collect()
-        assert [(r.line, r.text) for r in got] == list(enumerate(lines, 1))
+        for whole in (transcripts.WHOLE_BYTES, 1000):
+            read = transcripts.raw_lines(spark, str(tmp_path), whole_bytes=whole)
+            got = read.where(F.col("path").endswith("big.jsonl")).orderBy("line").collect()
+            assert [(r.line, r.text) for r in got] == list(enumerate(lines, 1))
+            assert read.where(F.col("path").endswith("small.jsonl")).count() == 3
         splits = spark.read.text(str(tmp_path / "p" / "big.jsonl")).select("_metadata.file_block_start").distinct().count()
         assert splits > 5
     finally:
         spark.conf.set(limit, old)
 
 
+def test_line_breaks_and_blank_files(spark, tmp_path):
+    (tmp_path / "a.jsonl").write_bytes(b"one\r\n\r\nthree\rfour")
+    (tmp_path / "b.jsonl").write_bytes(b"")
+    (tmp_path / "c.jsonl").write_bytes(b"\n")
+    for whole in (transcripts.WHOLE_BYTES, 0):
+        got = transcripts.raw_lines(spark, str(tmp_path), whole_bytes=whole)
+        assert rows(got.where(F.col("path").endswith("a.jsonl")), "line", "text") == [(1, "one"), (2, ""), (3, "three"), (4, "four")]
+        assert rows(got.where(~F.col("path").endswith("a.jsonl")), "line", "text") == [(1, "")]
+
+
+def test_files_of_ordinary_size_are_numbered_without_a_shuffle(spark, projects):
+    off = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(off)
+    spark.conf.set(off, "-1")
+    try:
+        plan = transcripts.format_a(spark, str(projects))._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(off, old)
+    assert plan.count("FileScan text") <= 3  # whole files; large files for their lines and for the lines of each split
+    assert plan.count("Exchange") <= 4 and "hashpartitioning(path" in plan.replace("#", "")[:len(plan)] or "Exchange" not in plan
+
+
 def test_format_a_files(spark, projects):
     lines = transcripts.format_a(spark, str(projects))
     assert rows(lines.select("session", "thread", "project_dir", "run_id").distinct()) == [

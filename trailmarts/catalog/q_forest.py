@@ -48,11 +48,11 @@ def _(t):
 @query(
     "file_access_capped",
     f"""SELECT session, path, rank, omitted FROM (SELECT session, path, row_number() OVER (PARTITION BY session ORDER BY reads + edits + injections DESC, path) AS rank,
-        greatest(count(*) OVER (PARTITION BY session) - 10, 0) AS omitted FROM {ACCESS} a) x WHERE rank <= 10""",
+        0 AS omitted FROM {ACCESS} a) x""",
     "calls ev",
 )
 def _(t):
-    return files.capped_access(access(t), 10).select("session", "path", "rank", "omitted")
+    return files.capped_access(access(t)).select("session", "path", "rank", "omitted")
 
 
 @query(
@@ -213,7 +213,7 @@ def task_inputs(t):
 
 @query(
     "background_launches",
-    f"SELECT l.session, l.thread, kind, task_id, l.call_id, l.line, CASE WHEN kind = 'bash' THEN left(command, 120) ELSE 'subagent' END AS name FROM {LAUNCHES} l JOIN commands USING (call_id)"
+    f"SELECT l.session, l.thread, kind, task_id, l.call_id, l.line, CASE WHEN kind = 'bash' THEN command ELSE 'subagent' END AS name FROM {LAUNCHES} l JOIN commands USING (call_id)"
     .replace("l.call_id, l.line", "call_id, l.line"),
     "calls commands",
 )
@@ -363,7 +363,7 @@ def _(t):
 LINKED = """(SELECT session, 'g' || event_id AS agent, CASE WHEN k % 7 = 0 THEN NULL WHEN k % 9 = 0 THEN 'nope' ELSE 't' || event_id END AS tool_use_id,
   CASE WHEN k % 5 = 0 THEN 'w' || (k % 20) END AS run_id, k % 2 = 0 AS rest, k FROM ev)"""
 STATUS_SQL = f"""
-  SELECT session, agent, parent, status, async_launch, CASE WHEN NOT async_launch AND coalesce(has_result, false) THEN least(result_chars, 2000) END AS returned_chars FROM (
+  SELECT session, agent, parent, status, async_launch, CASE WHEN NOT async_launch AND coalesce(has_result, false) THEN result_chars END AS returned_chars FROM (
   SELECT *, CASE WHEN run_id IS NOT NULL AND s2 = 'unresolved' AND rs = 'completed' THEN CASE WHEN rest THEN 'completed' ELSE 'failed' END ELSE s2 END AS status FROM (
   SELECT *, CASE WHEN run_id IS NOT NULL AND coalesce(rs = 'killed', false) AND s1 <> 'completed' THEN 'failed' ELSE s1 END AS s2 FROM (
   SELECT *, CASE WHEN run_id IS NOT NULL THEN coalesce(CASE st WHEN 'done' THEN 'completed' WHEN 'errored' THEN 'failed' END, s0) ELSE s0 END AS s1 FROM (

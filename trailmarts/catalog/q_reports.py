@@ -65,9 +65,9 @@ def _(t):
     return items.day_range(t.items, "1997-03-01", "1997-11-03", ZONE).select("session")
 
 
-@query("sessions_sorted", "SELECT session, bash_usd FROM items ORDER BY bash_usd DESC NULLS LAST, session LIMIT 40", "items")
+@query("sessions_sorted", "SELECT session, bash_usd FROM items", "items")
 def _(t):
-    return items.sorted_by(t.items, "bash_usd", True, "session").limit(40).select("session", "bash_usd")
+    return items.sorted_by(t.items, "bash_usd", True, "session").select("session", "bash_usd")
 
 
 @query(
@@ -360,14 +360,19 @@ def _(t):
     return tidy(trends.day_models(t.keyed_items, NOW, DAYS, ZONE), 8, "cost").withColumn("day", F.col("day").cast("string"))
 
 
+#: Some sessions are made so dear that their days stand out.
+SPIKY = "(SELECT * REPLACE (CASE WHEN k % 53 = 0 THEN total_cost * 400 ELSE total_cost END AS total_cost) FROM keyed_items)"
+
+
 @query(
     "trend_spikes",
     f"""SELECT day, cost, round(mean, 8) AS mean, round(stddev, 8) AS stddev FROM (SELECT *, avg(cost) OVER () AS mean, stddev_pop(cost) OVER () AS stddev, count(*) FILTER (sessions > 0) OVER () AS active
-        FROM ({BUCKETS}) b) s WHERE active >= 4 AND cost > mean + 2 * stddev""",
+        FROM ({BUCKETS.replace("keyed_items", SPIKY)}) b) s WHERE active >= 4 AND cost > mean + 2 * stddev""",
     "keyed_items item_models",
 )
 def _(t):
-    out = trends.spike_days(trends.buckets(t.keyed_items, NOW, DAYS, ZONE))
+    dear = F.when(F.col("k") % 53 == 0, F.col("total_cost") * 400).otherwise(F.col("total_cost"))
+    out = trends.spike_days(trends.buckets(t.keyed_items.withColumn("total_cost", dear), NOW, DAYS, ZONE))
     return tidy(out, 8, "cost", "mean", "stddev").withColumn("day", F.col("day").cast("string"))
 
 
@@ -452,9 +457,9 @@ def _(t):
     return waste(t).drop("tier")
 
 
-@query("waste_ranking", f"SELECT session, class, title, impact_usd FROM {WASTE} w ORDER BY impact_usd DESC NULLS LAST, tier, session_cost DESC NULLS LAST, session, class, title LIMIT 60", "items")
+@query("waste_ranking", f"SELECT session, class, title, impact_usd FROM {WASTE} w", "items")
 def _(t):
-    return insight.ranked_waste(waste(t), 60).select("session", "class", "title", "impact_usd")
+    return insight.ranked_waste(waste(t)).select("session", "class", "title", "impact_usd")
 
 
 @query(
@@ -562,18 +567,18 @@ def _(t):
 @query(
     "learning_ids",
     """
-    WITH f AS (SELECT event_id, (915148800 + 86400 * (k % 3)) * 1000 AS created_ms, CASE WHEN k % 4 = 0 THEN '!!' ELSE 'Too much ' || event_type || ' in: cat & less!' END AS finding FROM ev WHERE k < 6),
+    WITH f AS (SELECT event_id, (915148800 + 86400 * (k % 3)) * 1000 AS created_ms, CASE WHEN k % 4 = 0 THEN '!!' ELSE 'Too much ' || event_type || ' in: cat & less!' END AS finding FROM ev),
     b AS (SELECT *, 'L-' || strftime(make_timestamp(created_ms * 1000), '%Y%m%d') || '-' || CASE WHEN finding = '!!' THEN 'learning' ELSE rtrim(left(rtrim(lower(regexp_replace(finding, '[^A-Za-z0-9]+', '-', 'g')), '-'), 40), '-') END AS base FROM f),
     n AS (SELECT *, row_number() OVER (PARTITION BY base ORDER BY created_ms, finding, event_id) AS nth FROM b)
     SELECT base || CASE nth WHEN 1 THEN '-2' WHEN 2 THEN '-4' ELSE '-' || (nth + 2) END AS id, count(*) AS n FROM n GROUP BY ALL
     """,
-    "ev",
+    "ev ledger",
 )
 def _(t):
     k = F.col("k")
     finding = F.when(k % 4 == 0, F.lit("!!")).otherwise(F.concat(F.lit("Too much "), F.col("event_type"), F.lit(" in: cat & less!")))
-    base = t.ev.where("k < 6").select(((F.lit(915148800).cast("bigint") + 86400 * (k % 3)) * 1000).alias("created_ms"), finding.alias("finding"))
-    first = stored(learnings.new_ids(base.distinct(), t.ev.limit(0).select(F.lit("").alias("id"))).select("id"), "ids")
+    base = t.ev.select(((F.lit(915148800).cast("bigint") + 86400 * (k % 3)) * 1000).alias("created_ms"), finding.alias("finding"))
+    first = stored(learnings.new_ids(base.distinct(), t.ledger.select("id")).select("id"), "ids")
     existing = first.union(first.select(F.concat("id", F.lit("-3"))))
     return learnings.new_ids(base, existing).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
 
@@ -581,10 +586,14 @@ def _(t):
 @query(
     "learning_upsert",
     """
-    SELECT coalesce(o.id, n.id) AS id, coalesce(n.status, o.status, 'open') AS status, coalesce(n.finding, o.finding) AS finding,
+    SELECT coalesce(o.id, n.id) AS id, coalesce(n.status, o.status, 'open') AS status, coalesce(n.finding, o.finding) AS finding, coalesce(o.created_ms, n.now_ms) AS created_ms,
+      coalesce(n.repo_key, o.repo_key) AS repo_key, coalesce(n.verification, o.verification) AS verification, o.proposer, o.change, o.metric, o.before, o.after,
+      CASE WHEN o.id IS NULL THEN n.sources WHEN n.id IS NULL OR n.sources = o.sources THEN o.sources ELSE o.sources || '+' || n.sources END AS sources,
       CASE WHEN n.status = 'applied' AND o.applied_ms IS NULL THEN n.now_ms ELSE o.applied_ms END AS applied_ms,
       CASE WHEN n.status IN ('verified', 'rejected') AND o.resolved_ms IS NULL THEN n.now_ms ELSE o.resolved_ms END AS resolved_ms
-    FROM (SELECT * FROM ledger) o FULL JOIN (SELECT 'L' || (c_custkey * 2) AS id, CASE c_custkey % 3 WHEN 0 THEN 'applied' WHEN 1 THEN 'verified' END AS status,
+    FROM (SELECT *, 's' || c_custkey AS sources, CASE WHEN c_custkey % 2 = 0 THEN 'p' END AS proposer, 'check ' || c_custkey AS verification FROM ledger) o
+    FULL JOIN (SELECT 'L' || (c_custkey * 2) AS id, CASE WHEN c_custkey % 7 = 0 THEN '/moved' END AS repo_key, CASE WHEN c_custkey % 6 = 0 THEN 'done' END AS verification,
+      's' || (c_custkey * CASE WHEN c_custkey % 3 = 0 THEN 2 ELSE 1 END) AS sources, CASE c_custkey % 3 WHEN 0 THEN 'applied' WHEN 1 THEN 'verified' END AS status,
       CASE WHEN c_custkey % 5 = 0 THEN 'new' END AS finding, 999000000000 + c_custkey AS now_ms FROM ledger) n ON o.id = n.id
     """,
     "ledger",
@@ -594,10 +603,13 @@ def _(t):
     none = F.lit(None)
     changes = t.ledger.select(
         F.concat(F.lit("L"), (k * 2).cast("string")).alias("id"), F.when(k % 3 == 0, F.lit("applied")).when(k % 3 == 1, F.lit("verified")).alias("status"),
-        F.when(k % 5 == 0, F.lit("new")).alias("finding"), none.cast("string").alias("change"), none.cast("string").alias("expected_effect"),
+        F.when(k % 5 == 0, F.lit("new")).alias("finding"), F.when(k % 7 == 0, F.lit("/moved")).alias("repo_key"), F.when(k % 6 == 0, F.lit("done")).alias("verification"),
+        F.array(F.concat(F.lit("s"), (k * F.when(k % 3 == 0, 2).otherwise(1)).cast("string"))).alias("source_sessions"),
         (999000000000 + k).alias("now_ms"), none.cast("bigint").alias("applied_ms"), none.cast("bigint").alias("resolved_ms"))
-    ledger = t.ledger.withColumn("expected_effect", none.cast("string"))
-    return learnings.upsert(ledger, changes).select("id", "status", "finding", "applied_ms", "resolved_ms")
+    ledger = t.ledger.withColumns({
+        "source_sessions": F.array(F.concat(F.lit("s"), k.cast("string"))), "proposer": F.when(k % 2 == 0, F.lit("p")), "verification": F.concat(F.lit("check "), k.cast("string"))})
+    out = learnings.upsert(ledger, changes).withColumn("sources", F.array_join("source_sessions", "+"))
+    return out.drop("source_sessions", "c_custkey")
 
 
 @query("learning_listing", "SELECT id FROM ledger WHERE finding IS NOT NULL AND status = 'applied'", "ledger")
@@ -643,8 +655,9 @@ def _window_sql(name, low, high, rlow, rhigh):
 @query(
     "learning_review",
     f"""
-    SELECT id, repo_key, applied_ms, {", ".join(f"coalesce(w.{n}_{c}, 0) AS {n}_{c}" for n in ("after", "before") for c in ("sessions", "cost_per_day", "avg_max_context"))},
-      {", ".join(f"w.{n}_{c}" for n in ("after", "before") for c in ("delegation_share", "cache_hit_rate", "bash_usd", "top_tier_share"))}
+    SELECT id, repo_key, applied_ms, {", ".join(f"coalesce(w.after_{c}, 0) AS after_{c}" for c in ("sessions", "cost_per_day", "avg_max_context"))},
+      {", ".join(f"CASE WHEN w.before_sessions > 0 THEN w.before_{c} END AS before_{c}" for c in ("sessions", "cost_per_day", "avg_max_context", "delegation_share", "cache_hit_rate", "bash_usd", "top_tier_share"))},
+      {", ".join(f"w.after_{c}" for c in ("delegation_share", "cache_hit_rate", "bash_usd", "top_tier_share"))}
     FROM (SELECT * FROM ledger WHERE status = 'applied') l LEFT JOIN (
       SELECT id, {_window_sql("after", 0, 14, "", "+ 1209600000")}, {_window_sql("before", 14, 28, "- 1209600000", "")}
       FROM (SELECT l.id, l.applied_ms, x.* EXCLUDE (session), k.* EXCLUDE (session), CAST(make_timestamp((l.applied_ms + 1209600000) * 1000) AS DATE) - CAST(make_timestamp(x.started_ms * 1000) AS DATE) AS back

@@ -171,28 +171,28 @@ def _sized_sql(cls, lever, where, share, title, fix, note):
 SIZE = "CASE WHEN top.chars >= 1000 THEN CAST(round(top.chars / 1000) AS BIGINT) || 'k' ELSE CAST(top.chars AS VARCHAR) END"
 SUFFIX = "coalesce(' (' || top.model || ')', '')"
 OPPORTUNITIES = f"""
-    SELECT session, 'near-duplicate' AS class, shape, n || '× "' || shape || '" repeated across ' || tt AS title, 'spawn-prompt' AS lever,
-      'Batch or cache `' || shape || '` in ' || tt || ' — it ran ' || n || ' times with the same shape; combine the calls into one, or reuse the first result instead of re-running it.' AS fix_text,
+    SELECT session, 'near-duplicate' AS class, shape, n || ' runs of "' || shape || '" by ' || tt AS title, 'spawn-prompt' AS lever,
+      'Run `' || shape || '` once and pass its output on: ' || tt || ' ran it ' || n || ' times.' AS fix_text,
       CASE WHEN unknown - CASE WHEN first_usd.v IS NULL THEN 1 ELSE 0 END = 0 THEN coalesce(total_usd, 0) - coalesce(first_usd.v, 0) END AS est_usd_saved,
       'measured' AS savings_basis, CAST(NULL AS VARCHAR) AS heuristic_note, n AS occurrences, total AS total_chars
     FROM (SELECT session, shape, count(*) AS n, CAST(sum(result_chars) AS BIGINT) AS total, sum(raw_usd) AS total_usd,
             count(*) - count(raw_usd) AS unknown, arg_min({{'v': raw_usd}}, (thread <> 'main', thread, line)) AS first_usd
           FROM priced_commands GROUP BY session, shape HAVING count(*) >= 3) g JOIN {_threads_sql('SELECT * FROM priced_commands')} USING (session, shape)
     UNION ALL
-    SELECT session, 'rerun-after-error', shape, n || '× re-run after error: "' || shape || '"', 'investigate',
-      'Read the failure output before re-running `' || shape || '` — it failed then was immediately re-run ' || n || ' time(s) in ' || tt || '; investigating the error first can avoid the repeat call entirely.',
+    SELECT session, 'rerun-after-error', shape, n || ' retries right after a failure: "' || shape || '"', 'investigate',
+      'Look at what `' || shape || '` printed before trying it again: ' || n || ' retries by ' || tt || '.',
       CASE WHEN known = n THEN total_usd END, 'measured', NULL, n, total
     FROM (SELECT q.session, q.shape, count(*) AS n, CAST(sum(result_chars) AS BIGINT) AS total, sum(raw_usd) AS total_usd, count(raw_usd) AS known
           FROM ({RERUNS}) q JOIN priced_commands c ON c.session = q.session AND c.line = q.rerun_line GROUP BY ALL) g
       JOIN {_threads_sql('SELECT *, error_line AS line FROM (' + RERUNS + ') rr')} USING (session, shape)
     UNION ALL {_sized_sql('bash-as-read', 'claude-md-rule', 'reads_file', 0.7,
-      SIZE + " || '-char ' || top.family || ' inside ' || top.thread || " + SUFFIX,
-      "'Add a CLAUDE.md rule for ' || tt || ': use the Read tool (with offset/limit) instead of `' || top.family || '` — `' || top.command || '` alone returned ' || format('{:,}', top.chars) || ' chars (' || n || ' call(s) of this shape, ' || format('{:,}', total) || ' chars total).'",
-      'Assumes a targeted Read recovers the rest of the value — 70% of resultChars is booked as avoidable (BASH_AS_READ_AVOIDABLE=0.7).')}
+      "top.family || ' put ' || " + SIZE + " || ' characters into ' || top.thread || " + SUFFIX,
+      "'Have ' || tt || ' read files by range: `' || top.command || '` brought in ' || format('{:,}', top.chars) || ' characters (' || n || ' calls alike, ' || format('{:,}', total) || ' in all).'",
+      'The saving is taken as 70 % of the text read.')}
     UNION ALL {_sized_sql('large-result', 'command-flag', 'result_chars >= 20000', 0.9,
-      SIZE + " || '-char ' || top.family || ' result inside ' || top.thread || " + SUFFIX,
-      "'Pipe `' || top.command || '` through a quiet reporter or add a `--quiet`/`| tail` filter — it returned ' || format('{:,}', top.chars) || ' chars (' || n || ' call(s) of this shape totaling ' || format('{:,}', total) || ' chars in ' || tt || ').'",
-      "Assumes a quiet/tail''d version keeps ~10% of the volume — 90% of resultChars is booked as avoidable (LARGE_RESULT_AVOIDABLE=0.9).")}
+      "top.family || ' returned ' || " + SIZE + " || ' characters to ' || top.thread || " + SUFFIX,
+      "'Filter what `' || top.command || '` prints: ' || format('{:,}', top.chars) || ' characters (' || n || ' calls alike, ' || format('{:,}', total) || ' in all, by ' || tt || ').'",
+      'The saving is taken as 90 % of the text returned.')}
 """
 
 

@@ -248,11 +248,11 @@ def _(t):
 @query(
     "call_page",
     """SELECT session, position, line, thread, tool, call_id, total FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY line, thread) AS position,
-       count(*) OVER (PARTITION BY session) AS total FROM calls WHERE tool = 'Bash') x WHERE position <= 5""",
+       count(*) OVER (PARTITION BY session) AS total FROM calls WHERE thread = 'main') x""",
     "calls",
 )
 def _(t):
-    return tools.call_page(t.calls, tool="Bash", limit=5)
+    return tools.call_page(t.calls, thread="main", limit=None)
 
 
 # Turns ----------------------------------------------------------------------

@@ -179,11 +179,11 @@ def _(t):
 @query(
     "api_errors_a",
     """SELECT session, thread, line, status, retry_attempt, message, errors FROM (SELECT session, thread, event_id * 4 + 1 AS line, 500 + k % 30 AS status, k % 3 AS retry_attempt, 'Overloaded ' || k AS message,
-       count(*) OVER (PARTITION BY session, thread) AS errors, row_number() OVER (PARTITION BY session, thread ORDER BY event_id) AS n FROM ev WHERE event_type = 'purchase' AND k % 10 BETWEEN 1 AND 3) x WHERE n <= 2""",
+       count(*) OVER (PARTITION BY session, thread) AS errors, row_number() OVER (PARTITION BY session, thread ORDER BY event_id) AS n FROM ev WHERE event_type = 'purchase' AND k % 10 BETWEEN 1 AND 3) x""",
     "ev",
 )
 def _(t):
-    return records_a.api_error_list(records_a.api_errors(rec_a(t)), cap=2).drop("ts_ms", "rank")
+    return records_a.api_error_list(records_a.api_errors(rec_a(t))).drop("ts_ms", "rank")
 
 
 HEAD = f"""SELECT session, min(ts_ms) FILTER (dated) AS first_ts_ms, arg_max(ts_ms, event_id) FILTER (dated) AS last_ts_ms, arg_min('/w/' || (k % 5), event_id) FILTER ({CALLED}) AS cwd,
@@ -366,13 +366,12 @@ def _(t):
 
 @query(
     "record_detail",
-    "SELECT session, event_id * 4 + 1 AS line, 'assistant' AS type FROM ev WHERE session = 's1' AND event_id = (SELECT min(event_id) FROM ev WHERE session = 's1' AND event_type IN ('view', 'click'))",
+    "SELECT session, event_id * 4 + 1 AS line, 'assistant' AS type FROM ev WHERE event_type IN ('view', 'click') AND k % 3 = 0",
     "ev",
 )
 def _(t):
-    rec = rec_a(t)
-    first = t.ev.where("session = 's1' AND event_type IN ('view', 'click')").agg((F.min("event_id") * 4 + 1).alias("line"))
-    return rec.where("session = 's1'").join(first, "line", "left_semi").select("session", "line", "type")
+    wanted = t.ev.where("event_type IN ('view', 'click') AND k % 3 = 0").select("session", (F.col("event_id") * 4 + 1).alias("line"))
+    return rec_a(t).join(wanted, ["session", "line"], "left_semi").select("session", "line", "type")
 
 
 # Traces ----------------------------------------------------------------------
@@ -515,11 +514,11 @@ def _(t):
 
 @query(
     "otlp_tool_decisions",
-    "SELECT session, rank, ts_ms, 'T' || (k % 3) AS tool_name FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY line) AS rank FROM ev WHERE event_type = 'click') x WHERE rank <= 5",
+    "SELECT session, rank, ts_ms, 'T' || (k % 3) AS tool_name FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY line) AS rank FROM ev WHERE event_type = 'click') x",
     "ev",
 )
 def _(t):
-    return telemetry.tool_decisions(telemetry.routed(otlp_lines(t)), cap=5).select("session", "rank", "ts_ms", "tool_name")
+    return telemetry.tool_decisions(telemetry.routed(otlp_lines(t))).select("session", "rank", "ts_ms", "tool_name")
 
 
 @query("otlp_health", "SELECT session, line, CASE k % 3 WHEN 0 THEN 'mcp' ELSE 'hook' END AS kind, ts_ms FROM ev WHERE event_type = 'signup' AND k % 3 < 2", "ev")

@@ -5,33 +5,33 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# Source, dimension, status, note.
+# Source, dimension, status.
 TABLE = [
-    ("claude-session-jsonl", "systemPrompt", "absent", "system prompt is not recorded in session JSONL"),
-    ("claude-session-jsonl", "toolSchemas", "absent", "tool definitions (action space) are not recorded"),
-    ("claude-session-jsonl", "generationParams", "absent", "max_tokens/thinking/etc. are not recorded"),
-    ("claude-session-jsonl", "injectedContext", "partial", "agent/skill listings recorded as attachments; CLAUDE.md/memory reminder content is not"),
-    ("claude-session-jsonl", "hiddenApiCalls", "not-recorded", "auxiliary API calls are invisible; cost undercounts"),
-    ("claude-session-jsonl", "cost", "estimate", "token counts x pricing table; see costIsComplete"),
-    ("claude-session-jsonl", "thinking", "partial", "recorded per turn but not re-sent in later requests"),
-    ("claude-session-jsonl", "latency", "absent", "per-request latency is not recorded"),
-    ("claude-otel", "promptContent", "absent", "no prompt/message text exported (unless OTEL_LOG_USER_PROMPTS=1)"),
-    ("claude-otel", "toolContent", "absent", "tool arguments/results are not exported, only byte sizes"),
-    ("claude-otel", "systemPrompt", "absent", "system prompt is not exported over OTel"),
-    ("claude-otel", "toolSchemas", "absent", "tool definitions (action space) are not exported"),
-    ("claude-otel", "cost", "authoritative", "billing-computed cost_usd, not a pricing-table estimate"),
-    ("claude-otel", "latency", "partial", "api_request duration_ms, only when Claude Code exports it"),
-    ("claude-otel", "hiddenApiCalls", "not-recorded", "the background task-state classifier is invisible in OTel too"),
-    ("claude-wire-capture", "content", "authoritative", "captured wire bytes; auth headers redacted at write"),
-    ("claude-wire-capture", "coverage", "partial", "only requests made while the capture proxy was active"),
-    ("claude-wire-capture", "authHeaders", "absent", "redacted at write time"),
-    ("claude-wire-capture", "hiddenApiCalls", "partial", "visible only when routed through the proxy"),
-    ("claude-wire-capture", "latency", "authoritative", "measured at the proxy"),
-    ("codex-session-jsonl", "cost", "estimate", "token counts x pricing table; see costIsComplete"),
-    ("codex-session-jsonl", "systemPrompt", "unknown", "completeness not yet audited for Codex rollouts"),
-    ("codex-session-jsonl", "toolSchemas", "unknown", "completeness not yet audited for Codex rollouts"),
-    ("codex-session-jsonl", "hiddenApiCalls", "unknown", "completeness not yet audited for Codex rollouts"),
-    ("codex-session-jsonl", "latency", "unknown", "completeness not yet audited for Codex rollouts"),
+    ("claude-session-jsonl", "systemPrompt", "absent"),
+    ("claude-session-jsonl", "toolSchemas", "absent"),
+    ("claude-session-jsonl", "generationParams", "absent"),
+    ("claude-session-jsonl", "injectedContext", "partial"),
+    ("claude-session-jsonl", "hiddenApiCalls", "not-recorded"),
+    ("claude-session-jsonl", "cost", "estimate"),
+    ("claude-session-jsonl", "thinking", "partial"),
+    ("claude-session-jsonl", "latency", "absent"),
+    ("claude-otel", "promptContent", "absent"),
+    ("claude-otel", "toolContent", "absent"),
+    ("claude-otel", "systemPrompt", "absent"),
+    ("claude-otel", "toolSchemas", "absent"),
+    ("claude-otel", "cost", "authoritative"),
+    ("claude-otel", "latency", "partial"),
+    ("claude-otel", "hiddenApiCalls", "not-recorded"),
+    ("claude-wire-capture", "content", "authoritative"),
+    ("claude-wire-capture", "coverage", "partial"),
+    ("claude-wire-capture", "authHeaders", "absent"),
+    ("claude-wire-capture", "hiddenApiCalls", "partial"),
+    ("claude-wire-capture", "latency", "authoritative"),
+    ("codex-session-jsonl", "cost", "estimate"),
+    ("codex-session-jsonl", "systemPrompt", "unknown"),
+    ("codex-session-jsonl", "toolSchemas", "unknown"),
+    ("codex-session-jsonl", "hiddenApiCalls", "unknown"),
+    ("codex-session-jsonl", "latency", "unknown"),
 ]
 
 
@@ -40,11 +40,11 @@ def of_sources(kinds: DataFrame) -> DataFrame:
 
     The kinds are reduced to the few distinct ones before the constant table joins.
     """
-    table = kinds.sparkSession.createDataFrame(TABLE, "source_kind string, dimension string, status string, note string")
+    table = kinds.sparkSession.createDataFrame(TABLE, "source_kind string, dimension string, status string")
     return kinds.select("source_kind").distinct().join(table, "source_kind")
 
 
 def per_session(sessions: DataFrame) -> DataFrame:
     """Dimensions per session by its source kind; the table has a fixed 25 rows."""
-    table = sessions.sparkSession.createDataFrame(TABLE, "source_kind string, dimension string, status string, note string")
+    table = sessions.sparkSession.createDataFrame(TABLE, "source_kind string, dimension string, status string")
     return sessions.join(F.broadcast(table), "source_kind").select("session", "dimension", "status")

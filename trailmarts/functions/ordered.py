@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from ..session import stored
+
 CHUNK_ROWS = 1 << 16
 _CHUNK = "__chunk"
 
@@ -88,8 +90,10 @@ def running(
         .agg(*totals)
         .select(*keys, _CHUNK, *[c.alias(n) for n, c in carries.items()])
     )
+    # Dealt by key and chunk: after a join on the keys alone, Spark would take a
+    # key's chunks as dealt already and leave them all in one task.
     return (
-        work.join(summary, [*keys, _CHUNK], "left")
+        work.repartition(*keys, _CHUNK).join(summary, [*keys, _CHUNK], "left")
         .withColumns(inside)
         .withColumns(final)
         .select(*df.columns, *specs)
@@ -125,8 +129,18 @@ def earliest(df: DataFrame, keys: Sequence[str], order: Sequence[Column], column
     return df.groupBy(*keys).agg(best).select(*keys, *[F.col("__best")[c].alias(c) for c in columns])
 
 
-def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int, name: str = "rank") -> DataFrame:
-    """First ``n`` rows per key. The filter on ``row_number`` lets Spark cut each
-    map task to ``n`` rows per key before the shuffle."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn(name, F.row_number().over(w)).where(F.col(name) <= n)
+def ranged(df: DataFrame, keys: Sequence[str], order: Sequence[str], name: str = "range") -> DataFrame:
+    """``df`` written in ranges of about equal numbers of rows along ``keys`` and ``order``, with the range's number.
+
+    The number is a chunk for ``running`` where values of the order column may
+    stand for any number of rows.
+    """
+    dealt = df.withColumn("__tie", F.monotonically_increasing_id()).repartitionByRange(*keys, *order, "__tie")
+    return stored(dealt.withColumn(name, F.spark_partition_id()).drop("__tie"), "ranged")
+
+
+def top_rows(df: DataFrame, keys: Sequence[str], order: Sequence[Column], n: int | None, name: str = "rank") -> DataFrame:
+    """First ``n`` rows per key (all, if None) with their place. The filter on
+    ``row_number`` lets Spark cut each map task to ``n`` rows per key before the shuffle."""
+    placed = df.withColumn(name, F.row_number().over(Window.partitionBy(*keys).orderBy(*order)))
+    return placed if n is None else placed.where(F.col(name) <= n)

@@ -159,9 +159,17 @@ def primary(segs: Column) -> Column:
     return F.coalesce(F.get(loud, F.lit(0)), F.get(named, F.lit(0)))
 
 
+# What a shape leaves out, in this order.
+SHAPE_PATTERNS = [
+    ("'[^']*'|\"[^\"]*\"", "<STR>"),
+    (r"\b\d+(\.\d+)?\b", "<NUM>"),
+    (r"(^|\s)([\w.@~-]*/[\w./@~-]*)", "$1<PATH>"),
+]
+
+
 def shape(command: Column) -> Column:
     """The command with quoted texts, numbers and paths replaced by placeholders."""
-    out = F.regexp_replace(command, "'[^']*'|\"[^\"]*\"", "<STR>")
-    out = F.regexp_replace(out, r"\b\d+(\.\d+)?\b", "<NUM>")
-    out = F.regexp_replace(out, r"(^|\s)([\w.@~-]*/[\w./@~-]*)", "$1<PATH>")
+    out = command
+    for pattern, placeholder in SHAPE_PATTERNS:
+        out = F.regexp_replace(out, pattern, placeholder)
     return F.regexp_replace(F.trim(out), r"\s+", " ")

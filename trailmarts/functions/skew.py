@@ -32,17 +32,18 @@ def salted_join(
     salts: int = SALTS,
     share: float = HOT_SHARE,
     floor: int = 100_000,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Join ``many`` to ``one`` on ``keys`` with the hot keys of ``many`` spread over ``salts`` tasks.
 
     The rows of ``one`` under a hot key are repeated once per salt; all other
-    rows are not. ``how`` is ``inner`` or ``left``. The list of hot keys has at
+    rows are not. ``hot`` may give the result of ``hot_keys`` again. ``how`` is ``inner`` or ``left``. The list of hot keys has at
     most ``1 / share`` rows, hence the broadcast.
     """
     if how not in ("inner", "left"):
         raise ValueError("salted_join keeps the many-side: use inner or left")
     keys = list(keys)
-    hot = F.broadcast(hot_keys(many, keys, share, floor))
+    hot = F.broadcast(hot if hot is not None else hot_keys(many, keys, share, floor))
     spread = spread if spread is not None else F.xxhash64(*many.columns)
     left = (
         many.join(hot, keys, "left")

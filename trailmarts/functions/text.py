@@ -22,7 +22,6 @@ ERROR_CLASSES = [
 # Input fields that name what a call is about, in order.
 SUBJECT_KEYS = ["file_path", "command", "pattern", "query", "url", "prompt"]
 SUMMARY_KEYS = ["command", "file_path", "pattern", "query", "url", "prompt", "description"]
-SUBJECT_LIMIT = 200
 SUMMARY_LIMIT = 120
 RESULT_LIMIT = 160
 # Openings of texts that the harness injects as user messages.
@@ -61,7 +60,7 @@ def _first_field(v: Column, keys: list[str]) -> list[Column]:
 def call_subject(input_json: Column) -> Column:
     """The field that names the call, else the whole input."""
     v = jsonx.parse(input_json)
-    return F.substring(F.coalesce(*_first_field(v, SUBJECT_KEYS), input_json, F.lit("null")), 1, SUBJECT_LIMIT)
+    return F.coalesce(*_first_field(v, SUBJECT_KEYS), input_json, F.lit("null"))
 
 
 def input_summary(input_json: Column) -> Column:

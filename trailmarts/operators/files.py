@@ -9,7 +9,6 @@ from ..functions import repo
 from ..functions.ordered import top_rows
 from . import tools
 
-FILE_CAP = 500
 # Headers of injected documents and patches.
 CONTENTS_HEADER = r"(?m)^Contents of (/.+?) \([^)]*\):$"
 PATCH_HEADER = r"(?m)^\*\*\* (?:Update|Add|Delete) File: (.+?)\s*$"
@@ -137,11 +136,11 @@ def file_access(touches: DataFrame) -> DataFrame:
     )
 
 
-def capped_access(access: DataFrame, cap: int = FILE_CAP) -> DataFrame:
-    """The most used paths of each session, with the number left out."""
+def capped_access(access: DataFrame, cap: int | None = None) -> DataFrame:
+    """The paths of each session by use; with ``cap`` the first ones and the number left out."""
     score = F.col("reads") + F.col("edits") + F.col("injections")
     kept = top_rows(access, ["session"], [score.desc(), F.col("path")], cap)
-    omitted = access.groupBy("session").agg(F.greatest(F.count(F.lit(1)) - cap, F.lit(0)).alias("omitted"))
+    omitted = access.groupBy("session").agg(F.lit(0).cast("bigint").alias("omitted") if cap is None else F.greatest(F.count(F.lit(1)) - cap, F.lit(0)).alias("omitted"))
     return kept.join(omitted, "session")
 
 

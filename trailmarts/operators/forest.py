@@ -7,14 +7,12 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio_or_null, span_ms
 from ..functions.ordered import earliest
-from ..functions.skew import salted_join
+from ..functions.skew import hot_keys, salted_join
 from ..session import stored
 from .tasks import launch_outcomes
 
 MAIN = "main"
 DEAD = "(?i)error|fail|cancel|kill"
-MAX_DEPTH = 64
-RETURN_CAP = 2_000  # a returned text is measured up to this length
 
 
 def link_threads(threads: DataFrame, calls: DataFrame, result_agents: DataFrame) -> DataFrame:
@@ -28,7 +26,7 @@ def link_threads(threads: DataFrame, calls: DataFrame, result_agents: DataFrame)
     named = earliest(result_agents, ["session", "agent"], [F.col("line")], ["call_id"]).withColumnRenamed("call_id", "__recovered")
     owned = calls.select(
         "session", F.col("call_id").alias("tool_use_id"), F.col("thread").alias("__owner"), F.col("line").alias("launch_line"),
-        F.col("ts_ms").alias("launched_ms"), "has_result", "is_error", F.least("result_chars", F.lit(RETURN_CAP)).alias("__chars"),
+        F.col("ts_ms").alias("launched_ms"), "has_result", "is_error", F.col("result_chars").alias("__chars"),
     )
     linked = (
         threads.join(named, ["session", "agent"], "left")
@@ -80,13 +78,15 @@ def thread_status(linked: DataFrame, launched: DataFrame, notes: DataFrame, runs
     }).drop("__s1", "__s2", "__note", "__async", "__run", "__chars", "state")
 
 
-def grow(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
+def grow(nodes: DataFrame) -> DataFrame:
     """Add ``root``, ``depth`` and ``path`` (root to node) to the nodes of a forest.
 
     Levels are joined one after another and each is written to the shared
-    folder, so plans stay short. Every node has one parent, hence appears
-    once; nodes on a cycle are never reached and drop out. A node whose parent
-    is unknown is a root. Children of one busy parent are spread by salting.
+    folder, so plans stay short; the forest may have any depth. Every node has
+    one parent, hence appears once; nodes on or below a cycle are never
+    reached, and ``unreached`` lists them. A node whose parent is unknown is a
+    root. Children of one busy parent are spread by salting; the busy parents
+    are found once.
     """
     keys = ["session", "agent"]
     ids = nodes.select("session", F.col("agent").alias("parent"), F.lit(True).alias("__known"))
@@ -100,23 +100,28 @@ def grow(nodes: DataFrame, max_depth: int = MAX_DEPTH) -> DataFrame:
     )
     levels = [level]
     rest = base.where("parent IS NOT NULL")
-    for _ in range(max_depth):
+    busy = stored(hot_keys(rest, ["session", "parent"]), "forest")
+    while True:
         above = level.select("session", F.col("agent").alias("parent"), "root", "depth", "path")
         level = stored(
-            salted_join(rest, above, ["session", "parent"], "inner", spread=F.xxhash64("agent"))
+            salted_join(rest, above, ["session", "parent"], "inner", spread=F.xxhash64("agent"), hot=busy)
             .select(*keys, "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("agent")).alias("path")), "forest",
         )
         if level.isEmpty():
             break
         levels.append(level)
-    else:
-        raise ValueError(f"forest deeper than {max_depth} levels")
     grown = levels[0]
     for more in levels[1:]:
         grown = grown.unionByName(more)
     return nodes.drop("root", "depth", "path").join(grown, keys)
 
 
+def unreached(nodes: DataFrame, grown: DataFrame) -> DataFrame:
+    """Nodes that hang on a cycle and so have no root; none of the sums counts them."""
+    lost = nodes.join(grown.select("session", "agent"), ["session", "agent"], "left_anti")
+    return lost.select("session", "agent", "parent", F.lit("on or below a cycle of parents").alias("reason"))
+
+
 def subtree_totals(grown: DataFrame) -> DataFrame:
     """Tokens, cost, size, span and completeness of every node with all its descendants.
 

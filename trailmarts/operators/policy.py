@@ -52,25 +52,60 @@ def _walk(ctx: np.ndarray, offset: int, base: int, top: int, counters: np.ndarra
     return offset
 
 
+def _first_outside(low: np.ndarray, high: np.ndarray, value: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each value the first place from ``start`` on whose band [low, high] does not hold it; the length if none.
+
+    Bands are intersected over stretches of 1, 2, 4, … places, and each value
+    passes the longest stretches that hold it.
+    """
+    n = len(low)
+    bands = [(low, high)]
+    while 1 << len(bands) <= n:
+        (lo, hi), half = bands[-1], 1 << (len(bands) - 1)
+        bands.append((np.maximum(lo[:-half], lo[half:]), np.minimum(hi[:-half], hi[half:])))
+    at = start.copy()
+    for k in range(len(bands) - 1, -1, -1):
+        lo, hi = bands[k]
+        spot = np.minimum(at, len(lo) - 1)
+        inside = (at < len(lo)) & (lo[spot] <= value) & (value <= hi[spot])
+        at = at + (inside.astype(np.int64) << k)
+    return at
+
+
 def _pieces(pdf: pd.DataFrame) -> pd.DataFrame:
     """How a chunk maps the offset it starts with to the offset it ends with.
 
     Offsets inside every point's tolerated band pass through unchanged; any
     other offset leaves the band first at some point, and from there on the
-    result depends on that point only.
+    result depends on that point only. Where each point's own offset is left
+    next is found for all points at once, and the ends of these chains by
+    doubling. Neighbouring pieces with one end are merged.
     """
     pdf = pdf.sort_values("idx")
     ctx = pdf["context"].to_numpy(np.int64)
     base, top = int(pdf["base"].iloc[0]), int(pdf["top"].iloc[0])
-    low, high = ctx - top, ctx - base
+    n, low, high = len(ctx), ctx - top, ctx - base
+    over = np.minimum(base, ctx) > top  # the base itself lies above the threshold
+    own, fired = np.where(over, high, ctx - np.minimum(base, ctx)), high  # the offset after leaving the band above, below
+    # Two states per point: left above the band, left below it.
+    value = np.concatenate([own, fired])
+    place = np.concatenate([np.arange(n), np.arange(n)])
+    after = _first_outside(low, high, value, place + 1)
+    here = np.minimum(after, n - 1)
+    jump = np.where(after >= n, np.arange(2 * n), np.where(value > high[here], here, n + here))
+    while (jump[jump] != jump).any():
+        jump = jump[jump]
     rising, falling = np.maximum.accumulate(low), np.minimum.accumulate(high)
-    edges = sorted({int(x) for x in np.unique(rising)} | {int(x) + 1 for x in np.unique(falling)})
-    starts = [edges[0] - 1, *edges]
-    ends = [_walk(ctx, s, base, top) for s in starts]
-    keep = (rising[-1] <= np.array(starts)) & (np.array(starts) <= falling[-1])
+    edges = np.unique(np.concatenate([rising, falling + 1]))
+    starts = np.concatenate([[edges[0] - 1], edges])
+    left = _first_outside(low, high, starts, np.zeros(len(starts), np.int64))
+    there = np.minimum(left, n - 1)
+    ends = value[jump[np.where(starts > high[there], there, n + there)]]
+    keep = left >= n
+    new = np.concatenate([[True], (keep[1:] != keep[:-1]) | (~keep[1:] & (ends[1:] != ends[:-1]))])
     return pd.DataFrame({
-        "session": pdf["session"].iloc[0], "chunk": int(pdf["chunk"].iloc[0]), "from_offset": [LOWEST, *edges],
-        "to_offset": [None if k else e for k, e in zip(keep, ends)],
+        "session": pdf["session"].iloc[0], "chunk": int(pdf["chunk"].iloc[0]), "from_offset": np.concatenate([[LOWEST], edges])[new],
+        "to_offset": [None if k else int(e) for k, e in zip(keep[new], ends[new], strict=True)],
     }).astype({"to_offset": "Int64"})
 
 
@@ -96,10 +131,10 @@ def compacted(points: DataFrame, threshold: int = THRESHOLD, baseline: int | Non
 
     Whenever the running context would pass the threshold it drops to the
     baseline (the first context of the session by default). The walk is
-    sequential, so it runs in chunks of bounded size: long sessions get one
-    small table per chunk that says which offset leaves it for every offset
-    that may enter, those tables are chained, and the chunks are then walked
-    independently.
+    sequential, so it runs in chunks of bounded size, each in a task of its
+    own: long sessions get one table per chunk that says which offset leaves
+    it for every offset that may enter (few rows, as most offsets end alike),
+    those tables are chained, and the chunks are then walked independently.
     """
     first = points.where("idx = 1").select("session", F.col("context").alias("base"))
     rows = points.select("session", "idx", "context").join(first, "session").withColumns({
@@ -108,10 +143,11 @@ def compacted(points: DataFrame, threshold: int = THRESHOLD, baseline: int | Non
     })
     long_sessions = points.where(F.col("idx") == chunk_points + 1).select("session")
     many = rows.join(long_sessions, "session", "left_semi")
-    pieces = many.groupBy("session", "chunk").applyInPandas(_pieces, "session string, chunk bigint, from_offset bigint, to_offset bigint")
+    # After a join on the session its chunks would all stay in one task.
+    pieces = many.repartition("session", "chunk").groupBy("session", "chunk").applyInPandas(_pieces, "session string, chunk bigint, from_offset bigint, to_offset bigint")
     entry = pieces.groupBy("session").applyInPandas(_chain, "session string, chunk bigint, offset bigint")
     started = rows.join(entry, ["session", "chunk"], "left").withColumn("offset", F.coalesce("offset", F.lit(0)))
-    return started.groupBy("session", "chunk").applyInPandas(_apply, "session string, idx bigint, counter bigint, reset bigint")
+    return started.repartition("session", "chunk").groupBy("session", "chunk").applyInPandas(_apply, "session string, idx bigint, counter bigint, reset bigint")
 
 
 def context_points(messages: DataFrame, **chunking) -> DataFrame:
@@ -173,34 +209,39 @@ def eviction_savings(
 
 
 def eviction_marginals(
-    points: DataFrame, results: DataFrame, after: int = EVICT_AFTER, min_chars: int = HEAVY_CHARS, levels: int = 40, **chunking
+    points: DataFrame, results: DataFrame, after: int = EVICT_AFTER, min_chars: int = HEAVY_CHARS, **chunking
 ) -> DataFrame:
     """Tokens each heavy result would save if it alone left the context.
 
     A result of ``t`` tokens saves ``min(context, t)`` at every later point.
     Results are not paired with points: the points after an eviction are cut
     into blocks of sizes 2^k, and within a block the sums of the contexts up
-    to ``t`` come from one running sum over the context sizes.
+    to ``t`` come from one running sum over the distinct context sizes, whose
+    chunks are bands of sizes.
     """
     gone = _evictions(points, results, after, min_chars, **chunking)
     ends = points.groupBy("session").agg(F.max("idx").alias("last_idx"))
     gone = gone.join(ends, "session")
-    level = F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("level")
+    deepest = F.expr("cast(ceil(log2(last_idx + 1)) as int)")
+    level = F.explode(F.sequence(F.lit(0), deepest)).alias("level")
     # The points [e, last] as aligned blocks: climbing from e, a block is taken at every level where e is odd.
     start = F.col("evict_idx")
     at_level = gone.where(start <= F.col("last_idx")).select("session", "call_id", "tokens", start.alias("e"), "last_idx", level)
     climbed = F.expr("shiftright(e + (shiftleft(1L, level) - 1), level)")
     wanted = at_level.withColumn("block", climbed).where("block % 2 = 1 AND shiftleft(block, level) <= last_idx")
-    deepest = F.expr("cast(ceil(log2(last_idx + 1)) as int)")
-    in_blocks = points.join(gone.select("session").distinct(), "session", "left_semi").join(ends, "session").select(
-        "session", "context", "idx", F.explode(F.sequence(F.lit(0), F.least(deepest, F.lit(levels - 1)))).alias("level")
-    ).withColumn("block", F.expr("shiftright(idx, level)")).where("block % 2 = 1")
+    # Only odd blocks are ever taken: the levels at which the point's number has a one.
+    odd = F.expr("filter(sequence(0, cast(ceil(log2(last_idx + 1)) as int)), k -> shiftright(idx, k) % 2 = 1)")
     keys = ["session", "level", "block"]
-    axis = in_blocks.select(*keys, F.col("context").alias("size"), F.lit(0).alias("kind"), F.lit(1).cast("bigint").alias("one"), F.lit(None).cast("string").alias("call_id")).unionByName(
+    in_blocks = (
+        points.join(gone.select("session").distinct(), "session", "left_semi").join(ends, "session")
+        .select("session", "context", "idx", F.explode(odd).alias("level")).withColumn("block", F.expr("shiftright(idx, level)"))
+        .groupBy(*keys, F.col("context").alias("size")).agg(F.count(F.lit(1)).alias("one"))
+    )
+    axis = in_blocks.select(*keys, "size", F.lit(0).alias("kind"), "one", F.lit(None).cast("string").alias("call_id")).unionByName(
         wanted.select(*keys, F.col("tokens").alias("size"), F.lit(1).alias("kind"), F.lit(0).cast("bigint").alias("one"), "call_id")
     )
     sums = running(axis, keys, "size", {"n_upto": ("sum", F.col("one")), "sum_upto": ("sum", F.col("one") * F.col("size"))}, ties=["kind", "call_id"], **chunking)
-    count = in_blocks.groupBy(*keys).agg(F.count(F.lit(1)).alias("n"))
+    count = in_blocks.groupBy(*keys).agg(F.sum("one").alias("n"))
     parts = sums.where("kind = 1").join(count, keys).select(
         "session", "call_id", (F.col("sum_upto") + (F.col("n") - F.col("n_upto")) * F.col("size")).alias("saved"), "n"
     )

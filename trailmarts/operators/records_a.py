@@ -15,7 +15,6 @@ from ..functions.times import iso_ms
 from .usage import USAGE
 
 KEYS = ["session", "thread", "line"]
-ERROR_LIST, ERROR_TEXT = 200, 300
 # Marks of injected listings.
 AGENT_LISTING = (
     "<system-reminder>\nAvailable agent types for the Agent tool:\n",
@@ -208,11 +207,11 @@ def compactions(rec: DataFrame) -> DataFrame:
 
 def api_errors(rec: DataFrame) -> DataFrame:
     return rec.where("subtype = 'api_error'").select(
-        *KEYS, "ts_ms", F.col("error_status").alias("status"), "retry_attempt", F.substring("error_message", 1, ERROR_TEXT).alias("message"))
+        *KEYS, "ts_ms", F.col("error_status").alias("status"), "retry_attempt", F.col("error_message").alias("message"))
 
 
-def api_error_list(errors: DataFrame, cap: int = ERROR_LIST) -> DataFrame:
-    """The first errors of each thread with the exact number of all."""
+def api_error_list(errors: DataFrame, cap: int | None = None) -> DataFrame:
+    """The errors of each thread in order (the first ``cap``, if given) with the exact number of all."""
     counts = errors.groupBy("session", "thread").agg(F.count(F.lit(1)).alias("errors"))
     return top_rows(errors, ["session", "thread"], [F.col("line")], cap).join(counts, ["session", "thread"])
 

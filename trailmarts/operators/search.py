@@ -9,26 +9,27 @@ from ..functions import jsonx, text
 from ..functions.ordered import top_rows
 from . import records_b
 
-FLATTEN_DEPTH = 8
-SESSIONS, SESSIONS_MAX = 10, 50
-MATCHES, MATCHES_MAX = 3, 20
+SESSIONS, MATCHES = 10, 3
 
 
 def gate(raw: DataFrame, query: str, case_sensitive: bool = False) -> DataFrame:
     """Drop raw lines that cannot hold the query before their JSON is parsed.
 
-    JSON escapes quotes, backslashes and control characters, so queries with
-    those pass everything.
+    JSON writers escape quotes, backslashes and control characters, and may
+    escape slashes and anything beyond ASCII, so queries with those pass
+    everything, as does a line that holds an escaped code point. An empty query
+    is found nowhere.
     """
-    if not query or any(c in '"\\' or ord(c) < 32 for c in query):
+    if not query:
+        return raw.where(F.lit(False))
+    if any(c in '"\\/' or not 32 <= ord(c) < 127 for c in query):
         return raw
-    if case_sensitive:
-        return raw.where(F.col("text").contains(query))
-    return raw.where(F.lower("text").contains(query.lower()))
+    held = F.col("text").contains(query) if case_sensitive else F.lower("text").contains(query.lower())
+    return raw.where(held | F.col("text").contains("\\u"))
 
 
 def flat_text(v):
-    """Values of a JSON tree down to depth 8, one per line, in document order of the variant."""
+    """Values of a JSON tree, one per line, level by level, in document order of the variant."""
 
     def leaf(x):
         return F.when(jsonx.is_object(x) | jsonx.is_array(x), F.lit(None).cast("string")).otherwise(x.cast("string"))
@@ -44,7 +45,9 @@ def flat_text(v):
         below = F.flatten(F.transform(acc["level"], children))
         return F.transform(F.array(below), lambda b: F.struct(b.alias("level"), F.concat(acc["found"], F.transform(b, leaf)).alias("found")))[0]
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(FLATTEN_DEPTH)), start, descend)["found"]
+    # A tree is at most as deep as its text has opening brackets.
+    deepest = F.coalesce(F.length(F.regexp_replace(F.to_json(v), r"[^\[{]", "")), F.lit(0))
+    found = F.aggregate(F.sequence(F.lit(0), deepest), start, lambda acc, i: F.when(F.size(acc["level"]) > 0, descend(acc, i)).otherwise(acc))["found"]
     return F.array_join(F.filter(found, lambda s: s.isNotNull()), "\n")
 
 
@@ -96,6 +99,7 @@ def fields_b(rec: DataFrame) -> DataFrame:
 def matches(fields: DataFrame, query: str, case_sensitive: bool = False, wanted: list[str] | None = None) -> DataFrame:
     """One row per record that holds the query: first field with a hit, all occurrences, a snippet."""
     pool = fields if wanted is None else fields.where(F.col("field").isin(*wanted))
+    pool = pool if query else pool.where(F.lit(False))
     hay = F.col("text") if case_sensitive else F.lower("text")
     hits = pool.where(hay.contains(query if case_sensitive else query.lower())).select(
         "session", "thread", "line", "ts_ms", "ord", "field", "tool", text.occurrences(F.col("text"), query, case_sensitive).alias("n"),
@@ -112,8 +116,8 @@ def results(found: DataFrame, sessions: DataFrame, max_sessions: int = SESSIONS,
     picked first; it is bounded, so the matches are then filtered by it.
     """
     counts = found.groupBy("session").agg(F.count(F.lit(1)).alias("match_count"))
-    newest = counts.join(sessions.select("session", "source", "started_ms"), "session").orderBy(F.col("started_ms").desc_nulls_last(), "session").limit(min(max_sessions, SESSIONS_MAX))
-    shown = top_rows(found.join(newest.select("session"), "session", "left_semi"), ["session"], [F.col("line"), F.col("thread")], min(per_session, MATCHES_MAX), "position")
+    newest = counts.join(sessions.select("session", "source", "started_ms"), "session").orderBy(F.col("started_ms").desc_nulls_last(), "session").limit(max_sessions)
+    shown = top_rows(found.join(newest.select("session"), "session", "left_semi"), ["session"], [F.col("line"), F.col("thread")], per_session, "position")
     return shown.join(newest, "session")
 
 

@@ -16,7 +16,6 @@ BODY_PREFIX = "Base directory for this skill:"
 COMMAND_NAME = r"<command-name>([^<]*)</command-name>"
 COMMAND_ARGS = r"<command-args>([^<]*)</command-args>"
 SKILL_LINK = r"\[\$([\w-]+):([\w-]+)\]\(([^)]+)\)"
-PREVIEW = 200
 
 
 def skill_bodies(texts: DataFrame) -> DataFrame:
@@ -35,7 +34,7 @@ def skill_calls(calls: DataFrame) -> DataFrame:
     v = jsonx.parse(F.col("input"))
     return (
         calls.where("tool = 'Skill'")
-        .withColumns({"name": jsonx.string_at(v, "$.skill"), "args": F.substring(jsonx.string_at(v, "$.args"), 1, PREVIEW)})
+        .withColumns({"name": jsonx.string_at(v, "$.skill"), "args": jsonx.string_at(v, "$.args")})
         .where("name IS NOT NULL")
         .select(
             "session", "line", "ts_ms", "call_id", "name", "args", "result_chars",
@@ -122,7 +121,7 @@ def invocations(calls: DataFrame, texts: DataFrame, meta_texts: DataFrame, promp
         "session", "line", F.lit("skill").alias("kind"), "name", "args", "result_chars", "body_chars", "body_line"
     )
     name = F.regexp_extract("text", COMMAND_NAME, 1)
-    args = F.nullif(F.substring(F.regexp_extract("text", COMMAND_ARGS, 1), 1, PREVIEW), F.lit(""))
+    args = F.nullif(F.regexp_extract("text", COMMAND_ARGS, 1), F.lit(""))
     typed = texts.withColumns({"name": name, "args": args}).where("name <> ''").select(
         "session", "line", F.lit("command").alias("kind"), "name", "args"
     )

@@ -9,7 +9,6 @@ from ..functions import jsonx
 from ..functions.nulls import span_ms
 from ..functions.ordered import latest
 
-NAME_LIMIT = 120
 # Preview server tools.
 PREVIEW_START = "mcp__Claude_Preview__preview_start"
 PREVIEW_STOP = "mcp__Claude_Preview__preview_stop"
@@ -29,7 +28,7 @@ def launches(details: DataFrame, calls: DataFrame) -> DataFrame:
         F.col("kind") == "bash", F.coalesce("__d", "__c", F.lit("background command"))
     ).otherwise(F.coalesce("description", "__d", F.lit("subagent")))
     return details.join(named, [*SCOPE, "call_id"], "left").select(
-        *SCOPE, "kind", "task_id", "call_id", "line", "ts_ms", F.substring(name, 1, NAME_LIMIT).alias("name")
+        *SCOPE, "kind", "task_id", "call_id", "line", "ts_ms", name.alias("name")
     )
 
 
@@ -62,7 +61,7 @@ def foreground(calls: DataFrame, launched: DataFrame) -> DataFrame:
     plain = calls.where(F.col("tool").isin(*TASK_TOOLS)).join(launched.select(*SCOPE, "call_id"), [*SCOPE, "call_id"], "left_anti")
     return plain.select(
         *SCOPE, F.when(F.col("tool") == "Bash", F.lit("bash")).otherwise(F.lit("agent")).alias("kind"), F.lit(False).alias("background"),
-        F.col("call_id").alias("task_id"), F.substring(name, 1, NAME_LIMIT).alias("name"),
+        F.col("call_id").alias("task_id"), name.alias("name"),
         F.when(~F.col("has_result"), F.lit("unresolved")).when(F.col("is_error"), F.lit("failed")).otherwise(F.lit("completed")).alias("status"),
         F.col("line").alias("start_line"), F.col("ts_ms").alias("start_ts_ms"), F.col("result_line").alias("end_line"), F.col("result_ts_ms").alias("end_ts_ms"),
     )

@@ -10,7 +10,6 @@ from ..functions.ordered import top_rows
 
 SESSION_ATTRIBUTE = "session.id"
 UNASSIGNED = "_unassigned"
-DECISIONS = 500
 
 
 def _items(v: Column, path: str) -> Column:
@@ -120,7 +119,8 @@ def session_stats(lines: DataFrame) -> DataFrame:
     }).drop("__events", "__metric")
 
 
-def tool_decisions(lines: DataFrame, cap: int = DECISIONS) -> DataFrame:
+def tool_decisions(lines: DataFrame, cap: int | None = None) -> DataFrame:
+    """Decisions of each session in order, the first ``cap`` if given."""
     rows = log_events(lines).where("event = 'tool_decision'")
     return top_rows(rows, ["session"], [F.col("line"), F.col("pos")], cap).select("session", "rank", "ts_ms", "tool_name", "decision", "decision_source")
 

@@ -9,7 +9,7 @@ from pyspark.sql.window import Window
 from ..functions import jsonx, text
 from . import records_a, records_b, tasks, tools
 
-USER_LIMIT, ASSISTANT_LIMIT = 2_000, 2_000
+SHOWN_CHARS = 2_000
 ELIDE_OVER, ANCHORS = 16, 6
 LAUNCH_TOOLS = ["Agent", "Task"]
 MINIMAL = ["user", "assistant-text", "subagent-launch", "compaction"]
@@ -27,6 +27,11 @@ def _stack(parts: list[DataFrame]) -> DataFrame:
 TYPES = {"line": "bigint", "block": "int", "ts_ms": "bigint", "duration_ms": "bigint", "result_line": "bigint", "cost": "double", "output_tokens": "bigint"}
 
 
+def shown(entries: DataFrame, chars: int = SHOWN_CHARS) -> DataFrame:
+    """Entries with their texts cut for display."""
+    return entries.withColumn("text", text.clip(F.col("text"), chars))
+
+
 def usage_badges(rec: DataFrame) -> DataFrame:
     """The last text block of every message, the one that shows the message's usage."""
     texts = rec.where("type = 'assistant' AND message_id IS NOT NULL").select("session", "thread", "message_id", "line", F.explode("blocks").alias("b")).where("b.kind = 'text'")
@@ -42,16 +47,16 @@ def entries_a(rec: DataFrame, calls: DataFrame, notes: DataFrame, launched: Data
     """
     keys = ["session", "thread", "line"]
     blocks = rec.where("type = 'assistant'").select(*keys, "ts_ms", "message_id", "model", F.explode("blocks").alias("b"))
-    user = records_a.prompts(rec).select(*keys, F.lit(0).alias("block"), "ts_ms", F.lit("user").alias("kind"), text.clip(F.col("text"), USER_LIMIT).alias("text"))
+    user = records_a.prompts(rec).select(*keys, F.lit(0).alias("block"), "ts_ms", F.lit("user").alias("kind"), F.col("text"))
     badge = usage_badges(rec).withColumn("__badge", F.lit(True))
     cost = costed.select("session", "thread", "message_id", "cost", "output_tokens")
     said = (
-        blocks.where("b.kind = 'text'").select(*keys, F.col("b.pos").alias("block"), "ts_ms", "message_id", "model", text.clip(F.col("b.text"), ASSISTANT_LIMIT).alias("text"))
+        blocks.where("b.kind = 'text'").select(*keys, F.col("b.pos").alias("block"), "ts_ms", "message_id", "model", F.col("b.text").alias("text"))
         .join(badge, ["session", "thread", "message_id", "line", "block"], "left").join(cost, ["session", "thread", "message_id"], "left")
         .withColumns({"cost": F.when(F.col("__badge") & F.col("model").isNotNull(), F.col("cost")), "output_tokens": F.when(F.col("__badge"), F.col("output_tokens")), "kind": F.lit("assistant-text")})
     )
     thought = blocks.where("b.kind = 'thinking'").select(
-        *keys, F.col("b.pos").alias("block"), "ts_ms", "model", F.lit("thinking").alias("kind"), text.clip(F.col("b.text"), ASSISTANT_LIMIT).alias("text"))
+        *keys, F.col("b.pos").alias("block"), "ts_ms", "model", F.lit("thinking").alias("kind"), F.col("b.text").alias("text"))
     linked = threads.select("session", F.col("tool_use_id").alias("call_id"), "agent").where("call_id IS NOT NULL").join(thread_costs, ["session", "agent"], "left")
     used = tools.with_status(calls).select(*keys, "block", "ts_ms", "tool", "call_id", "status", "duration_ms", "result_line", "input").join(linked, ["session", "call_id"], "left")
     launches = F.col("tool").isin(*LAUNCH_TOOLS) | F.col("agent").isNotNull()
@@ -71,11 +76,11 @@ def entries_b(rec: DataFrame, calls: DataFrame, **chunking) -> DataFrame:
     keys = ["session", "line"]
     main = F.lit("main").alias("thread")
     modelled = records_b.with_model(rec, **chunking)
-    user = records_b.prompts(rec).select(*keys, main, "ts_ms", F.lit("user").alias("kind"), text.clip(F.col("text"), USER_LIMIT).alias("text"))
+    user = records_b.prompts(rec).select(*keys, main, "ts_ms", F.lit("user").alias("kind"), F.col("text"))
     said = modelled.where("type = 'event_msg' AND kind = 'agent_message' AND text <> ''").select(
-        *keys, main, "ts_ms", "model", F.lit("assistant-text").alias("kind"), text.clip(F.col("text"), ASSISTANT_LIMIT).alias("text"))
+        *keys, main, "ts_ms", "model", F.lit("assistant-text").alias("kind"), F.col("text"))
     thought = modelled.where("type = 'response_item' AND kind = 'reasoning'").select(
-        *keys, main, "ts_ms", "model", F.lit("thinking").alias("kind"), text.clip(F.col("text"), ASSISTANT_LIMIT).alias("text"))
+        *keys, main, "ts_ms", "model", F.lit("thinking").alias("kind"), F.col("text"))
     used = calls.select(
         *keys, main, "ts_ms", "tool", "call_id", "status", F.when(F.col("result_ts_ms") >= F.col("ts_ms"), F.col("result_ts_ms") - F.col("ts_ms")).alias("duration_ms"),
         "result_line", F.lit("tool-call").alias("kind"), F.col("input_summary").alias("text"))

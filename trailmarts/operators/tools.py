@@ -17,7 +17,7 @@ RUN_MIN = 2
 TOP_CALLS = 10
 RANKING_ROWS = 8
 REST = "rest"
-CALL_PAGE, CALL_PAGE_MAX = 50, 200
+CALL_PAGE = 50
 # Tools that read or edit.
 READ_TOOLS = ["Read", "Grep", "Glob", "LS", "NotebookRead"]
 EDIT_TOOLS = ["Edit", "Write", "MultiEdit", "NotebookEdit"]
@@ -236,7 +236,7 @@ def decisions(by_tool: DataFrame, priced: DataFrame) -> DataFrame:
     )
 
 
-def call_page(calls: DataFrame, tool: str | None = None, thread: str | None = None, limit: int = CALL_PAGE) -> DataFrame:
+def call_page(calls: DataFrame, tool: str | None = None, thread: str | None = None, limit: int | None = CALL_PAGE) -> DataFrame:
     """First calls of each session by line then thread, with the number of calls that match."""
     hits = calls
     if tool is not None:
@@ -244,5 +244,5 @@ def call_page(calls: DataFrame, tool: str | None = None, thread: str | None = No
     if thread is not None:
         hits = hits.where(F.col("thread") == thread)
     counts = hits.groupBy("session").agg(F.count(F.lit(1)).alias("total"))
-    page = top_rows(hits, ["session"], [F.col("line"), F.col("thread")], min(limit, CALL_PAGE_MAX), "position")
+    page = top_rows(hits, ["session"], [F.col("line"), F.col("thread")], limit, "position")
     return page.join(counts, "session").select("session", "position", "line", "thread", "tool", "call_id", "total")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.ordered import earliest, running
+from ..functions.ordered import earliest, ranged, running
 from . import records_a
 
 # Event names shared with other tracing tools.
@@ -79,7 +79,7 @@ def ordered(trace: DataFrame, **chunking) -> DataFrame:
     ends = anchors.groupBy("session").agg(F.max("line").alias("last_line"))
     axis = loose.withColumns({"t": F.col("ts_ms"), "kind": F.lit(0), "one": F.lit(0).cast("bigint")}).where("t IS NOT NULL").unionByName(rising, allowMissingColumns=True)
     # The number of peaks strictly below a time names the next one.
-    counted = running(axis, ["session"], "t", {"below": ("sum", F.col("one"))}, ties=["kind"], chunk=F.floor(F.col("t") / 86_400_000))
+    counted = running(ranged(axis, ["session"], ["t", "kind"]), ["session"], "t", {"below": ("sum", F.col("one"))}, ties=["kind"], chunk=F.col("range")).drop("range")
     spots = counted.where("kind = 1").select("session", F.col("below").alias("nth"), "key")
     timed = (
         counted.where("kind = 0").select(*trace.columns, (F.col("below") + 1).alias("nth")).join(spots, ["session", "nth"], "left").join(ends, "session", "left")

@@ -30,7 +30,7 @@ def session_items(
     shell = shell_totals.select(
         "session", F.col("calls").alias("bash_calls"), F.col("result_chars").alias("bash_chars"), F.col("est_usd").alias("bash_usd"))
     asked = prompts.groupBy("session").agg(
-        F.count(F.lit(1)).alias("user_turns"), F.substring(F.min_by("text", "line"), 1, 500).alias("first_prompt"))
+        F.count(F.lit(1)).alias("user_turns"), F.min_by("text", "line").alias("first_prompt"))
     packed = compactions.groupBy("session").agg(F.count(F.lit(1)).alias("compactions"))
     backs = returns.select("session", "returns", F.col("total_chars").alias("return_chars"), F.col("max_chars").alias("return_max_chars"))
     out = sessions

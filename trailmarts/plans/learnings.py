@@ -7,49 +7,44 @@ from pyspark.sql import functions as F
 
 from ..functions import text
 from ..functions.nulls import ratio_or_null
-from ..functions.ordered import numbered, running
+from ..functions.ordered import numbered, ranged, running
 from ..functions.times import DAY_MS, local_day
-from ..session import stored
 from .trends import model_sum
 
 REQUIRED = ["id", "created_ms", "finding", "change", "status"]
-PATCHED = ["finding", "change", "expected_effect", "verification"]
+STAMPED = ["id", "created_ms", "status", "applied_ms", "resolved_ms"]
 RECENT = 5
 
 
 def new_ids(findings: DataFrame, existing: DataFrame) -> DataFrame:
     """Dated slug ids; ids that are taken get the next free suffix from 2 up.
 
-    New rows are numbered within their base id and then matched to the free
-    suffixes in order, so gaps in the existing ids are filled first.
+    New rows are numbered within their base id, and the nth takes the nth free
+    suffix, so gaps in the existing ids are filled first: n plus the taken
+    suffixes that have fewer than n free ones below them.
     """
     stamp = F.date_format(local_day(F.col("created_ms")), "yyyyMMdd")
     base = F.concat(F.lit("L-"), stamp, F.lit("-"), text.slug(F.col("finding")))
-    fresh = stored(
-        numbered(findings.withColumn("base", base), ["base"], "created_ms", "nth", ties=["finding"], chunk=F.floor(F.col("created_ms") / 60_000)), "learnings")
-    size = fresh.groupBy("base").agg(F.max("nth").alias("__new"))
+    dealt = ranged(findings.withColumn("base", base), ["base"], ["created_ms", "finding"])
+    fresh = numbered(dealt, ["base"], "created_ms", "nth", ties=["finding"], chunk=F.col("range")).drop("range")
     suffix = F.regexp_extract("id", r"-(\d+)$", 1)
     taken = existing.select("id").distinct()
-    # A base can lose at most as many suffixes as there are ids that start with it.
     as_base = taken.select(F.col("id").alias("base"), F.lit(1).cast("bigint").alias("n"))
     as_suffixed = taken.where(suffix != "").select(F.regexp_replace("id", r"-\d+$", "").alias("base"), suffix.cast("bigint").alias("n")).where("n >= 2")
-    used = as_base.unionByName(as_suffixed).join(size.select("base"), "base", "left_semi")
-    slots = numbered(
-        size.join(used.groupBy("base").agg(F.count(F.lit(1)).alias("__used")), "base", "left")
-        .select("base", F.explode(F.sequence(F.lit(1).cast("bigint"), F.col("__new") + F.coalesce("__used", F.lit(0)))).alias("n"))
-        .join(used, ["base", "n"], "left_anti"),
-        ["base"], "n", "nth",
-    )
-    return fresh.join(slots, ["base", "nth"]).withColumn(
-        "id", F.when(F.col("n") == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), F.col("n").cast("string")))
-    ).drop("base", "nth", "n")
+    used = ranged(as_base.unionByName(as_suffixed).distinct(), ["base"], ["n"])
+    free_below = numbered(used, ["base"], "n", "i", chunk=F.col("range")).select("base", (F.col("n") - F.col("i")).alias("nth"), F.lit(1).alias("taken"))
+    axis = ranged(fresh.withColumn("taken", F.lit(0)).unionByName(free_below, allowMissingColumns=True), ["base"], ["nth", "taken"])
+    n = F.col("nth") + F.col("passed")
+    placed = running(axis, ["base"], "nth", {"passed": ("sum", F.col("taken").cast("bigint"))}, ties=["taken"], chunk=F.col("range")).where("taken = 0")
+    return placed.withColumn("id", F.when(n == 1, F.col("base")).otherwise(F.concat("base", F.lit("-"), n.cast("string")))).select(*findings.columns, "id")
 
 
 def upsert(ledger: DataFrame, changes: DataFrame) -> DataFrame:
     """Apply changes by id: only given fields change, applied and resolved times are stamped once.
 
-    ``changes`` carries the change time ``now_ms`` and may carry ``applied_ms``
-    and ``resolved_ms``; new ids are inserted as open.
+    ``changes`` carries the change time ``now_ms`` and may carry ``applied_ms``,
+    ``resolved_ms`` and any other column of the ledger; source sessions are
+    added to those known. New ids are inserted as open.
     """
     old, new = ledger.alias("o"), changes.alias("n")
     o, n = (lambda c: F.col(f"o.{c}")), (lambda c: F.col(f"n.{c}"))
@@ -62,8 +57,11 @@ def upsert(ledger: DataFrame, changes: DataFrame) -> DataFrame:
     return old.join(new, o("id") == n("id"), "full_outer").select(
         F.coalesce(o("id"), n("id")).alias("id"), F.coalesce(o("created_ms"), n("now_ms")).alias("created_ms"),
         F.coalesce(n("status"), o("status"), F.lit("open")).alias("status"),
-        *[F.coalesce(n(c), o(c)).alias(c) for c in ("finding", "change", "expected_effect")],
         applied.alias("applied_ms"), resolved.alias("resolved_ms"),
+        *[
+            (merged_sources(o(c), n(c)) if c == "source_sessions" else F.coalesce(n(c), o(c)) if c in changes.columns else o(c)).alias(c)
+            for c in ledger.columns if c not in STAMPED
+        ],
     )
 
 
@@ -80,7 +78,7 @@ def listing(ledger: DataFrame, status: str | None = None, repo: str | None = Non
     if status is not None:
         out = out.where(F.col("status") == status)
     if repo is not None:
-        out = out.where(F.col("repo") == repo)
+        out = out.where(F.col("repo_key") == repo)
     return out.orderBy(F.col("created_ms").desc(), "id")
 
 
@@ -95,7 +93,7 @@ def board(ledger: DataFrame) -> DataFrame:
     return ledger.withColumn("board_column", column)
 
 
-def loop_health(ledger: DataFrame, keys=("repo",)) -> DataFrame:
+def loop_health(ledger: DataFrame, keys=("repo_key",)) -> DataFrame:
     verified = F.col("status") == "verified"
     daily = verified & (F.col("metric") == "costPerDayUsd")
     cycle = verified & (F.col("resolved_ms") >= F.col("applied_ms"))
@@ -157,7 +155,8 @@ def review(learnings: DataFrame, items: DataFrame, window_days: int) -> DataFram
 
     Cost, shares and shell dollars use the calendar-day windows that end
     ``window_days`` after the change (UTC); context peak and top-tier share
-    use rolling windows around it. Windows without sessions cost 0.
+    use rolling windows around it. A later window without sessions costs 0; an
+    earlier one without sessions has no figures.
     """
     applied = learnings.where("status = 'applied' AND applied_ms IS NOT NULL").select("id", "repo_key", "applied_ms")
     facts = items.where("started_ms IS NOT NULL").join(applied.select("repo_key").distinct(), "repo_key", "left_semi").select(
@@ -167,4 +166,6 @@ def review(learnings: DataFrame, items: DataFrame, window_days: int) -> DataFram
     )
     out = applied.join(_calendar(applied, facts, window_days), "id", "left").join(_rolling(applied, facts, window_days), "id", "left")
     zero = [f"{w}_{c}" for w in ("after", "before") for c in ("sessions", "cost_per_day", "avg_max_context")]
-    return out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
+    figures = out.withColumns({c: F.coalesce(c, F.lit(0)) for c in zero})
+    before = [c for c in figures.columns if c.startswith("before_")]
+    return figures.withColumns({c: F.when(F.col("before_sessions") > 0, F.col(c)) for c in before})

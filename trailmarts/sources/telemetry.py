@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import jsonx
 from ..functions.times import iso_ms
 from ..operators import telemetry
-from .transcripts import raw_lines
+from .transcripts import plain_lines, raw_lines
 
 
 def otlp_lines(spark: SparkSession, root: str | list[str]) -> DataFrame:
@@ -24,7 +24,7 @@ def write_by_session(routed: DataFrame, folder: str) -> None:
 def captures(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """Captured exchanges; torn lines are dropped."""
     v = F.col("v")
-    rows = jsonx.with_parsed(raw_lines(spark, root)).where(jsonx.is_object(v))
+    rows = jsonx.with_parsed(plain_lines(spark, root)).where(jsonx.is_object(v))
     return rows.select(
         jsonx.string_at(v, "$.sessionId").alias("session"), jsonx.string_at(v, "$.requestId").alias("request_id"), iso_ms(jsonx.string_at(v, "$.startedAt")).alias("started_ms"),
         iso_ms(jsonx.string_at(v, "$.endedAt")).alias("ended_ms"), jsonx.long_at(v, "$.latencyMs").alias("latency_ms"), jsonx.string_at(v, "$.method").alias("method"),
