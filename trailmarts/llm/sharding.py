@@ -51,21 +51,22 @@ def scatter(rows: DataFrame, shards: int = SHARDS, seed: int = 20, bucket_bytes:
     # one row per bucket
     first = counts.select("bucket", F.coalesce(F.sum("n").over(order), F.lit(0)).alias("first"), F.sum("n").over(Window.partitionBy()).alias("total"))
 
-    out = T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("place", T.LongType()), *keyed.schema.fields[1:]])
+    # The offsets come before the rows are dealt by bucket, so that each row is shuffled once.
+    dealt = keyed.join(first, "bucket").select("bucket", "first", "total", "key", "body", "rest")
+    out = T.StructType([T.StructField("position", T.LongType()), *dealt.schema.fields[2:]])
 
     def mix(group_key: tuple, group: pa.Table) -> pa.Table:
-        bucket_no = group_key[0].as_py()
         order = pc.sort_indices(group.select(["key", "body"]), sort_keys=[("key", "ascending"), ("body", "ascending")])
-        drawn = np.random.default_rng([seed, bucket_no]).permutation(group.num_rows)  # a Fisher-Yates shuffle
+        drawn = np.random.default_rng([seed, group_key[0].as_py()]).permutation(group.num_rows)  # a Fisher-Yates shuffle
         taken = group.take(pa.array(order.to_numpy()[drawn]))
-        return pa.table([taken.column("bucket"), pa.array(np.arange(group.num_rows)), *(taken.column(c) for c in taken.column_names[1:])], names=["bucket", "place", *taken.column_names[1:]])
+        places = np.arange(group.num_rows) + group.column("first")[0].as_py()
+        return pa.table([pa.array(places), *(taken.column(c) for c in out.names[1:])], names=out.names)
 
-    mixed = keyed.groupBy("bucket").applyInArrow(mix, out).join(first, "bucket")
-    position = F.col("first") + F.col("place")
+    mixed = dealt.groupBy("bucket").applyInArrow(mix, out)
     # shard s holds the positions from floor(s * total / shards) on
     shard = F.expr(f"int(((position + 1) * {shards} - 1) div total)")
     slot = F.expr(f"position - (shard * total) div {shards}")
-    return mixed.withColumn("position", position).withColumn("shard", shard).withColumn("slot", slot).select("shard", "slot", "key", "body", "rest")
+    return mixed.withColumn("shard", shard).withColumn("slot", slot).select("shard", "slot", "key", "body", "rest")
 
 
 def write(rows: DataFrame, path: str, **how) -> DataFrame:
