@@ -43,12 +43,6 @@ def latest_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(best).select(*keys, *[F.col("x")[n].alias(n) for n in names])
 
 
-def last_batch(rows: DataFrame) -> DataFrame:
-    """Final state of a job in complete mode."""
-    newest = rows.agg(F.max("batch").alias("batch"))
-    return rows.join(F.broadcast(newest), "batch").drop("batch")  # newest is one row
-
-
 def ingest_lines(spark: SparkSession, root: str, folder: str, pattern: str = "*.jsonl", files_per_batch: int = 1000) -> None:
     """Read new transcript files into a table of numbered lines, batch by batch.
 
@@ -81,9 +75,28 @@ def current_lines(lines: DataFrame) -> DataFrame:
     return lines.join(newest, ["path", "mtime_ms"], "left_semi")
 
 
-def message_updates(snapshots: DataFrame) -> DataFrame:
-    """Running messages over streamed snapshots: first line, last usage. Use update mode."""
-    return usage.dedupe_messages(snapshots)
+def message_updates(snapshots: DataFrame, lateness: str = "1 day") -> DataFrame:
+    """Running messages over streamed snapshots: first line, last usage. Use update mode.
+
+    A message's state is kept per day of its snapshots and dropped when the
+    watermark has passed that day, so the state does not grow with the stream.
+    ``merged_messages`` puts the days of a message together.
+    """
+    first = F.min_by(F.struct("line", "model", "ts_ms"), F.col("line")).alias("f")
+    seen = F.when(F.col("has_usage"), F.col("line"))
+    last = F.max_by(F.struct(*usage.USAGE), seen).alias("u")
+    timed = snapshots.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", lateness)
+    return (
+        timed.groupBy("session", "thread", "message_id", F.window("at", "1 day").alias("w")).agg(first, last, F.max(seen).alias("usage_line"))
+        .select("session", "thread", "message_id", F.unix_millis("w.start").alias("day_ms"), "f.*", "u.*", "usage_line")
+    )
+
+
+def merged_messages(updates: DataFrame) -> DataFrame:
+    """One row per message from the final rows of its days."""
+    first = F.min_by(F.struct("line", "model", "ts_ms"), F.col("line")).alias("f")
+    last = F.max_by(F.struct(*usage.USAGE), F.col("usage_line")).alias("u")
+    return updates.groupBy("session", "thread", "message_id").agg(first, last).select("session", "thread", "message_id", "f.*", "u.*")
 
 
 def telemetry_windows(lines: DataFrame, window: str = "1 hour", lateness: str = "10 minutes") -> DataFrame:
@@ -97,7 +110,8 @@ def telemetry_windows(lines: DataFrame, window: str = "1 hour", lateness: str =
 
 
 def live_periods(activity: DataFrame, gap: str = LIVE_GAP, lateness: str = "10 minutes") -> DataFrame:
-    """Periods of activity per session; a pause of ``gap`` ends a period."""
+    """Periods of activity per session; a pause of ``gap`` ends a period. Use append mode: a
+    period is written once, when the watermark has passed its end, and its state dropped."""
     timed = activity.withColumn("at", F.timestamp_millis("ts_ms")).withWatermark("at", lateness)
     return timed.groupBy("session", F.session_window("at", gap).alias("w")).agg(F.count(F.lit(1)).alias("events")).select(
         "session", F.unix_millis("w.start").alias("start_ms"), F.unix_millis("w.end").alias("end_ms"), "events")
@@ -112,7 +126,7 @@ STATE_SCHEMA = ", ".join(f"{c} bigint" for c in _TOTALS)
 def _moved(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Counts of one session whose cumulative total changed; the state is the last total."""
     rows = pd.concat(list(frames)).sort_values("line")
-    totals = rows[_TOTALS].astype("int64")
+    totals = rows[_TOTALS].fillna(0).astype("int64")  # a counter that is not sent is zero
     before = totals.shift(1)
     if state.exists:
         before.iloc[0] = list(state.get)
