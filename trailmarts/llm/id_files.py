@@ -25,8 +25,8 @@ from pyspark.sql.window import Window
 from trailmarts.session import fresh_dir, stored
 
 from . import simple8b
-from .common import Folder, one_task_each, partition, slices, small_batches
-from .tokens import Encoder
+from .common import Folder, one_task_each, partition, small_batches
+from .tokens import encoded
 
 MAGIC = b"S8BIDS1\n"
 HEADER = struct.Struct("<8s5Q")  # magic, documents, ids, blocks, words, exceptions
@@ -37,13 +37,13 @@ FILES = "part int, seq int, name string, n_docs long, n_ids long"
 DOCUMENTS = "doc_id long, start long, n_tokens long, ids_crc32 long"
 
 
-def segment(doc_ids: list[int | None], coded: list[bytes]) -> bytes:
-    """One segment of documents, their ids as little-endian unsigned 32-bit integers."""
-    p = simple8b.encode(np.frombuffer(b"".join(coded), "<u4"))
+def segment(doc_ids: list[int | None], coded: list[np.ndarray]) -> bytes:
+    """One segment of documents and their ids."""
+    p = simple8b.encode(np.concatenate(coded))
     return b"".join([
         HEADER.pack(MAGIC, len(doc_ids), p.n, len(p.blocks), len(p.words), len(p.exceptions)),
         np.array([x or 0 for x in doc_ids], "<i8").tobytes(), np.array([x is None for x in doc_ids], "u1").tobytes(),
-        np.array([len(x) // 4 for x in coded], "<u8").tobytes(), p.blocks.astype("<u4").tobytes(), p.words.astype("<u8").tobytes(), p.exceptions.astype("<u8").tobytes(),
+        np.array([len(x) for x in coded], "<u8").tobytes(), p.blocks.astype("<u4").tobytes(), p.words.astype("<u8").tobytes(), p.exceptions.astype("<u8").tobytes(),
     ])
 
 
@@ -69,10 +69,9 @@ def segments(stream) -> Iterator[tuple[list[int | None], np.ndarray, simple8b.Pa
 def write(documents: DataFrame, tokenizer: str, uri: str, doc_id: str = "doc_id", text: str = "text", end_id: int = 0) -> DataFrame:
     """Encode and write ``documents`` in ascending order of ``doc_id``; one row per file, (part, seq) in that order."""
     small_batches(documents.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, part, seq, out = Encoder.of(tokenizer), partition(), 0, None
+        part, seq, out = partition(), 0, None
         ids, coded, size, docs, total = [], [], 0, 0, 0
 
         def flush() -> None:
@@ -91,11 +90,11 @@ def write(documents: DataFrame, tokenizer: str, uri: str, doc_id: str = "doc_id"
             out, seq, docs, total = None, seq + 1, 0, 0
             return row
 
-        for rows in slices(batches):
-            for (key, _), b in zip(rows, encoder.encode([t or "" for _, t in rows]), strict=True):
+        for keys, tokens, edges in encoded(batches, tokenizer, end_id):
+            for key, a, b in zip(keys, edges.tolist(), edges[1:].tolist()):
                 ids.append(key)
-                coded.append(b + end)
-                size += len(b) // 4 + 1
+                coded.append(tokens[a:b])
+                size += b - a
                 if size >= SEGMENT_IDS:
                     flush()
                     if out.size >= FILE_BYTES:

@@ -26,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partition, slices, small_batches
-from .tokens import Encoder
+from .common import partition, small_batches
+from .tokens import encoded
 
 POOL_SEQUENCES = 256
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, cost double"
@@ -61,19 +61,18 @@ def balance(lengths: list[int], sequences: int, capacity: int, linear: float, qu
 def pack(documents: DataFrame, tokenizer: str, capacity: int = 1024, linear: float = 1.0, quadratic: float = 1 / 1024, end_id: int = 0, doc_id: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row per piece; ``with_ids`` adds its ids as little-endian unsigned 32-bit integers."""
     small_batches(documents.sparkSession)
-    end = np.array([end_id], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, next_sequence = Encoder.of(tokenizer), partition() << 40
+        next_sequence = partition() << 40
         pool, pooled, out = [], 0, []  # pool: id, ids, start of what is left
 
-        def add(key, ids: bytes, start: int, n: int, sequence: int, offset: int) -> None:
-            part = ids[4 * start:4 * (start + n)]
-            out.append((key, start, n, zlib.crc32(part), len(ids) // 4, sequence, offset, linear * n + quadratic * n * n, *([part] if with_ids else [])))
+        def add(key, ids: np.ndarray, start: int, n: int, sequence: int, offset: int) -> None:
+            part = ids[start:start + n]
+            out.append((key, start, n, zlib.crc32(part), len(ids), sequence, offset, linear * n + quadratic * n * n, *([part.tobytes()] if with_ids else [])))
 
         def settle(sequences: int) -> None:
             nonlocal pool, next_sequence, pooled
-            placed, left = balance([len(ids) // 4 - start for _, ids, start in pool], sequences, capacity, linear, quadratic)
+            placed, left = balance([len(ids) - start for _, ids, start in pool], sequences, capacity, linear, quadratic)
             offsets = np.zeros(sequences, np.int64)
             for doc, start, n, seq in placed:
                 key, ids, base = pool[doc]
@@ -81,7 +80,7 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 1024, linear: flo
                 offsets[seq] += n
             next_sequence += sequences
             pool = [(pool[doc][0], pool[doc][1], pool[doc][2] + start) for doc, start in left]
-            pooled = sum(len(ids) // 4 - start for _, ids, start in pool)
+            pooled = sum(len(ids) - start for _, ids, start in pool)
 
         def flush() -> pa.RecordBatch:
             schema = _with_ids if with_ids else _schema
@@ -89,16 +88,15 @@ def pack(documents: DataFrame, tokenizer: str, capacity: int = 1024, linear: flo
             out.clear()
             return batch
 
-        for rows in slices(batches):
-            for (key, _), b in zip(rows, encoder.encode([t or "" for _, t in rows]), strict=True):
-                ids = b + end
-                n = len(ids) // 4
+        for keys, tokens, edges in encoded(batches, tokenizer, end_id):
+            for key, a, b in zip(keys, edges.tolist(), edges[1:].tolist()):
+                ids, n = tokens[a:b], b - a
                 whole = n // capacity * capacity
                 for start in range(0, whole, capacity):
                     add(key, ids, start, capacity, next_sequence, 0)
                     next_sequence += 1
                 if whole < n:
-                    pool.append((key, ids, whole))
+                    pool.append((key, ids, whole))  # a view: a step's ids stay until its pool is packed
                     pooled += n - whole
                 if pooled >= POOL_SEQUENCES * capacity:
                     settle(pooled // capacity)

@@ -3,25 +3,32 @@
 The tokenizer splits a text into words before it merges bytes, and a word with
 its leading space never depends on its neighbours. So a text may be cut before
 any single space, and at any single line break, that has no other white space
-beside it; the pieces' ids, joined, are the text's ids. Pieces repeat, hence
-the store of encoded pieces, which has a fixed number of entries.
+beside it; the pieces' ids, joined, are the text's ids. A batch is cut and its
+distinct pieces are found in Arrow, and their ids come from a store of pieces
+with a fixed number of entries.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-ENTRIES = 500_000  # pieces kept by a worker
+ENTRIES = 700_000  # pieces in each of a worker's two stores
 LONG = 64  # longer pieces are encoded but not kept
+TOGETHER = 4096  # pieces encoded in one call
+STEP_CHARS = 8_000_000  # bytes of text encoded in one step
 GAP = re.compile(r"(?<=\S) (?=\S)")
-OTHER_SPACE = re.compile(r"[^\S \n]")
+#: White space that is not a single space or line break between words.
+ODD = "  |\n\n| \n|\n |^[ \n]|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
 
 
 class Encoder:
-    """Texts to little-endian unsigned 32-bit ids, without an end id."""
+    """Texts to unsigned 32-bit ids."""
 
     _own: dict[str, Encoder] = {}
 
@@ -32,6 +39,7 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.line = self._encode(["\n"])[0]
         self.stops = dict(zip(".,", self._encode([".", ","]), strict=True))
 
@@ -45,37 +53,95 @@ class Encoder:
     def _encode(self, strings: list[str]) -> list[bytes]:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(strings, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids of each text. Keys of the store mean: a leading space if the piece does not begin with a line break."""
-        pieces, heads = [], []
-        for text in texts:
-            if not text:
-                pieces.append([])
-                heads.append(None)
-            elif "  " in text or "\n\n" in text or " \n" in text or "\n " in text or text[0].isspace() or text[-1].isspace() or OTHER_SPACE.search(text):
-                head, *rest = GAP.split(text)
-                pieces.append(rest)
-                heads.append(head)
-            else:  # the first piece gets a line break in front, whose id is cut off again
-                pieces.append(("\n" + text).replace("\n", " \n").split(" ")[1:])
-                heads.append(None)
-        if len(self.kept) > ENTRIES:
-            self.kept.clear()
-        passing = self._add(set().union(*pieces) - self.kept.keys())
-        first = dict(zip(h := list({h for h in heads if h is not None}), self._encode(h), strict=True))
-        get, out = self.kept.__getitem__, []
-        for text, head, parts in zip(texts, heads, pieces, strict=True):
-            ids = b"".join(map(get, parts))
-            out.append(first[head] + ids if head is not None else ids[len(self.line):])
-        for piece in passing:
-            del self.kept[piece]
-        return out
-
-    def _add(self, missing: set[str]) -> list[str]:
-        """Encode pieces; those too long to keep are returned."""
-        ended = [p for p in missing if len(p) > 1 and p[-1] in self.stops and p[-2].isalpha()]  # the stop is a word of its own
-        stems = list((missing.difference(ended) | {p[:-1] for p in ended}) - self.kept.keys())
-        self.kept.update(zip(stems, self._encode([p if p[0] == "\n" else " " + p for p in stems]), strict=True))
+    def encode(self, texts: pa.Array, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts in a row, each text's followed by ``end_id``, and where each text's begin (and the last ones end). Null is empty."""
+        if len(self.kept) > ENTRIES:  # pieces still in use come back from the older store
+            self.kept, self.older = {}, self.kept
+        texts = pc.fill_null(texts.cast(pa.large_string()), "")
+        odd = pc.match_substring_regex(texts, ODD)
+        # A line break in front makes the first piece like all others; its id is taken off again.
+        plain = pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), pc.if_else(odd, pa.scalar("", pa.large_string()), texts), pa.scalar("", pa.large_string()))
+        pieces = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
+        coded = pieces.flatten().dictionary_encode()
+        known = self._ids(coded.dictionary.to_pylist())
+        lengths = np.fromiter(map(len, known), np.int64, len(known)) // 4
+        blob, begins = np.frombuffer(b"".join(known), "<u4"), np.cumsum(lengths) - lengths
+        place = coded.indices.to_numpy()
+        n = lengths[place]
+        ends = np.concatenate([[0], np.cumsum(n)])
+        ids = blob[np.repeat(begins[place] - ends[:-1], n) + np.arange(ends[-1])]
+        edges = ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
+        ids = np.append(ids[1:], np.uint32(end_id))  # each text gives up its first id and gets an end
+        ids[edges[1:] - 1] = end_id
+        return self._with_odd(texts, odd, ids, edges, end_id) if pc.any(odd).as_py() else (ids, edges)
+
+    def _with_odd(self, texts: pa.Array, odd: pa.Array, ids: np.ndarray, edges: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Put in the texts with other white space, cut at single spaces only."""
+        rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
+        cut = [GAP.split(texts[int(i)].as_py()) for i in rows]
+        heads = self._encode([head for head, *_ in cut])
+        tails = iter(self._ids([p for _, *rest in cut for p in rest]))
+        own = {}
+        for i, head, (_, *rest) in zip(rows.tolist(), heads, cut, strict=True):
+            own[i] = np.append(np.frombuffer(head + b"".join(next(tails) for _ in rest), "<u4"), np.uint32(end_id))
+        parts = [own[i] if i in own else ids[edges[i]:edges[i + 1]] for i in range(len(texts))]
+        return np.concatenate(parts), np.cumsum([0, *map(len, parts)])
+
+    def _ids(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece: with a leading space, unless it begins with a line break or is empty."""
+        found = list(map(self.kept.get, pieces))
+        missing = {p for p, ids in zip(pieces, found) if ids is None}
+        if missing:
+            self._add(missing)
+            found = [self.kept[p] if ids is None else ids for p, ids in zip(pieces, found)]
+            for p in missing:
+                if len(p) > LONG:
+                    del self.kept[p]
+        return found
+
+    def _add(self, missing: set[str]) -> None:
+        kept, older = self.kept, self.older
+        kept[""] = b""
+        known = missing & older.keys()
+        kept.update((p, older[p]) for p in known)
+        missing = missing - known
+        ended = [p for p in missing if p[-1:] in self.stops and len(p) > 1 and p[-2].isalpha()]  # the stop is a word of its own
+        stems = (missing.difference(ended) | {p[:-1] for p in ended}) - kept.keys()
+        plain = [p for p in stems if p.isprintable() and " " not in p]  # no white space within
+        for at in range(0, len(plain), TOGETHER):
+            part = plain[at:at + TOGETHER]
+            ids = np.frombuffer(self._encode([" " + "\n ".join(part)])[0], "<u4")
+            ends = np.flatnonzero(ids == np.frombuffer(self.line, "<u4")[0]).tolist()
+            data, starts = ids.tobytes(), [0, *(e + 1 for e in ends)]
+            kept.update((p, data[4 * a:4 * b]) for p, a, b in zip(part, starts, [*ends, len(ids)], strict=True))
+        rest = list(stems.difference(plain))
+        kept.update(zip(rest, self._encode([p if p[0] == "\n" else " " + p for p in rest]), strict=True))
         for p in ended:
-            self.kept[p] = self.kept[p[:-1]] + self.stops[p[-1]]
-        return [p for p in {*missing, *stems} if len(p) > LONG]
+            kept[p] = kept[p[:-1]] + self.stops[p[-1]]
+            if len(p) > LONG and p[:-1] not in missing:
+                del kept[p[:-1]]
+
+
+def encoded(batches: Iterator[pa.RecordBatch], path: str, end_id: int, step: int = STEP_CHARS) -> Iterator[tuple[list, np.ndarray, np.ndarray]]:
+    """Keys, ids and their edges of tables (key, text), in steps of about ``step`` bytes of text."""
+    encoder, held, size = Encoder.of(path), [], 0
+    for batch in batches:
+        n, start = batch.num_rows, 0
+        lengths = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)) if n else []
+        while start < n:
+            before = lengths[start - 1] if start else 0
+            stop = max(start + 1, int(np.searchsorted(lengths, before + step - size, "right")))
+            held.append(batch.slice(start, stop - start))
+            size += int(lengths[stop - 1] - before)
+            start = stop
+            if size >= step or start < n:
+                yield _step(encoder, held, end_id)
+                held, size = [], 0
+    if held:
+        yield _step(encoder, held, end_id)
+
+
+def _step(encoder: Encoder, held: list[pa.RecordBatch], end_id: int) -> tuple[list, np.ndarray, np.ndarray]:
+    table = pa.Table.from_batches(held)
+    ids, edges = encoder.encode(table.column(1).combine_chunks(), end_id)
+    return table.column(0).to_pylist(), ids, edges
