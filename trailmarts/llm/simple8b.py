@@ -30,8 +30,10 @@ class Packed:
 
 
 def _bit_lengths(ids: np.ndarray) -> np.ndarray:
-    bits = np.zeros(len(ids), np.uint8)
-    rest = ids.copy()
+    if int(ids.max(initial=0)) < 1 << 53:  # the exponent of a 64-bit float is exact
+        bits = (ids.astype(np.float64).view(np.int64) >> 52) - 1022
+        return np.maximum(bits, 0).astype(np.uint8)
+    bits, rest = np.zeros(len(ids), np.uint8), ids.copy()
     for step in (32, 16, 8, 4, 2, 1):
         high = rest >> np.uint64(step)
         more = high > 0
@@ -46,9 +48,8 @@ def _window_max(bits: np.ndarray) -> dict[int, np.ndarray]:
     most = {1: padded}
 
     def join(a: int, b: int) -> None:
-        shifted = np.zeros_like(padded)
-        shifted[:len(padded) - a] = most[b][a:]
-        most[a + b] = np.maximum(most[a], shifted)
+        most[a + b] = most[a].copy()
+        np.maximum(most[a][:-a], most[b][a:], out=most[a + b][:-a])
 
     for a, b in ((1, 1), (2, 1), (2, 2), (4, 1), (4, 2), (4, 3), (4, 4), (8, 2), (8, 4), (8, 7), (15, 5), (15, 15), (30, 30)):
         join(a, b)
@@ -65,9 +66,11 @@ def encode(ids: np.ndarray) -> Packed:
     grid[:, :BLOCK] = np.concatenate([ids, np.zeros(blocks * BLOCK - n, np.uint64)]).reshape(blocks, BLOCK)
     flat = grid.ravel()
     most = _window_max(_bit_lengths(flat))
-    choice = np.zeros(len(flat), np.uint8)  # escape, unless one id fits
-    for selector in range(len(COUNTS) - 1, 0, -1):
-        choice[most[COUNTS[selector]] <= BITS[selector]] = selector
+    # whatever fits a selector fits all after it, so their number names the first; none is the escape
+    choice = np.full(len(flat), len(COUNTS), np.uint8)
+    for selector in range(1, len(COUNTS)):
+        choice -= most[COUNTS[selector]] <= BITS[selector]
+    choice[choice == len(COUNTS)] = ESCAPE
     ends = np.full(blocks, BLOCK)
     ends[-1] = n - (blocks - 1) * BLOCK
     live, at = np.arange(blocks), np.zeros(blocks, np.int64)
