@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import files, forest, policy, skills, tasks
+from ..operators import files, forest, policy, skills, tasks, timeline
 from .registry import query
 
 r = F.round
@@ -539,3 +539,38 @@ def _(t):
 def _(t):
     points = policy.context_points(t.evmessages, chunk_rows=2048)
     return policy.eviction_marginals(points, t.calls, min_chars=10_000, chunk_rows=2048)
+
+
+# Every source of file access, and calls in full ------------------------------
+
+ALL_ACCESS = f"""
+    WITH p AS ({SKILL_MATCH}), d AS (
+      SELECT session, path, CAST(sum(reads) AS BIGINT) AS reads, CAST(sum(edits) AS BIGINT) AS edits, CAST(sum(inj) AS BIGINT) AS injections, CAST(sum(chars) AS BIGINT) AS injected_chars, min(ts_ms) AS first_ts_ms
+      FROM (SELECT session, ts_ms, '/repo/d' || (k % 7) || '/f' || (k % 13) || '.py' AS path, CASE WHEN tool = 'Read' THEN 1 ELSE 0 END AS reads, CASE WHEN tool = 'Edit' THEN 1 ELSE 0 END AS edits, 0 AS inj, 0 AS chars
+              FROM calls WHERE tool IN ('Read', 'Edit')
+            UNION ALL SELECT session, ts_ms, path, 0, 0, 1, chars FROM {DOCS} d
+            UNION ALL SELECT e.session, e.ts_ms, '/skills/sk' || (e.k % 3) || '/SKILL.md', 0, 0, 1, e.k + 50 FROM p JOIN ev e ON e.session = p.session AND e.line = p.body_line
+            UNION ALL SELECT session, ts_ms, '/b/f' || (k % 11) || '.txt', 1, 0, 0, 0 FROM ev WHERE event_type = 'click'
+            UNION ALL SELECT session, ts_ms, 'src/g' || (k % 6) || '.py', 0, 1, 0, 0 FROM ev WHERE event_type = 'error') x GROUP BY session, path)
+    SELECT * FROM d"""
+
+
+@query("file_access_all", ALL_ACCESS, "calls ev")
+def _(t):
+    k = F.col("k")
+    documents = files.injected_documents(doc_texts(t)).unionByName(skills.body_documents(skills.match_bodies(*skill_inputs(t), chunk_rows=1024)))
+    keys = ["session", "thread", "line", "ts_ms"]
+    commands = t.ev.where("event_type = 'click'").select(*keys, F.concat(F.lit("cat f"), (k % 11).cast("string"), F.lit(".txt")).alias("command"), F.lit("/b").alias("cwd"))
+    patches = t.ev.where("event_type = 'error'").select(*keys, F.concat(F.lit("*** Begin Patch\n*** Update File: src/g"), (k % 6).cast("string"), F.lit(".py\n@@\n-a\n+b\n*** End Patch")).alias("patch"))
+    return files.file_access(files.all_touches(t.calls, documents, commands, patches)).drop("first_main_line", "threads")
+
+
+@query(
+    "call_details",
+    f"""SELECT c.session, c.call_id, c.line, l.task_id, n.line AS note_line, n.status AS note_status, n.exit_code FROM calls c
+        LEFT JOIN ({LAUNCHES} l JOIN {NOTES} n USING (session, task_id)) ON l.session = c.session AND l.call_id = c.call_id""",
+    "calls ev",
+)
+def _(t):
+    launched, notes = task_inputs(t)
+    return timeline.call_details(t.calls, notes, launched).select("session", "call_id", "line", "task_id", "note_line", "note_status", "exit_code")

@@ -3,9 +3,10 @@
 from pyspark.sql import functions as F
 
 from ..functions import models, repo, text
-from ..plans import insight, items, learnings, overview, percentile, trends
+from ..plans import briefing, insight, items, learnings, overview, percentile, trends
 from .q_shell import OPPORTUNITIES, rows
 from ..operators import opportunities as opp
+from ..operators import search
 from ..operators import shell_usage, usage
 from ..session import stored
 from .registry import query
@@ -680,3 +681,59 @@ def _(t):
 )
 def _(t):
     return t.items.select("session", text.payload_tokens(F.struct("session", "k")).alias("tokens"))
+
+
+# Composed reports ------------------------------------------------------------
+
+RECENT = f"(SELECT session FROM keyed_items WHERE started_ms >= {NOW - DAYS * 86_400_000})"
+WINS = """(SELECT * FROM (SELECT coalesce(model, '(unknown model)') AS model, count(*) AS launches, count(*) FILTER (event_type <> 'error') / count(*) AS success_rate FROM ev GROUP BY ALL) x WHERE success_rate > 0)"""
+KNOWN = "(SELECT * FROM ledger WHERE finding IS NOT NULL)"
+RANKED_WASTE = f"""(SELECT *, row_number() OVER (ORDER BY impact_usd DESC NULLS LAST, tier, session_cost DESC NULLS LAST, session, class, title) AS rank FROM {WASTE} w WHERE session IN {RECENT})"""
+
+
+@query(
+    "briefing",
+    f"""
+    WITH c AS (SELECT * FROM {SUMMARY} a WHERE w = 'current'), p AS (SELECT * FROM {SUMMARY} b WHERE w = 'previous'), rows AS (
+    SELECT 'summary' AS section, r AS rank, label, amount FROM (SELECT unnest([
+        {{'r': 1, 'label': 'current_cost', 'amount': c.cost}}, {{'r': 2, 'label': 'current_sessions', 'amount': c.sessions}}, {{'r': 3, 'label': 'current_cache_hit_rate', 'amount': c.chr}},
+        {{'r': 4, 'label': 'current_sub_cost_share', 'amount': c.scs}}, {{'r': 5, 'label': 'cost_pct', 'amount': (c.cost - p.cost) / p.cost * 100}},
+        {{'r': 6, 'label': 'sessions_pct', 'amount': (c.sessions - p.sessions) / p.sessions * 100}}, {{'r': 7, 'label': 'cache_hit_rate_pts', 'amount': (c.chr - p.chr) * 100}},
+        {{'r': 8, 'label': 'sub_cost_share_pts', 'amount': (c.scs - p.scs) * 100}}], recursive := true) FROM c, p) s
+    UNION ALL SELECT 'archetypes', NULL, archetype, count(*) FROM {SHAPED} s WHERE session IN {RECENT} GROUP BY archetype
+    UNION ALL SELECT 'context_warnings', NULL, 'sessions', count(*) FILTER (warn) FROM {SHAPED} s WHERE session IN {RECENT}
+    UNION ALL SELECT 'waste_totals', NULL, 'waste_usd', sum(impact_usd) FROM {RANKED_WASTE} w
+    UNION ALL SELECT 'waste_totals', NULL, 'waste_items', count(*) FROM {RANKED_WASTE} w
+    UNION ALL SELECT 'waste_totals', NULL, 'waste_share', sum(impact_usd) / (SELECT cost FROM c) FROM {RANKED_WASTE} w
+    UNION ALL SELECT 'waste', rank, session || ' ' || class || ' ' || title, impact_usd FROM {RANKED_WASTE} w WHERE rank <= 5
+    UNION ALL SELECT 'wins', row_number() OVER (ORDER BY launches DESC, model) AS n, model, success_rate FROM {WINS} w QUALIFY n <= 3
+    UNION ALL SELECT 'learnings', NULL, status, count(*) FROM {KNOWN} k GROUP BY status
+    UNION ALL SELECT 'recent_learnings', row_number() OVER (ORDER BY created_ms DESC, id) AS n, id, NULL FROM {KNOWN} k QUALIFY n <= 5
+    UNION ALL SELECT 'daily_costs', NULL, day, cost FROM ({BUCKETS}) b
+    UNION ALL SELECT 'top_sessions', row_number() OVER (ORDER BY total_cost DESC, session) AS n, session, total_cost FROM {WINDOWED} q WHERE w = 'current' QUALIFY n <= 5
+    UNION ALL SELECT 'cut', 5, 'waste', count(*) AS n FROM {RANKED_WASTE} w HAVING count(*) > 5
+    UNION ALL SELECT 'cut', 3, 'wins', count(*) FROM {WINS} w HAVING count(*) > 3
+    UNION ALL SELECT 'cut', 5, 'recent_learnings', count(*) FROM {KNOWN} k HAVING count(*) > 5)
+    SELECT section, CAST(rank AS BIGINT) AS rank, label, round(CAST(amount AS DOUBLE), 5) AS amount FROM rows
+    """,
+    "keyed_items item_models items ledger ev",
+)
+def _(t):
+    launches = t.ev.select("model", F.when(F.col("event_type") != "error", F.lit("completed")).otherwise(F.lit("failed")).alias("status"), F.col("k").alias("returned_chars"), F.lit(None).cast("double").alias("cost"))
+    return tidy(briefing.briefing(t.keyed_items, waste(t), insight.wins(launches), t.ledger, NOW, ZONE, DAYS), 5, "amount")
+
+
+@query(
+    "text_patterns",
+    """
+    WITH h AS (SELECT 'c' || conv_id AS session, conv_id * 13 % 101 AS started_ms, turn, role, text FROM conversations WHERE contains(lower(text), 'th'))
+    SELECT row_number() OVER (ORDER BY started_ms DESC, session, turn) AS rank, session, role AS field, (SELECT count(*) FROM h) AS total FROM h QUALIFY rank <= 10
+    """,
+)
+def _(t):
+    conv = t.raw("conversations")
+    fields = conv.select(
+        F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session"), F.lit("main").alias("thread"), F.col("turn").alias("line"), F.lit(None).cast("bigint").alias("ts_ms"),
+        F.lit(0).alias("ord"), F.col("role").alias("field"), "text", F.lit(None).cast("string").alias("tool"))
+    started = conv.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session"), F.lit("x").alias("source"), (F.col("conv_id") * 13 % 101).alias("started_ms")).distinct()
+    return briefing.text_patterns(search.matches(fields, "th").join(started, "session")).select("rank", "session", "field", "total")

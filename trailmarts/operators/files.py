@@ -125,6 +125,27 @@ def injection_touches(documents: DataFrame) -> DataFrame:
     )
 
 
+def _named(rows: DataFrame, paths, kind: str) -> DataFrame:
+    """One touch per path of an array, a read or an edit."""
+    one = {c: F.lit(int(c == kind)).cast("bigint") for c in ("reads", "edits", "injections")}
+    return rows.select("session", "thread", "line", "ts_ms", F.explode(paths).alias("path"), *(v.alias(c) for c, v in one.items()), F.lit(0).cast("bigint").alias("injected_chars"))
+
+
+def command_touches(commands: DataFrame) -> DataFrame:
+    """Files read by shell commands of format B (session, thread, line, ts_ms, command, cwd)."""
+    return _named(commands, read_paths(F.col("command"), F.col("cwd")), "reads")
+
+
+def patch_touches(patches: DataFrame) -> DataFrame:
+    """Files changed by patches of format B (session, thread, line, ts_ms, patch)."""
+    return _named(patches, patch_paths(F.col("patch")), "edits")
+
+
+def all_touches(calls: DataFrame, documents: DataFrame, commands: DataFrame, patches: DataFrame) -> DataFrame:
+    """Touches of every source: file tools, injected documents and skill bodies, commands and patches of format B."""
+    return call_touches(calls).unionByName(injection_touches(documents)).unionByName(command_touches(commands)).unionByName(patch_touches(patches))
+
+
 def file_access(touches: DataFrame) -> DataFrame:
     """Reads, edits, injections and the earliest touch per session and path over all threads."""
     main = F.col("thread") == tools.MAIN

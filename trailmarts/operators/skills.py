@@ -146,7 +146,10 @@ def linked_skills(user_messages: DataFrame, **chunking) -> DataFrame:
 
 def skill_documents(calls: DataFrame, meta_texts: DataFrame, **chunking) -> DataFrame:
     """The skill bodies as injected documents of file access."""
-    found = match_bodies(skill_calls(calls), skill_bodies(meta_texts), **chunking)
+    return body_documents(match_bodies(skill_calls(calls), skill_bodies(meta_texts), **chunking))
+
+
+def body_documents(found: DataFrame) -> DataFrame:
     return found.select(
         "session", F.lit("main").alias("thread"), F.col("body_line").alias("line"), F.col("body_ts_ms").alias("ts_ms"),
         F.concat("base_path", F.lit("/SKILL.md")).alias("path"), F.col("body_chars").alias("chars"),

@@ -145,7 +145,12 @@ def record_detail(rec: DataFrame, session: str, line: int) -> DataFrame:
 
 def call_detail(calls: DataFrame, notes: DataFrame, launched: DataFrame, session: str, call_id: str) -> DataFrame:
     """One call in full with the notifications about its background task."""
-    one = tools.with_status(calls.where((F.col("session") == session) & (F.col("call_id") == call_id)))
+    return call_details(calls.where((F.col("session") == session) & (F.col("call_id") == call_id)), notes, launched)
+
+
+def call_details(calls: DataFrame, notes: DataFrame, launched: DataFrame) -> DataFrame:
+    """Calls in full, once for each notification about their background task."""
+    one = tools.with_status(calls)
     about = launched.select("session", "call_id", "task_id").join(
         notes.select("session", "task_id", F.col("line").alias("note_line"), F.col("status").alias("note_status"), "exit_code"), ["session", "task_id"])
     return one.join(about, ["session", "call_id"], "left")
