@@ -6,7 +6,9 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from trailmarts.operators import forest, policy, skills, timeline, trace
+from trailmarts.functions import jsonx, ordered
+from trailmarts.operators import forest, policy, search, skills, timeline, trace
+from trailmarts.plans import learnings
 
 
 def greedy(calls, bodies):
@@ -77,6 +79,69 @@ def test_forest_drops_cycles_and_roots_orphans(spark):
     assert totals == {("s", "a"): 3, ("s", "b"): 2, ("s", "c"): 1, ("s", "o"): 1, ("t", "b"): 1}
 
 
+def test_forest_of_any_depth_and_nodes_below_cycles(spark):
+    deep = [("s", f"n{i}", f"n{i - 1}" if i else None) for i in range(100)]
+    ring = [("s", f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("s", f"t{i}", f"t{i - 1}" if i else "r3") for i in range(9)] + [("s", "self", "self"), ("s", "below", "self")]
+    nodes = spark.createDataFrame(deep + ring, "session string, agent string, parent string")
+    grown = forest.grow(nodes)
+    got = {r.agent: (r.depth, r.path) for r in grown.collect()}
+    assert got == {f"n{i}": (i, [f"n{j}" for j in range(i + 1)]) for i in range(100)}
+    assert {r.agent for r in forest.unreached(nodes, grown).collect()} == {a for _, a, _ in ring}
+
+
+def test_chunks_of_a_session_go_to_tasks_of_their_own(spark):
+    """After a join on the session, the chunk windows must still get an exchange by session and chunk."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.enabled": "false"}
+    old = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        base = spark.range(100).selectExpr("'s' session", "id line", "1L v")
+        joined = base.join(base.select("session").distinct(), "session")
+        plan = ordered.running(joined, ["session"], "line", {"n": ("sum", F.col("v"))}, chunk_rows=10)._jdf.queryExecution().executedPlan().toString()
+        points = joined.selectExpr("session", "line + 1 AS idx", "line AS context")
+        walk = policy.compacted(points, 50, chunk_points=10)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert "REPARTITION_BY_COL" in plan
+    assert walk.count("REPARTITION_BY_COL") == 2 and walk.count("FlatMapGroupsInPandas") >= 3
+
+
+def test_pieces_of_a_chunk_equal_its_walk():
+    import numpy as np
+    import pandas as pd
+
+    rng = np.random.default_rng(1)
+    for n, top, base in ((1, 50, 10), (40, 60, 20), (300, 30, 5), (200, 10, 40)):
+        ctx = np.maximum(1, 20 + rng.integers(-30, 40, n).cumsum() % 200)
+        table = policy._pieces(pd.DataFrame({"session": "s", "chunk": 0, "idx": range(n), "context": ctx, "base": base, "top": top}))
+        assert len(table) <= n + 2
+        for offset in range(-10, 260, 3):
+            row = table[table["from_offset"] <= offset].iloc[-1]
+            assert (offset if pd.isna(row["to_offset"]) else row["to_offset"]) == policy._walk(ctx, offset, base, top)
+
+
+def test_gate_keeps_escaped_lines(spark):
+    lines = spark.createDataFrame([(r'{"t":"caf\u00e9"}',), (r'{"t":"a\/b"}',), ('{"t":"plain needle"}',), ('{"t":"none"}',)], "text string")
+    assert [len(search.gate(lines, q).collect()) for q in ("café", "a/b", "needle", "")] == [4, 4, 2, 0]
+
+
+def test_deep_values_are_found(spark):
+    text = '{"a":' * 30 + '["deep", 1]' + "}" * 30
+    df = spark.createDataFrame([(text,), ('"flat"',), ("[]",)], "text string").select(search.flat_text(jsonx.parse(F.col("text"))).alias("flat"))
+    assert [r.flat for r in df.collect()] == ["deep\n1", "flat", ""]
+
+
+def test_ids_take_free_suffixes_in_order(spark):
+    day = 1_700_000_000_000
+    findings = spark.createDataFrame([(day + i, "same thing") for i in range(6)], "created_ms bigint, finding string")
+    first = "L-20231114-same-thing"
+    taken = spark.createDataFrame([(first,), (f"{first}-3",), (f"{first}-4",), (f"{first}-9",), ("other",)], "id string")
+    got = {r.created_ms - day: r.id for r in learnings.new_ids(findings, taken).collect()}
+    assert got == {i: f"{first}-{n}" for i, n in enumerate((2, 5, 6, 7, 8, 10))}
+
+
 def test_trace_places_loose_events(spark):
     trace_rows = [("s", 10, 100), ("s", 20, 90), ("s", 30, 200), ("s", 40, None), ("s", None, 50), ("s", None, 150), ("s", None, 300), ("s", None, None), ("t", None, 5)]
     df = spark.createDataFrame(trace_rows, "session string, line bigint, ts_ms bigint").withColumn("name", F.lit("n"))

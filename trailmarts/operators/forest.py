@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio_or_null, span_ms
 from ..functions.ordered import earliest
-from ..functions.skew import hot_keys, salted_join
+from ..functions.skew import salted_join
 from ..session import stored
 from .tasks import launch_outcomes
 
@@ -81,38 +81,27 @@ def thread_status(linked: DataFrame, launched: DataFrame, notes: DataFrame, runs
 def grow(nodes: DataFrame) -> DataFrame:
     """Add ``root``, ``depth`` and ``path`` (root to node) to the nodes of a forest.
 
-    Levels are joined one after another and each is written to the shared
-    folder, so plans stay short; the forest may have any depth. Every node has
-    one parent, hence appears once; nodes on or below a cycle are never
-    reached, and ``unreached`` lists them. A node whose parent is unknown is a
-    root. Children of one busy parent are spread by salting; the busy parents
-    are found once.
+    Each node knows a stretch of its path and the ancestor above it; a round
+    puts the ancestor's stretch in front, so stretches double and a forest of
+    any depth takes few rounds, each written to the shared folder. Nodes on or
+    below a cycle meet their ancestor in their own path and drop out;
+    ``unreached`` lists them. A node whose parent is unknown is a root. Nodes
+    below one busy ancestor are spread by salting.
     """
     keys = ["session", "agent"]
     ids = nodes.select("session", F.col("agent").alias("parent"), F.lit(True).alias("__known"))
-    base = stored(
+    start = stored(
         nodes.select("session", "agent", "parent").join(ids.distinct(), ["session", "parent"], "left")
-        .select("session", "agent", F.when(F.col("__known"), F.col("parent")).alias("parent")), "forest",
-    )
-    level = stored(
-        base.where("parent IS NULL").select(
-            *keys, F.col("agent").alias("root"), F.lit(0).alias("depth"), F.array("agent").alias("path")), "forest",
-    )
-    levels = [level]
-    rest = base.where("parent IS NOT NULL")
-    busy = stored(hot_keys(rest, ["session", "parent"]), "forest")
-    while True:
-        above = level.select("session", F.col("agent").alias("parent"), "root", "depth", "path")
-        level = stored(
-            salted_join(rest, above, ["session", "parent"], "inner", spread=F.xxhash64("agent"), hot=busy)
-            .select(*keys, "root", (F.col("depth") + 1).alias("depth"), F.concat("path", F.array("agent")).alias("path")), "forest",
-        )
-        if level.isEmpty():
-            break
-        levels.append(level)
-    grown = levels[0]
-    for more in levels[1:]:
-        grown = grown.unionByName(more)
+        .select(*keys, F.when(F.col("__known") & (F.col("parent") != F.col("agent")), F.col("parent")).alias("up"), (F.col("__known") & (F.col("parent") == F.col("agent"))).alias("own"), F.array("agent").alias("path")), "forest",
+    )
+    start = start.where(~F.coalesce("own", F.lit(False))).drop("own")
+    done, rest = start.where("up IS NULL"), start.where("up IS NOT NULL")
+    while not rest.isEmpty():
+        above = done.unionByName(rest).select("session", F.col("agent").alias("up"), F.col("up").alias("next"), F.col("path").alias("front"))
+        longer = salted_join(rest, above, ["session", "up"], "inner", spread=F.xxhash64("agent")).select(*keys, F.col("next").alias("up"), F.concat("front", "path").alias("path"))
+        longer = stored(longer.where("up IS NULL OR NOT array_contains(path, up)"), "forest")
+        done, rest = done.unionByName(longer.where("up IS NULL")), longer.where("up IS NOT NULL")
+    grown = done.select(*keys, F.get("path", F.lit(0)).alias("root"), (F.size("path") - 1).alias("depth"), "path")
     return nodes.drop("root", "depth", "path").join(grown, keys)
 
 
