@@ -65,27 +65,39 @@ def routed(lines: DataFrame) -> DataFrame:
     return parsed(lines).withColumn("session", F.when(unsafe, F.lit(UNASSIGNED)).otherwise(clean))
 
 
+def _event(r: Column, attrs: Column) -> Column:
+    return F.coalesce(attribute(attrs, "event.name"), jsonx.string_at(r, "$.body.stringValue"), F.lit("__unknown"))
+
+
+def _number(attrs: Column, key: str) -> Column:
+    return attribute(attrs, key).try_cast("double")
+
+
+def _metric(m: Column) -> Column:
+    return F.coalesce(jsonx.string_at(m, "$.name"), F.lit("__unknown"))
+
+
+def _total(m: Column) -> Column:
+    """Sum of a metric's data points."""
+    value = lambda p: F.coalesce(
+        F.try_variant_get(p, "$.asDouble", "double"), F.try_variant_get(p, "$.asInt", "string").try_cast("double"), F.try_variant_get(p, "$.sum", "double"))
+    return F.aggregate(F.transform(_points(m), value), F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
+
+
 def log_events(lines: DataFrame) -> DataFrame:
     """One row per log record of routed lines."""
-    r = F.col("r")
-    attrs = _items(r, "$.attributes")
-    each = lines.where("has_logs").select("session", "line", F.posexplode(_log_records(F.col("v"))).alias("pos", "r")).withColumn("a", attrs)
-    a = F.col("a")
+    r, a = F.col("r"), F.col("a")
+    each = lines.where("has_logs").select("session", "line", F.posexplode(_log_records(F.col("v"))).alias("pos", "r")).withColumn("a", _items(r, "$.attributes"))
     return each.select(
-        "session", "line", "pos", F.coalesce(attribute(a, "event.name"), jsonx.string_at(r, "$.body.stringValue"), F.lit("__unknown")).alias("event"),
-        (F.try_variant_get(r, "$.timeUnixNano", "decimal(38,0)") / 1_000_000).cast("bigint").alias("ts_ms"),
-        attribute(a, "cost_usd").try_cast("double").alias("cost_usd"), attribute(a, "duration_ms").try_cast("double").alias("duration_ms"),
+        "session", "line", "pos", _event(r, a).alias("event"), (F.try_variant_get(r, "$.timeUnixNano", "decimal(38,0)") / 1_000_000).cast("bigint").alias("ts_ms"),
+        _number(a, "cost_usd").alias("cost_usd"), _number(a, "duration_ms").alias("duration_ms"),
         attribute(a, "tool_name").alias("tool_name"), attribute(a, "decision").alias("decision"), attribute(a, "source").alias("decision_source"),
     )
 
 
 def metric_points(lines: DataFrame) -> DataFrame:
     each = lines.where("has_metrics").select("session", "line", F.posexplode(_metrics(F.col("v"))).alias("pos", "m"))
-    m = F.col("m")
-    value = lambda p: F.coalesce(
-        F.try_variant_get(p, "$.asDouble", "double"), F.try_variant_get(p, "$.asInt", "string").try_cast("double"), F.try_variant_get(p, "$.sum", "double"))
-    total = F.aggregate(F.transform(_points(m), value), F.lit(0.0), lambda acc, x: acc + F.coalesce(x, F.lit(0.0)))
-    return each.select("session", "line", "pos", F.coalesce(jsonx.string_at(m, "$.name"), F.lit("__unknown")).alias("metric"), total.alias("value"))
+    return each.select("session", "line", "pos", _metric(F.col("m")).alias("metric"), _total(F.col("m")).alias("value"))
 
 
 def _is_cost(name: Column) -> Column:
@@ -97,24 +109,39 @@ def _is_hook(name: Column) -> Column:
 
 
 def session_stats(lines: DataFrame) -> DataFrame:
-    """Requests, cost, durations and payload counts per session; event costs beat the cost metric."""
-    payloads = lines.groupBy("session").agg(
-        F.count_if("has_logs").alias("log_payloads"), F.count_if("has_metrics").alias("metric_payloads"),
-        F.count_if(~F.col("has_logs") & ~F.col("has_metrics")).alias("malformed_lines"))
-    request = F.col("event") == "api_request"
-    cost, took = F.when(request, F.col("cost_usd")), F.when(request, F.col("duration_ms"))
-    known = request | F.col("event").isin("tool_decision", "mcp_server_connection") | _is_hook(F.col("event"))
-    logs = log_events(lines).groupBy("session").agg(
+    """Requests, cost, durations and payload counts per session; event costs beat the cost metric.
+
+    Each line gives one row for itself and one for each of its records and
+    metrics, so it is parsed once and one aggregate makes all figures.
+    """
+    kind, x, a = F.col("kind"), F.col("x"), F.col("a")
+
+    def part(name: str, items: Column) -> Column:
+        return F.transform(items, lambda item: F.struct(F.lit(name).alias("kind"), item.alias("x")))
+
+    own = F.array(F.struct(F.lit("line").alias("kind"), F.lit(None).cast("variant").alias("x")))
+    each = lines.select("session", "has_logs", "has_metrics", F.explode(F.concat(own, part("log", _log_records(F.col("v"))), part("metric", _metrics(F.col("v"))))).alias("p"))
+    each = each.select("session", "has_logs", "has_metrics", "p.kind", "p.x").withColumn("a", F.when(kind == "log", _items(x, "$.attributes")))
+    log, metric = kind == "log", kind == "metric"
+    rows = jsonx.computed_once(each.select("session", "has_logs", "has_metrics", "kind", "x", "a"), {
+        "event": F.when(log, _event(x, a)), "cost": F.when(log, _number(a, "cost_usd")), "took": F.when(log, _number(a, "duration_ms")),
+        "metric": F.when(metric, _metric(x)), "value": F.when(metric, _total(x)),
+    })
+    line, event = kind == "line", F.col("event")
+    request = log & (event == "api_request")
+    cost, took = F.when(request, F.col("cost")), F.when(request, F.col("took"))
+    known = request | event.isin("tool_decision", "mcp_server_connection") | _is_hook(event)
+    paid = _is_cost(F.col("metric"))
+    return rows.groupBy("session").agg(
+        F.count_if(line & F.col("has_logs")).alias("log_payloads"), F.count_if(line & F.col("has_metrics")).alias("metric_payloads"),
+        F.count_if(line & ~F.col("has_logs") & ~F.col("has_metrics")).alias("malformed_lines"),
         F.count_if(request).alias("requests"), F.sum(cost).alias("__events"), F.count(took).alias("durations"), F.sum(took).alias("duration_sum"),
         F.min(took).alias("duration_min"), F.max(took).alias("duration_max"), F.avg(took).alias("duration_avg"),
-        F.count_if(F.col("event") == "tool_decision").alias("decisions"), F.count_if(F.col("event") == "mcp_server_connection").alias("mcp_events"),
-        F.count_if(_is_hook(F.col("event"))).alias("hook_events"), F.count_if(~known).alias("other_events"))
-    paid = _is_cost(F.col("metric"))
-    metrics = metric_points(lines).groupBy("session").agg(
-        F.sum(F.when(paid, F.col("value"))).alias("__metric"), F.count_if(~paid).alias("other_metrics"))
-    zero = ["requests", "durations", "decisions", "mcp_events", "hook_events", "other_events", "other_metrics"]
-    return payloads.join(logs, "session", "left").join(metrics, "session", "left").withColumns({
-        **{c: F.coalesce(c, F.lit(0)) for c in zero}, "cost_usd": F.coalesce("__events", "__metric", F.lit(0.0)),
+        F.count_if(event == "tool_decision").alias("decisions"), F.count_if(event == "mcp_server_connection").alias("mcp_events"),
+        F.count_if(_is_hook(event)).alias("hook_events"), F.count_if(log & ~known).alias("other_events"),
+        F.sum(F.when(metric & paid, F.col("value"))).alias("__metric"), F.count_if(metric & ~paid).alias("other_metrics"),
+    ).withColumns({
+        "cost_usd": F.coalesce("__events", "__metric", F.lit(0.0)),
         "cost_source": F.when(F.col("__events").isNotNull(), F.lit("api_request_events")).when(F.col("__metric").isNotNull(), F.lit("cost_metric")).otherwise(F.lit("none")),
     }).drop("__events", "__metric")
 
