@@ -366,11 +366,11 @@ def _(t):
 
 @query(
     "record_detail",
-    "SELECT session, event_id * 4 + 1 AS line, 'assistant' AS type FROM ev WHERE event_type IN ('view', 'click') AND k % 3 = 0",
+    "SELECT session, event_id * 4 + 1 AS line, 'assistant' AS type FROM ev WHERE event_type IN ('view', 'click')",
     "ev",
 )
 def _(t):
-    wanted = t.ev.where("event_type IN ('view', 'click') AND k % 3 = 0").select("session", (F.col("event_id") * 4 + 1).alias("line"))
+    wanted = t.ev.where("event_type IN ('view', 'click')").select("session", (F.col("event_id") * 4 + 1).alias("line"))
     return rec_a(t).join(wanted, ["session", "line"], "left_semi").select("session", "line", "type")
 
 
