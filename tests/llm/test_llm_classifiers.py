@@ -16,7 +16,7 @@ def test_pairs_are_learnt_that_no_sum_of_weights_can_tell():
         insult, group = rng.random() < 0.5, rng.random() < 0.5
         rows.append(np.unique(np.r_[rng.integers(100, 400, 8), [1] * insult, [2] * group, [3] * (not insult), [4] * (not group)]).astype(np.int64))
         labels.append(float(insult and group))
-    machine = toxicity.fit(rows[:2400], np.array(labels[:2400]))
+    machine = toxicity.fit(np.cumsum([0, *map(len, rows[:2400])]), np.concatenate(rows[:2400]), np.array(labels[:2400]))
     offsets = np.cumsum([0, *map(len, rows[2400:])])
     got = machine.score(offsets, np.concatenate(rows[2400:])) >= 0.5
     assert (got == np.array(labels[2400:], bool)).mean() > 0.99

@@ -27,11 +27,12 @@ from pyspark.sql import functions as F
 
 from .common import crc_fold, small_batches
 
-BUCKETS = 1 << 22
+BUCKETS = 1 << 28
 SAMPLE = 16_000  # labelled rows that the machine is fitted on at most
 TERMS = 4096
 FACTORS = 4
-EPOCHS = 12
+BATCH, RATE = 64, 0.3
+STEPS = 6000  # batches learnt from; fewer rows are gone over more often
 LEAST_ROWS = 3  # rows of the sample a term must occur in
 
 
@@ -69,34 +70,43 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(out, -30, 30)))
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
-    """Choose the terms by how far their share of toxic rows is from chance, then learn by gradient steps over small batches."""
+def fit(offsets: np.ndarray, hashes: np.ndarray, labels: np.ndarray, seed: int = 7) -> Machine:
+    """Choose the terms by how far their share of toxic rows is from chance, then learn by gradient steps over small batches.
+
+    Row i has the hashes from offsets[i] to before offsets[i + 1]. Toxic rows
+    are few, so each counts as the square root of the odds against it.
+    """
     n, positive = len(labels), float(labels.sum())
-    bias = float(np.log((positive + 0.5) / (n - positive + 0.5)))
-    flat = np.concatenate([np.empty(0, np.int64), *rows]).astype(np.int64)
-    ids, place = np.unique(flat, return_inverse=True)
-    if not len(ids) or not 0 < positive < n:
+    weight = max(1.0, np.sqrt((n - positive + 0.5) / (positive + 0.5))) if positive else 1.0
+    bias = float(np.log(weight * (positive + 0.5) / (n - positive + 0.5)))
+    if not len(hashes) or not 0 < positive < n:
         return Machine(np.empty(0, np.int64), bias, np.empty(0), np.empty((0, FACTORS)))
-    of_row = np.repeat(np.arange(n), [len(r) for r in rows])
-    seen = np.bincount(place, minlength=len(ids))
-    hit = np.bincount(place, labels[of_row], len(ids))
+    of_row = np.repeat(np.arange(n, dtype=np.int32), np.diff(offsets))
+    ids, seen = np.unique(hashes, return_counts=True)
+    toxic, counts = np.unique(hashes[labels[of_row] > 0], return_counts=True)
+    hit = np.zeros(len(ids))
+    hit[np.searchsorted(ids, toxic)] = counts
     share = positive / n
     gain = (hit - seen * share) ** 2 / (seen * share * (1 - share))
-    gain[seen < LEAST_ROWS] = -1
-    chosen = np.sort(np.argsort(-gain, kind="stable")[:TERMS])
-    chosen = chosen[gain[chosen] > 6.6]  # chi-square beyond the 1 % level
-    index = np.full(len(ids), -1)
-    index[chosen] = np.arange(len(chosen))
-    keep = index[place] >= 0
-    local, of_row = index[place][keep], of_row[keep]
+    gain[seen < LEAST_ROWS] = 0
+    best = np.argsort(-gain, kind="stable")[:TERMS]
+    chosen = np.sort(ids[best[gain[best] > 6.6]]).astype(np.int64)  # chi-square beyond the 1 % level
+    if not len(chosen):
+        return Machine(chosen, bias, np.empty(0), np.empty((0, FACTORS)))
+    parts = []
+    for at in range(0, len(hashes), 1 << 20):  # terms that were not chosen go
+        place = np.minimum(np.searchsorted(chosen, hashes[at:at + (1 << 20)]), len(chosen) - 1)
+        known = np.flatnonzero(chosen[place] == hashes[at:at + (1 << 20)])
+        parts.append((place[known].astype(np.int32), of_row[at + known]))
+    local, of_row = (np.concatenate(x) for x in zip(*parts, strict=True))
     starts = np.searchsorted(of_row, np.arange(n + 1))
     rng = np.random.default_rng(seed)
     w, v = np.zeros(len(chosen)), rng.normal(0, 0.01, (len(chosen), FACTORS))
     gw, gv, gb = np.full(len(chosen), 1e-6), np.full(v.shape, 1e-6), 1e-6
-    for _ in range(EPOCHS):
+    for _ in range(-(-STEPS * BATCH // n)):
         order = rng.permutation(n)
-        for at in range(0, n, 64):
-            batch = order[at:at + 64]
+        for at in range(0, n, BATCH):
+            batch = order[at:at + BATCH]
             sizes = starts[batch + 1] - starts[batch]
             where = np.repeat(starts[batch], sizes) + np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
             t, r = local[where], np.repeat(np.arange(len(batch)), sizes)
@@ -104,20 +114,20 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, seed: int = 7) -> Machine:
             np.add.at(sums, r, v[t])
             squares = np.bincount(r, (v[t] ** 2).sum(1), len(batch))
             raw = bias + np.bincount(r, w[t], len(batch)) + 0.5 * ((sums ** 2).sum(1) - squares)
-            error = 1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[batch]
+            error = (1 / (1 + np.exp(-np.clip(raw, -30, 30))) - labels[batch]) * np.where(labels[batch] > 0, weight, 1.0)
             # AdaGrad with weight decay, on the terms of this batch
             gb += error.sum() ** 2
-            bias -= 0.1 * error.sum() / np.sqrt(gb)
+            bias -= RATE * error.sum() / np.sqrt(gb)
             used, back = np.unique(t, return_inverse=True)
             dw = np.bincount(back, error[r], len(used)) + 1e-3 * w[used]
             gw[used] += dw ** 2
-            w[used] -= 0.1 * dw / np.sqrt(gw[used])
+            w[used] -= RATE * dw / np.sqrt(gw[used])
             dv = np.zeros((len(used), FACTORS))
             np.add.at(dv, back, error[r, None] * (sums[r] - v[t]))
             dv += 1e-2 * v[used]
             gv[used] += dv ** 2
-            v[used] -= 0.02 * dv / np.sqrt(gv[used])
-    return Machine(ids[chosen], bias, w, v)
+            v[used] -= RATE / 5 * dv / np.sqrt(gv[used])
+    return Machine(chosen, bias, w, v)
 
 
 def train(documents: DataFrame, labels: DataFrame, learn: Column, doc_id: str = "doc_id", text: str = "text", label: str = "toxic", sample: int = SAMPLE) -> Machine:
@@ -132,9 +142,9 @@ def train(documents: DataFrame, labels: DataFrame, learn: Column, doc_id: str =
     # the broadcast side has at most ``sample`` rows of two numbers
     taken = texts.join(F.broadcast(marked), "doc_id").select("doc_id", "label", terms(F.col("text")).alias("terms"))
     found = taken.groupBy("doc_id").agg(F.min("label").alias("label"), F.min("terms").alias("terms")).orderBy("doc_id")
-    table = found.toArrow()
-    rows = [np.asarray(x, np.int64) for x in table.column("terms").to_pylist()]
-    return fit(rows, table.column("label").to_numpy().astype(np.float64))
+    table = found.toArrow().combine_chunks()
+    lists = table.column("terms").combine_chunks() if table.num_rows else pa.array([], pa.list_(pa.int32()))
+    return fit(lists.offsets.to_numpy(), lists.values.to_numpy(), table.column("label").to_numpy().astype(np.float64))
 
 
 def scored(texts: DataFrame, machine: Machine) -> DataFrame:
