@@ -14,7 +14,7 @@ SOME = [
     "turn_usage", "turn_groups", "file_access", "directory_totals", "skill_bodies", "task_executions", "thread_status", "subtree_totals", "compaction_policy", "eviction_marginals",
     "session_titles", "overview_totals", "shell_percentile", "trend_buckets", "trend_summary", "waste_ranking", "learning_upsert", "learning_review", "prompts_a", "search_transcripts",
     "timeline_a", "trace_order", "rollout_turns", "rollout_calls", "otlp_session_stats", "stream_counter_deltas", "stream_live_periods", "briefing", "text_patterns", "file_access_all",
-    "call_details", "return_stats", "tree_build", "learning_ids", "trend_spikes", "record_detail", "call_page",
+    "call_details", "text_summaries", "input_summaries", "repo_names", "return_stats", "tree_build", "learning_ids", "trend_spikes", "record_detail", "call_page",
 ]
 NAMES = list(entry.queries()) if os.environ.get("FULL_CHECK") else SOME
 

@@ -185,14 +185,16 @@ def _(t):
 
 @query(
     "repo_names",
-    """SELECT 'd' || n AS name, count(p) AS candidates, CASE WHEN count(p) = 1 THEN min(p) END AS repo FROM (SELECT DISTINCT k AS n FROM ev) a
-       LEFT JOIN (SELECT DISTINCT k % 40 AS m, '/r' || (k % 3) || '/d' || (k % 40) AS p FROM ev) b ON m = n GROUP BY n""",
+    """SELECT 'd' || n AS name, count(p) AS candidates, CASE WHEN count(p) = 1 THEN min(p) END AS repo, coalesce(string_agg(p, ',' ORDER BY p), '') AS roots FROM (SELECT DISTINCT k AS n FROM ev) a
+       LEFT JOIN (SELECT DISTINCT k % 40 AS m, '/r' || (k % 3) || '/d' || (k % 40) AS p FROM ev) b ON m = n GROUP BY n
+       UNION ALL SELECT DISTINCT '/r' || (k % 3) || '/d' || (k % 40), 0, '/r' || (k % 3) || '/d' || (k % 40), '' FROM ev""",
     "ev",
 )
 def _(t):
     k = F.col("k")
     roots = t.ev.select(F.concat(F.lit("/r"), (k % 3).cast("string"), F.lit("/d"), (k % 40).cast("string")).alias("repo_root"))
-    return repo.resolve_name(roots, t.ev.select(F.concat(F.lit("d"), k.cast("string")).alias("name")))
+    names = t.ev.select(F.concat(F.lit("d"), k.cast("string")).alias("name")).unionByName(roots.select(F.col("repo_root").alias("name")))
+    return repo.resolve_name(roots, names).withColumn("roots", F.array_join("roots", ","))
 
 
 @query(
@@ -737,3 +739,31 @@ def _(t):
         F.lit(0).alias("ord"), F.col("role").alias("field"), "text", F.lit(None).cast("string").alias("tool"))
     started = conv.select(F.concat(F.lit("c"), F.col("conv_id").cast("string")).alias("session"), F.lit("x").alias("source"), (F.col("conv_id") * 13 % 101).alias("started_ms")).distinct()
     return briefing.text_patterns(search.matches(fields, "th").join(started, "session")).select("rank", "session", "field", "total")
+
+
+# Texts for display -----------------------------------------------------------
+
+ONE_LINE = "trim(regexp_replace(text, '\\s+', ' ', 'g'))"
+
+
+@query(
+    "text_summaries",
+    f"""SELECT doc_id, CASE WHEN length(s) > 160 THEN left(s, 160) || '…' ELSE s END AS summary, CASE WHEN text = '' THEN 0 ELSE length(text) - length(replace(text, chr(10), '')) + 1 END AS lines,
+        left(text, 4000) AS shown, length(text) > 4000 AS truncated, length(text) AS full_chars
+        FROM (SELECT *, CASE WHEN split_part(text, chr(10), 1) <> '' THEN split_part(text, chr(10), 1) ELSE {ONE_LINE} END AS s FROM documents) d""",
+)
+def _(t):
+    cut = text.capped(F.col("text"), 4000)
+    return t.raw("documents").select(
+        "doc_id", text.result_summary(F.col("text")).alias("summary"), text.line_count(F.col("text")).alias("lines"), cut["text"].alias("shown"), cut["truncated"].alias("truncated"), cut["full_chars"].alias("full_chars"))
+
+
+@query(
+    "input_summaries",
+    """SELECT session, call_id, CASE WHEN length(s) > 120 THEN left(s, 120) || '…' ELSE s END AS summary FROM (
+       SELECT session, call_id, trim(regexp_replace(coalesce(json_extract_string(input, '$.command'), json_extract_string(input, '$.file_path'), json_extract_string(input, '$.pattern'),
+         json_extract_string(input, '$.query'), input), '\\s+', ' ', 'g')) AS s FROM calls) c""",
+    "calls",
+)
+def _(t):
+    return t.calls.select("session", "call_id", text.input_summary(F.col("input")).alias("summary"))

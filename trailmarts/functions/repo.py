@@ -64,15 +64,15 @@ def basename(path: Column) -> Column:
     return F.element_at(F.split(F.regexp_replace(path, "/+$", ""), "/"), -1)
 
 
-def is_full_key(name: str) -> bool:
-    return name.startswith(("/", PROJECT_PREFIX, URL_PREFIX, CWD_PREFIX))
+def is_full_key(name: Column) -> Column:
+    return F.lit(False) | name.startswith("/") | name.startswith(PROJECT_PREFIX) | name.startswith(URL_PREFIX) | name.startswith(CWD_PREFIX)
 
 
 def resolve_name(roots: DataFrame, names: DataFrame) -> DataFrame:
-    """Map bare repository names to roots by last path part.
+    """Map bare repository names to roots by last path part; full keys stand for themselves.
 
     One row per name: ``repo`` when exactly one root matches, otherwise NULL,
-    with the number of candidates.
+    with the candidates in order and their number.
     """
     by_name = (
         roots.select("repo_root").distinct()
@@ -81,7 +81,8 @@ def resolve_name(roots: DataFrame, names: DataFrame) -> DataFrame:
     hits = names.select("name").distinct().join(by_name, "name", "left")
     return hits.groupBy("name").agg(
         F.count("repo_root").alias("candidates"),
-        F.when(F.count("repo_root") == 1, F.min("repo_root")).alias("repo"),
+        F.when(is_full_key(F.col("name")), F.col("name")).otherwise(F.when(F.count("repo_root") == 1, F.min("repo_root"))).alias("repo"),
+        F.sort_array(F.collect_list("repo_root")).alias("roots"),
     )
 
 
