@@ -21,9 +21,14 @@ LEAST_SCORE = 0.5  # of the language; less is no language that was learnt
 
 
 def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``gone`` (one column), all columns kept."""
+    """``docs`` without the ids in ``gone`` (one column), all columns kept.
+
+    The ids are written first: Spark then knows their size, and if they are few
+    sends them to the documents instead of shuffling all texts.
+    """
     name = "gone_" + "_".join(docs.columns)  # no column of the table is called that
-    return docs.join(gone.toDF(name), docs["doc_id"] == F.col(f"`{name}`"), "left_anti")
+    ids = stored(gone.select(F.col(gone.columns[0]).alias("doc_id")).where("doc_id IS NOT NULL"), "pipeline-gone").toDF(name)
+    return docs.join(ids, docs["doc_id"] == F.col(f"`{name}`"), "left_anti")
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
