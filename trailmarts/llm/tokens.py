@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-ENTRIES = 700_000  # pieces in each of a worker's two stores
+ENTRIES = 350_000  # pieces in each of a worker's two stores
 LONG = 64  # longer pieces are encoded but not kept
 TOGETHER = 4096  # pieces encoded in one call
-STEP_CHARS = 8_000_000  # bytes of text encoded in one step
+STEP_CHARS = 4_000_000  # bytes of text encoded in one step
 GAP = re.compile(r"(?<=\S) (?=\S)")
 #: White space that is not a single space or line break between words.
 ODD = "  |\n\n| \n|\n |^[ \n]|[ \n]$|[\t\x0b\x0c\r\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]"
