@@ -2,7 +2,8 @@
 
 Each stage takes (spark, docs, sf_dir) and returns a table that is written and
 read again as the next one's ``docs``. All but the last keep the columns of
-documents. Rows without id stay until they are packed.
+documents. Stages that drop rows judge each row on its own, by a key that is
+written with the rows first; ids may be null or shared by any rows.
 """
 
 from __future__ import annotations
@@ -20,34 +21,44 @@ from trailmarts.session import stored
 LEAST_SCORE = 0.5  # of the language; less is no language that was learnt
 
 
-def _without(docs: DataFrame, gone: DataFrame) -> DataFrame:
-    """``docs`` without the ids in ``gone`` (one column), all columns kept.
+def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a key of each row, and its name. They are written: every reader then sees the same keys."""
+    name = "row_key"
+    while name in {c.lower() for c in docs.columns}:
+        name += "_"
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "pipeline-keyed"), name
 
-    The ids are written first: Spark then knows their size, and if they are few
-    sends them to the documents instead of shuffling all texts.
+
+def _without(keyed: DataFrame, key: str, gone: DataFrame) -> DataFrame:
+    """``keyed`` without the rows whose keys are in ``gone`` (one column) and without the key, all other columns kept.
+
+    The keys that go are written first: Spark then knows their size, and if they
+    are few sends them to the documents instead of shuffling all texts.
     """
-    name = "gone_" + "_".join(docs.columns)  # no column of the table is called that
-    ids = stored(gone.select(F.col(gone.columns[0]).alias("doc_id")).where("doc_id IS NOT NULL"), "pipeline-gone").toDF(name)
-    return docs.join(ids, docs["doc_id"] == F.col(f"`{name}`"), "left_anti")
+    keys = stored(gone.toDF("gone"), "pipeline-gone").toDF(f"{key}_gone")
+    return keyed.join(keys, keyed[key] == keys[f"{key}_gone"], "left_anti").drop(key)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without letters, or of no language that was learnt, go."""
-    model = langid.train(docs, crc_fold("doc_id", 3) != 1)
-    found = langid.predicted(docs, model)
-    return _without(docs, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_SCORE)).select("doc_id"))
+    keyed, key = _keyed(docs)
+    model = langid.train(keyed, crc_fold("doc_id", 3) != 1)
+    found = langid.predicted(keyed, model, doc_id=key)
+    return _without(keyed, key, found.where((F.col("lang_pred") == langid.UNKNOWN) | (F.col("score") < LEAST_SCORE)).select("doc_id"))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each component of near-duplicates the document with the smallest id stays."""
-    found = simhash.near_duplicates(docs)
-    return _without(docs, found.where("doc_id <> component_id").select("doc_id"))
+    """Of each component of near-duplicates one row stays: of the smallest id (none comes last), then of the smallest hash of the row."""
+    keyed, key = _keyed(docs)
+    plain = [F.col(f"`{c}`") for c, kind in docs.dtypes if "map<" not in kind and kind != "variant"]  # what can be hashed
+    return _without(keyed, key, simhash.followers(keyed.withColumn(f"{key}_hash", F.xxhash64(*plain)), [f"{key}_hash", key]))
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents of which a benchmark passage is a twentieth or more go."""
-    found = decontam.report(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    return _without(docs, found.where("contaminated").select("doc_id"))
+    keyed, key = _keyed(docs)
+    found = decontam.report(keyed.select(F.col(key).alias("doc_id"), "text"), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+    return _without(keyed, key, found.where("contaminated").select("doc_id"))
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -64,16 +64,18 @@ def fingerprint(text: str | None, words: int = WORDS) -> int:
     return int(np.packbits(counts * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS) -> DataFrame:
-    """(doc_id, fp): the fingerprint as a signed long."""
+def fingerprints(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = WORDS, keep: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, fp) and the long columns in ``keep``: the fingerprint as a signed long."""
     small_batches(documents.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in slices(batches):
-            found = np.array([fingerprint(t, words) for _, t in part], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array(found)], names=["doc_id", "fp"])
+            found = np.array([fingerprint(t, words) for _, t, *_ in part], np.uint64).view(np.int64)
+            kept = [pa.array([r[2 + i] for r in part], pa.int64()) for i in range(len(keep))]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int64()), pa.array(found), *kept], names=["doc_id", "fp", *keep])
 
-    return documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(run, "doc_id long, fp long")
+    rows = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *keep)
+    return rows.mapInArrow(run, ", ".join(["doc_id long, fp long", *(f"`{c}` long" for c in keep)]))
 
 
 class Trees:
@@ -214,16 +216,28 @@ def components(edges: DataFrame) -> DataFrame:
     return now.select(F.col("u").alias("node"), F.col("v").alias("root")).union(now.select(F.col("v"), F.col("v")).distinct())
 
 
-def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
-    """(doc_id, fp, component_id): the smallest id that is reachable by links."""
-    marked = stored(fingerprints(documents, doc_id, text), "fingerprints")
-    first = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("first")), "codes")
+def _reached(marked: DataFrame, order: Column, radius: int, shard: int) -> DataFrame:
+    """``marked`` with ``least``: the smallest ``order`` that is reachable by links."""
+    first = stored(marked.groupBy("fp").agg(F.min(order).alias("first")), "codes")
     roots = stored(components(links(first.select("fp"), radius, shard)), "roots")
     linked = roots.join(first, roots["node"] == first["fp"]).select("node", "root", "first")
     least = linked.groupBy("root").agg(F.min("first").alias("least"))
     of_code = linked.join(least, "root").select(F.col("node").alias("fp"), "least")
-    final = first.join(of_code, "fp", "left").select("fp", F.coalesce("least", "first").alias("component_id"))
-    return marked.join(final, "fp").select("doc_id", "fp", "component_id")
+    final = first.join(of_code, "fp", "left").select("fp", F.coalesce("least", "first").alias("least"))
+    return marked.join(final, "fp")
+
+
+def near_duplicates(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """(doc_id, fp, component_id): the smallest id that is reachable by links."""
+    marked = stored(fingerprints(documents, doc_id, text), "fingerprints")
+    return _reached(marked, F.col("doc_id"), radius, shard).select("doc_id", "fp", F.col("least").alias("component_id"))
+
+
+def followers(documents: DataFrame, rank: Sequence[str], doc_id: str = "doc_id", text: str = "text", radius: int = RADIUS, shard: int = SHARD) -> DataFrame:
+    """The last column of ``rank``, a key of the rows, of all rows but one of each component: the first by id (none comes last), then by the long columns ``rank``."""
+    marked = stored(fingerprints(documents, doc_id, text, keep=rank), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", *rank)
+    return _reached(marked, order, radius, shard).where(F.col(rank[-1]) != F.col("least")[rank[-1]]).select(rank[-1])
 
 
 def hexadecimal(fp: Column) -> Column:
