@@ -3,7 +3,9 @@
 The tokenizer splits a text into words before it merges bytes, and a word with
 its leading space never depends on its neighbours. So a text may be cut before
 any single space, and at any single line break, that has no other white space
-beside it; the pieces' ids, joined, are the text's ids. A batch is cut and its
+beside it; the pieces' ids, joined, are the text's ids. Texts that hold the
+string of an added token are encoded whole, as the tokenizer does by default: the
+string is that token. A batch is cut and its
 distinct pieces are found in Arrow, and their ids come from a store of pieces
 with a fixed number of entries.
 """
@@ -37,7 +39,7 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.kept: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         self.line = self._encode(["\n"])[0]
@@ -58,7 +60,8 @@ class Encoder:
         if len(self.kept) > ENTRIES:  # pieces still in use come back from the older store
             self.kept, self.older = {}, self.kept
         texts = pc.fill_null(texts.cast(pa.large_string()), "")
-        odd = pc.match_substring_regex(texts, ODD)
+        whole = self._holds_added(texts)
+        odd = pc.or_(pc.match_substring_regex(texts, ODD), whole)
         # A line break in front makes the first piece like all others; its id is taken off again.
         plain = pc.binary_join_element_wise(pa.scalar("\n", pa.large_string()), pc.if_else(odd, pa.scalar("", pa.large_string()), texts), pa.scalar("", pa.large_string()))
         pieces = pc.split_pattern(pc.replace_substring(plain, "\n", " \n"), " ")
@@ -73,12 +76,18 @@ class Encoder:
         edges = ends[pieces.offsets.to_numpy() - pieces.offsets[0].as_py()]
         ids = np.append(ids[1:], np.uint32(end_id))  # each text gives up its first id and gets an end
         ids[edges[1:] - 1] = end_id
-        return self._with_odd(texts, odd, ids, edges, end_id) if pc.any(odd).as_py() else (ids, edges)
+        return self._with_odd(texts, odd, whole, ids, edges, end_id) if pc.any(odd).as_py() else (ids, edges)
 
-    def _with_odd(self, texts: pa.Array, odd: pa.Array, ids: np.ndarray, edges: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
-        """Put in the texts with other white space, cut at single spaces only."""
+    def _holds_added(self, texts: pa.Array) -> pa.Array:
+        found = pa.array(np.zeros(len(texts), bool))
+        for token in self.added:
+            found = pc.or_(found, pc.match_substring(texts, token))
+        return found
+
+    def _with_odd(self, texts: pa.Array, odd: pa.Array, whole: pa.Array, ids: np.ndarray, edges: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
+        """Put in the texts with other white space, cut at single spaces only, and those with added tokens, not cut."""
         rows = np.flatnonzero(odd.to_numpy(zero_copy_only=False))
-        cut = [GAP.split(texts[int(i)].as_py()) for i in rows]
+        cut = [[texts[i].as_py()] if whole[i].as_py() else GAP.split(texts[i].as_py()) for i in rows.tolist()]
         heads = self._encode([head for head, *_ in cut])
         tails = iter(self._ids([p for _, *rest in cut for p in rest]))
         own = {}
