@@ -35,6 +35,14 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
     "iban": r"\b[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?\b",
 }
+#: An IBAN may begin wherever a word does, also within what another candidate covers: a match is one letter, its group the candidate.
+PROPOSED = PATTERNS | {"iban": rf"\b(?=({PATTERNS['iban']}))[A-Z]"}
+#: Characters of a country's IBANs.
+_IBAN_LENGTHS = (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 "
+    "JO30 KW30 KZ20 LB28 LC32 LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 "
+    "TR26 UA29 VA22 VG24 XK20 YE30"
+)
 #: Texts without a match of these need not be split.
 HINTS = {"email": "@", "ip": r"[0-9]\.[0-9]", "card": "[0-9][0-9 -]{12}", "phone": r"\+[0-9]", "iban": "[A-Z]{2}[0-9]{2}"}
 #: Words that make a kind likelier.
@@ -96,22 +104,55 @@ def _mod97(word: Column) -> Column:
     return _let(F.replace(word, F.lit(" "), F.lit("")), check)
 
 
+def _iban(word: Column) -> Column:
+    """The IBAN at the start of a candidate that may have run on into the words after it; null if there is none.
+
+    It ends at a space or with the candidate: where the country's length says,
+    else where the candidate ends, or for a country without known length at the
+    last place that passes.
+    """
+    lengths = F.create_map(*(F.lit(x) for c in _IBAN_LENGTHS.split() for x in (c[:2], int(c[2:]))))
+
+    def chosen(parts: Column) -> Column:
+        tries = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), " "))
+        due = F.try_element_at(lengths, F.left(word, F.lit(2)))
+
+        def fits(w: Column) -> Column:
+            return F.length(F.replace(w, F.lit(" "), F.lit(""))) == due
+
+        valid = F.filter(tries, lambda w: (due.isNull() | fits(w) | (w == word)) & _mod97(w))
+        return _let(valid, lambda ws: F.coalesce(F.try_element_at(F.filter(ws, fits), F.lit(1)), F.try_element_at(ws, F.lit(-1))))
+
+    return _let(F.split(word, " ", -1), chosen)
+
+
+#: The span within a candidate, null if there is none; all others are the candidate or nothing.
+WITHIN: dict[str, Callable[[Column], Column]] = {"iban": _iban}
 CONFIRM: dict[str, Callable[[Column], Column]] = {
     "email": lambda w: F.lit(True),
     "ip": lambda w: F.regexp_like(w, F.lit(rf"^{_OCTET}(?:\.{_OCTET}){{3}}$")),
     "card": _luhn,
     "phone": lambda w: F.length(_digits(w)).between(10, 15),
-    "iban": _mod97,
+    "iban": lambda w: w.isNotNull(),
 }
 
 
+def _apart(found: Column) -> Column:
+    """Spans by start, without those that begin within an earlier one."""
+    empty = F.array().cast(f"array<{SPAN}>")
+    return F.aggregate(found, empty, lambda acc, s: F.when((F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1))["end"] <= s["start"]), F.concat(acc, F.array(s))).otherwise(acc))
+
+
 def _confirmed(kind: str, words: Column, gaps: Column) -> Column:
     """Spans of one kind from its matches and the texts around them."""
     no = KINDS.index(kind) + 1
-    lengths = F.transform(words, lambda w, i: F.length(gaps[i]) + F.length(w))
+    lengths = F.transform(words, lambda w, i: F.length(gaps[i]) + (1 if kind in WITHIN else F.length(w)))  # as much as the pattern matches
 
     def spans(before: Column) -> Column:
-        def one(w: Column, i: Column) -> Column:
+        def one(candidate: Column, i: Column) -> Column:
+            return _let(WITHIN[kind](candidate), lambda w: span(w, i)) if kind in WITHIN else span(candidate, i)
+
+        def span(w: Column, i: Column) -> Column:
             start = before[i] + F.length(gaps[i])
             near = F.regexp_like(F.right(gaps[i], F.lit(CONTEXT)), F.lit(WORDS[kind]))
             return F.struct(
@@ -120,7 +161,8 @@ def _confirmed(kind: str, words: Column, gaps: Column) -> Column:
             )
 
         kept = F.filter(F.transform(words, one), lambda s: s["good"])
-        return F.transform(kept, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "kind_no", "end", "kind", "score"))))
+        plain = F.transform(kept, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "kind_no", "end", "kind", "score"))))
+        return _apart(plain) if kind in WITHIN else plain
 
     return _let(_before(lengths), spans)
 
@@ -131,8 +173,8 @@ def spans(texts: DataFrame, text: str = "text", into: str = "spans") -> DataFram
     body, steps = F.col(text).cast("string"), {}
     for kind in KINDS:
         hint = body.contains(HINTS[kind]) if kind == "email" else body.rlike(HINTS[kind])
-        steps[f"words_{kind}_of_{into}"] = F.when(hint, F.regexp_extract_all(body, F.lit(PATTERNS[kind]), F.lit(0)))
-        steps[f"gaps_{kind}_of_{into}"] = F.when(hint, F.split(body, PATTERNS[kind], -1))
+        steps[f"words_{kind}_of_{into}"] = F.when(hint, F.regexp_extract_all(body, F.lit(PROPOSED[kind]), F.lit(int(kind in WITHIN))))
+        steps[f"gaps_{kind}_of_{into}"] = F.when(hint, F.split(body, PROPOSED[kind], -1))
     found = [F.when(F.size(f"words_{kind}_of_{into}") > 0, _confirmed(kind, F.col(f"words_{kind}_of_{into}"), F.col(f"gaps_{kind}_of_{into}"))).otherwise(F.array().cast(f"array<{SPAN}>")) for kind in KINDS]
     return texts.withColumns(steps).withColumn(into, F.array_sort(F.concat(*found))).drop(*own)
 
