@@ -18,7 +18,7 @@ from trailmarts.llm.common import crc_fold
 from trailmarts.llm.queries import tokenizer_path
 from trailmarts.session import stored
 
-LEAST_SCORE = 0.5  # of the language; less is no language that was learnt
+LEAST_SCORE = 0.5  # of the language, among those learnt; near 1 for all but very short texts, whatever their language
 
 
 def _keyed(docs: DataFrame) -> tuple[DataFrame, str]:
@@ -40,7 +40,7 @@ def _without(keyed: DataFrame, key: str, gone: DataFrame) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without letters, or of no language that was learnt, go."""
+    """Documents without letters go, and those whose likeliest language has less than ``LEAST_SCORE``; a language that was not learnt is not noticed."""
     keyed, key = _keyed(docs)
     model = langid.train(keyed, crc_fold("doc_id", 3) != 1)
     found = langid.predicted(keyed, model, doc_id=key)
