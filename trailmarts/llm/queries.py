@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, id_files, langid, maxscore, packing, pii, sharding, simhash, toxicity, warc
+from . import collocations, decontam, id_files, langid, maxscore, packing, pii, setjoin, sharding, simhash, toxicity, variants, warc
 
 
 def tokenizer_path() -> str:
@@ -60,9 +60,24 @@ def op10_packing(spark: SparkSession, folder: str) -> DataFrame:
     return packing.pack(table(spark, folder, "documents"), tokenizer_path())
 
 
+def op11_set_relation(spark: SparkSession, folder: str) -> DataFrame:
+    return setjoin.report(table(spark, folder, "documents"))
+
+
+def op12_collocations(spark: SparkSession, folder: str) -> DataFrame:
+    return collocations.report(table(spark, folder, "documents"))
+
+
+def op13_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return variants.report(table(spark, folder, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (op1_maxscore, op2_simple8b, op3_warc, op4_pii, op5_sharding, op6_toxicity, op7_decontamination, op8_langid, op9_simhash, op10_packing)
+    for f in (
+        op1_maxscore, op2_simple8b, op3_warc, op4_pii, op5_sharding, op6_toxicity, op7_decontamination, op8_langid, op9_simhash, op10_packing,
+        op11_set_relation, op12_collocations, op13_variants,
+    )
 }
 
 _MAXSCORE = """
@@ -137,4 +152,79 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(
 FROM dw LEFT JOIN hit USING (doc_id) LEFT JOIN its USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op1_maxscore": _MAXSCORE, "op3_warc": _WARC, "op4_pii": _PII, "op7_decontamination": _DECONTAMINATION}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_SET_RELATION = rf"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+p AS (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 1) + 1)) AS i FROM w WHERE len(w) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(w[i:i + 2], ' ') AS shingle FROM p),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+o AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS n FROM s a JOIN s b ON a.shingle = b.shingle AND a.doc_id < b.doc_id GROUP BY a.doc_id, b.doc_id),
+l AS (SELECT o.a, o.b FROM o JOIN n x ON x.doc_id = o.a JOIN n y ON y.doc_id = o.b WHERE 100 * o.n >= 90 * (x.n + y.n - o.n)),
+both_ways AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+reach(doc_id, other) AS (SELECT a, b FROM both_ways UNION SELECT r.doc_id, e.b FROM reach r JOIN both_ways e ON r.other = e.a),
+c AS (SELECT doc_id, min(other) AS other FROM reach GROUP BY doc_id)
+SELECT doc_id, coalesce(n.n, 0) AS n_shingles, least(doc_id, coalesce(other, doc_id)) AS component_id
+FROM w LEFT JOIN n USING (doc_id) LEFT JOIN c USING (doc_id)
+"""
+
+_COLLOCATIONS = rf"""
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, unnest(string_split_regex({_LOWER}, '[.,;:!?\x0A-\x0D]')) AS piece FROM documents),
+w AS (SELECT lang, regexp_extract_all(piece, '[^\x20\x09]+') AS w FROM d),
+p AS (SELECT lang, w, unnest(range(1, len(w) + 1)) AS i FROM w),
+g AS (SELECT lang, k, array_to_string(w[i:i + k - 1], ' ') AS phrase FROM p, range(1, 5) AS r(k) WHERE i + k - 1 <= len(w)),
+f AS (SELECT lang, k, phrase, count(*)::HUGEINT AS f FROM g GROUP BY ALL),
+total AS (SELECT lang, sum(f)::BIGINT AS n FROM f WHERE k = 1 GROUP BY lang),
+c AS (SELECT lang, k, phrase, string_split(phrase, ' ') AS w, f FROM f WHERE k >= 2 AND f >= 30),
+inside AS (SELECT lang, w, k, f, unnest(range(2, k)) AS m FROM c WHERE k > 2),
+shadow AS (SELECT lang, array_to_string(w[i:i + m - 1], ' ') AS phrase, max(f) AS longer FROM (SELECT *, unnest(range(1, k - m + 2)) AS i FROM inside) GROUP BY ALL),
+kept AS (SELECT c.* FROM c LEFT JOIN shadow USING (lang, phrase) WHERE longer IS NULL OR 100 * longer < 80 * f),
+cuts AS (SELECT *, unnest(range(1, k)) AS cut FROM kept),
+scored AS (
+  SELECT cuts.lang, cuts.phrase, cuts.f AS a, x.f AS l, y.f AS r, cut, (2000000 * cuts.f) // (x.f + y.f) AS score
+  FROM cuts JOIN f x ON x.lang = cuts.lang AND x.phrase = array_to_string(cuts.w[1:cut], ' ') JOIN f y ON y.lang = cuts.lang AND y.phrase = array_to_string(cuts.w[cut + 1:cuts.k], ' ')
+), worst AS (SELECT * FROM scored QUALIFY row_number() OVER (PARTITION BY lang, phrase ORDER BY score, cut) = 1),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, phrase) AS rank FROM worst)
+SELECT lang, rank, phrase, a::BIGINT AS a, l::BIGINT AS l, r::BIGINT AS r, n, score::BIGINT AS score FROM ranked JOIN total USING (lang) WHERE rank <= 2000
+"""
+
+
+def _crc_table() -> list[int]:
+    """Of the reflected polynomial that crc32 is defined by."""
+    found = []
+    for byte in range(256):
+        for _ in range(8):
+            byte = byte >> 1 ^ (0xEDB88320 if byte & 1 else 0)
+        found.append(byte)
+    return found
+
+
+_VARIANTS = rf"""
+WITH RECURSIVE d AS (SELECT doc_id, unnest(regexp_extract_all({_LOWER}, '[A-Za-z\x{{C0}}-\x{{FF}}]+')) AS run FROM documents),
+t AS (SELECT doc_id, run, count(*) AS n FROM d WHERE length(run) >= 7 GROUP BY ALL),
+crc AS (SELECT {_crc_table()}::BIGINT[] AS x),
+h AS (
+  SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295, flatten([CASE WHEN unicode(c) < 128 THEN [unicode(c)::BIGINT] ELSE [195, unicode(c) - 64] END FOR c IN string_split(doc_id || ':' || run, '')])),
+    lambda a, b: xor(a >> 8, x[(xor(a, b) & 255) + 1]))) AS h
+  FROM t, crc
+), e AS (SELECT CASE WHEN h % 31 = 0 THEN run[1:(h % length(run))] || run[(h % length(run)) + 2:] ELSE run END AS word, n FROM h),
+v AS (SELECT word, sum(n)::BIGINT AS n FROM e WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+k AS (SELECT word, unnest(range(1, length(word) + 1)) AS i FROM v),
+cut AS (SELECT word, i, word[1:i - 1] AS a, word[i + 1:] AS b FROM k),
+near AS (
+  SELECT x.word, y.word AS other FROM cut x JOIN cut y ON x.a = y.a AND x.b = y.b AND x.word <> y.word
+  UNION SELECT cut.word, v.word FROM cut JOIN v ON v.word = a || b
+  UNION SELECT v.word, cut.word FROM cut JOIN v ON v.word = a || b
+), best AS (
+  SELECT near.word, count(*) AS n_near, first(other ORDER BY v.n DESC, other) AS other, max(v.n) AS other_n FROM near JOIN v ON v.word = near.other GROUP BY near.word
+), f AS (
+  SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN other_n >= 10 * v.n THEN other END AS form, CASE WHEN other_n >= 10 * v.n THEN other_n END AS form_n FROM v LEFT JOIN best USING (word)
+), follow(word, root, step) AS (SELECT word, word, 0 FROM f UNION ALL SELECT follow.word, f.form, step + 1 FROM follow JOIN f ON f.word = follow.root WHERE f.form IS NOT NULL),
+roots AS (SELECT word, arg_max(root, step) AS root FROM follow GROUP BY word)
+SELECT word, form, root, n, n_near, form_n FROM f JOIN roots USING (word)
+"""
+
+ORACLES: dict[str, str] = {
+    "op1_maxscore": _MAXSCORE, "op3_warc": _WARC, "op4_pii": _PII, "op7_decontamination": _DECONTAMINATION, "op11_set_relation": _SET_RELATION, "op12_collocations": _COLLOCATIONS,
+    "op13_variants": _VARIANTS,
+}
