@@ -6,12 +6,12 @@ task that reads the text, and Spark's ROLLUP over (lang, w1, w2, ...) sums
 them to all their beginnings: a phrase's count is the sum of the windows that
 begin with it, so no phrase length is ever exploded by itself.
 
-Before that, the same windows of length two are counted as hashes, and the
+Before that, windows of two words, then of three, are counted as hashes, and the
 slots of those that reach the least count are set in a bitmap of a fixed size
-(``SLOTS`` bits, so it may be broadcast at any size of the input). A window is
-padded from the first pair on whose slot is unset: no phrase that holds such a
-pair reaches the least count, so all counts that matter stay whole. Hashes
-that share a slot only leave windows longer than they need be.
+(``SLOTS`` bits each, so they may be broadcast at any size of the input). A window
+is padded from the first pair or triple on whose slot is unset: no phrase that
+holds such a one reaches the least count, so all counts that matter stay whole.
+Hashes that share a slot only leave windows longer than they need be.
 
 Defined results: null texts have no words; null languages are ``und``;
 repeated rows count each time; an empty table, or one without frequent
@@ -38,8 +38,8 @@ LEAST = 30  # occurrences of a phrase
 KEPT = 2000  # phrases of a language
 SHADOW = (80, 100)  # a phrase goes if a longer one has so many of its occurrences
 SCALE = 2_000_000
-SLOTS = 1 << 26  # bits of the map of frequent words and pairs: 8 MB
-STEP_BYTES = 12_000_000  # of text that are counted at a time
+SLOTS = 1 << 26  # bits of a map of frequent windows: 8 MB
+STEP_BYTES = 6_000_000  # of text that are counted at a time
 UNKNOWN = "und"
 _BITS = 32768  # of one row of Spark's bitmaps
 #: A-Z in lower case and every end of a piece as one byte that UTF-8 does not have.
@@ -74,11 +74,6 @@ def _lead(column: np.ndarray, by: int = 1) -> np.ndarray:
     return np.concatenate([column[by:], np.zeros(min(by, len(column)), column.dtype)])
 
 
-def _counted(key: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct keys, the place of each key among them, and how often each occurs."""
-    return np.unique(key, return_inverse=True, return_counts=True)
-
-
 def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[str, list[str]]]:
     """(lang, texts) of at most ``STEP_BYTES`` characters together, one text at least."""
     held: dict[str, list[str]] = {}
@@ -99,64 +94,85 @@ def _texts(documents: DataFrame, lang: str, text: str) -> DataFrame:
     return documents.select(F.coalesce(F.col(lang).cast("string"), F.lit(UNKNOWN)).alias("lang"), body.alias("text")).where("text IS NOT NULL")
 
 
-def frequent_slots(texts: DataFrame, least: int, slots: int = SLOTS) -> np.ndarray:
-    """The bitmap, as bytes, of the slots of words and pairs that occur ``least`` times, and maybe of others."""
+class Opened:
+    """The words of some texts with the windows that the bitmaps known so far leave open.
+
+    ``here`` is the word at each place, 0 where it is rare; ``goes[i]`` says of
+    each place whether the window of ``i + 2`` words there may be frequent.
+    """
+
+    def __init__(self, lang: str, bodies: list[str], maps: list[np.ndarray]):
+        words = Words(bodies)
+        self.known, self.at, self.single = words.known, words.at, words.hashes(lang)
+        common = _set(maps[0], self.single) if maps else np.ones(len(self.single), bool)
+        common[0] = False
+        self.here = np.where(common[self.at], self.at, 0)
+        self.goes: list[np.ndarray] = []
+        for i, bits in enumerate(maps):
+            places, hashes = self.windows(i + 2)
+            goes = np.zeros(len(self.here), bool)
+            goes[places] = _set(bits, hashes)
+            self.goes.append(goes)
+
+    def windows(self, length: int) -> tuple[np.ndarray, np.ndarray]:
+        """Places and hashes of the windows of so many words whose shorter ones are all open."""
+        if length == 2:
+            places = np.flatnonzero((self.here > 0) & (_lead(self.here) > 0))
+        else:
+            places = np.flatnonzero(self.goes[length - 3] & _lead(self.goes[length - 3]))
+        hashes = self.single[self.here[places]]
+        for i in range(1, length):
+            hashes = _paired(hashes, self.single[self.here[places + i]])
+        return places, hashes
+
+
+def frequent_slots(texts: DataFrame, least: int, length: int, maps: list[np.ndarray], slots: int = SLOTS) -> np.ndarray:
+    """The bitmap, as bytes, of the slots of windows of ``length`` words that occur ``least`` times, and maybe of others; the one of pairs also has the words."""
+    shared = texts.sparkSession.sparkContext.broadcast(maps)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for lang, bodies in _steps(batches):
-            words = Words(bodies)
-            single = words.hashes(lang)
-            real = words.at > 0
-            n = np.bincount(words.at, minlength=len(single))
-            pair = real & (_lead(words.at) > 0)
-            both, first, counts = np.unique(words.at[pair] * len(single) + _lead(words.at)[pair], return_index=True, return_counts=True)
-            places = np.flatnonzero(pair)[first]
-            of_pair = _paired(single[words.at[places]], single[_lead(words.at)[places]])
-            hashes = np.concatenate([single[1:], of_pair])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(np.concatenate([n[1:], counts]))], names=["h", "n"])
+            text = Opened(lang, bodies, shared.value)
+            hashes, n = np.unique(text.windows(length)[1], return_counts=True)
+            if length == 2:
+                hashes, n = np.concatenate([text.single[1:], hashes]), np.concatenate([np.bincount(text.at, minlength=len(text.single))[1:], n])
+            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], names=["h", "n"])
 
     counts = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     slot = F.pmod(F.col("h"), F.lit(slots)) + 1
-    maps = counts.groupBy(F.bitmap_bucket_number(slot).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
+    rows = counts.groupBy(F.bitmap_bucket_number(slot).alias("row")).agg(F.bitmap_construct_agg(F.bitmap_bit_position(slot)).alias("bits"))
     found = np.zeros((slots // _BITS, _BITS // 8), np.uint8)
-    for r in maps.collect():  # slots / 8 bytes at most
+    for r in rows.collect():  # slots / 8 bytes at most
         found[r.row - 1] = np.frombuffer(r.bits, np.uint8)
     return found.reshape(-1)
 
 
 def _set(bits: np.ndarray, hashes: np.ndarray) -> np.ndarray:
-    slot = (hashes.view(np.int64) % (len(bits) * 8)).astype(np.int64)
+    slot = hashes.view(np.int64) % (len(bits) * 8)
     return (bits[slot >> 3] >> (slot & 7).astype(np.uint8)) & 1 > 0
 
 
-def windows(texts: DataFrame, bits: np.ndarray, longest: int = LONGEST) -> DataFrame:
+def windows(texts: DataFrame, maps: list[np.ndarray], longest: int = LONGEST) -> DataFrame:
     """(lang, w1 ... wn, n): padded windows as counted by each task; '' is padding, and a window of it alone stands for a rare word."""
-    shared = texts.sparkSession.sparkContext.broadcast(bits)
+    shared = texts.sparkSession.sparkContext.broadcast(maps)
     names = [f"w{i}" for i in range(1, longest + 1)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bits = shared.value
         for lang, bodies in _steps(batches):
-            words = Words(bodies)
-            single = words.hashes(lang)
-            real = words.at > 0
+            text = Opened(lang, bodies, shared.value)
+            real = text.at > 0
             if not real.any():
                 continue
-            common = _set(bits, single)
-            common[0] = False
-            here = np.where(common[words.at], words.at, 0)
-            goes_on = (here > 0) & (_lead(here) > 0)
-            places = np.flatnonzero(goes_on)
-            goes_on[places] = _set(bits, _paired(single[here[places]], single[_lead(here)[places]]))
-            columns, alive = [here], here > 0
-            for i in range(1, longest):
-                alive = alive & _lead(goes_on, i - 1)
-                columns.append(np.where(alive, _lead(here, i), 0))
+            columns, alive = [text.here], text.here > 0
+            for i in range(1, longest):  # the last word of each window so far must go on to the next
+                for j, goes in enumerate(text.goes[:i]):
+                    alive = alive & _lead(goes, i - 1 - j)
+                columns.append(np.where(alive, _lead(text.here, i), 0))
             key, stands = columns[0][real], np.flatnonzero(real)
             for column in columns[1:]:  # ranks keep the key small, whatever the number of columns
-                _, key, _ = _counted(key * len(single) + column[real])
+                key = np.unique(key * len(text.known) + column[real], return_inverse=True)[1]
             _, first, n = np.unique(key, return_index=True, return_counts=True)
-            vocabulary = pa.array([b"", *words.known[1:]], pa.binary()).cast(pa.string())
+            vocabulary = pa.array([b"", *text.known[1:]], pa.binary()).cast(pa.string())
             spelled = [vocabulary.take(pa.array(c[stands[first]])) for c in columns]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(n), pa.string()), *spelled, pa.array(n)], names=["lang", *names, "n"])
 
@@ -166,7 +182,10 @@ def windows(texts: DataFrame, bits: np.ndarray, longest: int = LONGEST) -> DataF
 def phrase_counts(documents: DataFrame, least: int = LEAST, longest: int = LONGEST, lang: str = "lang", text: str = "text", slots: int = SLOTS) -> DataFrame:
     """(lang, words, phrase, f) of every phrase of up to ``longest`` words that occurs ``least`` times, and per language a row of no words: all occurrences of words."""
     texts = _texts(documents, lang, text)
-    counted = windows(texts, frequent_slots(texts, least, slots), longest)
+    maps: list[np.ndarray] = []
+    for length in range(2, longest):
+        maps.append(frequent_slots(texts, least, length, maps, slots))
+    counted = windows(texts, maps, longest)
     names = [f"w{i}" for i in range(1, longest + 1)]
     sums = counted.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     words = F.lit(longest) - F.length(F.conv(F.col("level"), 10, 2)).cast("int") * (F.col("level") > 0).cast("int")
