@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 from llm_cases import awkward_rows, collected, docs_frame
+from pyspark.sql import functions as F
 
 from trailmarts.llm import langid, toxicity
 from trailmarts.llm.common import crc_fold
@@ -67,13 +68,13 @@ def test_language_awkward_rows(spark):
 
 def test_language_scores_equal_a_plain_sum():
     rng = np.random.default_rng(0)
-    model = langid.Model(["a", "b"], np.log(rng.random((2, langid.BUCKETS))))
+    model = dense(["a", "b"], np.log(rng.random((2, langid.BUCKETS))))
     texts = ["Ab, c", "é", "zz zz" * 30, "12 !", None]
     for text, (got, score) in zip(texts, model.predict(texts), strict=True):
         total = np.zeros(2)
         if langid.has_letter(text):
             for _, buckets in langid.grams([text]):
-                total += model.log_p[:, buckets].sum(1)
+                total += np.array([values for _, values in model.seen])[:, buckets].sum(1)
             assert got == "ab"[int(total.argmax())] and np.isclose(score, 1 / (1 + np.exp(-abs(total[0] - total[1]))))
         else:
             assert (got, score) == ("und", 0.0)
@@ -81,7 +82,7 @@ def test_language_scores_equal_a_plain_sum():
 
 def test_batches_do_not_change_a_prediction():
     rng = np.random.default_rng(0)
-    model = langid.Model(["a", "b"], np.log(rng.random((2, langid.BUCKETS))))
+    model = dense(["a", "b"], np.log(rng.random((2, langid.BUCKETS))))
     texts = ["one text", "x", "", "another é", "y" * 500]
     together = model.predict(texts)
     for text, (lang, score) in zip(texts, together, strict=True):
@@ -100,3 +101,17 @@ def test_training_sees_only_its_fold(spark):
     held = {r.doc_id for r in docs_frame(spark, docs).where(crc_fold("doc_id", 3) == 1).select("doc_id").collect()}
     flipped = [(i, t, {"x": "y", "y": "x"}[lang] if i in held else lang) for i, t, lang in docs]
     assert collected(langid.report(docs_frame(spark, docs))) == collected(langid.report(docs_frame(spark, flipped)))
+
+
+def dense(languages, log_p):
+    return langid.Model(languages, [(np.arange(langid.BUCKETS), row) for row in log_p], np.zeros(len(languages)))
+
+
+def test_no_language_of_the_sample_is_left_out(spark):
+    """A thousand and one languages, each with words of its own letters."""
+    word = lambda k: "".join(chr(0x4E00 + 3 * k + i) for i in range(3))
+    rows = [(k, f"{word(k)} {word(k)[::-1]}", f"l{k:04d}") for k in range(1001)]
+    model = langid.train(docs_frame(spark, rows), F.lit(True))
+    assert model.languages == [r[2] for r in rows]
+    got = model.predict([r[1] for r in rows])
+    assert [g[0] for g in got] == model.languages and all(0 < g[1] <= 1 for g in got)

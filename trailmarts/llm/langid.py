@@ -30,7 +30,6 @@ from .common import crc_fold, slices, small_batches
 BUCKETS = 1 << 15
 ORDERS = (1, 2, 3)
 SAMPLE = 20_000  # rows that are learnt from, about
-LANGUAGES = 1000  # at most; the commonest of the sample
 STEP_CHARS = 1_000_000
 UNKNOWN = "und"
 _NO_LETTERS = re.compile(r"[\W\d_]+")
@@ -58,8 +57,11 @@ def has_letter(text: str | None) -> bool:
 
 @dataclass
 class Model:
+    """Log-probabilities by language: those of the buckets that the sample has, and the common one of all others."""
+
     languages: list[str]
-    log_p: np.ndarray  # buckets x languages
+    seen: list[tuple[np.ndarray, np.ndarray]]  # buckets and their values
+    unseen: np.ndarray
 
     def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
         out: list[tuple[str, float]] = [(UNKNOWN, 0.0)] * len(texts)
@@ -67,9 +69,12 @@ class Model:
         if not self.languages or not known:
             return out
         total = np.zeros((len(known), len(self.languages)))
-        for rows, buckets in grams([texts[i] for i in known]):
-            for k in range(len(self.languages)):
-                total[:, k] += np.bincount(rows, self.log_p[k].take(buckets), len(known))
+        found = list(grams([texts[i] for i in known]))
+        for k, (at, values) in enumerate(self.seen):  # a language's row of the matrix at a time
+            log_p = np.full(BUCKETS, self.unseen[k])
+            log_p[at] = values
+            for rows, buckets in found:
+                total[:, k] += np.bincount(rows, log_p.take(buckets), len(known))
         odds = np.exp(total - total.max(1, keepdims=True))
         best = odds.argmax(1)
         score = odds[np.arange(len(known)), best] / odds.sum(1)
@@ -102,15 +107,15 @@ def train(documents: DataFrame, learn: Column, doc_id: str = "doc_id", text: str
             yield pa.RecordBatch.from_arrays([pa.array([language] * len(at)), pa.array(at), pa.array(own[at])], names=["lang", "bucket", "n"])
 
     counts = taken.mapInArrow(count, "lang string, bucket long, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
-    # buckets x languages at most, whatever the input
-    table = counts.groupBy("lang").agg(F.sum("n").alias("total"), F.collect_list(F.struct("bucket", "n")).alias("found")).orderBy(F.desc("total"), "lang").limit(LANGUAGES).toArrow()
-    languages = sorted(table.column("lang").to_pylist())
-    seen = np.zeros((len(languages), BUCKETS))
-    for language, found in zip(table.column("lang").to_pylist(), table.column("found"), strict=True):
-        at = found.values
-        seen[languages.index(language), at.field("bucket").to_numpy()] = at.field("n").to_numpy()
-    seen += smoothing
-    return Model(languages, np.log(seen / seen.sum(1, keepdims=True)) if languages else seen)
+    # the buckets of the sample's texts by language, however many languages it has
+    table = counts.groupBy("lang").agg(F.collect_list(F.struct("bucket", "n")).alias("found")).orderBy("lang").toArrow()
+    seen, unseen = [], []
+    for found in table.column("found"):
+        n = found.values.field("n").to_numpy()
+        total = n.sum() + smoothing * BUCKETS
+        seen.append((found.values.field("bucket").to_numpy().astype(np.uint16), np.log((n + smoothing) / total)))
+        unseen.append(np.log(smoothing / total))
+    return Model(table.column("lang").to_pylist(), seen, np.array(unseen))
 
 
 def predicted(rows: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
