@@ -51,7 +51,7 @@ def _(t):
 @query(
     "shell_samples",
     """
-    SELECT session, family, subcommand, rank, CASE WHEN length(command) > 200 THEN left(command, 200) || '…' ELSE command END AS command
+    SELECT session, family, subcommand, rank, command
     FROM (SELECT *, row_number() OVER (PARTITION BY session, family, subcommand ORDER BY pos) AS rank FROM (
       SELECT session, family, subcommand, command, min((thread <> 'main', thread, line)) AS pos FROM commands GROUP BY ALL) x) y
     WHERE rank <= 3

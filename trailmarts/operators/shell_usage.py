@@ -74,7 +74,7 @@ def sample_commands(commands: DataFrame) -> DataFrame:
     """The first three distinct commands of each (family, subcommand)."""
     seen = commands.groupBy("session", "family", "subcommand", "command").agg(F.min(F.struct(*call_order())).alias("at"))
     first = top_rows(seen, ["session", "family", "subcommand"], [F.col("at")], SAMPLES)
-    return first.select("session", "family", "subcommand", "rank", text.clip(F.col("command"), 200).alias("command"))
+    return first.select("session", "family", "subcommand", "rank", "command")
 
 
 def by_thread(priced: DataFrame) -> DataFrame:
@@ -101,7 +101,7 @@ def near_duplicates(commands: DataFrame) -> DataFrame:
 
 def large_results(priced: DataFrame) -> DataFrame:
     return priced.where(F.col("result_chars") >= LARGE_RESULT_CHARS).select(
-        "session", "thread", "line", text.clip(F.col("command"), 200).alias("command"), "result_chars", "est_usd"
+        "session", "thread", "line", "command", "result_chars", "est_usd"
     )
 
 
