@@ -2,7 +2,6 @@
 
 import json
 import os
-import time
 
 import pytest
 from conftest import rows
@@ -78,6 +77,8 @@ def test_files_of_ordinary_size_are_numbered_without_a_shuffle(spark, projects):
         plan = transcripts.format_a(spark, str(projects))._jdf.queryExecution().executedPlan().toString()
     finally:
         spark.conf.set(off, old)
+    read = transcripts.format_a(spark, str(projects)).where("thread = 'main'")
+    assert [r.line for r in read.orderBy("line").collect()] == [1, 2, 3, 4, 5, 6, 7]
     assert plan.count("FileScan text") <= 3  # whole files; large files for their lines and for the lines of each split
     assert plan.count("Exchange") <= 4 and "hashpartitioning(path" in plan.replace("#", "")[:len(plan)] or "Exchange" not in plan
 
@@ -143,16 +144,76 @@ def test_items_are_written_by_day(spark, tmp_path):
     assert sorted(p.name for p in (tmp_path / "m" / "source=x").iterdir()) == ["day=1970-01-01", "day=1970-01-02"]
 
 
-def test_ingest_then_refresh(spark, tmp_path):
+def test_ingest_follows_files(spark, tmp_path):
+    """New, grown, rewritten, cut, half-written and unchanged files over several runs, each a restart from the checkpoint."""
     root, table = tmp_path / "in", str(tmp_path / "table")
+    long = [f"line {i} " + "é" * (i % 9) for i in range(400)]
+
+    def run():
+        jobs.ingest_lines(spark, str(root), table, piece=1000)
+        found = jobs.current_lines(spark, table)
+        got = {}
+        for r in found.orderBy("path", "line").collect():
+            got.setdefault(os.path.basename(r.path), []).append((r.line, r.text))
+        assert all([n for n, _ in lines] == list(range(1, len(lines) + 1)) for lines in got.values())
+        return {k: [x for _, x in v] for k, v in got.items()}
+
+    def batches():
+        return sorted(int(p.name.split("=")[1]) for p in (tmp_path / "table" / "out").iterdir() if p.name.startswith("batch="))
+
     put(root / "a.jsonl", "1", "2")
-    jobs.ingest_lines(spark, str(root), table)
-    put(root / "b.jsonl", "x")
-    jobs.ingest_lines(spark, str(root), table)
-    read = lambda: rows(jobs.current_lines(spark.read.parquet(table + "/out")), "line", "text")
-    assert read() == [(1, "1"), (1, "x"), (2, "2")]
-    before = int(time.time() * 1000)
-    time.sleep(1.1)
-    put(root / "a.jsonl", "1", "2", "3")
-    jobs.append_changed(spark, str(root), table, before, "refresh1")
-    assert read() == [(1, "1"), (1, "x"), (2, "2"), (3, "3")]
+    put(root / "d" / "long.jsonl", *long)
+    (root / "half.jsonl").write_text("whole\nhal")
+    (root / "other.txt").write_text("no\n")
+    assert run() == {"a.jsonl": ["1", "2"], "long.jsonl": long, "half.jsonl": ["whole"]}
+    put(root / "b.jsonl", "x", "", "y")
+    with open(root / "d" / "long.jsonl", "a") as f:
+        f.write("more\r\nlines\n")
+    with open(root / "half.jsonl", "a") as f:
+        f.write("f\nnext\n")
+    second = run()
+    assert second == {"a.jsonl": ["1", "2"], "b.jsonl": ["x", "", "y"], "long.jsonl": [*long, "more", "lines"], "half.jsonl": ["whole", "half", "next"]}
+    last = max(batches())
+    added = spark.read.parquet(f"{table}/out/batch={last}")
+    assert added.where(F.col("path").endswith("long.jsonl")).count() == 2 and not added.where(F.col("path").endswith("a.jsonl")).count()
+    put(root / "a.jsonl", "other", "text", "and more than before")  # longer, but not the same beginning
+    put(root / "b.jsonl", "x")  # shorter
+    assert run() == second | {"a.jsonl": ["other", "text", "and more than before"], "b.jsonl": ["x"]}
+    seen = batches()
+    assert run() == second | {"a.jsonl": ["other", "text", "and more than before"], "b.jsonl": ["x"]}
+    assert [b for b in batches() if b not in seen] == [] or not spark.read.parquet(f"{table}/out/batch={max(batches())}").count()
+
+
+def test_pieces_of_any_size_give_the_same_lines(tmp_path):
+    from trailmarts.streaming import growing
+
+    text = "".join(f"{'x' * (i * 7 % 40)}{i}" + ("\r\n" if i % 3 else "\n") for i in range(60))
+    (tmp_path / "f.jsonl").write_bytes(text.encode() + b"tail without end")
+    want = text.replace("\r\n", "\n").split("\n")[:-1]
+    for piece in (1, 7, 64, 1000, 1 << 20):
+        reader = growing.GrowingReader({"path": str(tmp_path), "piece": str(piece)})
+        got = [x for p in reader.partitions(reader.initialOffset(), reader.latestOffset()) for batch in reader.read(p) for x in batch.column("text").to_pylist()]
+        assert got == want
+
+
+def test_side_files_of_several_lines(spark, tmp_path):
+    body = json.dumps({"runId": "r1", "status": "completed", "phases": [{"title": "one"}]}, indent=2)
+    path = tmp_path / "p" / "s1" / "workflows" / "x.json"
+    path.parent.mkdir(parents=True)
+    path.write_text(body)
+    assert "\n" in body and rows(transcripts.workflow_runs(spark, str(tmp_path)), "session", "run_id", "status") == [("s1", "r1", "completed")]
+
+
+def test_large_files_are_numbered_without_a_shuffle_of_text(spark, tmp_path):
+    put(tmp_path / "p" / "big.jsonl", *[f"line {i}" for i in range(500)])
+    read = transcripts.raw_lines(spark, str(tmp_path), whole_bytes=100)
+    off = "spark.sql.autoBroadcastJoinThreshold"
+    old = spark.conf.get(off)
+    spark.conf.set(off, "-1")
+    try:
+        plan = read._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(off, old)
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+    assert [(r.line, r.text) for r in read.orderBy("line").collect()] == [(i + 1, f"line {i}") for i in range(500)]
+    assert transcripts.splits_at_most(spark, str(tmp_path), "*.jsonl", 100) >= 1 and transcripts.splits_at_most(spark, str(tmp_path), "*.jsonl", 1 << 30) == 0

@@ -8,8 +8,11 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pyspark.sql.window import Window
+
 from ..operators import records_b, telemetry, usage
-from ..sources.transcripts import number_lines, raw_lines
+from ..sources.transcripts import SPLIT_ROW, SPLITS_BYTES
+from . import growing
 
 LIVE_GAP = "5 minutes"
 
@@ -43,36 +46,42 @@ def latest_per_key(rows: DataFrame, keys: list[str]) -> DataFrame:
     return rows.groupBy(*keys).agg(best).select(*keys, *[F.col("x")[n].alias(n) for n in names])
 
 
-def ingest_lines(spark: SparkSession, root: str, folder: str, pattern: str = "*.jsonl", files_per_batch: int = 1000) -> None:
-    """Read new transcript files into a table of numbered lines, batch by batch.
+def ingest_lines(spark: SparkSession, root: str, folder: str, pattern: str = "*.jsonl", piece: int = growing.PIECE) -> None:
+    """Bring a table of transcript lines up to date with the files below ``root``.
 
-    A file is taken once, when it first appears; ``append_changed`` picks up
-    files that have grown since.
+    New files are read whole, of grown ones only what was added, files that were
+    written anew replace their lines; the stream's checkpoint remembers what was
+    read. Each batch is written below its number with a small table of its pieces
+    and their numbers of lines, and a batch that is retried overwrites both.
     """
-    stream = (
-        spark.readStream.option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).option("maxFilesPerTrigger", files_per_batch).text(root)
-        .select(
-            F.col("_metadata.file_path").alias("path"), F.unix_millis("_metadata.file_modification_time").alias("mtime_ms"),
-            F.col("_metadata.file_block_start").alias("__split"), F.col("value").alias("text"))
-    )
+    growing.register(spark)
+    stream = spark.readStream.format("growing_lines").option("pattern", pattern).option("piece", piece).load(root)
 
     def write(batch: DataFrame, number: int) -> None:
-        rows = batch.withColumn("__row", F.monotonically_increasing_id())
-        number_lines(rows).select("path", "mtime_ms", "line", "text").write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
+        out = f"{folder}/out/batch={number}"
+        batch.write.mode("overwrite").parquet(out)
+        written = batch.sparkSession.read.schema(batch.schema).parquet(out)
+        pieces = written.groupBy("path", "mtime_ms", "fresh", "start").agg(F.count(F.lit(1)).alias("lines"))
+        pieces.write.mode("overwrite").parquet(f"{folder}/pieces/batch={number}")
 
     stream.writeStream.option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).foreachBatch(write).start().awaitTermination()
 
 
-def append_changed(spark: SparkSession, root: str, folder: str, since_ms: int, label: str) -> None:
-    """Add the lines of files changed after ``since_ms`` as a new version; other files are not opened."""
-    rows = raw_lines(spark, root, since_ms=since_ms).select("path", "mtime_ms", "line", "text")
-    rows.write.mode("overwrite").parquet(f"{folder}/out/batch={label}")
+def current_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """``path, mtime_ms, line, text`` of the newest state of every file that ``ingest_lines`` has read.
 
-
-def current_lines(lines: DataFrame) -> DataFrame:
-    """Lines of the newest version of every file; a file that came again replaces its older lines."""
-    newest = lines.groupBy("path").agg(F.max("mtime_ms").alias("mtime_ms"))
-    return lines.join(newest, ["path", "mtime_ms"], "left_semi")
+    Line numbers are those of the piece plus the lines of earlier pieces. There is
+    one row per piece; they are broadcast if their number fits the bound of the
+    file reader, so the text is not shuffled.
+    """
+    pieces = spark.read.parquet(f"{folder}/pieces")
+    anew = pieces.where("fresh").groupBy("path").agg(F.max("batch").alias("since"))
+    before = Window.partitionBy("path").orderBy("start").rowsBetween(Window.unboundedPreceding, -1)
+    valid = pieces.join(anew, "path").where("batch >= since")
+    placed = valid.select("batch", "path", "start", F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("earlier"), F.max("mtime_ms").over(Window.partitionBy("path")).alias("changed"))
+    small = pieces.count() * SPLIT_ROW <= SPLITS_BYTES
+    lines = spark.read.parquet(f"{folder}/out").join(F.broadcast(placed) if small else placed, ["batch", "path", "start"])
+    return lines.select("path", F.col("changed").alias("mtime_ms"), (F.col("earlier") + F.col("nth")).alias("line"), "text")
 
 
 def message_updates(snapshots: DataFrame, lateness: str = "1 day") -> DataFrame:
