@@ -25,6 +25,7 @@ _CHUNK = "__chunk"
 #   max   largest value up to and including the row
 #   last  last value that is not NULL up to and including the row
 #   prev  value of the row before (NULL at the first row)
+#   past  last value before the row that is not NULL
 Spec = tuple[str, Column]
 
 
@@ -52,6 +53,7 @@ def running(
     totals, carries, inside, final = [], {}, {}, {}
     in_chunk = Window.partitionBy(*keys, _CHUNK).orderBy(order, *ties)
     up_to = in_chunk.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    past = in_chunk.rowsBetween(Window.unboundedPreceding, -1)
     earlier = (
         Window.partitionBy(*keys).orderBy(_CHUNK).rowsBetween(Window.unboundedPreceding, -1)
     )
@@ -70,12 +72,12 @@ def running(
             carries[carry] = F.max(total).over(earlier)
             inside[local] = F.max(v).over(up_to)
             final[name] = F.greatest(F.col(local), F.col(carry))
-        elif kind == "last":
+        elif kind in ("last", "past"):
             totals.append(
                 F.max_by(F.when(v.isNotNull(), v), F.when(v.isNotNull(), position)).alias(total)
             )
             carries[carry] = F.last(total, ignorenulls=True).over(earlier)
-            inside[local] = F.last(v, ignorenulls=True).over(up_to)
+            inside[local] = F.last(v, ignorenulls=True).over(up_to if kind == "last" else past)
             final[name] = F.coalesce(F.col(local), F.col(carry))
         elif kind == "prev":
             totals.append(F.max_by(F.struct(v.alias("x")), position).alias(total))

@@ -9,6 +9,7 @@ from ..functions import jsonx, text
 from ..functions.nulls import span_ms
 from ..functions.ordered import earliest, latest, running
 from ..functions.times import iso_ms, local_day
+from ..session import stored
 from .files import program_commands
 from .pricing import priced
 
@@ -114,13 +115,17 @@ def with_model(rec: DataFrame, **chunking) -> DataFrame:
     return running(rec.withColumnRenamed("model", "__m"), ["session"], "line", {"model": ("last", F.col("__m"))}, **chunking).drop("__m")
 
 
+def _fresh() -> Column:
+    return F.greatest(F.lit(0), F.col("last_input_tokens") - F.col("last_cached_input_tokens"))
+
+
 def token_deltas(rec: DataFrame, **chunking) -> DataFrame:
     """Token counts that moved: repeats of an unchanged cumulative total are dropped."""
     counts = rec.where("has_info").select(*KEYS, "ts_ms", *[f"total_{c}" for c in COUNTERS], *[f"last_{c}" for c in COUNTERS])
     total = F.struct(*[f"total_{c}" for c in COUNTERS])
     seen = running(counts, ["session"], "line", {"__prev": ("prev", total)}, **chunking)
     return seen.where(~F.col("__prev").eqNullSafe(total)).drop("__prev").withColumns({
-        "fresh_tokens": F.greatest(F.lit(0), F.col("last_input_tokens") - F.col("last_cached_input_tokens")), "context_tokens": F.col("total_total_tokens"),
+        "fresh_tokens": _fresh(), "context_tokens": F.col("total_total_tokens"),
     })
 
 
@@ -130,17 +135,25 @@ def usage_and_turns(rec: DataFrame, **chunking) -> tuple[DataFrame, DataFrame]:
     A turn context opens a turn, a completion closes it; a token count that
     moved with no open turn opens one of its own.
     """
-    moved = token_deltas(rec, **chunking).select(*KEYS, "fresh_tokens", F.lit(True).alias("__moved"))
     opens = F.col("type") == "turn_context"
     closes = (F.col("type") == "event_msg") & F.col("kind").isin("task_complete", "turn_complete", "turn_aborted", "task_aborted")
-    marks = rec.where(opens | closes | F.col("has_info")).join(moved, KEYS, "left").withColumn(
-        "__state", F.when(opens, F.lit("open")).when(closes, F.lit("closed")).when(F.col("__moved"), F.lit("count")))
-    seen = running(marks.where("__state IS NOT NULL"), ["session"], "line", {
-        "__before": ("prev", F.col("__state")), "current_model": ("last", F.col("model"))}, **chunking)
+    mark = F.when(opens, F.lit("open")).when(closes, F.lit("closed"))
+    total = F.struct(*[f"total_{c}" for c in COUNTERS])
+    # The records are read once; each pass after that reads the narrow table of the one before.
+    marks = stored(rec.where(opens | closes | F.col("has_info")).select(
+        *KEYS, "ts_ms", "model", "turn_id", "duration_ms", mark.alias("__mark"), F.when(F.col("has_info"), total).alias("__total"),
+        *[f"last_{c}" for c in COUNTERS]), "marks")
+    seen = running(marks, ["session"], "line", {"__past": ("past", F.col("__total")), "current_model": ("last", F.col("model"))}, **chunking)
+    moves = F.col("__total").isNotNull() & ~F.col("__past").eqNullSafe(F.col("__total"))
+    seen = seen.withColumns({
+        "__moved": moves, "__state": F.coalesce("__mark", F.when(moves, F.lit("count"))), "total_total_tokens": F.col("__total.total_total_tokens"),
+        "fresh_tokens": F.when(moves, _fresh()),
+    }).where("__state IS NOT NULL").drop("__past", "__total", "__mark")
+    seen = stored(running(stored(seen, "states"), ["session"], "line", {"__before": ("prev", F.col("__state"))}, **chunking), "turn-marks")
     # A count after a close, or first of all, starts a turn; any other belongs to the open one.
     idle = F.col("__before").isNull() | (F.col("__before") == "closed")
     seen = seen.withColumn("__starts", (F.col("__state") == "open") | ((F.col("__state") == "count") & idle))
-    placed = running(seen, ["session"], "line", {"turn": ("sum", F.col("__starts").cast("bigint"))}, **chunking)
+    placed = stored(running(seen, ["session"], "line", {"turn": ("sum", F.col("__starts").cast("bigint"))}, **chunking), "turns")
     named = F.coalesce("current_model", F.lit("unknown"))
     starts = placed.where("__starts")
     deltas = placed.where("__moved").select(
