@@ -134,14 +134,22 @@ def test_titles_and_captures(spark, tmp_path):
     put(tmp_path / "otel" / "o.jsonl", {"resourceLogs": [{"resource": {"attributes": [{"key": "session.id", "value": {"stringValue": "../x"}}]}}]}, {"resourceMetrics": []})
     routed = telemetry.otlp_lines(spark, str(tmp_path / "otel"))
     assert rows(routed, "session") == [("_unassigned",), ("_unassigned",)]
-    telemetry.write_by_session(routed, str(tmp_path / "out"))
-    assert os.path.isdir(tmp_path / "out" / "session=_unassigned")
+    for batch in (0, 1, 1):
+        telemetry.write_by_session(routed, str(tmp_path / "out"), batch)
+    assert rows(telemetry.exported(spark, str(tmp_path / "out")), "batch", "session") == [(b, "_unassigned") for b in (0, 0, 1, 1)]
+    assert len([p for p in (tmp_path / "out" / "batch=1" / "session=_unassigned").iterdir() if p.suffix == ".txt"]) == 1
 
 
 def test_items_are_written_by_day(spark, tmp_path):
     df = spark.createDataFrame([("a", "x", 86_400_000, 1), ("b", "x", None, 5)], "session string, source string, started_ms bigint, mtime_ms bigint")
     marts.write_items(df, str(tmp_path / "m"))
-    assert sorted(p.name for p in (tmp_path / "m" / "source=x").iterdir()) == ["day=1970-01-01", "day=1970-01-02"]
+    days = tmp_path / "m" / "source=x"
+    assert sorted(p.name for p in days.iterdir() if p.name.startswith("day")) == ["day=1970-01-01", "day=1970-01-02"]
+    untouched = sorted((p.name, p.stat().st_mtime_ns) for p in (days / "day=1970-01-01").iterdir())
+    changed = spark.createDataFrame([("a", "x", 86_400_000, 9), ("c", "x", 86_400_001, 2)], df.schema)
+    marts.refresh_items(changed, str(tmp_path / "m"))
+    assert sorted((p.name, p.stat().st_mtime_ns) for p in (days / "day=1970-01-01").iterdir()) == untouched
+    assert rows(marts.read_items(spark, str(tmp_path / "m")), "session", "mtime_ms") == [("a", 9), ("b", 5), ("c", 2)]
 
 
 def test_ingest_follows_files(spark, tmp_path):

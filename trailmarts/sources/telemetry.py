@@ -16,9 +16,20 @@ def otlp_lines(spark: SparkSession, root: str | list[str]) -> DataFrame:
     return telemetry.routed(raw_lines(spark, root))
 
 
-def write_by_session(routed: DataFrame, folder: str) -> None:
-    """Append export lines below one folder per session."""
-    routed.select("session", "text").write.mode("append").partitionBy("session").text(folder)
+def write_by_session(routed: DataFrame, folder: str, batch: int, lines_per_file: int = 1_000_000) -> None:
+    """Write export lines below the batch and one folder per session.
+
+    A batch that is written again replaces its own folder, so a retry adds
+    nothing. Lines are rebalanced by session first: a session has one file, or
+    several where it is large, and not one per task.
+    """
+    rows = routed.select("session", "text").hint("rebalance", "session")
+    rows.write.mode("overwrite").option("maxRecordsPerFile", lines_per_file).partitionBy("session").text(f"{folder}/batch={batch}")
+
+
+def exported(spark: SparkSession, folder: str) -> DataFrame:
+    """``batch, session, text`` of all batches that ``write_by_session`` has written."""
+    return spark.read.schema("value string, batch bigint, session string").text(folder).select("batch", "session", F.col("value").alias("text"))
 
 
 def captures(spark: SparkSession, root: str | list[str]) -> DataFrame:
