@@ -17,9 +17,7 @@ PATH = tokenizer_path()
 
 @pytest.fixture(scope="module")
 def tokenizer():
-    t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(PATH)
 
 
 def plain_ids(tokenizer, text):
