@@ -39,6 +39,7 @@ KEPT = 2000  # phrases of a language
 SHADOW = (80, 100)  # a phrase goes if a longer one has so many of its occurrences
 SCALE = 2_000_000
 SLOTS = 1 << 26  # bits of a map of frequent windows: 8 MB
+WINDOW_HASHES = 1 << 40  # windows are told apart by so many hashes while slots are counted; a multiple of any number of slots
 STEP_BYTES = 6_000_000  # of text that are counted at a time
 UNKNOWN = "und"
 _BITS = 32768  # of one row of Spark's bitmaps
@@ -136,7 +137,8 @@ def frequent_slots(texts: DataFrame, least: int, length: int, maps: list[np.ndar
             hashes, n = np.unique(text.windows(length)[1], return_counts=True)
             if length == 2:
                 hashes, n = np.concatenate([text.single[1:], hashes]), np.concatenate([np.bincount(text.at, minlength=len(text.single))[1:], n])
-            yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(n)], names=["h", "n"])
+            # the low bits, so that fewer bytes are shuffled
+            yield pa.RecordBatch.from_arrays([pa.array((hashes & np.uint64(WINDOW_HASHES - 1)).view(np.int64)), pa.array(n)], names=["h", "n"])
 
     counts = texts.mapInArrow(run, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
     slot = F.pmod(F.col("h"), F.lit(slots)) + 1
@@ -187,7 +189,8 @@ def phrase_counts(documents: DataFrame, least: int = LEAST, longest: int = LONGE
         maps.append(frequent_slots(texts, least, length, maps, slots))
     counted = windows(texts, maps, longest)
     names = [f"w{i}" for i in range(1, longest + 1)]
-    sums = counted.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
+    once = counted.groupBy("lang", *names).agg(F.sum("n").alias("n"))  # tasks have many windows in common: fewer rows to roll up
+    sums = once.rollup("lang", *names).agg(F.sum("n").alias("f"), F.grouping_id().alias("level"))
     words = F.lit(longest) - F.length(F.conv(F.col("level"), 10, 2)).cast("int") * (F.col("level") > 0).cast("int")
     last = F.coalesce(*[F.col(c) for c in reversed(names)])  # the last word that is not rolled up
     kept = sums.withColumn("words", words).where("lang IS NOT NULL").where((F.col("words") == 0) | ((F.col("f") >= least) & (last != "")))
