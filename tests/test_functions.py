@@ -144,3 +144,14 @@ def test_price_history_rejects_two_changes_on_a_day(spark):
     assert rows(pricing.merge_history(table, fresh, F.lit("2024-07-01").cast("date"))[0], "input_rate") == [(1.0,), (5.0,)]
     with pytest.raises(Exception, match="changed twice"):
         pricing.merge_history(table, fresh, day)[0].collect()
+
+
+def test_last_value_of_earlier_rows(spark):
+    data = [(k, i, (i * 7 + len(k)) % 5 or None) for k in ("a", "bb") for i in range(60)]
+    df = spark.createDataFrame(data, "k string, i bigint, v bigint")
+    got = {(r.k, r.i): r.p for r in running(df, ["k"], "i", {"p": ("past", F.col("v"))}, chunk_rows=8).collect()}
+    for key in ("a", "bb"):
+        held = None
+        for k, i, v in (d for d in data if d[0] == key):
+            assert got[k, i] == held
+            held = v if v is not None else held
