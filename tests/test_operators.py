@@ -73,8 +73,8 @@ def test_forest_drops_cycles_and_roots_orphans(spark):
         [("s", "a", None), ("s", "b", "a"), ("s", "c", "b"), ("s", "x", "y"), ("s", "y", "x"), ("s", "o", "gone"), ("t", "b", "a")],
         "session string, agent string, parent string").selectExpr("*", "1L tokens", "1.0D cost", "true cost_is_complete", "0L start_ms", "5L end_ms")
     grown = forest.grow(nodes)
-    got = rows(grown.withColumn("p", F.array_join("path", "/")), "session", "agent", "depth", "p")
-    assert got == [("s", "a", 0, "a"), ("s", "b", 1, "a/b"), ("s", "c", 2, "a/b/c"), ("s", "o", 0, "o"), ("t", "b", 0, "b")]
+    got = rows(grown.nodes, "session", "agent", "depth", "root", "above")
+    assert got == [("s", "a", 0, "a", None), ("s", "b", 1, "a", "a"), ("s", "c", 2, "a", "b"), ("s", "o", 0, "o", None), ("t", "b", 0, "b", None)]
     totals = {(r.session, r.agent): r.nodes for r in forest.subtree_totals(grown).collect()}
     assert totals == {("s", "a"): 3, ("s", "b"): 2, ("s", "c"): 1, ("s", "o"): 1, ("t", "b"): 1}
 
@@ -82,11 +82,71 @@ def test_forest_drops_cycles_and_roots_orphans(spark):
 def test_forest_of_any_depth_and_nodes_below_cycles(spark):
     deep = [("s", f"n{i}", f"n{i - 1}" if i else None) for i in range(100)]
     ring = [("s", f"r{i}", f"r{(i + 1) % 7}") for i in range(7)] + [("s", f"t{i}", f"t{i - 1}" if i else "r3") for i in range(9)] + [("s", "self", "self"), ("s", "below", "self")]
-    nodes = spark.createDataFrame(deep + ring, "session string, agent string, parent string")
+    nodes = spark.createDataFrame(deep + ring, "session string, agent string, parent string").selectExpr("*", "1L tokens", "1.0D cost", "true cost_is_complete", "0L start_ms", "5L end_ms")
     grown = forest.grow(nodes)
-    got = {r.agent: (r.depth, r.path) for r in grown.collect()}
-    assert got == {f"n{i}": (i, [f"n{j}" for j in range(i + 1)]) for i in range(100)}
+    got = {r.agent: (r.depth, r.root, r.above) for r in grown.nodes.collect()}
+    assert got == {f"n{i}": (i, "n0", f"n{i - 1}" if i else None) for i in range(100)}
     assert {r.agent for r in forest.unreached(nodes, grown).collect()} == {a for _, a, _ in ring}
+    assert {r.agent: r.nodes for r in forest.subtree_totals(grown).collect()} == {f"n{i}": 100 - i for i in range(100)}
+
+
+def flattened(nodes):
+    """Place, size and sums of each node by a plain walk."""
+    below, known, out = {}, {(s, a) for s, a, *_ in nodes}, {}
+    for s, a, p, start, tokens in nodes:
+        below.setdefault((s, p if (s, p) in known else None), []).append((start or 0, a, tokens))
+
+    def walk(s, up, place, depth):
+        for i, (_, a, tokens) in enumerate(sorted(below.get((s, up), ()))):
+            end, inner = walk(s, a, place + 1, depth + 1)
+            out[s, a] = (place, depth, end - place, inner + tokens, i == len(below[s, up]) - 1)
+            place = end
+        return place, sum(out[s, a][3] for _, a, _ in below.get((s, up), ()))
+
+    for s in {n[0] for n in nodes}:
+        walk(s, None, 0, 0)
+    return out
+
+
+@pytest.mark.parametrize("seed,reach", [(1, 1000), (2, 3), (3, 12)])
+def test_flattened_trees(spark, seed, reach):
+    rng = random.Random(seed)
+    nodes = []
+    for s in "st":
+        for i in range(150):
+            parent = rng.choice([None, "gone"]) if rng.random() < 0.05 or not i else f"n{rng.randrange(max(0, i - reach), i)}"
+            nodes.append((s, f"n{i}", parent, rng.choice([None, 5, rng.randrange(50)]), i))
+    df = spark.createDataFrame(nodes, "session string, agent string, parent string, start_ms bigint, tokens bigint").selectExpr("*", "CAST(NULL AS DOUBLE) cost", "false cost_is_complete", "start_ms end_ms")
+    grown = forest.grow(df)
+    totals = forest.subtree_totals(grown)
+    got = {(r.session, r.agent): (r.place, r.depth, r.nodes, r.subtree_tokens, r.is_last) for r in forest.tree_rows(grown, totals).join(totals.drop("nodes"), ["session", "agent"]).collect()}
+    assert got == flattened(nodes)
+
+
+def test_nodes_with_several_rows(spark):
+    rows_ = [("s", "a", None, 1), ("s", "a", None, 2), ("s", "b", "a", 4), ("s", "b", "a", 8), ("s", "c", "b", 16), ("s", "d", "a", 32)]
+    nodes = spark.createDataFrame(rows_, "session string, agent string, parent string, tokens bigint").selectExpr("*", "1.0D cost", "true cost_is_complete", "tokens start_ms", "tokens end_ms")
+    grown = forest.grow(nodes)
+    totals = forest.subtree_totals(grown)
+    assert rows(totals, "agent", "nodes", "subtree_tokens") == [("a", 4, 63), ("b", 2, 28), ("c", 1, 16), ("d", 1, 32)]
+    assert rows(forest.tree_rows(grown, totals), "agent", "place", "is_last") == [("a", 0, True), ("b", 1, False), ("c", 2, True), ("d", 3, True)]
+
+
+def test_forest_of_nothing(spark):
+    empty = spark.createDataFrame([], "session string, agent string, parent string, tokens bigint, cost double, cost_is_complete boolean, start_ms bigint, end_ms bigint")
+    grown = forest.grow(empty)
+    totals = forest.subtree_totals(grown)
+    assert totals.isEmpty() and forest.tree_rows(grown, totals).isEmpty() and forest.shares(grown, totals).isEmpty()
+
+
+def test_a_long_chain_keeps_one_row_a_node(spark):
+    n = 100_000
+    chain = spark.range(n).selectExpr("'s' session", "concat('n', id) agent", "CASE WHEN id > 0 THEN concat('n', id - 1) END parent", "id tokens", "1.0D cost", "true cost_is_complete", "id start_ms", "id end_ms")
+    grown = forest.grow(chain)
+    assert len(grown.jumps) == 17 and all("array" not in j.schema.simpleString() for j in (grown.nodes, *grown.jumps))
+    totals = forest.subtree_totals(grown).selectExpr("CAST(substr(agent, 2) AS BIGINT) i", "nodes", "subtree_tokens")
+    wrong = totals.where(f"nodes <> {n} - i OR subtree_tokens <> ({n} - i) * ({n} - 1 + i) div 2")
+    assert totals.count() == n and wrong.isEmpty()
 
 
 def test_chunks_of_a_session_go_to_tasks_of_their_own(spark):

@@ -2,7 +2,9 @@
 
 from pyspark.sql import functions as F
 
+from ..functions.ordered import running
 from ..operators import files, forest, policy, skills, tasks, timeline
+from ..session import stored
 from .registry import query
 
 r = F.round
@@ -296,9 +298,9 @@ def nodes(t):
     )
 
 
-@query("tree_build", f"{TREE} SELECT session, agent, root, depth, array_to_string(path, '/') AS agent_path FROM g")
+@query("tree_build", f"{TREE} SELECT session, agent, root, depth, parent AS above FROM g")
 def _(t):
-    return forest.grow(nodes(t)).select("session", "agent", "root", "depth", F.array_join("path", "/").alias("agent_path"))
+    return forest.grow(nodes(t)).nodes.select("session", "agent", "root", "depth", "above")
 
 
 @query("subtree_totals", f"{TREE} SELECT * REPLACE (round(subtree_cost, 4) AS subtree_cost) FROM tot")
@@ -308,11 +310,50 @@ def _(t):
 
 @query(
     "tree_rows",
-    f"""{TREE} SELECT session, agent, root, depth, array_to_string(path, '/') AS agent_path, start_ms,
-        row_number() OVER (PARTITION BY session, coalesce(parent, '') ORDER BY start_ms DESC, agent DESC) = 1 AS is_last FROM g""",
+    f"""{TREE} SELECT session, agent, root, parent AS above, depth, row_number() OVER (PARTITION BY session ORDER BY [CAST(substr(x, 2) AS BIGINT) for x in path]) - 1 AS place, nodes, start_ms,
+        row_number() OVER (PARTITION BY session, coalesce(parent, '') ORDER BY start_ms DESC, agent DESC) = 1 AS is_last FROM g JOIN tot USING (session, agent)""",
 )
 def _(t):
-    return forest.tree_rows(forest.grow(nodes(t)))
+    grown = forest.grow(nodes(t))
+    return forest.tree_rows(grown, forest.subtree_totals(grown))
+
+
+# Rings of seven nodes among the others, and all that hangs below them.
+RINGED = f"""SELECT * REPLACE (CASE WHEN tokens // 7 % 100 BETWEEN 90 AND 95 THEN 'n' || (tokens // 7 + 1) WHEN tokens // 7 % 100 = 96 THEN 'n' || (tokens // 7 - 6) ELSE parent END AS parent) FROM ({NODES}) n"""
+
+
+def ringed(t):
+    key = F.expr("tokens div 7")
+    parent = F.when((key % 100).between(90, 95), F.concat(F.lit("n"), (key + 1).cast("string"))).when(key % 100 == 96, F.concat(F.lit("n"), (key - 6).cast("string")))
+    return nodes(t).withColumn("parent", F.coalesce(parent, "parent"))
+
+
+@query(
+    "tree_unreached",
+    f"""WITH RECURSIVE n AS ({RINGED}), g AS (SELECT agent FROM n WHERE parent IS NULL OR parent NOT IN (SELECT agent FROM n) UNION ALL SELECT n.agent FROM n JOIN g ON n.parent = g.agent)
+        SELECT session, agent, parent, 'on or below a cycle of parents' AS reason FROM n WHERE agent NOT IN (SELECT agent FROM g)""",
+)
+def _(t):
+    return forest.unreached(ringed(t), forest.grow(ringed(t)))
+
+
+# Every order of a customer hangs on the one before it; a third of the customers share one session, so one chain holds a third of the rows.
+CHAINS = "SELECT CASE WHEN o_custkey % 3 = 0 THEN 'all' ELSE 'c' || o_custkey END AS session, 'o' || o_orderkey AS agent, o_orderkey AS nr, o_custkey AS tokens FROM orders"
+
+
+@query(
+    "tree_chains",
+    f"""SELECT session, agent, CAST(count(*) OVER (PARTITION BY session ORDER BY nr) - 1 AS INTEGER) AS depth, count(*) OVER (PARTITION BY session ORDER BY nr) - 1 AS place,
+        count(*) OVER (PARTITION BY session ORDER BY nr DESC) AS nodes, CAST(sum(tokens) OVER (PARTITION BY session ORDER BY nr DESC) AS BIGINT) AS subtree_tokens FROM ({CHAINS}) c""",
+)
+def _(t):
+    orders = t.raw("orders").selectExpr(
+        "CASE WHEN o_custkey % 3 = 0 THEN 'all' ELSE concat('c', o_custkey) END AS session", "concat('o', o_orderkey) AS agent", "o_orderkey AS nr", "o_custkey AS tokens")
+    linked = running(orders, ["session"], "nr", {"parent": ("prev", F.col("agent"))})
+    chains = stored(linked.selectExpr("session", "agent", "parent", "tokens", "0.0D AS cost", "true AS cost_is_complete", "nr AS start_ms", "nr AS end_ms"), "chains")
+    grown = forest.grow(chains)
+    totals = forest.subtree_totals(grown)
+    return forest.tree_rows(grown, totals).drop("nodes").join(totals, ["session", "agent"]).select("session", "agent", "depth", "place", "nodes", "subtree_tokens")
 
 
 @query(
@@ -336,7 +377,7 @@ def _(t):
 )
 def _(t):
     grown = forest.grow(nodes(t))
-    runs = grown.where("depth = 0").select("session", "run_id", F.lit(5).cast("bigint").alias("duration_ms")).distinct()
+    runs = grown.nodes.where("depth = 0").select("session", "run_id", F.lit(5).cast("bigint").alias("duration_ms")).distinct()
     return forest.run_rollup(grown, forest.subtree_totals(grown), runs).withColumn("cost", r("cost", 3))
 
 

@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 SALTS = 64
 HOT_SHARE = 0.001  # at most 1 / HOT_SHARE keys can hold this share, so the hot list is bounded
+FLOOR = 100_000  # a key with no more rows than this needs no spreading
 
 
-def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, floor: int = 100_000) -> DataFrame:
+def hot_keys(df: DataFrame, keys: Sequence[str], share: float = HOT_SHARE, floor: int = FLOOR) -> DataFrame:
     """Keys that hold more than ``share`` of the rows (and more than ``floor`` rows)."""
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n").alias("__total"))
@@ -31,7 +32,7 @@ def salted_join(
     spread: Column | None = None,
     salts: int = SALTS,
     share: float = HOT_SHARE,
-    floor: int = 100_000,
+    floor: int = FLOOR,
 ) -> DataFrame:
     """Join ``many`` to ``one`` on ``keys`` with the hot keys of ``many`` spread over ``salts`` tasks.
 

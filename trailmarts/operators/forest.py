@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.nulls import ratio_or_null, span_ms
-from ..functions.ordered import earliest
-from ..functions.skew import salted_join
+from ..functions.ordered import earliest, ranged, running
+from ..functions.skew import FLOOR, salted_join
 from ..session import stored
 from .tasks import launch_outcomes
 
@@ -78,73 +80,131 @@ def thread_status(linked: DataFrame, launched: DataFrame, notes: DataFrame, runs
     }).drop("__s1", "__s2", "__note", "__async", "__run", "__chars", "state")
 
 
-def grow(nodes: DataFrame) -> DataFrame:
-    """Add ``root``, ``depth`` and ``path`` (root to node) to the nodes of a forest.
+@dataclass(frozen=True)
+class Forest:
+    """Nodes with ``root``, ``depth`` and ``above`` (the parent, NULL for a root), and the jumps that found them.
+
+    ``jumps[k]`` has session, agent, up: the ancestor exactly ``2 ** k`` levels up, for every node that has one.
+    """
+
+    nodes: DataFrame
+    jumps: tuple[DataFrame, ...]
+
+
+def _to_ancestors(jump: DataFrame, above: DataFrame, many: bool) -> DataFrame:
+    """``jump`` with the values of each row's ancestor; a busy ancestor is spread over tasks.
+
+    Without ``many`` rows no key can pass the floor of ``hot_keys``, so none is looked for.
+    """
+    keys = ["session", "up"]
+    return salted_join(jump, above, keys, "inner", spread=F.xxhash64("agent")) if many else jump.join(above, keys)
+
+
+def grow(nodes: DataFrame) -> Forest:
+    """Root, depth and parent of the nodes of a forest; of a node with several rows the smallest parent counts.
 
-    Each node knows a stretch of its path and the ancestor above it; a round
-    puts the ancestor's stretch in front, so stretches double and a forest of
-    any depth takes few rounds, each written to the shared folder. Nodes on or
-    below a cycle meet their ancestor in their own path and drop out;
-    ``unreached`` lists them. A node whose parent is unknown is a root. Nodes
-    below one busy ancestor are spread by salting.
+    Each node points to an ancestor and a round moves the pointer to that
+    ancestor's own, so distances double: a forest of depth d takes about log2(d)
+    rounds with one narrow row a node, each written to the shared folder. In
+    round k the nodes of depth 2^(k-1) to 2^k - 1 get their root. A deeper node
+    has ancestors of all lesser depths, so a round that ends none leaves only nodes
+    on or below a cycle; they drop out and ``unreached`` lists them. A node
+    whose parent is unknown is a root.
     """
     keys = ["session", "agent"]
-    ids = nodes.select("session", F.col("agent").alias("parent"), F.lit(True).alias("__known"))
+    ids = nodes.select("session", F.col("agent").alias("parent"), F.lit(True).alias("__known")).distinct()
     start = stored(
-        nodes.select("session", "agent", "parent").join(ids.distinct(), ["session", "parent"], "left")
-        .select(*keys, F.when(F.col("__known") & (F.col("parent") != F.col("agent")), F.col("parent")).alias("up"), (F.col("__known") & (F.col("parent") == F.col("agent"))).alias("own"), F.array("agent").alias("path")), "forest",
+        nodes.groupBy(*keys).agg(F.min("parent").alias("parent")).join(ids, ["session", "parent"], "left")
+        .select(*keys, F.when(F.col("__known"), F.col("parent")).alias("up"))
+        .select(*keys, "up", F.when(F.col("up").isNull(), F.col("agent")).alias("root"), F.col("up").isNotNull().cast("bigint").alias("depth")), "forest",
     )
-    start = start.where(~F.coalesce("own", F.lit(False))).drop("own")
-    done, rest = start.where("up IS NULL"), start.where("up IS NOT NULL")
-    while not rest.isEmpty():
-        above = done.unionByName(rest).select("session", F.col("agent").alias("up"), F.col("up").alias("next"), F.col("path").alias("front"))
-        longer = salted_join(rest, above, ["session", "up"], "inner", spread=F.xxhash64("agent")).select(*keys, F.col("next").alias("up"), F.concat("front", "path").alias("path"))
-        longer = stored(longer.where("up IS NULL OR NOT array_contains(path, up)"), "forest")
-        done, rest = done.unionByName(longer.where("up IS NULL")), longer.where("up IS NOT NULL")
-    grown = done.select(*keys, F.get("path", F.lit(0)).alias("root"), (F.size("path") - 1).alias("depth"), "path")
-    return nodes.drop("root", "depth", "path").join(grown, keys)
-
-
-def unreached(nodes: DataFrame, grown: DataFrame) -> DataFrame:
+    done, rest, jumps = start.where("up IS NULL"), start.where("up IS NOT NULL"), []
+    left = rest.count()
+    while left:
+        jumps.append(rest.select(*keys, "up"))
+        above = done.unionByName(rest).select(
+            "session", F.col("agent").alias("up"), F.col("up").alias("next"), F.col("root").alias("top"), F.col("depth").alias("more"))
+        moved = stored(
+            _to_ancestors(rest.drop("root"), above, left > FLOOR)
+            .select(*keys, F.col("next").alias("up"), F.col("top").alias("root"), (F.col("depth") + F.col("more")).alias("depth")), "forest",
+        )
+        ended = moved.where("up IS NULL").count()
+        if not ended:
+            # Only cycles are left; what hangs on them has no root and takes no part in the jumps.
+            break
+        done, rest, left = done.unionByName(moved.where("up IS NULL")), moved.where("up IS NOT NULL"), left - ended
+    reached = done.select(*keys, "root", F.col("depth").cast("int").alias("depth"))
+    if left:
+        reached = stored(reached, "forest")
+        jumps = [j.join(reached.select(*keys), keys, "left_semi") for j in jumps]
+    parents = start.select(*keys, F.col("up").alias("above"))
+    return Forest(nodes.drop("root", "depth", "above").join(reached, keys).join(parents, keys), tuple(jumps))
+
+
+def unreached(nodes: DataFrame, forest: Forest) -> DataFrame:
     """Nodes that hang on a cycle and so have no root; none of the sums counts them."""
-    lost = nodes.join(grown.select("session", "agent"), ["session", "agent"], "left_anti")
+    lost = nodes.join(forest.nodes.select("session", "agent"), ["session", "agent"], "left_anti")
     return lost.select("session", "agent", "parent", F.lit("on or below a cycle of parents").alias("reason"))
 
 
-def subtree_totals(grown: DataFrame) -> DataFrame:
+def subtree_totals(forest: Forest) -> DataFrame:
     """Tokens, cost, size, span and completeness of every node with all its descendants.
 
-    Each node is counted under each node of its path; partial sums combine
-    before the shuffle, so a root with most of the rows stays cheap.
+    After round k a node holds the sums of its descendants less than 2^k levels
+    below; each of those adds its own sums to the ancestor that its jump
+    names. Partial sums combine before the shuffle, so a root with most of the
+    rows stays cheap, and there is one row a node however deep the forest is.
+    A node's own sums are those of all its rows; it counts as one node.
     """
-    per = grown.select("session", F.explode("path").alias("ancestor"), "tokens", "cost", "cost_is_complete", "start_ms", "end_ms")
-    return per.groupBy("session", F.col("ancestor").alias("agent")).agg(
-        F.count(F.lit(1)).alias("nodes"), F.sum("tokens").alias("subtree_tokens"),
-        F.sum(F.coalesce("cost", F.lit(0.0))).alias("subtree_cost"), F.bool_and("cost_is_complete").alias("subtree_complete"),
-        span_ms(F.min("start_ms"), F.max("end_ms")).alias("span_ms"),
+    keys = ["session", "agent"]
+    merged = (
+        F.sum("nodes").alias("nodes"), F.sum("subtree_tokens").alias("subtree_tokens"), F.sum("subtree_cost").alias("subtree_cost"),
+        F.bool_and("subtree_complete").alias("subtree_complete"), F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"),
     )
-
-
-def tree_rows(grown: DataFrame) -> DataFrame:
-    """Rows of the flattened tree: depth, path, and whether a node is the last of its siblings by start."""
-    siblings = F.when(F.size("path") > 1, F.get("path", F.size("path") - 2))
-    rows = grown.withColumn("__above", F.coalesce(siblings, F.lit("")))
-    last = rows.groupBy("session", "__above").agg(F.max(F.struct(F.coalesce("start_ms", F.lit(0)), F.col("agent"))).alias("__last"))
-    return rows.join(last, ["session", "__above"]).select(
-        "session", "agent", "root", "depth", F.array_join("path", "/").alias("agent_path"), "start_ms",
-        (F.col("__last")["agent"] == F.col("agent")).alias("is_last"),
+    sums = forest.nodes.select(
+        *keys, F.lit(1).cast("bigint").alias("nodes"), F.col("tokens").alias("subtree_tokens"), F.coalesce("cost", F.lit(0.0)).alias("subtree_cost"),
+        F.col("cost_is_complete").alias("subtree_complete"), "start_ms", "end_ms",
     )
+    sums = stored(sums.groupBy(*keys).agg(*merged).withColumn("nodes", F.lit(1).cast("bigint")), "subtrees")
+    for jump in forest.jumps:
+        passed = jump.join(sums, keys).drop("agent").withColumnRenamed("up", "agent")
+        sums = stored(sums.unionByName(passed).groupBy(*keys).agg(*merged), "subtrees")
+    return sums.withColumn("span_ms", span_ms(F.col("start_ms"), F.col("end_ms"))).drop("start_ms", "end_ms")
+
 
+def tree_rows(forest: Forest, totals: DataFrame) -> DataFrame:
+    """Rows of the flattened tree in pre-order: ``place`` from 0 in a session, depth, subtree size, and whether a node is the last of its siblings by start.
 
-def shares(grown: DataFrame, totals: DataFrame) -> DataFrame:
+    A node comes one row after its parent and the subtrees of its earlier
+    siblings; these offsets are added up along the jumps. Its subtree fills the
+    places from ``place`` to ``place + nodes - 1``. Siblings are summed in
+    ranges of rows, so one node may have most of the others as children.
+    """
+    keys = ["session", "agent"]
+    family = F.coalesce(F.concat(F.lit("/"), "above"), F.lit(""))
+    each = forest.nodes.groupBy(*keys, "root", "depth", "above").agg(F.min("start_ms").alias("start_ms"))
+    sized = each.withColumns({"__family": family, "__at": F.coalesce("start_ms", F.lit(0)).cast("bigint")}).join(totals.select(*keys, "nodes"), keys)
+    sized = ranged(sized, ["session", "__family"], ["__at", "agent"], "__range")
+    last = sized.groupBy("session", "__family").agg(F.max(F.struct("__at", "agent")).alias("__last"))
+    placed = running(sized, ["session", "__family"], "__at", {"__upto": ("sum", F.col("nodes"))}, ties=["agent"], chunk=F.col("__range"))
+    offset = F.col("__upto") - F.col("nodes") + F.col("above").isNotNull().cast("bigint")
+    places = stored(placed.select(*keys, offset.alias("place")), "places")
+    for jump in forest.jumps:
+        more = _to_ancestors(jump, places.select("session", F.col("agent").alias("up"), F.col("place").alias("more")), jump.count() > FLOOR)
+        places = stored(
+            places.join(more.select(*keys, "more"), keys, "left").select(*keys, (F.col("place") + F.coalesce("more", F.lit(0))).alias("place")), "places")
+    return sized.join(last, ["session", "__family"]).join(places, keys).select(
+        *keys, "root", "above", "depth", "place", "nodes", "start_ms", (F.col("__last")["agent"] == F.col("agent")).alias("is_last"))
+
+
+def shares(forest: Forest, totals: DataFrame) -> DataFrame:
     """Cost of each subtree as a share of its parent's subtree and of the session."""
-    parent = totals.select("session", F.col("agent").alias("__above"), F.col("subtree_cost").alias("__parent_cost"))
-    whole = totals.join(grown.where("depth = 0").select("session", "agent"), ["session", "agent"], "left_semi")
+    parent = totals.select("session", F.col("agent").alias("above"), F.col("subtree_cost").alias("__parent_cost"))
+    whole = totals.join(forest.nodes.where("depth = 0").select("session", "agent"), ["session", "agent"], "left_semi")
     whole = whole.groupBy("session").agg(F.sum("subtree_cost").alias("__total"))
-    rows = grown.withColumn("__above", F.when(F.size("path") > 1, F.get("path", F.size("path") - 2)))
     return (
-        rows.select("session", "agent", "depth", "__above").join(totals, ["session", "agent"])
-        .join(parent, ["session", "__above"], "left").join(whole, "session")
+        forest.nodes.select("session", "agent", "depth", "above").join(totals, ["session", "agent"])
+        .join(parent, ["session", "above"], "left").join(whole, "session")
         .select(
             "session", "agent", "depth", "subtree_cost",
             ratio_or_null(F.col("subtree_cost"), F.coalesce("__parent_cost", "__total")).alias("parent_share"),
@@ -203,22 +263,23 @@ def workflow_runs(runs: DataFrame, calls: DataFrame, threads: DataFrame) -> Data
     )
 
 
-def run_rollup(grown: DataFrame, totals: DataFrame, runs: DataFrame) -> DataFrame:
+def run_rollup(forest: Forest, totals: DataFrame, runs: DataFrame) -> DataFrame:
     """Agents, tokens, cost and span of each run over its members and their descendants."""
-    members = grown.where("depth = 0 AND run_id IS NOT NULL").select("session", "agent", "run_id")
+    members = forest.nodes.where("depth = 0 AND run_id IS NOT NULL").select("session", "agent", "run_id")
     sums = members.join(totals, ["session", "agent"]).groupBy("session", "run_id").agg(
         F.count(F.lit(1)).alias("members"), F.sum("subtree_tokens").alias("tokens"), F.sum("subtree_cost").alias("cost"),
         F.bool_and("subtree_complete").alias("cost_is_complete"),
     )
-    inside = grown.select("session", F.get("path", F.lit(0)).alias("agent"), "start_ms", "end_ms").join(members, ["session", "agent"])
-    span = inside.groupBy("session", "run_id").agg(span_ms(F.min("start_ms"), F.max("end_ms")).alias("__span"))
+    # First the span of each tree, map-side, then one row a root meets its run.
+    trees = forest.nodes.groupBy("session", F.col("root").alias("agent")).agg(F.min("start_ms").alias("start_ms"), F.max("end_ms").alias("end_ms"))
+    span = trees.join(members, ["session", "agent"]).groupBy("session", "run_id").agg(span_ms(F.min("start_ms"), F.max("end_ms")).alias("__span"))
     return sums.join(span, ["session", "run_id"]).join(runs.select("session", "run_id", "duration_ms"), ["session", "run_id"], "left").select(
         "session", "run_id", "members", "tokens", "cost", "cost_is_complete", F.coalesce("__span", "duration_ms").alias("duration_ms")
     )
 
 
-def phase_groups(grown: DataFrame, totals: DataFrame) -> DataFrame:
-    members = grown.where("depth = 0 AND run_id IS NOT NULL").select("session", "agent", "run_id", "phase")
+def phase_groups(forest: Forest, totals: DataFrame) -> DataFrame:
+    members = forest.nodes.where("depth = 0 AND run_id IS NOT NULL").select("session", "agent", "run_id", "phase")
     return members.join(totals, ["session", "agent"]).groupBy("session", "run_id", "phase").agg(
         F.count(F.lit(1)).alias("members"), F.sum("subtree_tokens").alias("tokens"), F.sum("subtree_cost").alias("cost")
     )
