@@ -2,12 +2,13 @@
 
 import json
 import os
+import random
 
 import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
-from trailmarts.operators import forest, records_a, records_b, tools
+from trailmarts.operators import forest, records_a, records_b, tools, usage
 from trailmarts.plans import items
 from trailmarts.sources import marts, telemetry, transcripts
 from trailmarts.streaming import jobs
@@ -225,3 +226,46 @@ def test_large_files_are_numbered_without_a_shuffle_of_text(spark, tmp_path):
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
     assert [(r.line, r.text) for r in read.orderBy("line").collect()] == [(i + 1, f"line {i}") for i in range(500)]
     assert transcripts.splits_at_most(spark, str(tmp_path), "*.jsonl", 100) >= 1 and transcripts.splits_at_most(spark, str(tmp_path), "*.jsonl", 1 << 30) == 0
+
+
+def counts_stream(spark, folder, batches):
+    """A stream of format B counts, one batch to a file; a count is (session, line, ts_ms, total)."""
+    names = records_b.COUNTERS
+    schema = "session string, line bigint, ts_ms bigint, has_info boolean, " + ", ".join(f"total_{c} bigint, last_{c} bigint" for c in names)
+    for batch in batches:
+        data = [(s, line, ts, True, *(x for _ in names for x in (total, line))) for s, line, ts, total in batch]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(folder)
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(folder)
+
+
+def test_counts_in_any_order_move_alike_and_state_ends(spark, tmp_path):
+    rng, minute, want, arriving = random.Random(4), 60_000, [], []
+    for s in "abc":
+        total = None
+        for line in range(1, 61):
+            new = total if total is not None and rng.random() < 0.4 else rng.randrange(5)
+            if new != total:
+                want.append((s, line))
+            total = new
+            # Every tenth count has no time; none comes more than 15 minutes after a newer one.
+            arriving.append((line + rng.randrange(15), (s, line, None if line % 10 == 3 else line * minute, total)))
+    arriving.sort(key=lambda x: x[0])
+    rows_ = [r for _, r in arriving]
+    batches = [rows_[i : i + 45] for i in range(0, len(rows_), 45)]
+    batches[1] += batches[0][:5]  # sent twice
+    batches.append([("end", 1, 60 * 24 * 60 * minute, 1)])
+    stream = counts_stream(spark, str(tmp_path / "in"), batches)
+    kept = jobs.run_available(jobs.counter_deltas(stream, "20 minutes"), str(tmp_path / "job"), rocksdb=True)
+    assert rows(jobs.output(spark, str(tmp_path / "job")), "session", "line") == sorted(want, key=repr)
+    assert max(kept) >= 3 and kept[-1] == 1, kept  # a list counts as one; only that of the last session is left
+
+
+def test_messages_drop_the_state_of_passed_days(spark, tmp_path):
+    day, schema = 86_400_000, "session string, thread string, message_id string, line bigint, model string, ts_ms bigint, has_usage boolean, " + ", ".join(f"{c} bigint" for c in usage.USAGE)
+    for i in range(4):
+        data = [("s", "main", f"m{i}-{j}", i * 100 + j, "m", i * 10 * day + j, True, *(j for _ in usage.USAGE)) for j in range(20)]
+        spark.createDataFrame(data, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    kept = jobs.run_available(jobs.message_updates(stream, "5 days"), str(tmp_path / "job"), "update")
+    assert max(kept) <= 40 and kept[-1] == 20
+    assert jobs.merged_messages(jobs.output(spark, str(tmp_path / "job"))).count() == 80

@@ -15,8 +15,8 @@ from .registry import Tables, query
 class Streamed(Tables):
     """The role views with one table read as a stream of several files, one to a batch.
 
-    ``late`` sends every tenth row a slice after its neighbours, and
-    the second slice before the first. ``closing`` adds a last row far in the
+    ``place`` is a number along which the slices are cut. ``late`` sends every
+    tenth row a slice after its neighbours, and the second slice before the first. ``closing`` adds a last row far in the
     future that lets the watermark pass everything before it.
     """
 
@@ -27,11 +27,13 @@ class Streamed(Tables):
         self.table = table
         batch = super().raw(table)
         self.schema, self.parts = batch.schema, fresh_dir(t.spark, f"stream-{table}")
-        top = batch.agg(F.max(place).alias("top"))
-        n = F.floor(F.col(place) * self.SLICES / (F.col("top") + 1))
+        at = F.expr(place)
+        ends = batch.agg(F.min(at).alias("low"), F.max(at).alias("top"))
+        at = F.coalesce(at, "low")
+        n = F.floor((at - F.col("low")) * self.SLICES / (F.col("top") - F.col("low") + 1))
         if late:
-            n = F.least(n + (F.col(place) % 10 == 7).cast("int"), F.lit(self.SLICES - 1))
-        sliced = stored(batch.join(F.broadcast(top), F.lit(True)).withColumn("slice", n).drop("top"), f"slices-{table}")  # top is one row
+            n = F.least(n + (at % 10 == 7).cast("int"), F.lit(self.SLICES - 1))
+        sliced = stored(batch.join(F.broadcast(ends), F.lit(True)).withColumn("slice", n).drop("low", "top"), f"slices-{table}")  # ends is one row
         for i in (1, 0, 2, 3) if late else range(self.SLICES):
             sliced.where(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(self.parts)
         if closing:
@@ -54,7 +56,10 @@ def batches(rows):
 @query("stream_message_dedup", "SELECT session, thread, message_id, line, model, input_tokens, output_tokens FROM messages", "messages")
 def _(t):
     folder = fresh_dir(t.spark, "dedup")
-    jobs.run_available(jobs.message_updates(Streamed(t, "lineitem", "l_orderkey").snapshots, "4000 days"), folder, "update")
+    # Rows come up to half of the dates late; the state of earlier days is dropped on the way.
+    place = "unix_date(CAST(l_shipdate AS DATE))"
+    days = t.raw("lineitem").agg(F.expr(f"max({place}) - min({place})")).first()[0] or 0
+    jobs.run_available(jobs.message_updates(Streamed(t, "lineitem", place).snapshots, f"{days // 2 + 30} days"), folder, "update")
     keys = ["session", "thread", "message_id"]
     days = jobs.latest_per_key(batches(jobs.output(t.spark, folder)), [*keys, "day_ms"])
     return jobs.merged_messages(days).select(*keys, "line", "model", "input_tokens", "output_tokens")
@@ -94,6 +99,7 @@ def _(t):
 )
 def _(t):
     folder = fresh_dir(t.spark, "counters")
-    rows = lines_b(Streamed(t, "events", "event_id", late=False), headers=False)
-    jobs.run_available(jobs.counter_deltas(records_b.records(rows)), folder, "append")
-    return batches(jobs.output(t.spark, folder)).drop("batch")
+    closing = {"ts": datetime(2100, 1, 1), "user_id": -1, "event_type": "view"}
+    rows = lines_b(Streamed(t, "events", "event_id", closing=closing), headers=False)
+    jobs.run_available(jobs.counter_deltas(records_b.records(rows), "20 days"), folder, rocksdb=True)
+    return batches(jobs.output(t.spark, folder)).where("session <> 's-1'").drop("batch")

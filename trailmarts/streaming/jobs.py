@@ -3,11 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from datetime import timedelta
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.window import Window
 
 from ..operators import records_b, telemetry, usage
@@ -15,23 +16,34 @@ from ..sources.transcripts import SPLIT_ROW, SPLITS_BYTES
 from . import growing
 
 LIVE_GAP = "5 minutes"
+STATE_STORE = "spark.sql.streaming.stateStore.providerClass"
+ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-def run_available(stream: DataFrame, folder: str, mode: str = "append") -> None:
+def run_available(stream: DataFrame, folder: str, mode: str = "append", rocksdb: bool = False) -> list[int]:
     """Process what is there and write every micro-batch with its number below ``folder/out``.
 
     A batch that is retried after a failure overwrites its own folder, so rows
-    are written once.
+    are written once. ``rocksdb`` keeps the state off the heap, as jobs with
+    timers and lists of rows need. Returns the entries of state after each batch (a list is one).
     """
 
     def write(batch: DataFrame, number: int) -> None:
         batch.write.mode("overwrite").parquet(f"{folder}/out/batch={number}")
 
-    query = (
-        stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
-        .trigger(availableNow=True).foreachBatch(write).start()
-    )
-    query.awaitTermination()
+    spark = stream.sparkSession
+    store = spark.conf.get(STATE_STORE)
+    if rocksdb:
+        spark.conf.set(STATE_STORE, ROCKSDB)
+    try:
+        query = (
+            stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint")
+            .trigger(availableNow=True).foreachBatch(write).start()
+        )
+        query.awaitTermination()
+    finally:
+        spark.conf.set(STATE_STORE, store)
+    return [sum(o["numRowsTotal"] for o in p["stateOperators"]) for p in query.recentProgress]
 
 
 def output(spark: SparkSession, folder: str) -> DataFrame:
@@ -128,28 +140,88 @@ def live_periods(activity: DataFrame, gap: str = LIVE_GAP, lateness: str = "10 m
 
 _TOTALS = [f"total_{c}" for c in records_b.COUNTERS]
 _LASTS = [f"last_{c}" for c in records_b.COUNTERS]
+_COUNTS = ["line", "ts_ms", *_TOTALS, *_LASTS]
 MOVED_SCHEMA = "session string, line bigint, fresh_tokens bigint, output_tokens bigint, context_tokens bigint"
-STATE_SCHEMA = ", ".join(f"{c} bigint" for c in _TOTALS)
-
-
-def _moved(key, frames: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-    """Counts of one session whose cumulative total changed; the state is the last total."""
-    rows = pd.concat(list(frames)).sort_values("line")
-    totals = rows[_TOTALS].fillna(0).astype("int64")  # a counter that is not sent is zero
-    before = totals.shift(1)
-    if state.exists:
-        before.iloc[0] = list(state.get)
-    changed = (before.isna().any(axis=1)) | (totals.ne(before).any(axis=1))
-    state.update(tuple(int(x) for x in totals.iloc[-1]))
-    kept = rows[changed.to_numpy()]
-    yield pd.DataFrame({
-        "session": key[0], "line": kept["line"], "fresh_tokens": (kept["last_input_tokens"] - kept["last_cached_input_tokens"]).clip(lower=0),
-        "output_tokens": kept["last_output_tokens"], "context_tokens": kept["total_total_tokens"],
-    })
-
-
-def counter_deltas(rec: DataFrame) -> DataFrame:
-    """Token counts that moved, from streamed format B records. Batches must come in line order per session;
-    their size is bounded by the files per trigger. Use append mode."""
-    counts = rec.where("has_info").select("session", "line", *_TOTALS, *_LASTS)
-    return counts.groupBy("session").applyInPandasWithState(_moved, MOVED_SCHEMA, STATE_SCHEMA, "append", "NoTimeout")
+WAITING_SCHEMA = ", ".join(f"{c} bigint" for c in _COUNTS)
+RELEASED_SCHEMA = ", ".join(f"{c} bigint" for c in ("line", "seen_ms", *_TOTALS))
+
+
+def _ints(frame: pd.DataFrame) -> list[tuple]:
+    return [tuple(None if pd.isna(x) else int(x) for x in row) for row in frame.itertuples(index=False)]
+
+
+class CounterMoves(StatefulProcessor):
+    """Counts of one session whose cumulative total changed, whatever the order in which they arrive.
+
+    Counts wait in a list until the watermark has passed one of them; then all
+    up to its line are released in line order. The last released line and its
+    totals stay until the watermark has passed the newest count by ``idle_ms``.
+    """
+
+    def __init__(self, idle_ms: int):
+        self.idle_ms = idle_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", WAITING_SCHEMA)
+        self.released = handle.getValueState("released", RELEASED_SCHEMA)
+
+    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+        newest = timerValues.getCurrentWatermarkInMs() + 1
+        for frame in rows:
+            self.waiting.appendList(_ints(frame[_COUNTS]))
+            if frame["ts_ms"].notna().any():
+                newest = max(newest, int(frame["ts_ms"].max()))
+        self.handle.registerTimer(newest)
+        self.handle.registerTimer(newest + self.idle_ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        mark = timerValues.getCurrentWatermarkInMs()
+        before = self.released.get() if self.released.exists() else None
+        waiting = pd.DataFrame(list(self.waiting.get()) if self.waiting.exists() else [], columns=_COUNTS, dtype="Int64")
+        # A line that was released already came twice.
+        waiting = waiting.drop_duplicates("line").sort_values("line")
+        if before:
+            waiting = waiting[waiting["line"] > before[0]]
+        passed = waiting.loc[(waiting["ts_ms"] <= mark).fillna(False), "line"]
+        out = []
+        if len(passed):
+            ready = waiting["line"] <= passed.max()
+            now, waiting = waiting[ready], waiting[~ready]
+            totals = now[_TOTALS].fillna(0).astype("int64")  # a counter that is not sent is zero
+            earlier = totals.shift(1)
+            if before:
+                earlier.iloc[0] = list(before[2:])
+            moved = now[(earlier.isna().any(axis=1) | totals.ne(earlier).any(axis=1)).to_numpy()]
+            seen = max(int(now["ts_ms"].max()), before[1] if before else 0)
+            before = (int(now["line"].iloc[-1]), seen, *(int(x) for x in totals.iloc[-1]))
+            self.released.update(before)
+            out.append(pd.DataFrame({
+                "session": key[0], "line": moved["line"], "fresh_tokens": (moved["last_input_tokens"] - moved["last_cached_input_tokens"]).clip(lower=0),
+                "output_tokens": moved["last_output_tokens"], "context_tokens": moved["total_total_tokens"],
+            }))
+        if len(waiting):
+            self.waiting.put(_ints(waiting))
+        else:
+            self.waiting.clear()
+            if before and mark >= before[1] + self.idle_ms:
+                self.released.clear()
+        return iter(out)
+
+    def close(self) -> None:
+        pass
+
+
+def counter_deltas(rec: DataFrame, lateness: str = "10 minutes", idle: timedelta = timedelta(days=1)) -> DataFrame:
+    """Token counts that moved, from streamed format B records in any order within ``lateness``. Use append mode and ``run_available(…, rocksdb=True)``.
+
+    A count is written when the watermark has passed it; one that arrives
+    later than that is dropped by Spark. A count without a time is taken with
+    the next timed one after its line. A session's state is its counts
+    within the lateness and one row of totals, which goes ``idle`` after its
+    newest count; a session that goes on after that starts anew.
+    """
+    counts = rec.where("has_info").select("session", F.timestamp_millis("ts_ms").alias("at"), *_COUNTS).withWatermark("at", lateness)
+    moves = CounterMoves(idle // timedelta(milliseconds=1))
+    return counts.groupBy("session").transformWithStateInPandas(moves, MOVED_SCHEMA, "append", "eventTime")
