@@ -145,14 +145,35 @@ def _(t):
 
 @query(
     "rollout_extras",
-    """SELECT session, CASE WHEN user_id % 10 > 0 AND user_id % 3 = 0 THEN 's' || (user_id + 1) END AS parent_thread, CASE WHEN user_id % 10 > 0 AND user_id % 3 = 0 THEN user_id % 4 END AS spawn_depth,
-       user_id % 10 > 0 AND user_id % 3 = 0 AS is_subagent, arg_max('{"used":' || (k % 4) || '}', event_id) FILTER (event_type = 'view') AS rate_limits FROM ev GROUP BY session, user_id""",
+    f"""WITH {COUNTS} SELECT session, CASE WHEN user_id % 10 > 0 AND user_id % 3 = 0 THEN 's' || (user_id + 1) END AS parent_thread, CASE WHEN user_id % 10 > 0 AND user_id % 3 = 0 THEN user_id % 4 END AS spawn_depth,
+       user_id % 10 > 0 AND user_id % 3 = 0 AS is_subagent, arg_max('{{"used":' || (k % 4) || '}}', event_id) FILTER (event_type = 'view') AS rate_limits,
+       CAST(coalesce(any_value(m.reasoning), 0) AS BIGINT) AS reasoning_tokens, count(*) FILTER (event_type = 'purchase') AS spawned
+       FROM ev LEFT JOIN (SELECT session, sum(k % 3 * 2) AS reasoning FROM moved GROUP BY session) m USING (session) GROUP BY session, user_id""",
     "ev",
 )
 def _(t):
-    rec = rec_b(t)
-    none = rec.limit(0).select("session", F.lit(0).alias("reasoning_tokens"))
-    return records_b.extras(rec, none).select("session", "parent_thread", "spawn_depth", "is_subagent", "rate_limits")
+    rec = spawning(t)
+    return records_b.extras(rec, records_b.token_deltas(rec, chunk_rows=4096)).select("session", "parent_thread", "spawn_depth", "is_subagent", "rate_limits", "reasoning_tokens", "spawned")
+
+
+def spawning(t):
+    """The records with one more line after each purchase, that of a thread it started."""
+    k, n = F.col("k"), F.col("event_id")
+    started = F.struct(F.lit("collab_agent_spawn_end").alias("type"), cat("sp", n).alias("call_id"), cat("thread", n).alias("new_thread_id"),
+                       F.when(k % 2 == 0, cat("Nick ", k)).alias("new_agent_nickname"), F.when(k % 3 == 0, F.lit("explorer")).alias("new_agent_role"))
+    line = js(iso(F.col("ts_ms")).alias("timestamp"), F.lit("event_msg").alias("type"), started.alias("payload"))
+    extra = t.ev.where("event_type = 'purchase'").select("session", (n * 2 + 3).alias("line"), line.alias("text"))
+    return stored(records_b.records(lines_b(t).union(extra)), "rollouts")
+
+
+@query(
+    "spawned_threads",
+    """SELECT session, event_id * 2 + 3 AS line, ts_ms, 'thread' || event_id AS agent, CASE WHEN k % 2 = 0 THEN 'Nick ' || k END AS nickname, CASE WHEN k % 3 = 0 THEN 'explorer' END AS role,
+       'sp' || event_id AS call_id, row_number() OVER (PARTITION BY session ORDER BY event_id) AS nth FROM ev WHERE event_type = 'purchase'""",
+    "ev",
+)
+def _(t):
+    return records_b.spawned_threads(spawning(t))
 
 
 @query(

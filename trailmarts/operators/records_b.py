@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import jsonx, text
 from ..functions.nulls import span_ms
-from ..functions.ordered import earliest, latest, running
+from ..functions.ordered import earliest, latest, numbered, running
 from ..functions.times import iso_ms, local_day
 from ..session import stored
 from .files import program_commands
@@ -105,6 +105,7 @@ def records(raw: DataFrame) -> DataFrame:
         F.when(item & k.isin(*OUTPUTS), F.when(jsonx.is_object(output), jsonx.bool_at(output, "$.success"))).alias("success"),
         F.when(event & (k == "exec_command_end"), n("$.exit_code")).alias("exit_code"), F.when(event & (k == "exec_command_end"), joined_command(argv)).alias("command"),
         F.when(done, n("$.duration_ms")).alias("duration_ms"), F.when(event & (k == "collab_agent_spawn_end"), s("$.new_thread_id")).alias("new_thread"),
+        F.when(event & (k == "collab_agent_spawn_end"), s("$.new_agent_nickname")).alias("new_nickname"), F.when(event & (k == "collab_agent_spawn_end"), s("$.new_agent_role")).alias("new_role"),
         F.when(count, F.to_json(jsonx.at(p, "$.rate_limits"))).alias("rate_limits"),
         (count & jsonx.is_object(jsonx.at(p, "$.info"))).alias("has_info"), *[total(c).alias(f"total_{c}") for c in COUNTERS], *[last(c).alias(f"last_{c}") for c in COUNTERS],
     )
@@ -222,21 +223,24 @@ def call_counts(rec: DataFrame) -> DataFrame:
 
 
 def extras(rec: DataFrame, deltas: DataFrame) -> DataFrame:
-    """Header fields, latest rate limits, reasoning tokens and spawn counts per session."""
+    """Header fields, latest rate limits, reasoning tokens of the counts that moved (``token_deltas``) and spawn counts per session."""
     known = lambda c: F.when(F.col(c).isNotNull(), F.col("line"))
     first = F.min_by(F.struct("parent_thread", "forked_from", "role_name", "nickname", "spawn_depth", "is_subagent_source", "cwd", "repo_url", "git_branch"), F.when(F.col("type") == "session_meta", F.col("line")))
     head = rec.groupBy("session").agg(
         first.alias("m"), F.max_by("rate_limits", known("rate_limits")).alias("rate_limits"), F.count("new_thread").alias("spawned"),
         F.max_by("text", F.when(F.col("kind") == "thread_name_updated", F.col("line"))).alias("title"),
         F.min_by("ts_ms", known("ts_ms")).alias("first_ts_ms"), F.max_by("ts_ms", known("ts_ms")).alias("last_ts_ms"))
-    reasoning = deltas.groupBy("session").agg(F.sum("reasoning_tokens").alias("reasoning_tokens"))
+    reasoning = deltas.groupBy("session").agg(F.sum("last_reasoning_output_tokens").alias("reasoning_tokens"))
     return head.join(reasoning, "session", "left").select(
         "session", "m.*", "rate_limits", "spawned", "title", "first_ts_ms", "last_ts_ms", F.coalesce("reasoning_tokens", F.lit(0)).alias("reasoning_tokens"),
         (F.coalesce(F.col("m.is_subagent_source"), F.lit(False)) | F.col("m.parent_thread").isNotNull()).alias("is_subagent"))
 
 
 def spawned_threads(rec: DataFrame) -> DataFrame:
-    return rec.where("new_thread IS NOT NULL").select(*KEYS, "ts_ms", F.col("new_thread").alias("agent"), "call_id")
+    """Threads that a session started, in line order by ``nth``: id, name, role, call and time of each."""
+    spawned = rec.where("new_thread IS NOT NULL").select(
+        *KEYS, "ts_ms", F.col("new_thread").alias("agent"), F.col("new_nickname").alias("nickname"), F.col("new_role").alias("role"), "call_id")
+    return numbered(spawned, ["session"], "line", "nth")
 
 
 def prompts(rec: DataFrame) -> DataFrame:
