@@ -178,14 +178,17 @@ def _(t):
 
 @query(
     "rollout_timeline",
-    """SELECT session, event_id * 2 + 2 AS line, 'user' AS kind, CAST(NULL AS VARCHAR) AS status FROM ev WHERE event_type = 'signup' AND ((user_id % 2 = 0 AND k % 8 < 4) OR (user_id % 2 = 1 AND k % 3 > 0))
-       UNION ALL SELECT session, event_id * 2 + 2, 'assistant-text', NULL FROM ev WHERE event_type = 'signup' AND user_id % 2 = 0 AND k % 8 >= 4
-       UNION ALL SELECT session, event_id * 2 + 2, 'tool-call', CASE k % 3 WHEN 0 THEN CASE WHEN k % 5 = 0 THEN 'error' ELSE 'ok' END WHEN 1 THEN CASE WHEN k % 2 = 1 THEN 'error' ELSE 'ok' END ELSE 'missing-result' END FROM ev WHERE event_type = 'error'""",
+    """WITH m AS (SELECT * REPLACE (event_id * 2 + 2 AS line), last_value(CASE WHEN event_type = 'click' AND k % 4 = 0 AND k % 3 > 0 THEN 'brand#' || (k % 4) END IGNORE NULLS) OVER (PARTITION BY session ORDER BY event_id) AS running FROM ev)
+       SELECT session, line, ts_ms, 'user' AS kind, CAST(NULL AS VARCHAR) AS status, CASE WHEN user_id % 2 = 0 THEN 'Message ' ELSE 'Typed ' END || k AS text, CAST(NULL AS VARCHAR) AS model, CAST(NULL AS BIGINT) AS duration_ms, CAST(NULL AS BIGINT) AS result_line
+         FROM m WHERE event_type = 'signup' AND ((user_id % 2 = 0 AND k % 8 < 4) OR (user_id % 2 = 1 AND k % 3 > 0))
+       UNION ALL SELECT session, line, ts_ms, 'assistant-text', NULL, 'Message ' || k, running, NULL, NULL FROM m WHERE event_type = 'signup' AND user_id % 2 = 0 AND k % 8 >= 4
+       UNION ALL SELECT session, line, ts_ms, 'tool-call', CASE k % 3 WHEN 0 THEN CASE WHEN k % 5 = 0 THEN 'error' ELSE 'ok' END WHEN 1 THEN CASE WHEN k % 2 = 1 THEN 'error' ELSE 'ok' END ELSE 'missing-result' END,
+         CASE WHEN k % 2 = 0 THEN 'bash -lc echo ' || k ELSE 'git commit -m it''s ' || k END, NULL, CASE WHEN k % 3 < 2 THEN 0 END, CASE WHEN k % 3 < 2 THEN line + 1 END FROM m WHERE event_type = 'error'""",
     "ev",
 )
 def _(t):
     rec = rec_b(t)
-    return timeline.entries_b(rec, records_b.tool_calls(rec), chunk_rows=4096).select("session", "line", "kind", "status")
+    return timeline.entries_b(rec, records_b.tool_calls(rec), chunk_rows=4096).select("session", "line", "ts_ms", "kind", "status", "text", "model", "duration_ms", "result_line")
 
 
 @query(
