@@ -38,6 +38,24 @@ def test_skill_bodies_are_handed_out_in_call_order(spark, seed):
     assert rows(got, "session", "call_id", "body_line") == greedy(calls, bodies)
 
 
+@pytest.mark.parametrize("seed,part", [(1, 1), (2, 3), (3, 8), (4, 100)])
+def test_skill_bodies_of_a_group_larger_than_a_part(spark, seed, part):
+    """Calls whose bodies never come: the rest of the session is one group, with results in any order and ties."""
+    rng = random.Random(seed)
+    calls, bodies = [], []
+    for i in range(40):
+        line = 10 * i + 1
+        calls.append(("s", "a", f"c{i:02}", line, rng.choice([line, line, line + rng.randrange(60), 200])))
+        if i not in (2, 11):
+            bodies.append(("s", "a", line + 5))
+    calls.append(("t", "a", "lone", 1, 1))
+    bodies.append(("t", "a", 9))
+    c = spark.createDataFrame(calls, "session string, short_name string, call_id string, line bigint, after_line bigint")
+    b = spark.createDataFrame(bodies, "session string, short_name string, line bigint").selectExpr("*", "line AS ts_ms", "'x' AS base_path", "1L AS chars")
+    got = skills.match_bodies(c, b, group_rows=part, chunk_rows=64)
+    assert rows(got, "session", "call_id", "body_line") == greedy(calls, bodies)
+
+
 def compact(contexts, top, base):
     out, offset = [], 0
     for real in contexts:

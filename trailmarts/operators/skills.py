@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
-from ..functions.ordered import running
+from ..functions.ordered import CHUNK_ROWS, ranged, running
 from ..session import stored
 from . import turns
 
@@ -45,7 +46,8 @@ def skill_calls(calls: DataFrame) -> DataFrame:
 
 
 def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Give every call, in call order, the first free body at or after its first candidate."""
+    """Give every call of a part, in call order, the first of the part's bodies that is free at or after its first candidate."""
+    bodies = np.sort(pdf["slot"].to_numpy())
     free: dict[int, int] = {}
 
     def find(x: int) -> int:
@@ -57,25 +59,71 @@ def _greedy(pdf: pd.DataFrame) -> pd.DataFrame:
             free[p] = x
         return x
 
-    slots = []
-    for first in pdf.sort_values("line")["first"]:
-        at = find(int(first))
+    out = pdf.sort_values("ord")
+    places = []
+    for start in np.searchsorted(bodies, out["first"].to_numpy()).tolist():
+        at = find(start)
         free[at] = at + 1
-        slots.append(at)
-    out = pdf.sort_values("line").copy()
-    out["slot"] = slots
+        places.append(at)
+    out["slot"] = bodies[places]
     return out[["session", "short_name", "call_id", "line", "slot"]]
 
 
-def match_bodies(calls: DataFrame, bodies: DataFrame, **chunking) -> DataFrame:
+def _halved(work: DataFrame, keys: list[str], unit: int) -> DataFrame:
+    """Split every part of ``2 * unit`` calls into the earlier and the later half of its calls, each with its bodies.
+
+    The later calls never change what the earlier ones take, and which bodies
+    a set of calls takes does not depend on their order: along the bodies it
+    is a running maximum again. What is left belongs to the later half.
+    """
+    part = [*keys, "part"]
+    split = work.withColumn("part", F.floor(F.col("ord") / (2 * unit)))
+    early = split.where(F.floor(F.col("ord") / unit) % 2 == 0)
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    axis = early.select(*part, F.col("first").alias("pos"), zero.alias("kind"), "ord").unionByName(
+        split.select(*part, F.col("slot").alias("pos"), one.alias("kind"), zero.alias("ord")))
+    chunks = {"chunk": F.col("range")}  # any number of calls may wait from the same body
+    counted = stored(running(
+        ranged(axis, part, ["pos", "kind", "ord"]), part, "pos",
+        {"bodies": ("sum", F.col("kind")), "calls": ("sum", one - F.col("kind"))}, ties=["kind", "ord"], **chunks), "skills")
+    led = running(
+        counted.where("kind = 0"), part, "pos", {"lead": ("max", F.col("bodies") - F.col("calls") + 1)}, ties=["ord"], **chunks)
+    taken = led.select(*part, (F.col("calls") - 1 + F.col("lead")).alias("place"), "ord")
+    places = counted.where("kind = 1").select(*part, (F.col("bodies") - 1).alias("place"), F.col("pos").alias("slot"), "range")
+    marked = stored(places.join(taken, [*part, "place"], "left"), "skills")
+    left = running(marked.where("ord IS NULL"), part, "place", {"nth": ("sum", one)}, **chunks)
+    dealt = marked.where("ord IS NOT NULL").select(*keys, "ord", "slot").unionByName(
+        left.select(*keys, ((2 * F.col("part") + 1) * unit + F.col("nth") - 1).alias("ord"), "slot"))
+    return stored(work.drop("slot").join(dealt, [*keys, "ord"]), "skills")
+
+
+def _in_call_order(work: DataFrame, keys: list[str], largest: int, group_rows: int, **chunking) -> DataFrame:
+    """Hand the bodies of each group out again in call order; no task gets more than ``group_rows`` calls of a group.
+
+    ``work`` has the first candidate and a body for every call. Larger groups
+    are halved by call order, all at the same time, until their parts fit.
+    """
+    placed = running(work, keys, "line", {"ord": ("sum", F.lit(1).cast("bigint"))}, ties=["call_id"], **chunking)
+    placed = placed.withColumn("ord", F.col("ord") - 1)
+    rounds = max(0, (-(-largest // group_rows) - 1).bit_length())
+    if rounds:
+        placed = stored(placed, "skills")
+    for r in reversed(range(rounds)):
+        placed = _halved(placed, keys, group_rows << r)
+    schema = "session string, short_name string, call_id string, line bigint, slot bigint"
+    return placed.withColumn("part", F.floor(F.col("ord") / group_rows)).groupBy(*keys, "part").applyInPandas(_greedy, schema)
+
+
+def match_bodies(calls: DataFrame, bodies: DataFrame, group_rows: int = CHUNK_ROWS, **chunking) -> DataFrame:
     """Pair each skill call with the nearest later body of its name that no earlier call took.
 
     With the calls sorted by the line they wait from, call ``i`` takes body
     ``i + max(first_j - j)`` over ``j <= i``, where ``first`` is the number of
     bodies up to that line: a running maximum. The calls that compete for the
     same bodies form a group. Where a group's results came back in another
-    order than its calls, the bodies are handed out again in call order; such
-    a group is a set of calls in flight together.
+    order than its calls, the bodies are handed out again in call order, in
+    parts of at most ``group_rows`` calls. A call whose body never comes takes
+    the next call's, so a group may be all the rest of a session.
     """
     keys = ["session", "short_name"]
     # Calls after the last body of their name, or without any, never match.
@@ -98,15 +146,16 @@ def match_bodies(calls: DataFrame, bodies: DataFrame, **chunking) -> DataFrame:
         {"grp": ("sum", (F.col("slot") == F.col("first")).cast("bigint")), "latest": ("max", F.col("line"))}, ties=["nth"], **chunking,
     )
     slots = stored(slots, "skills")
-    inverted = slots.groupBy(*keys, "grp").agg(
+    inverted = stored(slots.groupBy(*keys, "grp").agg(
         F.bool_or(F.col("line") < F.col("latest")).alias("late"), F.count(F.lit(1)).alias("n")
-    ).where("late AND n > 1")
-    again = slots.join(inverted.select(*keys, "grp"), [*keys, "grp"], "left_semi")
-    schema = "session string, short_name string, call_id string, line bigint, slot bigint"
-    redone = again.select(*keys, "grp", "call_id", "line", "first").groupBy(*keys, "grp").applyInPandas(_greedy, schema)
-    settled = slots.join(inverted.select(*keys, "grp"), [*keys, "grp"], "left_anti").select(*keys, "call_id", "line", "slot")
+    ).where("late AND n > 1").drop("late"), "skills")
+    settled = slots.join(inverted, [*keys, "grp"], "left_anti").select(*keys, "call_id", "line", "slot")
+    largest = inverted.agg(F.max("n")).first()[0]
+    if largest:
+        again = slots.join(inverted, [*keys, "grp"], "left_semi").select(*keys, "grp", "call_id", "line", "first", "slot")
+        settled = settled.unionByName(_in_call_order(again, [*keys, "grp"], largest, group_rows, **chunking))
     numbered = running(bodies, keys, "line", {"slot": ("sum", F.lit(1).cast("bigint"))}, **chunking).withColumn("slot", F.col("slot") - 1)
-    found = settled.unionByName(redone).join(
+    found = settled.join(
         numbered.select(*keys, "slot", F.col("line").alias("body_line"), F.col("chars").alias("body_chars"), "base_path", F.col("ts_ms").alias("body_ts_ms")),
         [*keys, "slot"],
     )
