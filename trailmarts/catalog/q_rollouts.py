@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from ..operators import records_b, search, timeline
+from ..operators import records_b, search, timeline, turns
 from ..session import stored
 from .q_transcripts import cat, iso, js
 from .registry import query
@@ -96,8 +96,42 @@ def _(t):
     "ev",
 )
 def _(t):
-    _, turns = records_b.usage_and_turns(rec_b(t), chunk_rows=4096)
-    return turns.select("session", "turn", "turn_id", "model", "started_ms", "ended_ms", "duration_ms", "input_tokens", "reasoning_tokens")
+    _, found = records_b.usage_and_turns(rec_b(t), chunk_rows=4096)
+    return found.select("session", "turn", "turn_id", "model", "started_ms", "ended_ms", "duration_ms", "input_tokens", "reasoning_tokens")
+
+
+# Starts and times are moved so that both run backwards; one turn in 17 of some sessions has no start.
+@query(
+    "rollout_turn_groups",
+    f"""WITH {MARKS},
+      tt AS (SELECT session, turn, nullif(model, 'unknown') AS model, CASE WHEN turn % 17 > 0 OR session NOT LIKE '%3' THEN started_ms - turn % 3 * 72000000 END AS st FROM tm),
+      pl AS (SELECT a.session, a.turn, a.model, a.st, b.turn AS place FROM (SELECT *, row_number() OVER (PARTITION BY session ORDER BY st, turn) AS n FROM tt WHERE st IS NOT NULL) a
+        JOIN (SELECT session, turn, row_number() OVER (PARTITION BY session ORDER BY turn) AS n FROM tt WHERE st IS NOT NULL) b USING (session, n)
+        UNION ALL SELECT session, turn, model, st, turn FROM tt WHERE st IS NULL),
+      bl AS (SELECT session, min(place) AS stop FROM pl WHERE st IS NULL AND place > 1 GROUP BY session),
+      mk AS (SELECT session, st, row_number() OVER (PARTITION BY session ORDER BY place) AS n FROM pl LEFT JOIN bl USING (session) WHERE place > 1 AND st IS NOT NULL AND (stop IS NULL OR place < stop)),
+      ml AS (SELECT session, st, max(n) AS n FROM mk GROUP BY ALL),
+      e AS (SELECT session, line, event_type, k, max(CASE WHEN k % 11 > 0 THEN ts_ms + (k % 5 - 2) * 36000000 END) OVER (PARTITION BY session ORDER BY line) AS upto FROM ev WHERE event_type IN ('signup', 'error', 'purchase')),
+      z AS (SELECT e.session, line, event_type, k, 1 + coalesce(n, 0) AS place FROM e ASOF LEFT JOIN ml ON e.session = ml.session AND upto >= st),
+      g AS (SELECT session, place, count(*) AS n, count(*) FILTER (event_type = 'error' AND k % 2 = 0) AS errs, min(line) AS anchor, min(line) FILTER (event_type = 'signup') AS user_line FROM z GROUP BY ALL),
+      sp AS (SELECT session, place, 'brand#' || (k % 4) AS m, min(line) AS seen FROM z WHERE event_type = 'purchase' GROUP BY ALL
+        UNION ALL SELECT session, place, model, 0 FROM pl WHERE model IS NOT NULL),
+      ms AS (SELECT session, place, string_agg(m, ',' ORDER BY seen) AS models FROM (SELECT session, place, m, min(seen) AS seen FROM sp GROUP BY ALL) x GROUP BY ALL)
+      SELECT session, place, turn, st AS started_ms, coalesce(g.n, 0) AS entries, coalesce(errs, 0) AS tool_errors, coalesce(anchor, -(place + 1)) AS anchor_line, user_line, coalesce(models, '') AS models
+      FROM pl LEFT JOIN g USING (session, place) LEFT JOIN ms USING (session, place)""",
+    "ev",
+)
+def _(t):
+    k, et = F.col("k"), F.col("event_type")
+    _, found = records_b.usage_and_turns(rec_b(t), chunk_rows=4096)
+    early = F.col("started_ms") - F.col("turn") % 3 * 72000000
+    found = found.withColumn("started_ms", F.when((F.col("turn") % 17 > 0) | ~F.col("session").endswith("3"), early))
+    entries = t.ev.where(et.isin("signup", "error", "purchase")).select(
+        "session", "line", F.lit(0).alias("block"), F.when(k % 11 > 0, F.col("ts_ms") + (k % 5 - 2) * 36000000).alias("ts_ms"),
+        F.when(et == "signup", F.lit("user")).when(et == "error", F.lit("tool-call")).otherwise(F.lit("assistant-text")).alias("kind"),
+        F.when((et == "error") & (k % 2 == 0), F.lit("error")).alias("status"), F.when(et == "purchase", cat("brand#", k % 4)).alias("model"))
+    out = turns.turn_groups_by_time(entries, found, chunk_rows=2048)
+    return out.select("session", "place", "turn", "started_ms", "entries", "tool_errors", "anchor_line", "user_line", F.array_join("models", ",").alias("models"))
 
 
 @query(

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..functions.ordered import running
+from ..functions.ordered import ranged, running
+from ..session import stored
 from .pricing import TOKENS
 
 OUTLIER_SHARE = 0.25
@@ -98,6 +99,72 @@ def turn_groups(entries: DataFrame, prompts: DataFrame, usage: DataFrame, subtre
     )
 
 
+def places_by_start(turns: DataFrame, **chunking) -> DataFrame:
+    """``place`` of every turn once those with a start stand in order of it; one without a start keeps its place.
+
+    ``turns`` has session, turn (1, 2, 3, …) and started_ms.
+    """
+    started = turns.where("started_ms IS NOT NULL").select("session", "turn", "started_ms")
+    one = {"__nth": ("sum", F.lit(1).cast("bigint"))}
+    by_turn = running(started, ["session"], "turn", one, **chunking).select("session", "__nth", F.col("turn").alias("place"))
+    by_time = running(
+        ranged(started, ["session"], ["started_ms", "turn"]), ["session"], "started_ms", one, ties=["turn"], chunk=F.col("range"))
+    moved = by_time.select("session", "turn", "__nth").join(by_turn, ["session", "__nth"]).drop("__nth")
+    return turns.join(moved, ["session", "turn"], "left").withColumn("place", F.coalesce("place", "turn"))
+
+
+def assign_by_time(entries: DataFrame, placed: DataFrame, **chunking) -> DataFrame:
+    """Add ``place``: the turn that is open at an entry, walking the entries in line order.
+
+    An entry opens the next turns that start at or before its time; times may
+    be missing or run backwards, a turn once open is never left for an earlier
+    one, and a turn without a start lets nothing past it. So an entry belongs
+    to the last turn that starts by the latest time so far: a running maximum
+    along the lines, then a count along the times.
+    """
+    names = entries.columns
+    stops = placed.where("started_ms IS NULL AND place > 1").groupBy("session").agg(F.min("place").alias("__stop"))
+    marks = placed.where("started_ms IS NOT NULL AND place > 1").join(stops, "session", "left").where("__stop IS NULL OR place < __stop")
+    seen = running(entries, ["session"], "line", {"__upto": ("max", F.col("ts_ms"))}, ties=["block"], **chunking)
+    zero, one = F.lit(0).cast("bigint"), F.lit(1).cast("bigint")
+    axis = seen.withColumns({"__kind": F.lit(1), "__mark": zero}).unionByName(
+        marks.select("session", F.col("started_ms").alias("__upto"), F.lit(0).alias("__kind"), one.alias("__mark")), allowMissingColumns=True)
+    # Entries before any time sort first, where no turn is counted yet.
+    counted = running(
+        ranged(axis, ["session"], ["__upto", "__kind", "line", "block"], "__range"), ["session"], "__upto", {"__n": ("sum", F.col("__mark"))},
+        ties=["__kind", "line", "block"], chunk=F.col("__range"))
+    return counted.where("__kind = 1").select(*names, (F.col("__n") + 1).alias("place"))
+
+
+def turn_groups_by_time(entries: DataFrame, turns: DataFrame, **chunking) -> DataFrame:
+    """Timeline entries per turn of format B, whose turns have times but no lines.
+
+    ``entries`` has session, line, block, ts_ms, kind, status and model;
+    ``turns`` is that of ``records_b.usage_and_turns``. Models are the turn's
+    own, then those of its assistant texts in order. A turn without entries has
+    the anchor ``-(place + 1)``, which is never a line.
+    """
+    placed = stored(places_by_start(turns, **chunking), "places")
+    inside = stored(assign_by_time(entries.select("session", "line", "block", "ts_ms", "kind", "status", "model"), placed, **chunking), "entries")
+    keys = ["session", "place"]
+    groups = inside.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("entries"), F.count_if((F.col("kind") == "tool-call") & (F.col("status") == "error")).alias("tool_errors"),
+        F.min("line").alias("anchor_line"), F.min(F.when(F.col("kind") == "user", F.col("line"))).alias("user_line"))
+    spoken = inside.where("kind = 'assistant-text' AND model IS NOT NULL").groupBy(*keys, "model").agg(F.min(F.struct("line", "block")).alias("at"))
+    named = placed.where("model IS NOT NULL").select(*keys, "model", F.lit(None).cast(spoken.schema["at"].dataType).alias("at"))
+    models = named.unionByName(spoken).groupBy(*keys, "model").agg(F.min_by("at", F.when(F.col("at").isNull(), 0).otherwise(1)).alias("at"))
+    models = models.groupBy(*keys).agg(F.collect_list(F.struct("at", "model")).alias("__models"))
+    return (
+        placed.join(groups, keys, "left").join(models, keys, "left")
+        .withColumns({
+            "entries": F.coalesce("entries", F.lit(0)), "tool_errors": F.coalesce("tool_errors", F.lit(0)),
+            "anchor_line": F.coalesce("anchor_line", -(F.col("place") + 1)),
+            "models": F.coalesce(F.transform(F.array_sort("__models"), lambda m: m["model"]), F.array().cast("array<string>")),
+        })
+        .drop("__models", "model")
+    )
+
+
 def requests(records: DataFrame, **chunking) -> DataFrame:
     """Consecutive assistant records of one request, with ordinal and the line before them.
 
