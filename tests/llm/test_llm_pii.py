@@ -66,3 +66,25 @@ def test_no_python_in_the_plan_and_no_rows(spark):
     plan = pii.redact(docs_frame(spark, [(1, "a@b.co")]))._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow", plan)
     assert pii.report(docs_frame(spark, [])).collect() == []
+
+
+def merged(text, spans):
+    """The redacted text, range by range."""
+    out, at, reach = [], 0, 0
+    for s in spans:
+        if s.start >= reach:
+            out += [text[at if not out else reach:s.start], f"[{s.kind.upper()}]"]
+        reach = max(reach, s.end)
+    return "".join([*out, text[reach:]])
+
+
+def test_long_texts_with_many_spans_are_redacted_whole(spark):
+    rng = random.Random(4)
+    parts = ["a@b.co", "+1.2.3.4.5.6.7.8.9.10", "1.2.3.4", "DE89 3704 0044 0532 0130 00", "DE89370400440532013000 ", "😀", "é ", " ", "x" * 1023, "y 😀" * 700, "+49 30 1234567@b.co"]
+    rows = [(i, "".join(rng.choice(parts) + rng.choice(["", " "]) for _ in range(n))) for i, n in enumerate([1, 2, 3, 63, 64, 65, 128, 129, 500, 2000])]
+    rows += [(20, "a@b.co " * 20_000), (21, "a" * 1024 + " a@b.co"), (22, "z" * 1018 + " a@b.co"), (23, "DE89370400440532013000 " * 9000)]
+    docs = docs_frame(spark, rows)
+    spans = {r.doc_id: r.spans for r in pii.spans(docs.select("doc_id", "text")).collect()}
+    assert len(spans[20]) == 20_000 and sum(s.kind == "iban" for s in spans[23]) == 9000
+    after = {r.doc_id: r.text for r in pii.redact(docs).collect()}
+    assert after == {i: merged(text, spans[i]) for i, text in rows}

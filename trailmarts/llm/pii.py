@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 KINDS = ("email", "ip", "card", "phone", "iban")
+TEXT_BLOCK = 1024  # code points of a text that are read to take a part of it
 CONTEXT = 48  # code points before a span in which its words are looked for
 
 _LOCAL, _HOST = "[A-Za-z0-9._%+-]", "[A-Za-z0-9-]"
@@ -137,10 +138,24 @@ CONFIRM: dict[str, Callable[[Column], Column]] = {
 }
 
 
-def _apart(found: Column) -> Column:
-    """Spans by start, without those that begin within an earlier one."""
+def _apart(found: Column, block: int = 64) -> Column:
+    """Spans by start, without those that begin within an earlier one that stays. Chosen in blocks, so that little is copied for each span."""
     empty = F.array().cast(f"array<{SPAN}>")
-    return F.aggregate(found, empty, lambda acc, s: F.when((F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1))["end"] <= s["start"]), F.concat(acc, F.array(s))).otherwise(acc))
+
+    def state(end: Column, kept: Column) -> Column:
+        return F.struct(end.alias("end"), kept.alias("kept"))
+
+    def take(acc: Column, s: Column) -> Column:
+        return F.when(acc["end"] <= s["start"], state(s["end"], F.concat(acc["kept"], F.array(s)))).otherwise(acc)
+
+    def chosen(spans: Column) -> Column:
+        def step(acc: Column, b: Column) -> Column:
+            own = F.aggregate(F.slice(spans, b * block + 1, block), state(acc["end"], empty), take)
+            return _let(own, lambda x: state(x["end"], F.concat(acc["kept"], x["kept"])))
+
+        return F.aggregate(F.sequence(F.lit(0), (F.size(spans) / block).cast("int")), state(F.lit(0), empty), step)["kept"]
+
+    return _let(found, chosen)
 
 
 def _confirmed(kind: str, words: Column, gaps: Column) -> Column:
@@ -164,7 +179,7 @@ def _confirmed(kind: str, words: Column, gaps: Column) -> Column:
         plain = F.transform(kept, lambda s: F.struct(*(s[c].alias(c) for c in ("start", "kind_no", "end", "kind", "score"))))
         return _apart(plain) if kind in WITHIN else plain
 
-    return _let(_before(lengths), spans)
+    return _let(lengths, lambda known: _let(_before(known), spans))
 
 
 def spans(texts: DataFrame, text: str = "text", into: str = "spans") -> DataFrame:
@@ -184,25 +199,47 @@ def joined(found: Column) -> Column:
     return F.concat_ws(",", F.transform(found, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))))
 
 
+def _most_before(values: Column, block: int = 64) -> Column:
+    """For each element of ``values``, the largest of those before it, at least 0."""
+
+    def most(xs: Column) -> Column:
+        return F.coalesce(F.array_max(xs), F.lit(0))
+
+    def place(tops: Column) -> Column:
+        return F.transform(values, lambda _, i: F.greatest(tops[(i / block).cast("int")], most(F.slice(values, (i / block).cast("int") * block + 1, i % block))))
+
+    blocks = F.transform(F.sequence(F.lit(0), (F.size(values) / block).cast("int")), lambda b: most(F.slice(values, b * block + 1, block)))
+    return _let(blocks, lambda bs: _let(F.transform(bs, lambda _, i: most(F.slice(bs, F.lit(1), i))), place))
+
+
+def _part(blocks: Column, start: Column, end: Column) -> Column:
+    """Code points ``start`` to ``end`` of a text in blocks of ``TEXT_BLOCK``; only the blocks concerned are read."""
+    first, last = (start / TEXT_BLOCK).cast("int"), (end / TEXT_BLOCK).cast("int")
+    at = start % TEXT_BLOCK + 1
+    whole = F.array_join(F.slice(blocks, first + 2, F.greatest(last - first - 1, F.lit(0))), "")
+    across = F.concat(F.substring(F.get(blocks, first), at, F.lit(TEXT_BLOCK)), whole, F.coalesce(F.left(F.get(blocks, last), end % TEXT_BLOCK), F.lit("")))
+    return F.when(end <= start, F.lit("")).when(first == last, F.substring(F.get(blocks, first), at, end - start)).otherwise(across)
+
+
 def redacted(text: Column, found: Column) -> Column:
-    """``text`` with each span replaced by its kind in brackets; of spans that overlap the first names what they cover together."""
-    empty = F.array().cast("array<struct<start:int,end:int,kind:string>>")
+    """``text`` with each span replaced by its kind in brackets; of spans that overlap the first names what they cover together.
 
-    def merge(acc: Column, s: Column) -> Column:
-        last = F.element_at(acc, -1)
-        own = F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))
-        wider = F.struct(last["start"].alias("start"), F.greatest(last["end"], s["end"]).alias("end"), last["kind"].alias("kind"))
-        apart = (F.size(acc) == 0) | (F.try_element_at(acc, F.lit(-1))["end"] <= s["start"])
-        return F.when(apart, F.concat(acc, F.array(own))).otherwise(F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(wider)))
+    A span that begins at or after all earlier ends begins a range, and the
+    largest end before it ends the range before.
+    """
 
-    def rebuilt(ranges: Column) -> Column:
-        def part(r: Column, i: Column) -> Column:
-            last = F.when(i > 0, F.try_element_at(ranges, i)["end"]).otherwise(0)
-            return F.concat(F.substring(text, last + 1, r["start"] - last), F.lit("["), F.upper(r["kind"]), F.lit("]"))
+    def ranges(before: Column) -> Column:
+        each = F.transform(found, lambda s, i: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), before[i].alias("from")))
+        return F.filter(each, lambda r: r["from"] <= r["start"])
 
-        return F.concat(F.concat_ws("", F.transform(ranges, part)), F.substring(text, F.element_at(ranges, -1)["end"] + 1, F.length(text)))
+    def rebuilt(blocks: Column, ends: Column) -> Column:
+        heads = _let(_most_before(ends), ranges)
+        parts = F.transform(heads, lambda r: F.concat(_part(blocks, r["from"], r["start"]), F.lit("["), F.upper(r["kind"]), F.lit("]")))
+        return F.concat(F.array_join(parts, ""), _part(blocks, F.array_max(ends), F.length(text)))
 
-    return F.when(F.size(found) > 0, _let(F.aggregate(found, empty, merge), rebuilt)).otherwise(text)
+    cut = F.regexp_extract_all(text, F.lit(f"(?s).{{1,{TEXT_BLOCK}}}"), F.lit(0))
+    ends = F.transform(found, lambda s: s["end"])
+    return F.when(F.size(found) > 0, _let(cut, lambda blocks: _let(ends, lambda es: rebuilt(blocks, es)))).otherwise(text)
 
 
 def redact(texts: DataFrame, text: str = "text") -> DataFrame:
