@@ -416,6 +416,31 @@ def _(t):
     return trace.channels(captures(t), trace.enriched_requests(requests(t), captures(t)))
 
 
+MEASURED = "event_type = 'view' AND user_id % 4 > 0"
+
+
+@query(
+    "trace_enrichment",
+    f"""WITH s AS (SELECT DISTINCT session FROM ev), c AS (SELECT * FROM {CAPTURES} c), m AS (SELECT session, count(*) AS n FROM ev WHERE {MEASURED} GROUP BY session), n AS (SELECT session, count(*) AS n FROM c GROUP BY session),
+       h AS (SELECT session, count(*) AS n FROM c WHERE request_id IS NOT NULL AND (session, request_id) NOT IN (SELECT session, 'req' || event_id FROM ev WHERE {CALLED} AND thread = 'main') GROUP BY session)
+       SELECT session, 'telemetry' AS channel, true AS consulted, m.n IS NOT NULL AS available, coalesce(m.n, 0) AS "rows", CASE WHEN m.n IS NULL THEN 'nothing of this session' END AS note, NULL AS hidden_calls FROM s LEFT JOIN m USING (session)
+       UNION ALL SELECT session, 'captures', true, n.n IS NOT NULL, coalesce(n.n, 0), CASE WHEN n.n IS NULL THEN 'nothing of this session' END, coalesce(h.n, 0) FROM s LEFT JOIN n USING (session) LEFT JOIN h USING (session)""",
+    "ev",
+)
+def _(t):
+    found = captures(t)
+    return trace.enrichment(t.ev, found, t.ev.where(MEASURED), trace.hidden_calls(found, requests(t)))
+
+
+@query(
+    "trace_limitations",
+    f"""SELECT DISTINCT session, unnest(['subagents', 'reconstruction', 'listings']) AS name FROM ev UNION ALL SELECT DISTINCT session, 'telemetry' FROM ev WHERE {MEASURED}""",
+    "ev",
+)
+def _(t):
+    return trace.limitations(trace.enrichment(t.ev, None, t.ev.where(MEASURED)), listings=False).select("session", "name")
+
+
 def all_events(t):
     rec = stored(rec_a(t), "records")
     hidden = trace.hidden_calls(captures(t), requests(t)).withColumn("ts_ms", F.col("started_ms"))

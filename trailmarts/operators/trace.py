@@ -95,3 +95,48 @@ def channels(captures: DataFrame, requests: DataFrame) -> DataFrame:
     per = requests.groupBy("session").agg(F.count(F.lit(1)).alias("requests"), F.count("latency_ms").alias("enriched"))
     return per.join(seen, "session", "left").select(
         "session", "requests", "enriched", F.coalesce("captures", F.lit(0)).alias("captures"), F.col("captures").isNotNull().alias("capture_available"))
+
+
+NOT_ASKED = "not consulted for this trace"
+#: What a trace leaves out, by name.
+LIMITATIONS = {
+    "subagents": "launches are summarised; the calls and messages of a subagent are in its own session data",
+    "listings": "listings injected into the context were not looked for",
+    "telemetry": "telemetry names no request, so cost and duration of single requests are not taken from it",
+    "reconstruction": "single requests are not reconstructed",
+}
+
+
+def enrichment(sessions: DataFrame, captures: DataFrame | None = None, telemetry: DataFrame | None = None, hidden: DataFrame | None = None) -> DataFrame:
+    """One row per session and side channel: whether it was consulted and had anything, its rows, a note, and the hidden calls of captures.
+
+    A channel that is None was not consulted. ``sessions``, ``captures``,
+    ``telemetry`` and ``hidden`` have a session; repeated sessions count once.
+    """
+    known = sessions.select("session").distinct()
+
+    def counted(table: DataFrame, name: str) -> DataFrame:
+        return table.groupBy("session").agg(F.count(F.lit(1)).alias(name))
+
+    def channel(name: str, table: DataFrame | None) -> DataFrame:
+        none = F.lit(None).cast("bigint")
+        rows = known.withColumn("rows", none) if table is None else known.join(counted(table, "rows"), "session", "left")
+        found = F.coalesce(F.col("rows"), F.lit(0))
+        if name == "captures" and table is not None and hidden is not None:
+            rows = rows.join(counted(hidden, "hidden_calls"), "session", "left").withColumn("hidden_calls", F.coalesce("hidden_calls", F.lit(0)))
+        else:
+            rows = rows.withColumn("hidden_calls", none)
+        note = F.lit(NOT_ASKED) if table is None else F.when(found == 0, F.lit("nothing of this session"))
+        return rows.select(
+            "session", F.lit(name).alias("channel"), F.lit(table is not None).alias("consulted"), (found > 0).alias("available"), found.alias("rows"), note.alias("note"), "hidden_calls")
+
+    return channel("telemetry", telemetry).unionByName(channel("captures", captures))
+
+
+def limitations(channels_of: DataFrame, listings: bool = True) -> DataFrame:
+    """What the trace of each session leaves out: ``name`` and text. ``channels_of`` is that of ``enrichment``; API errors are whole, so none is capped."""
+    names = ["subagents", "reconstruction"] + ([] if listings else ["listings"])
+    always = channels_of.select("session").distinct().select("session", F.explode(F.array(*map(F.lit, names))).alias("name"))
+    measured = channels_of.where("channel = 'telemetry' AND available").select("session", F.lit("telemetry").alias("name"))
+    texts = F.create_map(*[F.lit(x) for pair in LIMITATIONS.items() for x in pair])
+    return always.unionByName(measured).withColumn("text", texts[F.col("name")])
