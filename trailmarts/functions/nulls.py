@@ -47,6 +47,17 @@ def share_pct(part: Column, whole: Column) -> Column:
     return F.when(whole > 0, F.round(part / whole * 1000) / 10).otherwise(F.lit(0.0))
 
 
+def exact_usd(x: Column) -> Column:
+    """Sum of dollars as a decimal, the same in whatever order rows meet; dollars count to 12 places."""
+    return F.sum(x.try_cast("decimal(28,12)"))
+
+
+def usd_share_pct(part: Column, whole: Column) -> Column:
+    """Share of two ``exact_usd`` in percent with one decimal, halves up; NULL when either side is unknown."""
+    units = [(x * F.lit(10**12).cast("decimal(13,0)")).cast("decimal(34,0)") for x in (part, whole)]
+    return F.when(whole > 0, F.call_function("div", units[0] * 2000 + units[1], units[1] * 2) / 10)
+
+
 def known_share_pct(part: Column, whole: Column) -> Column:
     """Share in percent with one decimal, NULL when either side is unknown."""
     return F.when(whole > 0, F.round(part / whole * 1000) / 10)

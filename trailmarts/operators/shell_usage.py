@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import shell, text
-from ..functions.nulls import known_share_pct, share_pct
+from ..functions.nulls import exact_usd, share_pct, usd_share_pct
 from ..functions.ordered import numbered, top_rows
 
 LARGE_RESULT_CHARS = 20_000
@@ -78,11 +78,13 @@ def sample_commands(commands: DataFrame) -> DataFrame:
 
 
 def by_thread(priced: DataFrame) -> DataFrame:
-    groups = priced.groupBy("session", "thread").agg(*_sums(), F.min("model").alias("model"))
-    return _with_totals(groups, totals(priced)).select(
+    usd = exact_usd(F.col("est_usd"))
+    groups = priced.groupBy("session", "thread").agg(*_sums(), F.min("model").alias("model"), usd.alias("__part"))
+    whole = priced.groupBy("session").agg(F.sum("result_chars").alias("__chars"), usd.alias("__usd"))
+    return groups.join(whole, "session").select(
         "session", "thread", "model", "calls", "errors", "input_chars", "result_chars", "estimated_tokens", "est_usd",
         share_pct(F.col("result_chars"), F.col("__chars")).alias("chars_share_pct"),
-        known_share_pct(F.col("est_usd"), F.col("__usd")).alias("usd_share_pct"),
+        usd_share_pct(F.col("__part"), F.col("__usd")).alias("usd_share_pct"),
     )
 
 
