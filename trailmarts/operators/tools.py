@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import jsonx, repo, text
-from ..functions.nulls import known_share_pct, ratio_or_null, share_pct, span_ms
+from ..functions.nulls import exact_usd, known_share_pct, ratio_or_null, share_pct, span_ms, usd_share_pct
 from ..functions.ordered import earliest, running, top_rows
 
 MAIN = "main"
@@ -169,12 +169,13 @@ def usage_by_tool(priced: DataFrame) -> DataFrame:
 
 
 def usage_by_thread(priced: DataFrame) -> DataFrame:
-    groups = priced.groupBy("session", "thread").agg(*_sums(), F.min("model").alias("model"))
-    whole = priced.groupBy("session").agg(F.sum("result_chars").alias("__chars"), F.sum("est_usd").alias("__usd"))
+    usd = exact_usd(F.col("est_usd"))
+    groups = priced.groupBy("session", "thread").agg(*_sums(), F.min("model").alias("model"), usd.alias("__part"))
+    whole = priced.groupBy("session").agg(F.sum("result_chars").alias("__chars"), usd.alias("__usd"))
     return groups.join(whole, "session").select(
         "session", "thread", "model", "calls", "errors", "result_chars", "estimated_tokens", "est_usd",
         share_pct(F.col("result_chars"), F.col("__chars")).alias("chars_share_pct"),
-        known_share_pct(F.col("est_usd"), F.col("__usd")).alias("usd_share_pct"),
+        usd_share_pct(F.col("__part"), F.col("__usd")).alias("usd_share_pct"),
     )
 
 
@@ -219,7 +220,7 @@ def decisions(by_tool: DataFrame, priced: DataFrame) -> DataFrame:
     """Four facts per session: where the cost, the errors and the largest result sit, and the main thread's share."""
     per = by_tool.groupBy("session").agg(
         F.min_by(F.struct("tool", "est_usd"), F.when(F.col("est_usd").isNotNull(), F.struct(-F.col("est_usd"), F.col("tool")))).alias("cost"),
-        F.sum("est_usd").alias("__usd"),
+        exact_usd(F.col("est_usd")).alias("__usd"),
         F.min_by(F.struct("tool", "errors"), F.when(F.col("errors") > 0, F.struct(-F.col("errors"), F.col("tool")))).alias("err"),
         F.sum("errors").alias("errors"),
     )
@@ -229,7 +230,7 @@ def decisions(by_tool: DataFrame, priced: DataFrame) -> DataFrame:
         F.sum(F.when(F.col("thread") == MAIN, F.col("result_chars")).otherwise(0)).alias("__main"),
     )
     return per.join(calls, "session").select(
-        "session", F.col("cost.tool").alias("top_cost_tool"), known_share_pct(F.col("cost.est_usd"), F.col("__usd")).alias("top_cost_pct"),
+        "session", F.col("cost.tool").alias("top_cost_tool"), usd_share_pct(F.col("cost.est_usd").try_cast("decimal(28,12)"), F.col("__usd")).alias("top_cost_pct"),
         F.col("err.tool").alias("top_error_tool"), known_share_pct(F.col("err.errors"), F.col("errors")).alias("top_error_pct"),
         F.col("big.tool").alias("largest_tool"), F.col("big.result_chars").alias("largest_chars"),
         share_pct(F.col("__main"), F.col("__chars")).alias("main_share_pct"),
