@@ -234,3 +234,18 @@ def test_elision_keeps_both_ends(spark):
     assert [r.line for r in kept.orderBy("line").collect()] == [*range(6), *range(34, 40)]
     assert timeline.hidden_counts(df).first().hidden == 28
     assert timeline.elided(df.where("id < 16")).count() == 16
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_agent_paths_name_every_ancestor(spark, seed):
+    rng = random.Random(seed)
+    above = {f"n{i}": f"n{i - 1 if i < 40 else rng.randrange(i)}" if i % 37 else None for i in range(150)} | {"lost": "nobody", "x": "y", "y": "x"}
+    made = spark.createDataFrame([("s", a, p) for a, p in above.items()] + [("s", "n5", above["n5"])], "session string, agent string, parent string")
+    grown = forest.grow(made)
+    want = {}
+    for agent in above.keys() - {"x", "y"}:
+        path = [agent]
+        while above.get(path[0]) in above:
+            path.insert(0, above[path[0]])
+        want[agent] = "/".join(path)
+    assert dict(rows(forest.agent_paths(grown), "agent", "agent_path")) == want

@@ -298,9 +298,10 @@ def nodes(t):
     )
 
 
-@query("tree_build", f"{TREE} SELECT session, agent, root, depth, parent AS above FROM g")
+@query("tree_build", f"{TREE} SELECT session, agent, root, depth, parent AS above, array_to_string(path, '/') AS agent_path FROM g")
 def _(t):
-    return forest.grow(nodes(t)).nodes.select("session", "agent", "root", "depth", "above")
+    grown = forest.grow(nodes(t))
+    return grown.nodes.join(forest.agent_paths(grown), ["session", "agent"]).select("session", "agent", "root", "depth", "above", "agent_path")
 
 
 @query("subtree_totals", f"{TREE} SELECT * REPLACE (round(subtree_cost, 4) AS subtree_cost) FROM tot")

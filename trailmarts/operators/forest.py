@@ -141,6 +141,21 @@ def grow(nodes: DataFrame) -> Forest:
     return Forest(nodes.drop("root", "depth", "above").join(reached, keys).join(parents, keys), tuple(jumps))
 
 
+def agent_paths(forest: Forest) -> DataFrame:
+    """``agent_path`` of every node: the ids from its root down to it, joined by slashes.
+
+    After round k a node holds the last 2^k ids of its path, and puts those of
+    the ancestor that its jump names in front. The paths themselves are as long
+    as the forest is deep; nothing else in this module reads them.
+    """
+    keys = ["session", "agent"]
+    paths = stored(forest.nodes.select(*keys, F.col("agent").alias("agent_path")).distinct(), "paths")
+    for jump in forest.jumps:
+        front = _to_ancestors(jump, paths.select("session", F.col("agent").alias("up"), F.col("agent_path").alias("front")), jump.count() > FLOOR)
+        paths = stored(paths.join(front.select(*keys, "front"), keys, "left").select(*keys, F.concat_ws("/", "front", "agent_path").alias("agent_path")), "paths")
+    return paths
+
+
 def unreached(nodes: DataFrame, forest: Forest) -> DataFrame:
     """Nodes that hang on a cycle and so have no root; none of the sums counts them."""
     lost = nodes.join(forest.nodes.select("session", "agent"), ["session", "agent"], "left_anti")
