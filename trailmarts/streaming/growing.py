@@ -29,7 +29,10 @@ from pyspark.sql.datasource import DataSource, DataSourceStreamReader, InputPart
 from ..sources.files import open_folder
 from ..sources.transcripts import LINE_BREAK
 
-PIECE = 32 << 20  # bytes of a file that a task reads
+PIECE = 32 << 20  # bytes of a file that are read at once
+SHARE = 32 << 20  # bytes of the pieces that a task reads
+OPENING = 1 << 17  # bytes that opening a file counts for
+BATCH = 1 << 13  # lines of small files that are handed over together
 MARK = 256  # bytes before the end of a file that tell whether it has only grown
 BACK = 1 << 16  # bytes read at a time while looking for the beginning of a line
 SCHEMA = "path string, mtime_ms bigint, fresh boolean, start bigint, nth bigint, text string"
@@ -44,6 +47,13 @@ class Piece(InputPartition):
     end: int
 
 
+@dataclass
+class Share(InputPartition):
+    """Pieces that one task reads: many small files, or one piece of a large one."""
+
+    pieces: list[Piece]
+
+
 class GrowingLines(DataSource):
     """Options: ``path`` (a folder), ``pattern`` (of file names), ``piece`` (bytes)."""
 
@@ -89,7 +99,7 @@ class GrowingReader(DataSourceStreamReader):
         self.seen = found
         return {"files": found}
 
-    def partitions(self, start: dict, end: dict) -> list[Piece]:
+    def partitions(self, start: dict, end: dict) -> list[Share]:
         system, _ = open_folder(self.root)
         pieces = []
         for path, (size, changed, _) in sorted(end["files"].items()):
@@ -104,10 +114,28 @@ class GrowingReader(DataSourceStreamReader):
                         known = 0  # longer, but another file
             for at in range(known, size, self.piece):
                 pieces.append(Piece(path, changed, known == 0, at, min(size, at + self.piece)))
-        return pieces
-
-    def read(self, p: Piece) -> Iterator[pa.RecordBatch]:
+        shares, room = [], 0
+        for p in pieces:
+            cost = p.end - p.start + OPENING
+            if not shares or cost > room:
+                shares.append(Share([]))
+                room = SHARE
+            shares[-1].pieces.append(p)
+            room -= cost
+        return shares
+
+    def read(self, share: Share) -> Iterator[pa.RecordBatch]:
         system, _ = open_folder(self.root)
+        held: list[pa.RecordBatch] = []
+        for p in share.pieces:
+            held += self._lines(system, p)
+            if sum(b.num_rows for b in held) >= BATCH:
+                yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+                held = []
+        if held:
+            yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+    def _lines(self, system, p: Piece) -> Iterator[pa.RecordBatch]:
         with system.open_input_file(p.path) as stream:
             first = _line_start(stream, p.start)
             stream.seek(first)
