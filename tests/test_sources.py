@@ -269,3 +269,30 @@ def test_messages_drop_the_state_of_passed_days(spark, tmp_path):
     kept = jobs.run_available(jobs.message_updates(stream, "5 days"), str(tmp_path / "job"), "update")
     assert max(kept) <= 40 and kept[-1] == 20
     assert jobs.merged_messages(jobs.output(spark, str(tmp_path / "job"))).count() == 80
+
+
+def test_many_small_files_take_few_tasks(spark, tmp_path):
+    """Files are written, numbered, ingested and exported by tasks that hold many of them."""
+    from trailmarts.sources.files import TASKS_A_CORE, write_files
+    from trailmarts.streaming import growing
+
+    most = TASKS_A_CORE * spark.sparkContext.defaultParallelism
+    lines = spark.range(3000).selectExpr("concat('p', id % 7, '/f', id % 1500, '.jsonl') AS name", "id AS line", "concat('x', id) AS text", "'\n' AS ending")
+    assert write_files(lines, str(tmp_path / "in")) == len(list((tmp_path / "in").rglob("*.jsonl"))) == lines.select("name").distinct().count()
+    read = transcripts.raw_lines(spark, str(tmp_path / "in"))
+    assert read.rdd.getNumPartitions() <= 2 * most and rows(read, "text") == sorted((f"x{i}",) for i in range(3000))
+    reader = growing.GrowingReader({"path": str(tmp_path / "in")})
+    shares = reader.partitions(reader.initialOffset(), reader.latestOffset())
+    assert len(shares) < 20 and sum(b.num_rows for s in shares for b in reader.read(s)) == 3000
+
+
+def test_exports_keep_odd_session_names_and_split_large_sessions(spark, tmp_path):
+    names = ["a:b+c d%41é", "x=y?z", "[q]{r}^'\"#*\\", "plain", "large"]
+    routed = spark.createDataFrame([(n, f"t{i}") for i in range(3) for n in names] + [("large", f"t{i}") for i in range(3, 400)], "session string, text string")
+    for batch in (0, 1, 1):
+        telemetry.write_by_session(routed, str(tmp_path / "out"), batch, lines_per_file=100)
+    want = sorted(((b, *r) for b in (0, 1) for r in rows(routed)), key=repr)
+    assert rows(telemetry.exported(spark, str(tmp_path / "out")), "batch", "session", "text") == want
+    assert rows(spark.read.text(str(tmp_path / "out")), "batch", "session", "value") == want
+    files = list((tmp_path / "out" / "batch=1" / "session=large").iterdir())
+    assert len(files) > 3 and len(list((tmp_path / "out" / "batch=1" / "session=plain").iterdir())) == 1

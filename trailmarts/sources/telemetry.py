@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import jsonx
+from ..functions.skew import SALTS, hot_keys
 from ..functions.times import iso_ms
 from ..operators import telemetry
+from .files import clear_folder, packed, write_files
 from .transcripts import plain_lines, raw_lines
 
+EXPORTED = r"/batch=(\d+)/session=([^/]+)/[^/]+$"
+ESCAPED = "%" + "".join(map(chr, range(1, 32))) + "\"#'*/:=?\\\x7f{[]^"  # as Spark escapes the values of partition folders, which it reads back
+
 
 def otlp_lines(spark: SparkSession, root: str | list[str]) -> DataFrame:
     """Export lines with the session each belongs to."""
@@ -20,16 +25,29 @@ def write_by_session(routed: DataFrame, folder: str, batch: int, lines_per_file:
     """Write export lines below the batch and one folder per session.
 
     A batch that is written again replaces its own folder, so a retry adds
-    nothing. Lines are rebalanced by session first: a session has one file, or
-    several where it is large, and not one per task.
+    nothing. Lines are dealt by session first: a session has one file, or
+    several where it holds much of the batch, and not one per task. Tasks put
+    their files in place themselves, as the driver would move them one by one.
     """
-    rows = routed.select("session", "text").hint("rebalance", "session")
-    rows.write.mode("overwrite").option("maxRecordsPerFile", lines_per_file).partitionBy("session").text(f"{folder}/batch={batch}")
+    rows = routed.select("session", "text", F.monotonically_increasing_id().alias("line"))
+    hot = hot_keys(rows, ["session"], floor=lines_per_file)
+    salt = F.when(F.col("__hot"), F.pmod("line", F.lit(SALTS))).otherwise(0)
+    escaped = F.col("session")
+    for c in ESCAPED:
+        escaped = F.replace(escaped, F.lit(c), F.lit(f"%{ord(c):02X}"))
+    name = F.concat(F.lit("session="), escaped, F.lit("/part-"), salt, F.lit(".txt"))
+    place = f"{folder}/batch={batch}"
+    clear_folder(place)
+    write_files(rows.join(F.broadcast(hot), "session", "left").select(name.alias("name"), "line", "text", F.lit("\n").alias("ending")), place)
 
 
 def exported(spark: SparkSession, folder: str) -> DataFrame:
-    """``batch, session, text`` of all batches that ``write_by_session`` has written."""
-    return spark.read.schema("value string, batch bigint, session string").text(folder).select("batch", "session", F.col("value").alias("text"))
+    """``batch, session, text`` of all batches that ``write_by_session`` has written; tasks take both from the path, which spares the driver every folder's name."""
+    lines = packed(spark.read.option("recursiveFileLookup", "true").text(folder)).select(F.col("_metadata.file_path").alias("path"), "value")
+    session = F.regexp_extract("path", EXPORTED, 2)
+    for _ in range(2):  # Spark shows paths URL-encoded, and the folder's name is escaped
+        session = F.url_decode(F.replace(session, F.lit("+"), F.lit("%2B")))
+    return lines.select(F.regexp_extract("path", EXPORTED, 1).cast("bigint").alias("batch"), session.alias("session"), F.col("value").alias("text"))
 
 
 def captures(spark: SparkSession, root: str | list[str]) -> DataFrame:
