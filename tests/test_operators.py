@@ -249,3 +249,17 @@ def test_agent_paths_name_every_ancestor(spark, seed):
             path.insert(0, above[path[0]])
         want[agent] = "/".join(path)
     assert dict(rows(forest.agent_paths(grown), "agent", "agent_path")) == want
+
+
+def test_search_fields_parse_a_line_once(spark):
+    from trailmarts.operators import records_a
+
+    said = '{"type":"assistant","message":{"content":[{"type":"text","text":"Hi"},{"type":"thinking","thinking":"Hm"},{"type":"tool_use","id":"c","name":"Read","input":{"a":{"b":["x"]},"p":"y"}}]}}'
+    got = '{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"c","content":"done"}]}}'
+    lines = [("s", "main", 1, said), ("s", "main", 2, got), ("s", "main", 3, '{"type":"user","message":{"content":"Go"}}'), ("s", "main", 4, '{"type":"ai-title","aiTitle":"T"}')]
+    raw = spark.createDataFrame(lines, "session string, thread string, line bigint, text string")
+    fields = search.fields_a(records_a.records(raw))
+    assert rows(fields, "line", "ord", "field", "text", "tool") == sorted([
+        (1, 1 << 20, "assistant", "Hi", None), (1, 1, "thinking", "Hm", None), (1, 2, "tool_input", "y\nx", "Read"), (2, 0, "tool_result", "done", None),
+        (3, 1 << 20, "user", "Go", None), (4, 0, "title", "T", None)], key=repr)
+    assert fields._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 1

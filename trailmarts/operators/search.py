@@ -54,23 +54,27 @@ def flat_text(v):
 def fields_a(rec: DataFrame) -> DataFrame:
     """Searchable fields of format A records; ``ord`` keeps their order within a record."""
     keys = ["session", "thread", "line", "ts_ms"]
-    no_tool = F.lit(None).cast("string").alias("tool")
-    blocks = rec.where("type = 'assistant'").select(*keys, F.explode("blocks").alias("b"))
-    results = rec.where("type = 'user'").select(*keys, F.explode("results").alias("b"))
+    user, assistant = F.col("type") == "user", F.col("type") == "assistant"
     said = F.array_join(F.filter(F.transform(F.filter("blocks", lambda b: b["kind"] == "text"), lambda b: b["text"]), lambda x: x != ""), "\n")
-    parts = [
-        results.select(*keys, F.col("b.pos").alias("ord"), F.lit("tool_result").alias("field"), F.col("b.text").alias("text"), no_tool),
-        rec.where("type = 'user' AND prompt_text IS NOT NULL").select(*keys, F.lit(1 << 20).alias("ord"), F.lit("user").alias("field"), F.col("prompt_text").alias("text"), no_tool),
-        blocks.where("b.kind = 'thinking'").select(*keys, F.col("b.pos").alias("ord"), F.lit("thinking").alias("field"), F.col("b.text").alias("text"), no_tool),
-        blocks.where("b.kind = 'tool_use'").select(
-            *keys, F.col("b.pos").alias("ord"), F.lit("tool_input").alias("field"), flat_text(jsonx.parse(F.col("b.input"))).alias("text"), F.col("b.name").alias("tool")),
-        rec.where("type = 'assistant'").select(*keys, F.lit(1 << 20).alias("ord"), F.lit("assistant").alias("field"), said.alias("text"), no_tool),
-        rec.where("title IS NOT NULL").select(*keys, F.lit(0).alias("ord"), F.lit("title").alias("field"), F.col("title").alias("text"), no_tool),
-    ]
-    out = parts[0]
-    for part in parts[1:]:
-        out = out.unionByName(part)
-    return out.where("text IS NOT NULL AND text <> ''")
+    last = 1 << 20
+
+    def field(order, name, body, tool=None):
+        tool = F.lit(None).cast("string") if tool is None else tool
+        return F.struct(order.cast("int").alias("ord"), F.lit(name).alias("field"), body.alias("text"), tool.alias("tool"))
+
+    def of_block(b):
+        used = F.when(b["kind"] == "tool_use", flat_text(jsonx.parse(b["input"])))
+        return F.when(b["kind"] == "thinking", field(b["pos"], "thinking", b["text"])).otherwise(field(b["pos"], "tool_input", used, b["name"]))
+
+    none = F.array().cast("array<struct<ord:int,field:string,text:string,tool:string>>")
+    found = F.concat(
+        F.coalesce(F.transform(F.when(user, F.col("results")), lambda b: field(b["pos"], "tool_result", b["text"])), none),
+        F.coalesce(F.transform(F.when(assistant, F.filter("blocks", lambda b: b["kind"].isin("thinking", "tool_use"))), of_block), none),
+        F.array(field(F.lit(last), "user", F.when(user, F.col("prompt_text"))), field(F.lit(last), "assistant", F.when(assistant, said)), field(F.lit(0), "title", F.col("title"))),
+    )
+    # One pass over the records: a branch for each field would parse every line again.
+    each = rec.select(*keys, F.explode(F.filter(found, lambda f: f["text"] != "")).alias("f"))
+    return each.select(*keys, "f.ord", "f.field", "f.text", "f.tool")
 
 
 def fields_b(rec: DataFrame) -> DataFrame:
