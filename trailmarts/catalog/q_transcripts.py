@@ -73,8 +73,7 @@ def lines_a(t):
     k, n, et = F.col("k"), F.col("event_id"), F.col("event_type")
     at = lambda i: n * 4 + i
     when = iso(F.col("ts_ms"))
-    ev = spread(t.ev)
-    base = lambda i, text: ev.select("session", "thread", at(i).alias("line"), text.alias("text")).where("text IS NOT NULL")
+    base = lambda i, text: F.struct(at(i).alias("line"), text.alias("text"))
     called = et.isin("view", "click")
     tokens = lambda extra: F.struct((k * 10).alias("input_tokens"), (k + extra).alias("output_tokens"), (k * 100).alias("cache_read_input_tokens"))
     arg = F.struct(cat("/repo/f", k % 13).alias("file_path"), cat("look at ", k).alias("description"))
@@ -106,7 +105,8 @@ def lines_a(t):
         .otherwise(js(F.lit("user").alias("type"), when.alias("timestamp"), F.struct(cat("bg", n).alias("backgroundTaskId")).alias("toolUseResult"), F.struct(F.array(F.struct(
             F.lit("tool_result").alias("type"), cat("t", n - 1).alias("tool_use_id"), F.lit("started").alias("content"))).alias("content")).alias("message"))))
     one = F.when(called, first).when(et == "signup", F.when(k % 2 == 0, plain).otherwise(parts)).when(et == "purchase", system).otherwise(odd)
-    return base(1, one).union(base(2, F.when(called, again))).union(base(3, F.when(called & (k % 23 != 0), result)))
+    lines = F.array(base(1, one), base(2, F.when(called, again)), base(3, F.when(called & (k % 23 != 0), result)))
+    return spread(t.ev).select("session", "thread", F.explode(lines).alias("l")).select("session", "thread", "l.*").where("text IS NOT NULL")
 
 
 def arg_type():
