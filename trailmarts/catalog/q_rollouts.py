@@ -36,8 +36,8 @@ def lines_b(t, headers: bool = True):
         .when((et == "signup") & (F.col("user_id") % 2 == 0), env("event_msg", said)).when(et == "signup", env("response_item", item)).when(et == "error", env("response_item", call))
         .when((et == "purchase") & (k % 3 == 0), F.lit("{nope")).when((et == "purchase") & (k % 3 == 1), F.lit('"text"')).when(et == "purchase", F.lit('{"a":1}')))
     two = F.when((et == "error") & (k % 3 == 0), env("response_item", output)).when((et == "error") & (k % 3 == 1), env("event_msg", ended))
-    ev = spread(t.ev)
-    lines = ev.select("session", (n * 2 + 2).alias("line"), one.alias("text")).union(ev.select("session", (n * 2 + 3).alias("line"), two.alias("text"))).where("text IS NOT NULL")
+    both = F.array(F.struct((n * 2 + 2).alias("line"), one.alias("text")), F.struct((n * 2 + 3).alias("line"), two.alias("text")))
+    lines = spread(t.ev).select("session", F.explode(both).alias("l")).select("session", "l.*").where("text IS NOT NULL")
     if not headers:
         return lines
     uid = F.col("user_id")
