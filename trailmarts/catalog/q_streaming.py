@@ -13,14 +13,16 @@ from .registry import Tables, query
 
 
 class Streamed(Tables):
-    """The role views with one table read as a stream of several files, one to a batch.
+    """The role views with one table read as a stream of several slices, one to a batch.
 
-    ``place`` is a number along which the slices are cut. ``late`` sends every
+    ``place`` is a number along which the slices are cut; each slice has the same
+    number of files, by the rows of the smallest, so large ones are written and read by many tasks. ``late`` sends every
     tenth row a slice after its neighbours, and the second slice before the first. ``closing`` adds a last row far in the
     future that lets the watermark pass everything before it.
     """
 
     SLICES = 4
+    FILE_ROWS = 1 << 18
 
     def __init__(self, t: Tables, table: str, place: str, late: bool = True, closing: dict | None = None):
         super().__init__(t.spark, t.folder)
@@ -34,8 +36,11 @@ class Streamed(Tables):
         if late:
             n = F.least(n + (at % 10 == 7).cast("int"), F.lit(self.SLICES - 1))
         sliced = stored(batch.join(F.broadcast(ends), F.lit(True)).withColumn("slice", n).drop("low", "top"), f"slices-{table}")  # ends is one row
+        sizes = [r["count"] for r in sliced.groupBy("slice").count().collect()]  # a row a slice
+        self.files = max(min(sizes) // self.FILE_ROWS, 1) if len(sizes) == self.SLICES else 1
         for i in (1, 0, 2, 3) if late else range(self.SLICES):
-            sliced.where(F.col("slice") == i).drop("slice").coalesce(1).write.mode("append").parquet(self.parts)
+            part = sliced.where(F.col("slice") == i).drop("slice")
+            (part.repartition(self.files) if self.files > 1 else part.coalesce(1)).write.mode("append").parquet(self.parts)
         if closing:
             last = batch.limit(1).select(*(F.lit(closing[c]).cast(batch.schema[c].dataType).alias(c) if c in closing else F.col(c) for c in batch.columns))
             last.write.mode("append").parquet(self.parts)
@@ -43,14 +48,17 @@ class Streamed(Tables):
     def raw(self, name):
         if name != self.table:
             return super().raw(name)
-        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", 1).parquet(self.parts)
+        return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files).parquet(self.parts)
 
 
-def batches(rows):
-    """The rows of a job, which must have taken several batches."""
-    if rows.select("batch").distinct().count() < 3:
+TIME = "unix_millis(CAST(ts AS TIMESTAMP))"  # ids need not follow the times by which streams drop rows
+
+
+def run(stream, folder, mode="append", rocksdb=False):
+    """The rows of a job, which must have taken several batches; some may have written none."""
+    if len(jobs.run_available(stream, folder, mode, rocksdb)) < 3:
         raise ValueError("the stream took fewer than three batches")
-    return rows
+    return jobs.output(stream.sparkSession, folder)
 
 
 @query("stream_message_dedup", "SELECT session, thread, message_id, line, model, input_tokens, output_tokens FROM messages", "messages")
@@ -59,9 +67,9 @@ def _(t):
     # Rows come up to half of the dates late; the state of earlier days is dropped on the way.
     place = "unix_date(CAST(l_shipdate AS DATE))"
     days = t.raw("lineitem").agg(F.expr(f"max({place}) - min({place})")).first()[0] or 0
-    jobs.run_available(jobs.message_updates(Streamed(t, "lineitem", place).snapshots, f"{days // 2 + 30} days"), folder, "update")
+    rows = run(jobs.message_updates(Streamed(t, "lineitem", place).snapshots, f"{days // 2 + 30} days"), folder, "update", rocksdb=True)
     keys = ["session", "thread", "message_id"]
-    days = jobs.latest_per_key(batches(jobs.output(t.spark, folder)), [*keys, "day_ms"])
+    days = jobs.latest_per_key(rows, [*keys, "day_ms"])
     return jobs.merged_messages(days).select(*keys, "line", "model", "input_tokens", "output_tokens")
 
 
@@ -73,8 +81,8 @@ def _(t):
 )
 def _(t):
     folder = fresh_dir(t.spark, "telemetry")
-    jobs.run_available(jobs.telemetry_windows(otlp_lines(Streamed(t, "events", "event_id")), "1 day", "20 days"), folder, "update")
-    return jobs.latest_per_key(batches(jobs.output(t.spark, folder)), ["session", "window_ms"]).drop("batch")
+    rows = run(jobs.telemetry_windows(otlp_lines(Streamed(t, "events", TIME)), "1 day", "20 days"), folder, "update")
+    return jobs.latest_per_key(rows, ["session", "window_ms"]).drop("batch")
 
 
 @query(
@@ -87,7 +95,7 @@ def _(t):
 def _(t):
     folder = fresh_dir(t.spark, "live")
     closing = {"ts": datetime(2100, 1, 1), "user_id": -1}
-    jobs.run_available(jobs.live_periods(Streamed(t, "events", "event_id", closing=closing).ev, "2 hours", "20 days"), folder, "append")
+    jobs.run_available(jobs.live_periods(Streamed(t, "events", TIME, closing=closing).ev, "2 hours", "20 days"), folder, "append")
     return jobs.output(t.spark, folder).where("session <> 's-1'").drop("batch")
 
 
@@ -100,6 +108,5 @@ def _(t):
 def _(t):
     folder = fresh_dir(t.spark, "counters")
     closing = {"ts": datetime(2100, 1, 1), "user_id": -1, "event_type": "view"}
-    rows = lines_b(Streamed(t, "events", "event_id", closing=closing), headers=False)
-    jobs.run_available(jobs.counter_deltas(records_b.records(rows), "20 days"), folder, rocksdb=True)
-    return batches(jobs.output(t.spark, folder)).where("session <> 's-1'").drop("batch")
+    rows = lines_b(Streamed(t, "events", TIME, closing=closing), headers=False)
+    return run(jobs.counter_deltas(records_b.records(rows), "20 days"), folder, rocksdb=True).where("session <> 's-1'").drop("batch")
