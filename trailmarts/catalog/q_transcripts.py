@@ -475,7 +475,8 @@ def _(t):
     "ev",
 )
 def _(t):
-    one = all_events(t).where("name <> 'hidden_call'").unionByName(all_events(t).where("name = 'hidden_call'").dropDuplicates(["session", "ts_ms"]))
+    every = all_events(t)
+    one = every.where("name <> 'hidden_call'").unionByName(every.where("name = 'hidden_call'").dropDuplicates(["session", "ts_ms"]))
     return trace.ordered(stored(one, "trace")).select("session", "ts_ms", "name", "sort_key")
 
 
