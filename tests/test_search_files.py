@@ -94,3 +94,13 @@ def test_drill_downs_read_few_row_groups(spark, tmp_path):
         assert scanned(record_files.by_value(spark, place, "call_id", "not there")) <= n // 8
     finally:
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_bits_of_a_file_are_distinct_before_its_maps_are_sorted(spark):
+    """Every trigram of a file's text was sorted, so the memory of a task grew with the text."""
+    texts = spark.range(2000).selectExpr("concat('f', id % 2) AS file", "repeat(concat('abc', id % 5), 50) AS text")
+    maps = search_files.trigram_maps(texts)
+    plan = maps._jdf.queryExecution().executedPlan().toString()
+    assert "bitmap_construct_agg" in plan and plan.index("SortAggregate") < plan.index("HashAggregate(keys=[file")
+    bits = texts.selectExpr("file", f"explode(transform(sequence(1, length(text) - 2), i -> pmod(xxhash64(substr(text, i, 3)), {search_files.BITS}))) AS bit").distinct()
+    assert rows(maps.groupBy("file").agg(F.sum(F.bitmap_count("bits")).alias("n")), "file", "n") == rows(bits.groupBy("file").count(), "file", "count")

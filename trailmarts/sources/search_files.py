@@ -41,9 +41,13 @@ def bit_of(gram: Column) -> Column:
 
 
 def trigram_maps(texts: DataFrame) -> DataFrame:
-    """Bit maps of the lower-cased trigrams of each file: ``file, bucket, bits``. ``texts`` has file and text; maps merge before the shuffle."""
+    """Bit maps of the lower-cased trigrams of each file: ``file, bucket, bits``. ``texts`` has file and text.
+
+    Bitmaps are built by sorting, so the bits of a file are made distinct first, by
+    hash and before the shuffle: a task holds at most ``BITS`` of a file, however long its text.
+    """
     pieces = texts.where(F.length("text") >= GRAM).select("file", F.explode(_pieces(F.lower("text"))).alias("piece"))
-    bits = pieces.select("file", F.explode(grams(F.col("piece"))).alias("gram")).select("file", bit_of(F.col("gram")).alias("bit"))
+    bits = pieces.select("file", F.explode(grams(F.col("piece"))).alias("gram")).select("file", bit_of(F.col("gram")).alias("bit")).distinct()
     return bits.groupBy("file", F.floor(F.col("bit") / BUCKET).alias("bucket")).agg(F.bitmap_construct_agg((F.col("bit") % BUCKET)).alias("bits"))
 
 
