@@ -18,8 +18,11 @@ def _items(v: Column, path: str) -> Column:
 
 
 def attribute(attrs: Column, key: str) -> Column:
-    """Text of a named attribute: its string value, or any other scalar as text."""
-    hit = F.get(F.filter(attrs, lambda a: jsonx.string_at(a, "$.key") == key), F.lit(0))
+    """Text of a named attribute: its string value, or any other scalar as text.
+
+    Keys are compared as text: no number, truth value, list or object reads as a name.
+    """
+    hit = F.get(F.filter(attrs, lambda a: F.try_variant_get(a, "$.key", "string") == key), F.lit(0))
     return F.coalesce(*[F.try_variant_get(hit, f"$.value.{k}", "string") for k in ("stringValue", "intValue", "doubleValue", "boolValue")])
 
 
@@ -60,9 +63,10 @@ def routed(lines: DataFrame) -> DataFrame:
         _first_id(F.transform(_items(v, "$.resourceMetrics"), resource)),
         _first_id(F.transform(F.flatten(F.transform(_metrics(v), _points)), attrs)),
     )
-    clean = F.trim(found)
+    clean = F.col("__id")
     unsafe = clean.isNull() | clean.isin("", ".", "..") | clean.rlike(r"[/\\\x00]")
-    return parsed(lines).withColumn("session", F.when(unsafe, F.lit(UNASSIGNED)).otherwise(clean))
+    named = jsonx.computed_once(parsed(lines), {"__id": F.trim(found)})
+    return named.withColumn("session", F.when(unsafe, F.lit(UNASSIGNED)).otherwise(clean)).drop("__id")
 
 
 def _event(r: Column, attrs: Column) -> Column:
