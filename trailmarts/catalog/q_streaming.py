@@ -5,7 +5,8 @@ from datetime import datetime
 from pyspark.sql import functions as F
 
 from ..operators import records_b
-from ..session import fresh_dir, stored
+from ..session import fresh_dir
+from ..sources.files import clear_folder
 from ..streaming import jobs
 from .q_rollouts import lines_b
 from .q_transcripts import otlp_lines
@@ -31,16 +32,18 @@ class Streamed(Tables):
         self.schema, self.parts = batch.schema, fresh_dir(t.spark, f"stream-{table}")
         at = F.expr(place)
         ends = batch.agg(F.min(at).alias("low"), F.max(at).alias("top"))
-        at = F.coalesce(at, "low")
-        n = F.floor((at - F.col("low")) * self.SLICES / (F.col("top") - F.col("low") + 1))
+        low, top = (F.lit(x).cast(ends.schema[0].dataType) for x in ends.first())
+        at = F.coalesce(at, low)
+        n = F.floor((at - low) * self.SLICES / (top - low + 1))
         if late:
             n = F.least(n + (at % 10 == 7).cast("int"), F.lit(self.SLICES - 1))
-        sliced = stored(batch.join(F.broadcast(ends), F.lit(True)).withColumn("slice", n).drop("low", "top"), f"slices-{table}")  # ends is one row
-        sizes = [r["count"] for r in sliced.groupBy("slice").count().collect()]  # a row a slice
-        self.files = max(min(sizes) // self.FILE_ROWS, 1) if len(sizes) == self.SLICES else 1
-        for i in (1, 0, 2, 3) if late else range(self.SLICES):
-            part = sliced.where(F.col("slice") == i).drop("slice")
-            (part.repartition(self.files) if self.files > 1 else part.coalesce(1)).write.mode("append").parquet(self.parts)
+        sliced = batch.withColumn("slice", n)
+        with jobs.settings(t.spark, jobs.LEAN):
+            sizes = [r["count"] for r in sliced.groupBy("slice").count().collect()]  # a row a slice
+            self.files = max(min(sizes) // self.FILE_ROWS, 1) if len(sizes) == self.SLICES else 1
+            for i in (1, 0, 2, 3) if late else range(self.SLICES):
+                part = sliced.where(F.col("slice") == i).drop("slice")
+                (part.repartition(self.files) if self.files > 1 else part.coalesce(1)).write.mode("append").parquet(self.parts)
         if closing:
             last = batch.limit(1).select(*(F.lit(closing[c]).cast(batch.schema[c].dataType).alias(c) if c in closing else F.col(c) for c in batch.columns))
             last.write.mode("append").parquet(self.parts)
@@ -50,14 +53,19 @@ class Streamed(Tables):
             return super().raw(name)
         return self.spark.readStream.schema(self.schema).option("maxFilesPerTrigger", self.files).parquet(self.parts)
 
+    def clear(self) -> None:
+        """Take away the slices, once the stream has read them."""
+        clear_folder(self.parts)
+
 
 TIME = "unix_millis(CAST(ts AS TIMESTAMP))"  # ids need not follow the times by which streams drop rows
 
 
 def run(stream, folder, mode="append", rocksdb=False):
-    """The rows of a job, which must have taken several batches; some may have written none."""
+    """The rows of a job, which must have taken several batches; some may have written none. It is not run again, so its checkpoint goes."""
     if len(jobs.run_available(stream, folder, mode, rocksdb)) < 3:
         raise ValueError("the stream took fewer than three batches")
+    clear_folder(f"{folder}/checkpoint")
     return jobs.output(stream.sparkSession, folder)
 
 
@@ -67,9 +75,11 @@ def _(t):
     # Rows come up to half of the dates late; the state of earlier days is dropped on the way.
     place = "unix_date(CAST(l_shipdate AS DATE))"
     days = t.raw("lineitem").agg(F.expr(f"max({place}) - min({place})")).first()[0] or 0
-    rows = run(jobs.message_updates(Streamed(t, "lineitem", place).snapshots, f"{days // 2 + 30} days"), folder, "update", rocksdb=True)
+    slices = Streamed(t, "lineitem", place)
+    rows = run(jobs.message_updates(slices.snapshots, f"{days // 2 + 30} days"), folder, "update", rocksdb=True)
+    slices.clear()
     keys = ["session", "thread", "message_id"]
-    days = jobs.latest_per_key(rows, [*keys, "day_ms"])
+    days = jobs.latest_per_key(rows.repartition(*keys), [*keys, "day_ms"])  # one shuffle for the days and the messages
     return jobs.merged_messages(days).select(*keys, "line", "model", "input_tokens", "output_tokens")
 
 
