@@ -9,7 +9,7 @@ from ..functions import jsonx
 from ..functions.skew import SALTS, hot_keys
 from ..functions.times import iso_ms
 from ..operators import telemetry
-from .files import clear_folder, packed, write_files
+from .files import clear_folder, listed, write_files
 from .transcripts import plain_lines, raw_lines
 
 EXPORTED = r"/batch=(\d+)/session=([^/]+)/[^/]+$"
@@ -27,7 +27,8 @@ def write_by_session(routed: DataFrame, folder: str, batch: int, lines_per_file:
     A batch that is written again replaces its own folder, so a retry adds
     nothing. Lines are dealt by session first: a session has one file, or
     several where it holds much of the batch, and not one per task. Tasks put
-    their files in place themselves, as the driver would move them one by one.
+    their files in place themselves and take away those of an earlier writing, as
+    the driver would do it one by one.
     """
     rows = routed.select("session", "text", F.monotonically_increasing_id().alias("line"))
     hot = hot_keys(rows, ["session"], floor=lines_per_file)
@@ -37,17 +38,17 @@ def write_by_session(routed: DataFrame, folder: str, batch: int, lines_per_file:
         escaped = F.replace(escaped, F.lit(c), F.lit(f"%{ord(c):02X}"))
     name = F.concat(F.lit("session="), escaped, F.lit("/part-"), salt, F.lit(".txt"))
     place = f"{folder}/batch={batch}"
-    clear_folder(place)
+    clear_folder(place, routed.sparkSession)
     write_files(rows.join(F.broadcast(hot), "session", "left").select(name.alias("name"), "line", "text", F.lit("\n").alias("ending")), place)
 
 
 def exported(spark: SparkSession, folder: str) -> DataFrame:
     """``batch, session, text`` of all batches that ``write_by_session`` has written; tasks take both from the path, which spares the driver every folder's name."""
-    lines = packed(spark.read.option("recursiveFileLookup", "true").text(folder)).select(F.col("_metadata.file_path").alias("path"), "value")
+    lines = listed(spark, folder).lines()
     session = F.regexp_extract("path", EXPORTED, 2)
     for _ in range(2):  # Spark shows paths URL-encoded, and the folder's name is escaped
         session = F.url_decode(F.replace(session, F.lit("+"), F.lit("%2B")))
-    return lines.select(F.regexp_extract("path", EXPORTED, 1).cast("bigint").alias("batch"), session.alias("session"), F.col("value").alias("text"))
+    return lines.select(F.regexp_extract("path", EXPORTED, 1).cast("bigint").alias("batch"), session.alias("session"), "text")
 
 
 def captures(spark: SparkSession, root: str | list[str]) -> DataFrame:
